@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("line_dedup","url_filter")
+MODULES = ("line_dedup","url_filter","decontamination")
 _ALL = (
     "minhash_dedup",
     "suffix_dedup",
