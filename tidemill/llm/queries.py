@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("line_dedup","url_filter","decontamination","byte_bpe")
+MODULES = ("line_dedup","url_filter","decontamination","byte_bpe","toxicity","language_id")
 _ALL = (
     "minhash_dedup",
     "suffix_dedup",
