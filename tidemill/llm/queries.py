@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("line_dedup","url_filter","decontamination","byte_bpe","toxicity","language_id","quality_rules","quality_classifier")
+MODULES = ("minhash_dedup", "line_dedup","url_filter","decontamination","byte_bpe","toxicity","language_id","quality_rules","quality_classifier")
 _ALL = (
     "minhash_dedup",
     "suffix_dedup",
