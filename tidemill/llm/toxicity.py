@@ -15,7 +15,7 @@ from tidemill.llm.common import read, saved
 
 #: Labelled documents of each class that the model may be fitted on, and the longest text among them in bytes. Which
 #: they are follows from a hash of their ids.
-MAX_TOXIC, MAX_OTHER, MAX_SAMPLE_BYTES = 2500, 4000, 20_000
+MAX_TOXIC, MAX_OTHER, MAX_SAMPLE_BYTES = 1500, 2500, 20_000
 #: Bytes that end a sentence.
 STOPS = np.zeros(256, dtype=bool)
 STOPS[[ord(c) for c in ".!?\n"]] = True
@@ -62,17 +62,21 @@ def fit(
     ``P = 1 - prod(1 - p_s)`` with ``p_s`` logistic in the features of the sentence's words.
 
     The ``most`` features with the largest excess in toxic documents, of over four standard errors, take part."""
-    raw = [t.encode("utf-8", "replace") for t in texts]
-    buf = np.frombuffer(b"".join(raw), dtype=np.uint8)
-    corpus = Texts(buf, np.cumsum([0, *map(len, raw)]), lower=True)
-    starts, ends, sentence, doc = _sentences(corpus)
-    n_s, n_d, y = len(doc), len(texts), toxic.astype(float)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    parts, docs_of = [], [np.empty(0, np.int64)]
+    for lo, _, part in text_slices(batch, "text", lower=True):  # slices, so that hashing takes little memory at once
+        starts, ends, sentence, doc = _sentences(part)
+        parts.append((part, starts, ends, sentence + sum(map(len, docs_of))))
+        docs_of.append(doc + lo)
+    doc, y = np.concatenate(docs_of), toxic.astype(float)
+    n_s, n_d = len(doc), len(texts)
     if not n_s or toxic.min() == toxic.max():
         return Model(np.empty(0, np.uint64), np.empty(0), 0.0 if n_s and toxic.any() else -12.0)
     chosen, gains = [], []
-    for which, hashes in _features(corpus, starts, ends):
-        words, ids = np.unique(hashes, return_inverse=True)
-        seen = np.unique(doc[sentence[which]].astype(np.int64) * len(words) + ids)
+    for kinds in zip(*(_features(part, starts, ends) for part, starts, ends, _ in parts), strict=True):
+        words, ids = np.unique(np.concatenate([hashes for _, hashes in kinds]), return_inverse=True)
+        in_doc = np.concatenate([doc[sentence[which]] for (which, _), (*_, sentence) in zip(kinds, parts, strict=True)])
+        seen = np.unique(in_doc * len(words) + ids)
         in_docs = np.bincount(seen % len(words), minlength=len(words))
         in_toxic = np.bincount(seen % len(words), y[seen // len(words)], minlength=len(words))
         share = in_docs / n_d
@@ -86,7 +90,7 @@ def fit(
     words = np.unique(features[np.argsort(-gain, kind="stable")[:most]])
     if not len(words):
         return Model(words, np.empty(0), -12.0)
-    pairs = np.unique(_known(corpus, starts, ends, sentence, words))
+    pairs = np.unique(np.concatenate([_known(*part, words) for part in parts]))
     s_of, w_of = pairs // len(words), pairs % len(words)
     # clean documents outnumber toxic ones in the corpus; the sample is weighed back to even odds
     weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
