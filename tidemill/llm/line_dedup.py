@@ -15,6 +15,39 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.trim(line, F.lit(BLANKS)))
 
 
+def _to_drop(rows: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
+    """(``_d``, ``_v``, ``_dropped``): id and text hash of a document, and the positions of its lines that go."""
+    lines = (
+        rows.where(F.col("doc_id").isNotNull())
+        .select("doc_id", _version(F.col("text")).alias("_v"), F.posexplode(_lines(F.col("text"))).alias("_at", "_line"))
+        .withColumn("_key", line_key(F.col("_line")))
+        .where(F.char_length("_key") >= min_chars)
+        .select(F.col("doc_id").alias("_d"), "_v", "_at", F.unhex(F.md5("_key")).alias("_hash"))
+    )
+    if min_docs == 2:  # then the smallest and the largest id tell
+        often = lines.groupBy("_hash").agg(F.min("_d").alias("_first"), F.max("_d").alias("_last"))
+        often = often.where(F.col("_first") < F.col("_last")).select("_hash", "_first")
+    else:
+        holders = lines.groupBy("_hash", "_d").agg(F.lit(1).alias("_one"))
+        often = holders.groupBy("_hash").agg(F.min("_d").alias("_first"), F.count("_one").alias("_n"))
+        often = often.where(F.col("_n") >= min_docs).select("_hash", "_first")
+    found = lines.join(often, "_hash").where(F.col("_d") > F.col("_first"))
+    return found.groupBy("_d", "_v").agg(F.sort_array(F.collect_set("_at")).alias("_dropped"))
+
+
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+
+
+def _version(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _left(lines: Column, dropped: Column) -> Column:
+    every = F.sequence(F.lit(0), F.size(lines) - 1)
+    return F.array_join(F.transform(F.array_except(every, dropped), lambda i: F.get(lines, i)), "\n")
+
+
 def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
     """Lines whose key of at least ``min_chars`` code points is in ``min_docs`` documents or more go, except in the
     document with the smallest id that holds it.
@@ -27,50 +60,37 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataF
 
     Null or empty texts are one empty line. Rows without a doc_id keep all lines and don't count. Rows that repeat an
     id with the same text count as one document and lose the same lines; with another text they are told apart by
-    their texts' hashes. Extra columns aren't read.
+    their texts' hashes. An empty table gives an empty result; extra columns aren't read.
     """
-    rows = docs.select(
-        F.col("doc_id"),
-        F.coalesce(F.col("text"), F.lit("")).alias("text"),
-    )
-    rows = rows.withColumn("_version", F.xxhash64("text"))
-    lines = (
-        rows.where(F.col("doc_id").isNotNull())
-        .select("doc_id", "_version", F.posexplode(F.split("text", "\n", -1)).alias("_at", "_line"))
-        .withColumn("_key", line_key(F.col("_line")))
-        .where(F.char_length("_key") >= min_chars)
-        .select("doc_id", "_version", "_at", F.unhex(F.md5("_key")).alias("_hash"))
-    )
-    if min_docs == 2:  # then the smallest and the largest id tell
-        often = lines.groupBy("_hash").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last"))
-        often = often.where(F.col("_first") < F.col("_last")).select("_hash", "_first")
-    else:
-        holders = lines.groupBy("_hash", "doc_id").agg(F.lit(1).alias("_one"))
-        often = holders.groupBy("_hash").agg(F.min("doc_id").alias("_first"), F.count("_one").alias("_n"))
-        often = often.where(F.col("_n") >= min_docs).select("_hash", "_first")
-    drops = (
-        lines.join(often, "_hash")
-        .where(F.col("doc_id") > F.col("_first"))
-        .groupBy("doc_id", "_version")
-        .agg(F.sort_array(F.collect_set("_at")).alias("dropped"))
-        .withColumnsRenamed({"doc_id": "_d", "_version": "_v"})
-    )
-    split = F.split("text", "\n", -1)
-    every = F.sequence(F.lit(0), F.size(split) - 1)
-    left = F.transform(F.array_except(every, F.col("dropped")), lambda i: F.get(F.col("_lines"), i))
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    drops = _to_drop(rows, min_chars, min_docs)
     return (
-        rows.join(drops, (rows["doc_id"] == drops["_d"]) & (rows["_version"] == drops["_v"]), "left")
-        .withColumn("_lines", split)
+        rows.join(drops, (rows["doc_id"] == drops["_d"]) & (_version(rows["text"]) == drops["_v"]), "left")
+        .withColumn("_lines", _lines(F.col("text")))
         .select(
             "doc_id",
-            F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"),
+            F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(_left(F.col("_lines"), F.col("_dropped"))).alias("text"),
             F.size("_lines").cast("long").alias("n_lines"),
-            F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
-            F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"),
+            F.coalesce(F.size("_dropped"), F.lit(0)).cast("long").alias("n_dropped"),
+            F.coalesce("_dropped", F.array().cast("array<int>")).alias("dropped"),
         )
     )
 
 
+def drop_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
+    """The documents without the lines that ``line_dedup`` drops, with all their columns. Texts that lose no line stay
+    as they are, null ones too; ``n_chars``, if there is such a column, follows the text."""
+    drops = _to_drop(docs.select("doc_id", "text"), min_chars, min_docs)
+    joined = docs.join(drops, (docs["doc_id"] == drops["_d"]) & (_version(docs["text"]) == drops["_v"]), "left")
+    loses = drops["_dropped"].isNotNull()
+    text = F.when(loses, _left(_lines(docs["text"]), drops["_dropped"])).otherwise(docs["text"])
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        n_chars = F.char_length(text).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(loses, n_chars).otherwise(docs["n_chars"])
+    return joined.select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256")

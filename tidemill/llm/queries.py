@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("minhash_dedup", "line_dedup","url_filter","decontamination","byte_bpe","toxicity","language_id","quality_rules","quality_classifier")
-_ALL = (
+MODULES = (
     "minhash_dedup",
     "suffix_dedup",
     "toxicity",
