@@ -1,3 +1,58 @@
-def run(spark,d): pass
-ORACLE_SQL=None
-STAGES=[]
+"""A training-data pipeline of five corpus operators: each stage takes what the one before kept."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemill.llm import byte_bpe, decontamination, line_dedup, minhash_dedup, quality_classifier
+from tidemill.llm.common import read, saved
+
+RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality_classifier.keep_good(docs, read(spark, sf_dir, "labels"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier document has are cut from the texts."""
+    return line_dedup.drop_lines(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays."""
+    return minhash_dedup.keep_first(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark passages are cut from the texts; documents that are mostly such passages go."""
+    return decontamination.decontaminate(docs, read(spark, sf_dir, "benchmark"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every text as token ids, and decoded again."""
+    return byte_bpe.encode_decode(docs, RANK_FILE, public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality_classifier", quality),
+    ("line_dedup", lines),
+    ("minhash_dedup", near_duplicates),
+    ("decontamination", decontaminated),
+    ("byte_bpe", encoded),
+]
+
+#: The classifier and the encoding can't be expressed in SQL.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what a stage keeps is written to the shared checkpoint folder for the next."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = saved(docs)
+    return docs
