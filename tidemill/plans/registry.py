@@ -6,6 +6,8 @@ import importlib
 
 MODULES = (
     "points_in_time",
+    "scoring",
+    "selection",
 )
 
 
