@@ -8,6 +8,7 @@ MODULES = (
     "points_in_time",
     "scoring",
     "selection",
+    "assembly",
 )
 
 
