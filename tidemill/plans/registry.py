@@ -9,6 +9,7 @@ MODULES = (
     "scoring",
     "selection",
     "assembly",
+    "evaluation",
 )
 
 
