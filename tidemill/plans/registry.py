@@ -11,6 +11,7 @@ MODULES = (
     "assembly",
     "evaluation",
     "operations",
+    "matching",
 )
 
 
