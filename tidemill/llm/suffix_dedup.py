@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm.bytewords import NOT_SPACE, mix, text_slices, windows
-from tidemill.llm.common import checked, read, saved
+from tidemill.llm.common import read, saved
 
 #: A suffix is kept where the hash of its first SEED words is the least of SPARSE neighbouring ones, so every passage
 #: of SEED + SPARSE - 1 = 50 words has one, at the same place in each occurrence.
@@ -181,7 +181,7 @@ def repeated_passages(docs: DataFrame, least: int = SEED + SPARSE - 1) -> DataFr
     kind = docs.schema["doc_id"].dataType.simpleString()
     some = docs.where(F.col("doc_id").isNotNull())
     seeds = suffixes(some).groupBy("seed").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b")
-    seeds = checked(seeds.select(F.col("seed").alias("_id")))
+    seeds = saved(seeds.select(F.col("seed").alias("_id")))
     kept = saved(suffixes(some).join(seeds, F.col("seed") == F.col("_id"), "left_semi"))
     rounds = []
     for order in (["seed", "after", "before"], ["seed", "before", "after"]):
