@@ -12,6 +12,8 @@ MODULES = (
     "evaluation",
     "operations",
     "matching",
+    "retrieval",
+    "streams",
 )
 
 
