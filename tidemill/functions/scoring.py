@@ -269,3 +269,12 @@ def velocity(drops: Column, oos_percent: Column, has_buybox: Column) -> Column:
     return rounded(F.coalesce(drops, F.lit(0)) * (1 - F.coalesce(oos_percent, F.lit(0.0)) / 100) + 2 * F.coalesce(has_buybox, F.lit(False)).cast("int"), 3)
 
 
+
+
+def deal_verdict(hard: dict[str, Column], core: dict[str, Column], soft: dict[str, Column]) -> tuple[Column, Column]:
+    """PASS if a hard or core check fails, REVIEW if only soft ones do, else BUY; a check that is null is skipped.
+    Also the checks as an array of (name, kind, passed)."""
+    made = [F.struct(F.lit(n).alias("name"), F.lit(kind).alias("kind"), c.alias("passed")) for kind, some in (("hard", hard), ("core", core), ("soft", soft)) for n, c in some.items()]
+    failed = lambda some: F.exists(F.array(*[F.coalesce(~c, F.lit(False)) for c in some.values()]), lambda x: x)
+    verdict = F.when(failed(hard | core), "PASS").when(failed(soft), "REVIEW").otherwise("BUY")
+    return verdict, F.array(*made)

@@ -205,3 +205,21 @@ def alternate(df: DataFrame, side: str, order: list[str], n: int) -> DataFrame:
     """Clear cases from both sides in turn, ``n`` in all."""
     rows = df.withColumn("turn", F.row_number().over(W.partitionBy(side).orderBy(*order)))
     return rows.orderBy("turn", F.desc(side)).limit(n)
+
+
+def promote_newest(registry: DataFrame, margin: float = 0.02) -> DataFrame:
+    """Second-generation gate over (``name, created, pr_auc``): the newest model replaces the one before it if it is
+    better by the margin; the first one is promoted, an unknown measure keeps the old one; one row a name."""
+    w = W.partitionBy("name").orderBy(F.desc("created"))  # a few models a name
+    two = registry.withColumn("_r", F.row_number().over(w)).where("_r <= 2")
+    out = two.groupBy("name").agg(
+        F.count("*").alias("models"), F.max(F.when(F.col("_r") == 1, F.col("pr_auc"))).alias("challenger"), F.max(F.when(F.col("_r") == 2, F.col("pr_auc"))).alias("champion")
+    )
+    better = F.coalesce((F.col("challenger") - F.col("champion")).cast("decimal(18,6)") >= margin, F.lit(False))
+    return out.withColumn("promoted", (F.col("models") == 1) | better)
+
+
+def regressions(runs: DataFrame) -> DataFrame:
+    """Metrics (``metric, run, value``) that fell from the run before; runs are numbered."""
+    last = F.lag("value").over(W.partitionBy("metric").orderBy("run"))  # a short history a metric
+    return runs.withColumn("before", last).where(F.col("value") < F.col("before"))

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.functions import scoring as S
 from tidemill.functions.rounding import rounded
 from tidemill.functions.rounding import sql_rounded as r
 from tidemill.operators import corpus as B
 from tidemill.operators import evaluate as E
+from tidemill.operators import train as R
+from tidemill.plans.points_in_time import backtest_rows
 from tidemill.plans.tables import CATALOGUE_SQL, catalogue, read
 
 
@@ -113,7 +116,43 @@ def benchmark_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("lang").agg(n.alias("n"), rounded(s.cast("double") / n, 3).alias("mean"), rounded(F.sqrt(var), 2).alias("std"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
 
 
+FEATURES = ["price_as_of", "offers_as_of", "landed_cost"]
+
+
+def trained_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUC of a trained classifier on items it hasn't seen."""
+    rows = B.split_by_item(backtest_rows(spark, sf_dir)).select("item", "fold", "success", *FEATURES)
+    model = R.fit_classifier(rows.where("fold = 'train'"), FEATURES, "success")
+    held = R.probabilities(model, rows.where("fold = 'validation'"), FEATURES)
+    return E.auc(held, "probability", "success", ["fold"])
+
+
+def trained_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = backtest_rows(spark, sf_dir).select("item", "success", *FEATURES)
+    return R.calibration_summary(rows, FEATURES, "success", F.when(B.hash_share(F.col("item")) < 0.3, "validation").otherwise("train"))
+
+
+def newest_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("name"), F.col("o_orderkey").alias("created"), F.when(F.col("o_orderkey") % 9 > 0, (F.col("o_orderkey") % 50) / 50).alias("pr_auc"))
+    return E.promote_newest(rows)
+
+
+def fallen_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("metric"), F.year("o_orderdate").alias("run")).agg(F.count("*").alias("value"))
+    return E.regressions(rows)
+
+
+def deal_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hard = {"platform": ~F.col("platform_has_buybox")}
+    core = {"price": F.col("price") > 10, "rank": F.col("sales_rank") <= 200000}
+    soft = {"offers": F.col("offers").between(3, 25), "weight": F.col("weight_lb") <= 3}
+    verdict, checks = S.deal_verdict(hard, core, soft)
+    failed = F.size(F.filter(checks, lambda c: ~F.coalesce(c["passed"], F.lit(True))))
+    return catalogue(spark, sf_dir).select("item", verdict.alias("verdict"), failed.alias("failed"))
+
+
 QUERIES = {
+    "trained_ranker": trained_ranker, "trained_calibration": trained_calibration, "newest_models": newest_models, "fallen_metrics": fallen_metrics, "deal_verdicts": deal_verdicts,
     "auc_by_slice": auc_by_slice, "pr_auc_by_slice": pr_auc_by_slice, "top_k_quality": top_k, "calibration": calibration, "calibration_error": calibration_error,
     "drift": drift, "data_quality": data_quality, "quantile_quality": quantile_quality, "auc_gap_interval": auc_gap_interval, "learning_curve": learning_curve,
     "promotion": promotion, "agreement": agreement, "claim_hits": claim_hits, "clear_cases": clear_cases, "benchmark_summary": benchmark_summary,
@@ -136,6 +175,14 @@ _PSI = lambda c: f"""SELECT '{c}' AS name, {r("sum((o - e) * ln(o / e))", 4)} AS
 _EDGES = lambda c: f"e_{c} AS (SELECT list_sort(list_distinct(quantile_cont({c}, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]))) AS edges FROM lineitem WHERE l_orderkey % 2 = 0)"
 _COLS = ("l_quantity", "l_discount", "l_extendedprice")
 SQL = {
+    "newest_models": """WITH m AS (SELECT CAST(o_custkey AS VARCHAR) AS name, o_orderkey AS c, CASE WHEN o_orderkey % 9 > 0 THEN (o_orderkey % 50) / 50 END AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS k FROM orders),
+      g AS (SELECT name, count(*) AS models, max(v) FILTER (WHERE k = 1) AS challenger, max(v) FILTER (WHERE k = 2) AS champion FROM m WHERE k <= 2 GROUP BY 1)
+      SELECT *, models = 1 OR coalesce(CAST(challenger - champion AS DECIMAL(18,6)) >= 0.02, false) AS promoted FROM g""",
+    "fallen_metrics": """WITH c AS (SELECT o_orderpriority AS metric, CAST(year(o_orderdate) AS INTEGER) AS run, count(*) AS value FROM orders GROUP BY 1, 2), l AS (SELECT *, lag(value) OVER (PARTITION BY metric ORDER BY run) AS before FROM c)
+      SELECT * FROM l WHERE value < before""",
+    "deal_verdicts": f"""WITH {CATALOGUE_SQL}, f AS (SELECT item, CAST(platform_has_buybox AS INTEGER) AS h, coalesce(CAST(price <= 10 AS INTEGER), 0) + CAST(sales_rank > 200000 AS INTEGER) AS c,
+        coalesce(CAST(offers NOT BETWEEN 3 AND 25 AS INTEGER), 0) + coalesce(CAST(weight_lb > 3 AS INTEGER), 0) AS s FROM catalogue)
+      SELECT item, CASE WHEN h + c > 0 THEN 'PASS' WHEN s > 0 THEN 'REVIEW' ELSE 'BUY' END AS verdict, CAST(h + c + s AS INTEGER) AS failed FROM f""",
     "auc_by_slice": f"WITH {_S}, {_auc('''SELECT toxic, score, unnest(['all', lang]) AS slice FROM sc''', 'slice')}",
     "pr_auc_by_slice": f"""WITH {_S}, g AS (SELECT lang, coalesce(score, -1e308) AS s, count(*) FILTER (WHERE toxic) AS p, count(*) FILTER (WHERE NOT toxic) AS n FROM sc GROUP BY 1, 2),
       c AS (SELECT *, sum(p) OVER w AS cp, sum(n) OVER w AS cn FROM g WINDOW w AS (PARTITION BY lang ORDER BY s DESC)) SELECT lang, {r("sum(p * cp / (cp + cn)) / sum(p)", 6)} AS pr_auc FROM c GROUP BY 1""",
