@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import saved
 
 MAX_ROUNDS = 60
+#: Small tables take few tasks and files: one for each so many links.
+ROWS_A_TASK = 50_000
 
 
 def _signature(links: DataFrame) -> tuple:
@@ -28,15 +30,17 @@ def components(links: DataFrame) -> DataFrame:
     before = _signature(links)
     if not before[0]:
         return links.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    parts = -(-before[0] // ROWS_A_TASK)  # links never grow in number beyond two for each id
+    links = links.coalesce(parts)
     for _ in range(MAX_ROUNDS):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct().coalesce(parts)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             least.select("a", F.col("m").alias("b"))
         )
-        links = saved(small.where("a <> b").distinct())
+        links = saved(small.where("a <> b").distinct().coalesce(parts))
         now = _signature(links)
         if now == before:
             break
