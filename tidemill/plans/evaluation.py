@@ -185,7 +185,7 @@ SQL = {
       SELECT item, CASE WHEN h + c > 0 THEN 'PASS' WHEN s > 0 THEN 'REVIEW' ELSE 'BUY' END AS verdict, CAST(h + c + s AS INTEGER) AS failed FROM f""",
     "auc_by_slice": f"WITH {_S}, {_auc('''SELECT toxic, score, unnest(['all', lang]) AS slice FROM sc''', 'slice')}",
     "pr_auc_by_slice": f"""WITH {_S}, g AS (SELECT lang, coalesce(score, -1e308) AS s, count(*) FILTER (WHERE toxic) AS p, count(*) FILTER (WHERE NOT toxic) AS n FROM sc GROUP BY 1, 2),
-      c AS (SELECT *, sum(p) OVER w AS cp, sum(n) OVER w AS cn FROM g WINDOW w AS (PARTITION BY lang ORDER BY s DESC)) SELECT lang, {r("sum(p * cp / (cp + cn)) / sum(p)", 6)} AS pr_auc FROM c GROUP BY 1""",
+      c AS (SELECT *, sum(p) OVER w AS cp, sum(n) OVER w AS cn FROM g WINDOW w AS (PARTITION BY lang ORDER BY s DESC)) SELECT lang, CASE WHEN sum(p) > 0 THEN {r("sum(p * cp / (cp + cn)) / nullif(sum(p), 0)", 6)} END AS pr_auc FROM c GROUP BY 1""",
     "top_k_quality": f"""WITH {_S}, k AS (SELECT toxic, row_number() OVER (ORDER BY score DESC NULLS LAST, doc_id) AS rn FROM sc), t AS (SELECT count(*) AS a, count(*) FILTER (WHERE toxic) AS p FROM sc),
       m AS (SELECT count(*) FILTER (WHERE toxic) AS w, count(*) AS n, coalesce(sum(CAST(toxic AS INTEGER) / log2(rn + 1)), 0) AS dcg FROM k WHERE rn <= 50),
       i AS (SELECT sum(1 / log2(x + 1)) AS ideal FROM t, (SELECT unnest(range(1, 51)) AS x) WHERE x <= p)
