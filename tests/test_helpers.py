@@ -209,3 +209,11 @@ def test_table_drift_and_memory(spark):
     assert tuple(L.table_drift(a, b).first()) == (1, 2)
     rows = spark.createDataFrame([(True, True, True)] * 15 + [(True, False, False)], "disagrees boolean, memory_used boolean, hit boolean")
     assert {(r.memory_used, r.enough) for r in O.memory_split(rows).collect()} == {(True, True), (False, False)}
+
+
+def test_stored_responses(spark):
+    doc = json.dumps({"sku": "1", "upc": "2", "name": "N", "salePrice": 7.5, "regularPrice": 10, "url": "u"})
+    got = one(spark, P.api_deal(F.col("t"), P.DEAL_FIELDS["store"]), t=doc)
+    assert (got.sku, got.price_current, got.price_original, got.discount_pct) == ("1", 7.5, 10.0, 25.0)
+    points = one(spark, P.history_points(F.array(F.lit(5), F.lit(-1), F.lit(7)), F.array(F.lit(1704240000), F.lit(1704067200), F.lit(1))), t=1)
+    assert [(p.day.isoformat(), p.value) for p in points] == [("2024-01-01", None), ("2024-01-03", 5.0)]

@@ -178,6 +178,9 @@ SQL = {
       SELECT k AS deal_id, status, cost, {r("k % 60 - cost", 2)} AS profit, {r("(k % 60 - cost) / cost", 3)} AS roi FROM c""",
     "brand_hints": f"WITH {_HINTS} SELECT * FROM g",
     "hint_seeds": f"WITH {_HINTS} SELECT hint AS brand, max(strength) AS strength FROM g WHERE strength >= 2 AND DATE '2024-01-03' - seen <= 3 GROUP BY 1",
+    "source_health": """WITH e AS (SELECT user_id, event_id, event_type, count(*) FILTER (WHERE event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM events),
+      c AS (SELECT user_id, g, count(*) FILTER (WHERE event_type = 'error') AS n FROM e GROUP BY 1, 2)
+      SELECT CAST(user_id AS VARCHAR) AS url, CAST(arg_max(n, g) AS INTEGER) AS refused, CASE WHEN max(n) >= 2 AND user_id % 2 = 0 THEN 'retired' WHEN arg_max(n, g) > 0 THEN 'failing' ELSE 'ok' END AS state FROM c GROUP BY user_id""",
     "registry_problems": """WITH e AS (SELECT CASE WHEN p_partkey % 100 = 0 THEN 1 ELSE p_partkey END AS rank, p_partkey % 1990 AS domain, p_type AS code FROM part)
       SELECT 'missing rank' AS problem, CAST(i AS VARCHAR) AS value FROM (SELECT unnest(range(1, (SELECT count(*) FROM part) + 1)) AS i) WHERE i NOT IN (SELECT rank FROM e)
       UNION ALL SELECT 'repeated rank', CAST(rank AS VARCHAR) FROM e GROUP BY rank HAVING count(*) > 1 UNION ALL SELECT 'repeated domain', CAST(domain AS VARCHAR) FROM e GROUP BY domain HAVING count(*) > 1

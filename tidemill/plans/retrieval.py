@@ -152,6 +152,7 @@ _BM25 = f"""tok AS (SELECT doc_id AS cid, len(t) AS size, unnest(t) AS token FRO
   sc AS (SELECT qid, cid, {r("sum(CASE WHEN idf < 0 THEN f ELSE idf END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / mean)))", 5)} AS score FROM q JOIN tf USING (token) JOIN df USING (token), fl, st GROUP BY 1, 2),
   rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cid) AS rank FROM sc)"""
 _STOP = "['" + "', '".join(K.STOPWORDS) + "']"
+_TERMS = lambda c: f"list_filter(list_distinct(regexp_extract_all(lower({c}), '([a-z0-9]+)', 1)), lambda x: length(x) > 2 AND NOT list_contains({_STOP}, x))"
 _VEC = f"""v AS (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda y: y * y)))) AS e FROM embeddings),
   s AS (SELECT q.vec_id AS qid, c.vec_id, c.label, q.label AS own, CAST(round(CAST(list_inner_product(q.e, c.e) AS DOUBLE), 6) AS DOUBLE) AS score FROM v q, v c WHERE q.vec_id < 20),
   k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s)"""
@@ -182,6 +183,11 @@ SQL = {
       SELECT 'all' AS category, count(*) AS n, {r("avg(CASE WHEN rank <= 5 THEN 1 ELSE 0 END)", 4)} AS recall, {r("avg(coalesce(1 / rank, 0))", 4)} AS mrr FROM b""",
     "vector_top_k": f"WITH {_VEC} SELECT qid, vec_id, score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5",
     "vector_label_recall": f"WITH {_VEC} SELECT own, count(*) AS n, count(*) FILTER (WHERE own = label) AS same FROM k WHERE rank <= 5 AND qid <> vec_id GROUP BY 1",
+    "reranked": rf"""WITH {_BM25}, f AS (SELECT qid, cid, score / 100 AS similarity, d.text AS text, source || '/' || lang AS citation, b.text AS question FROM rk JOIN documents d ON d.doc_id = cid JOIN benchmark b ON b.item_id = qid WHERE rank <= 5),
+      p AS (SELECT *, substr(regexp_replace(lower(text), '\W+', '', 'g'), 1, 260) AS fp FROM f), fq AS (SELECT *, row_number() OVER (PARTITION BY qid, fp ORDER BY similarity DESC, cid) AS rn FROM p WHERE fp <> ''),
+      t AS (SELECT *, {_TERMS("question")} AS a, {_TERMS("text")} AS b FROM fq WHERE rn = 1), c AS (SELECT *, {r("len(list_intersect(a, b)) / greatest(1, least(len(a), 8))", 4)} AS coverage FROM t),
+      z AS (SELECT *, {r("similarity + coverage * 0.16 + CASE WHEN contains(citation, 'src1/') THEN 0.18 WHEN contains(citation, 'src2') THEN 0.07 WHEN contains(citation, '/de') THEN -0.08 ELSE 0.02 END", 4)} AS relevance FROM c),
+      k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY relevance DESC, cid) AS k FROM z) SELECT qid, cid, coverage, relevance, CAST(k AS INTEGER) AS rank FROM k WHERE k <= 3""",
     "gated_answers": "SELECT contains(lower(text), 'the') AND contains(lower(text), 'and') AND contains(lower(source), 'src1') AS passed, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "embed_backlog": "SELECT doc_id AS chunk_id, sha256(text) AS content_hash FROM documents WHERE doc_id % 3 = 0 OR doc_id % 7 = 0",
     "trends": f"WITH {_TREND} SELECT * FROM tr",

@@ -67,6 +67,9 @@ SQL = {
     "stream_daily_counts": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "stream_weekly_counts": "SELECT CAST(ts AS DATE) + CAST(k AS INTEGER) AS until, event_type, count(*) AS n FROM events, (SELECT unnest(range(1, 8)) AS k) GROUP BY 1, 2",
     "stream_first_sightings": "SELECT DISTINCT user_id, event_type FROM events",
+    "stream_health": """WITH e AS (SELECT user_id, event_id, event_type, count(*) FILTER (WHERE event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM events),
+      c AS (SELECT user_id, g, count(*) FILTER (WHERE event_type = 'error') AS n FROM e GROUP BY 1, 2)
+      SELECT CAST(user_id AS VARCHAR) AS url, CAST(arg_max(n, g) AS BIGINT) AS refused, CASE WHEN max(n) >= 2 AND user_id % 2 = 0 THEN 'retired' WHEN arg_max(n, g) > 0 THEN 'failing' ELSE 'ok' END AS state FROM c GROUP BY user_id""",
     "stream_hints": "SELECT CAST(ts AS DATE) + CAST(k AS INTEGER) AS until, user_id % 10 AS brand, event_type AS store, CAST(count(*) AS DOUBLE) AS strength FROM events, (SELECT unnest(range(1, 4)) AS k) GROUP BY 1, 2, 3",
     "stream_claims": """SELECT b.value >= 100 AS hit, count(*) AS n, count(DISTINCT a.user_id) AS items FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts + INTERVAL 14 DAY AND b.ts < a.ts + INTERVAL 21 DAY
       WHERE a.event_type = 'signup' AND b.event_type = 'purchase' GROUP BY 1""",
