@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemill.llm.common import read
 
 #: Pieces whose ids a worker remembers; the memory is emptied when it is full.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 200_000
 
 
 class Vocabulary:
@@ -28,10 +29,16 @@ class Vocabulary:
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-        halves = [(self.ranks.get(t[:i]), self.ranks.get(t[i:]), r) for t, r in self.ranks.items() for i in range(1, len(t))]
-        halves = np.array(sorted((a << 20 | b, r) for a, b, r in halves if a is not None and b is not None), dtype=np.int64)
+        pairs, ranks = array("q"), array("q")
+        for token, rank in self.ranks.items():
+            for i in range(1, len(token)):
+                a, b = self.ranks.get(token[:i]), self.ranks.get(token[i:])
+                if a is not None and b is not None:
+                    pairs.append(a << 20 | b)
+                    ranks.append(rank)
+        order = np.argsort(np.array(pairs), kind="stable")
         #: pairs of ids whose bytes together are a token, sorted, and that token's rank
-        self.pairs, self.pair_ranks = halves[:, 0].copy(), halves[:, 1].astype(np.int32)
+        self.pairs, self.pair_ranks = np.array(pairs)[order], np.array(ranks)[order].astype(np.int32)
         self.find = regex.compile(pattern).findall
         self.kept: dict[str, bytes] = {}
 

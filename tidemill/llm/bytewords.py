@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 
@@ -39,7 +39,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse, for at least ``n`` positions."""
-    return _powers(max(SLICE_BYTES * 2, 1 << int(n).bit_length()))
+    return _powers(max(SLICE_BYTES + 1, n))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
