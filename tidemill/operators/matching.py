@@ -50,12 +50,13 @@ def route(value: Column) -> Column:
     return F.when(value >= D.MATCH_AUTO, "auto").when(value >= D.MATCH_VERIFY, "review").otherwise("discard")
 
 
-def candidates(deals: DataFrame, catalogue: DataFrame, most: int = D.MATCH_CANDIDATES) -> DataFrame:
+def candidates(deals: DataFrame, catalogue: DataFrame, most: int = D.MATCH_CANDIDATES, common: int = 2000) -> DataFrame:
     """Catalogue items for each deal: those with its code, else those of its brand that share words of the core title,
     the ``most`` with the largest overlap.
 
-    Deals: ``deal_id, upc, attrs``; catalogue: ``item, upcs, item_attrs``. Words are joined on (brand, word), so a
-    brand is never multiplied out; a deal without a brand finds nothing that way.
+    Deals: ``deal_id, upc, attrs``; catalogue: ``item, upcs, item_attrs``. Words are joined on (brand, word). A word
+    that more than ``common`` items of its brand have tells too little and blocks nothing, so a deal meets at most that
+    many items a word; a deal without a brand finds nothing that way.
     """
     codes = catalogue.select("item", F.explode("upcs").alias("upc"))
     by_code = deals.where(F.col("upc").isNotNull()).join(codes, "upc").select("deal_id", "item", F.lit(True).alias("by_code"), F.lit(99).alias("overlap"))
@@ -64,7 +65,8 @@ def candidates(deals: DataFrame, catalogue: DataFrame, most: int = D.MATCH_CANDI
     brand = lambda attrs: F.lower(F.col(attrs)["brand"]).alias("b")
     left = rest.select("deal_id", brand("attrs"), words("attrs")).where("b <> '' and length(word) > 1")
     right = catalogue.select("item", brand("item_attrs"), words("item_attrs")).where("length(word) > 1")
-    shared = left.join(right, ["b", "word"]).groupBy("deal_id", "item").agg(F.count("*").cast("int").alias("overlap"))
+    rare = right.groupBy("b", "word").agg(F.count("*").alias("n")).where(F.col("n") <= common).select("b", "word")
+    shared = left.join(right.join(rare, ["b", "word"], "left_semi"), ["b", "word"]).groupBy("deal_id", "item").agg(F.count("*").cast("int").alias("overlap"))
     found = by_code.unionByName(shared.select("deal_id", "item", F.lit(False).alias("by_code"), "overlap"))
     rn = F.row_number().over(W.partitionBy("deal_id").orderBy(F.desc("overlap"), "item"))
     return found.withColumn("rn", rn).where(F.col("rn") <= most).drop("rn")
