@@ -17,9 +17,12 @@ def line_key(line: Column) -> Column:
 
 def _to_drop(rows: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     """(``_d``, ``_v``, ``_dropped``): id and text hash of a document, and the positions of its lines that go."""
+    # behind a one-row explode, so that a text is hashed once and not for each of its lines
+    whole = F.struct(_version(F.col("text")).alias("v"), _lines(F.col("text")).alias("lines"))
     lines = (
         rows.where(F.col("doc_id").isNotNull())
-        .select("doc_id", _version(F.col("text")).alias("_v"), F.posexplode(_lines(F.col("text"))).alias("_at", "_line"))
+        .select("doc_id", F.explode(F.array(whole)).alias("_w"))
+        .select("doc_id", F.col("_w.v").alias("_v"), F.posexplode("_w.lines").alias("_at", "_line"))
         .withColumn("_key", line_key(F.col("_line")))
         .where(F.char_length("_key") >= min_chars)
         .select(F.col("doc_id").alias("_d"), "_v", "_at", F.unhex(F.md5("_key")).alias("_hash"))
