@@ -217,3 +217,17 @@ def test_stored_responses(spark):
     assert (got.sku, got.price_current, got.price_original, got.discount_pct) == ("1", 7.5, 10.0, 25.0)
     points = one(spark, P.history_points(F.array(F.lit(5), F.lit(-1), F.lit(7)), F.array(F.lit(1704240000), F.lit(1704067200), F.lit(1))), t=1)
     assert [(p.day.isoformat(), p.value) for p in points] == [("2024-01-01", None), ("2024-01-03", 5.0)]
+
+
+def test_common_words_find_candidates(spark):
+    """Words that thousands of a brand's items have still give the best items, as a plain search does."""
+    names = ["red box", "red box big", "box", "big red", "other thing"]
+    deal = [(1, None, ("b", "red box")), (2, None, ("B", "big box red new")), (3, None, ("", "red box")), (4, "u7", ("b", "red")), (5, None, ("b", "red box"))]
+    item = [(i, [f"u{i}"], ("B" if i % 2 else "c", names[i // 2 % 5])) for i in range(9000)]
+    deals = spark.createDataFrame(deal, "deal_id long, upc string, attrs struct<brand:string,core_title:string>")
+    items = spark.createDataFrame(item, "item long, upcs array<string>, item_attrs struct<brand:string,core_title:string>")
+    want = {(4, 7, True, 99)}
+    for d, _, (brand, title) in [x for x in deal if x[0] != 4 and x[2][0]]:
+        overlap = [(-len(set(title.split()) & set(t.split())), i) for i, _, (b, t) in item if b.lower() == brand.lower()]
+        want |= {(d, i, False, -n) for n, i in sorted(x for x in overlap if x[0])[:5]}
+    assert {tuple(r) for r in M.candidates(deals, items).select("deal_id", "item", "by_code", "overlap").collect()} == want

@@ -50,23 +50,33 @@ def route(value: Column) -> Column:
     return F.when(value >= D.MATCH_AUTO, "auto").when(value >= D.MATCH_VERIFY, "review").otherwise("discard")
 
 
-def candidates(deals: DataFrame, catalogue: DataFrame, most: int = D.MATCH_CANDIDATES, common: int = 2000) -> DataFrame:
+def candidates(deals: DataFrame, catalogue: DataFrame, most: int = D.MATCH_CANDIDATES) -> DataFrame:
     """Catalogue items for each deal: those with its code, else those of its brand that share words of the core title,
     the ``most`` with the largest overlap.
 
-    Deals: ``deal_id, upc, attrs``; catalogue: ``item, upcs, item_attrs``. Words are joined on (brand, word). A word
-    that more than ``common`` items of its brand have tells too little and blocks nothing, so a deal meets at most that
-    many items a word; a deal without a brand finds nothing that way.
+    Deals: ``deal_id, upc, attrs``; catalogue: ``item, upcs, item_attrs``, where both ids are keys. Deals and items are
+    grouped by (brand, set of words), and only distinct sets are joined on (brand, word). An item set hands on its first
+    ``most`` items, a deal set meets its best ``most`` item sets, since each of these has an item before those of other
+    sets; so no word is too common to count. A deal without a brand finds nothing that way.
     """
     codes = catalogue.select("item", F.explode("upcs").alias("upc"))
     by_code = deals.where(F.col("upc").isNotNull()).join(codes, "upc").select("deal_id", "item", F.lit(True).alias("by_code"), F.lit(99).alias("overlap"))
     rest = deals.join(by_code.select("deal_id").distinct(), "deal_id", "left_anti")
-    words = lambda attrs: F.explode(F.array_distinct(F.split(F.lower(F.col(attrs)["core_title"]), " "))).alias("word")
+    words = lambda attrs: F.array_sort(F.filter(F.array_distinct(F.split(F.lower(F.col(attrs)["core_title"]), " ")), lambda w: F.length(w) > 1))
     brand = lambda attrs: F.lower(F.col(attrs)["brand"]).alias("b")
-    left = rest.select("deal_id", brand("attrs"), words("attrs")).where("b <> '' and length(word) > 1")
-    right = catalogue.select("item", brand("item_attrs"), words("item_attrs")).where("length(word) > 1")
-    rare = right.groupBy("b", "word").agg(F.count("*").alias("n")).where(F.col("n") <= common).select("b", "word")
-    shared = left.join(right.join(rare, ["b", "word"], "left_semi"), ["b", "word"]).groupBy("deal_id", "item").agg(F.count("*").cast("int").alias("overlap"))
+    asked = rest.select("deal_id", brand("attrs"), words("attrs").alias("asked")).where("b <> '' and size(asked) > 0")
+    held = catalogue.select("item", brand("item_attrs"), words("item_attrs").alias("held")).where("b <> '' and size(held) > 0")
+    # the first items of each set; the window keeps that many in every task before its shuffle
+    place = F.row_number().over(W.partitionBy("b", "held").orderBy("item"))
+    firsts = held.withColumn("_n", place).where(F.col("_n") <= most).drop("_n")
+    left = asked.select("b", "asked").distinct().withColumn("word", F.explode("asked"))
+    right = firsts.groupBy("b", "held").agg(F.min("item").alias("least")).withColumn("word", F.explode("held"))
+    meet = left.join(right, ["b", "word"]).groupBy("b", "asked", "held").agg(F.count("*").cast("int").alias("overlap"), F.min("least").alias("least"))
+    place = F.row_number().over(W.partitionBy("b", "asked").orderBy(F.desc("overlap"), "least"))
+    sets = meet.withColumn("_n", place).where(F.col("_n") <= most).select("b", "asked", "held", "overlap")
+    place = F.row_number().over(W.partitionBy("b", "asked").orderBy(F.desc("overlap"), "item"))
+    best = sets.join(firsts, ["b", "held"]).withColumn("_n", place).where(F.col("_n") <= most).select("b", "asked", "item", "overlap")
+    shared = asked.join(best, ["b", "asked"])
     found = by_code.unionByName(shared.select("deal_id", "item", F.lit(False).alias("by_code"), "overlap"))
     rn = F.row_number().over(W.partitionBy("deal_id").orderBy(F.desc("overlap"), "item"))
     return found.withColumn("rn", rn).where(F.col("rn") <= most).drop("rn")
