@@ -166,6 +166,44 @@ def test_suffix_passages(docs):
     assert set(rows[11].partners) == {12}
 
 
+def plain_passages(texts):
+    where = defaultdict(set)
+    for i, w in texts.items():
+        for k in range(len(w) - 49):
+            where[tuple(w[k : k + 50])].add(i)
+    return {i: {p for k in range(len(w) - 49) if len(where[tuple(w[k : k + 50])]) > 1 for p in range(k, k + 50)} for i, w in texts.items()}
+
+
+def found_passages(spark, texts):
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string").coalesce(1)
+    found = {i: set() for i in texts}
+    for r in suffix_dedup.repeated_passages(docs).collect():
+        found[r.doc_id] = {p for s in r.spans for p in range(s["from"], s["to"])}
+        assert r.partners and r.doc_id not in r.partners
+    return found
+
+
+def test_passages_repeated_many_times_in_a_document(spark):
+    """Each occurrence counts, wherever Arrow batches and partitions end, for every order of the ids."""
+    passage = words(60, 31)
+    own = [f"x{i}" for i in range(300)]
+    texts = {i: [w for k in range(40) for w in [*passage, own[(i + k) % 300]]] for i in (1, 9)} | {5: passage + words(20, 32)}
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert found_passages(spark, texts) == plain_passages(texts)
+        assert found_passages(spark, {1: texts[1], 5: texts[5]}) == plain_passages({1: texts[1], 5: texts[5]})
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_bitmaps_hold_their_hashes(spark):
+    hashes = spark.range(5000).select(F.xxhash64("id").alias("h"))
+    held = suffix_dedup.bitmap(hashes, "h")
+    mine = np.array([r.h for r in hashes.collect()], np.int64).view(np.uint64)
+    assert held.has(mine).all() and held.has(np.arange(20000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).mean() < 0.2
+
+
 def test_toxicity_learns_words_and_finds_sentences(spark):
     rng = np.random.default_rng(3)
     rows, marks = [], []

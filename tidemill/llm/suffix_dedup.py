@@ -15,186 +15,152 @@ from tidemill.llm.common import read, saved
 #: A suffix is kept where the hash of its first SEED words is the least of SPARSE neighbouring ones, so every passage
 #: of SEED + SPARSE - 1 = 50 words has one, at the same place in each occurrence.
 SEED, SPARSE = 16, 35
-#: Words compared on either side of a seed; beyond them lies the next kept suffix.
-REACH = SPARSE
-
-
-def minimisers(grams: np.ndarray) -> np.ndarray:
-    """Positions of the least hash of every window of SPARSE (of all, if there are fewer), the first one on ties."""
-    if not len(grams):
-        return np.empty(0, np.int64)
-    width = min(SPARSE, len(grams))
-    rows = np.lib.stride_tricks.sliding_window_view(grams, width)
-    return np.unique(np.arange(len(rows)) + rows.argmin(axis=1))
-
-
-def _bytes(rows: np.ndarray) -> pa.Array:
-    offsets = pa.py_buffer(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32))
-    return pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, offsets, pa.py_buffer(np.ascontiguousarray(rows))])
-
-
-def suffixes(docs: DataFrame) -> DataFrame:
-    """The sparse suffixes of every text: ``doc_id, n_words, pos, seed`` (hash of the first words), and fingerprints of
-    the words after and before it, one byte each, the latter from right to left; 0 stands beyond the text."""
+#: Bits of the largest bitmap of hashes that is broadcast (16 MB). Fuller ones let more rows pass; joins still decide.
+MOST_BITS = 27
+
+
+class Bitmap:
+    """A set of 64-bit hashes by their first bits; may say yes to others too."""
+
+    def __init__(self, bits: int, data: np.ndarray):
+        self.bits, self.data = bits, data
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes >> np.uint64(64 - self.bits)
+        return (self.data[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def bitmap(hashes: DataFrame, column: str) -> Bitmap:
+    """The bitmap of a saved column of hashes: about 16 bits a row, up to MOST_BITS."""
+    bits = min(MOST_BITS, max(15, (16 * max(1, hashes.count()) - 1).bit_length()))
+    at = F.shiftrightunsigned(F.col(column), 64 - bits) + 1
+    parts = hashes.groupBy(F.bitmap_bucket_number(at).alias("_k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_m"))
+    data = np.zeros(1 << (bits - 3), np.uint8)
+    for k, m in parts.collect():  # 4 KB each, 16 MB at most
+        data[(k - 1) * 4096 : k * 4096] = np.frombuffer(m, np.uint8)
+    return Bitmap(bits, data)
+
+
+def least_at(grams: np.ndarray, width: int) -> np.ndarray:
+    """Position of the least hash of every window, the first one on ties."""
+    value, at, span = grams, np.arange(len(grams)), 1
+    while span < width:  # windows of twice the span, then of the rest, from two that meet or overlap
+        h = min(span, width - span)
+        less = value[h:] < value[: len(value) - h]
+        at = np.where(less, at[h:], at[: len(at) - h])
+        value = np.where(less, value[h:], value[: len(value) - h])
+        span += h
+    return at
+
+
+def passages(hashes: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the passages of ``least`` words of every document, hashes of them, and the kept suffix in each, which
+    is the first with the least hash: (start, hash, suffix, hash of the suffix)."""
+    grams = mix(windows(hashes, SEED))
+    width = least - SEED + 1
+    n = len(hashes) - least + 1
+    if n <= 0:
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    start = np.flatnonzero(np.repeat(first[1:], np.diff(first))[:n] - np.arange(n) >= least)
+    suffix = least_at(grams, width)
+    whole = grams[:n].copy()
+    for i in [*range(SEED, width, SEED), width - 1]:  # seeds that cover the passage
+        whole *= np.uint64(0xD6E8FEB86659FD93)
+        whole += grams[i : i + n]
+    return start, mix(whole[start]), suffix[start], grams[suffix[start]]
+
+
+def suffixes(docs: DataFrame, least: int, seeds: Bitmap | None = None, contexts: Bitmap | None = None, found: Bitmap | None = None, single: bool = False) -> DataFrame:
+    """The kept suffixes of every text with the passages in which they are the kept one: ``doc_id, n_words, pos, seed``
+    (hash of the first words), ``start`` and ``n`` (the passages begin at the words from start on), ``context`` (hash of
+    all of them). With ``single`` a row for each passage instead, with its hash and start. The bitmaps leave out
+    suffixes by seed or context, and passages by hash."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast((seeds, contexts, found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds, contexts, found = shared.value
         for batch in batches:
             ids = batch.column(0)
-            for lo, hi, texts in text_slices(batch, "text", lower=True):
+            for lo, _, texts in text_slices(batch, "text", lower=True):
                 starts, ends, first = texts.spans(NOT_SPACE)
-                hashes = texts.hashes(starts, ends)
-                grams = mix(windows(hashes, SEED))
-                marks = (mix(hashes) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
-                rows, at, after, before = [], [], [], []
-                for i in range(hi - lo):
-                    a, b = int(first[i]), int(first[i + 1])
-                    found = minimisers(grams[a : b - SEED + 1]) if b - a >= SEED else np.empty(0, np.int64)
-                    if not len(found):
-                        continue
-                    padded = np.zeros(b - a + 2 * REACH + SEED, dtype=np.uint8)
-                    padded[REACH : REACH + b - a] = marks[a:b]
-                    rows.append(np.full(len(found), lo + i))
-                    at.append(found)
-                    after.append(padded[(found + REACH + SEED)[:, None] + np.arange(REACH)])
-                    before.append(padded[found[:, None] + REACH - 1 - np.arange(REACH)])
-                if not rows:
+                start, whole, suffix, seed = passages(texts.hashes(starts, ends), first, least)
+                if not len(start):
+                    continue
+                doc = np.searchsorted(first, start, side="right") - 1
+                begins = np.flatnonzero(np.concatenate([[True], (suffix[1:] != suffix[:-1]) | (doc[1:] != doc[:-1])]))
+                n = np.diff(np.append(begins, len(start)))
+                context = mix(np.add.reduceat(whole, begins) + seed[begins])
+                good = np.ones(len(begins), bool) if seeds is None else seeds.has(seed[begins])
+                if contexts is not None:
+                    good &= contexts.has(context)
+                if single:
+                    at = np.flatnonzero(np.repeat(good, n))
+                    at = at if found is None else at[found.has(whole[at])]
+                    n, context = np.ones(len(at), np.int64), np.repeat(context, n)[at]
+                else:
+                    at, n, context = begins[good], n[good], context[good]
+                if not len(at):
                     continue
-                row, pos = np.concatenate(rows), np.concatenate(at)
-                n_words, base = np.diff(first)[row - lo], first[row - lo]
+                row = doc[at]
                 columns = [
-                    ids.take(pa.array(row)),
-                    pa.array(n_words.astype(np.int32)),
-                    pa.array(pos.astype(np.int32)),
-                    pa.array(grams[base + pos].view(np.int64)),
-                    _bytes(np.concatenate(after)),
-                    _bytes(np.concatenate(before)),
+                    ids.take(pa.array(lo + row)),
+                    pa.array(np.diff(first)[row].astype(np.int32)),
+                    pa.array((suffix[at] - first[row]).astype(np.int32)),
+                    pa.array(seed[at].view(np.int64)),
+                    pa.array((start[at] - first[row]).astype(np.int32)),
+                    pa.array(n.astype(np.int32)),
+                    pa.array(context.view(np.int64)),
+                    pa.array(whole[at].view(np.int64)),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "pos", "seed", "after", "before"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "pos", "seed", "start", "n", "context", "passage"])
 
-    schema = f"doc_id {kind}, n_words int, pos int, seed long, after binary, before binary"
+    schema = f"doc_id {kind}, n_words int, pos int, seed long, start int, n int, context long, passage long"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    data = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.frombuffer(data.buffers()[2], np.uint8)[data.offset * REACH : (data.offset + len(data)) * REACH].reshape(-1, REACH)
-
-
-def _matched(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """How many leading fingerprints are equal and inside both texts."""
-    same = (x == y) & (x > 0)
-    return np.where(same.all(axis=1), REACH, np.argmin(same, axis=1))
-
-
-def _compare(rows: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted suffixes against their next ones of another document: (row, partner row, from, to) of long matches."""
-    n = rows.num_rows
-    seed, pos = rows.column("seed").to_numpy(), rows.column("pos").to_numpy()
-    doc = rows.column("doc_id").combine_chunks().dictionary_encode()
-    doc = (doc.combine_chunks() if isinstance(doc, pa.ChunkedArray) else doc).indices.to_numpy(zero_copy_only=False)
-    after, before = _matrix(rows.column("after")), _matrix(rows.column("before"))
-    begins = np.flatnonzero(np.concatenate([[True], (seed[1:] != seed[:-1]) | (doc[1:] != doc[:-1])])) if n else np.empty(0, int)
-    run = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, n)))
-    later = np.append(begins[1:], n)[run]  # the first row of the next run
-    earlier = np.append(-1, begins[1:] - 1)[run]  # the last row of the run before
-    a = np.concatenate([np.arange(n)[later < n], earlier[earlier >= 0]])
-    b = np.concatenate([later[later < n], np.arange(n)[earlier >= 0]])
-    good = (seed[a] == seed[b]) & (doc[a] != doc[b])
-    a, b = a[good], b[good]
-    left, right = _matched(before[a], before[b]), _matched(after[a], after[b])
-    good = left + SEED + right >= least
-    a, b, left, right = a[good], b[good], left[good], right[good]
-    row, partner = np.concatenate([a, b]), np.concatenate([b, a])
-    return row, partner, pos[row] - np.tile(left, 2), pos[row] + SEED + np.tile(right, 2)
-
-
-_KEEP = ["doc_id", "n_words", "pos", "seed", "after", "before"]
-
-
-def _matches(sorted_rows: DataFrame, kind: str, least: int) -> DataFrame:
-    """Matches of neighbours within each sorted partition, and its first and last rows as they are (``pos`` not null)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        edges: list[pa.Table] = []
-
-        def found(rows: pa.Table) -> pa.RecordBatch:
-            row, partner, start, end = _compare(rows, least)
-            ids, words = rows.column("doc_id"), rows.column("n_words")
-            table = pa.table(
-                {
-                    "doc_id": ids.take(pa.array(row)),
-                    "n_words": words.take(pa.array(row)),
-                    "start": pa.array(start.astype(np.int32)),
-                    "end": pa.array(end.astype(np.int32)),
-                    "partner": ids.take(pa.array(partner)),
-                }
-            )
-            return _padded(table)
-
-        def _padded(table: pa.Table) -> pa.RecordBatch:
-            n = table.num_rows
-            columns = [
-                table.column(f.name).combine_chunks().cast(f.type) if f.name in table.column_names else pa.nulls(n, f.type)
-                for f in fields
-            ]
-            columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
-            return pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
-
-        fields: list[pa.Field] = []
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            if not fields:
-                id_type = batch.schema.field("doc_id").type
-                fields = [pa.field("doc_id", id_type), pa.field("n_words", pa.int32()), pa.field("start", pa.int32()), pa.field("end", pa.int32()), pa.field("partner", id_type)]
-                fields += [pa.field("pos", pa.int32()), pa.field("seed", pa.int64()), pa.field("after", pa.binary()), pa.field("before", pa.binary())]
-                edges.append(table.slice(0, 2))
-            rows = table if last is None else pa.concat_tables([last, table])
-            yield found(rows)
-            last = rows.slice(max(0, rows.num_rows - 2))
-        if last is not None:
-            yield _padded(edges[0])
-            yield _padded(last)
-
-    schema = f"doc_id {kind}, n_words int, start int, end int, partner {kind}, pos int, seed long, after binary, before binary"
-    return sorted_rows.select(*_KEEP).mapInArrow(run, schema)
-
-
 def repeated_passages(docs: DataFrame, least: int = SEED + SPARSE - 1) -> DataFrame:
     """Passages of ``least`` words or more that are in another document too: ``doc_id, n_words, n_repeat_words, spans``
-    (words from-to, merged) and ``partners`` (ids of documents next to it in the suffix array), for documents with any.
+    (words from-to, merged) and ``partners`` (least and greatest ids of the documents with a passage), for documents
+    with any.
 
-    Words are compared with A-Z lower-cased. A first pass counts the seeds; suffixes whose seed occurs once are left
-    out of the second, which carries the words around. Suffixes are sorted by seed and the words after it, and again by
-    the words before it, by range partitioning on all of this and the ids, so a passage of a third of all documents is
-    spread over partitions; only the rows at their bounds, four for each, meet in one task. Each suffix is compared
-    with its neighbours of other documents and the match is extended to both sides by one-byte fingerprints up to the
-    next kept suffix; overlapping matches are merged by document.
+    Words are compared with A-Z lower-cased. Every passage of ``least`` words belongs to the kept suffix in it, at the
+    same place in each occurrence. Suffixes whose seed is in one document are left out. Where all passages of a suffix
+    together are in another document, one hash of them settles it; the others, at the ends of longer passages and next
+    to changed words, are compared passage by passage with all suffixes of their seed. All hashes are grouped with
+    their least and greatest ids, pre-aggregated, so neither a passage of a third of all documents nor one that a
+    document repeats many times gathers in a task.
 
     Null texts, null ids and texts of fewer words have no passages. Rows that repeat an id are one document. An empty
     table gives an empty result; extra columns aren't read.
     """
+    if least <= SEED:
+        raise ValueError(f"passages have more than {SEED} words")
     kind = docs.schema["doc_id"].dataType.simpleString()
     some = docs.where(F.col("doc_id").isNotNull())
-    seeds = suffixes(some).groupBy("seed").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b")
-    seeds = saved(seeds.select(F.col("seed").alias("_id")))
-    kept = saved(suffixes(some).join(seeds, F.col("seed") == F.col("_id"), "left_semi"))
-    rounds = []
-    for order in (["seed", "after", "before"], ["seed", "before", "after"]):
-        spread = kept.repartitionByRange(*order, "doc_id", "pos").sortWithinPartitions(*order, "doc_id", "pos")
-        found = saved(_matches(spread, kind, least))
-        bounds = found.where(F.col("pos").isNotNull()).coalesce(1).sortWithinPartitions(*order, "doc_id", "pos")
-        rounds += [x.where(F.col("partner").isNotNull()) for x in (found, _matches(bounds, kind, least))]
-    matches = rounds[0].unionByName(rounds[1]).unionByName(rounds[2]).unionByName(rounds[3])
+    holders = [F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")]
+    seeds = saved(suffixes(some, least).groupBy("seed").agg(*holders).where("_a < _b").select("seed"))
+    kept = saved(suffixes(some, least, bitmap(seeds, "seed")))
+    held = saved(kept.groupBy("seed", "context").agg(*holders))
+    lone = F.col("_a") == F.col("_b")
+    open_seeds = held.groupBy("seed").agg(F.min("_a").alias("_a"), F.max("_b").alias("_b"), F.max(lone).alias("_open")).where("_open and _a < _b")
+    open_seeds = saved(open_seeds.select("seed"))
+    by_seed = bitmap(open_seeds, "seed")
+    again = saved(suffixes(some, least, by_seed, single=True).groupBy("passage").agg(*holders).where("_a < _b"))
+    contexts = bitmap(saved(held.where(lone).select("context")), "context")
+    single = suffixes(some, least, by_seed, contexts, bitmap(again, "passage"), single=True)
+    settled = kept.join(held.where("_a < _b").withColumnsRenamed({"seed": "_s", "context": "_c"}), (F.col("seed") == F.col("_s")) & (F.col("context") == F.col("_c")))
+    settled = settled.select("doc_id", "n_words", "start", (F.col("start") + F.col("n") - 1 + least).alias("end"), "_a", "_b")
+    rest = single.join(again.withColumnRenamed("passage", "_p"), F.col("passage") == F.col("_p")).groupBy("doc_id", "pos", "seed")
+    rest = rest.agg(F.max("n_words").alias("n_words"), F.min("start").alias("start"), (F.max("start") + least).alias("end"), F.min("_a").alias("_a"), F.max("_b").alias("_b"))  # they all hold the seed
+    matches = settled.unionByName(rest.select(*settled.columns))
     grouped = matches.groupBy("doc_id").agg(
         F.max("n_words").alias("n_words"),
         F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"),
-        F.sort_array(F.collect_set("partner")).alias("partners"),
+        F.collect_set("_a").alias("_as"),
+        F.collect_set("_b").alias("_bs"),
     )
+    partners = F.array_sort(F.filter(F.array_union("_as", "_bs"), lambda x: x != F.col("doc_id")))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,7 +179,7 @@ def repeated_passages(docs: DataFrame, least: int = SEED + SPARSE - 1) -> DataFr
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_repeat_words", "spans", "partners"])
 
     schema = f"doc_id {kind}, n_words long, n_repeat_words long, spans array<struct<from:int,to:int>>, partners array<{kind}>"
-    return grouped.select("doc_id", "n_words", "spans", "partners").mapInArrow(merge, schema)
+    return grouped.select("doc_id", "n_words", "spans", partners.alias("partners")).mapInArrow(merge, schema)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
