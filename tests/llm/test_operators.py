@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm import (
     byte_bpe,
+    bytewords,
     decontamination,
     language_id,
     line_dedup,
@@ -197,6 +198,30 @@ def test_passages_repeated_many_times_in_a_document(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
 
 
+def kept_suffix(passage):
+    """Where the kept suffix of a passage of 50 words begins."""
+    data = np.frombuffer(" ".join(passage).encode(), np.uint8)
+    t = bytewords.Texts(data, np.array([0, len(data)]))
+    starts, ends, _ = t.spans(bytewords.NOT_SPACE)
+    return int(bytewords.mix(bytewords.windows(t.hashes(starts, ends), 16)).argmin())
+
+
+def test_passages_hidden_by_longer_one_sided_matches(spark):
+    """Two documents share 50 words, others share more of them on one side only and so stand between the two."""
+    texts = {}
+    for case in range(300):
+        shared, end, head = words(50, 100 + case), words(10, 200 + case), words(10, 300 + case)
+        p = kept_suffix(shared)
+        if not 10 < p < 24:
+            continue
+        pad = lambda k, case=case: [f"l{case}x{k}y{j}" for j in range(60)]
+        whole, plain = pad(1) + head + shared + end + pad(2), pad(3) + shared + pad(4)
+        right, left = pad(5) + shared[p:] + end + pad(6), pad(7) + head + shared[: p + 16] + pad(8)
+        texts |= {case * 10 + k: d for k, d in enumerate((whole, right, left, plain))}
+    assert len(texts) > 200
+    assert found_passages(spark, texts) == plain_passages(texts)
+
+
 def test_bitmaps_hold_their_hashes(spark):
     hashes = spark.range(5000).select(F.xxhash64("id").alias("h"))
     held = suffix_dedup.bitmap(hashes, "h")
