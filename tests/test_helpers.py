@@ -12,6 +12,7 @@ from tidemill.operators import corpus as B
 from tidemill.operators import matching as M
 from tidemill.operators import reports as O
 from tidemill.operators import text as K
+from tidemill.plans import streams
 from tidemill.sources import lake as L
 from tidemill.streaming import jobs as X
 
@@ -231,3 +232,17 @@ def test_common_words_find_candidates(spark):
         overlap = [(-len(set(title.split()) & set(t.split())), i) for i, _, (b, t) in item if b.lower() == brand.lower()]
         want |= {(d, i, False, -n) for n, i in sorted(x for x in overlap if x[0])[:5]}
     assert {tuple(r) for r in M.candidates(deals, items).select("deal_id", "item", "by_code", "overlap").collect()} == want
+
+
+def test_streams_leave_their_rows_in_files(spark, tmp_path):
+    """Rows of all batches come from files that executors wrote, not from the driver."""
+    for k in range(3):
+        spark.range(k * 5, k * 5 + 5, 1, 1).selectExpr("id", "timestamp_seconds(id * 86400) AS at", "id % 2 AS kind").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long, at timestamp, kind long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    rows = X.run_to_files(spark, stream, "files_all")
+    assert sorted(r.id for r in rows.collect()) == list(range(15)) and len(rows.inputFiles()) >= 3
+    counts = X.run_to_files(spark, X.windowed_counts(stream, "at", "kind"), "files_counts", "complete")
+    assert counts.count() == 15 and counts.agg(F.sum("n")).first()[0] == 15
+    assert X.run_to_files(spark, X.distinct_sightings(stream, ["kind"], "at", "60 days"), "files_first").count() == 2
+    for name in ("stream_first_sightings", "stream_health"):
+        assert streams.QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles(), name

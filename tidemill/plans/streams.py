@@ -19,7 +19,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _run(spark: SparkSession, df: DataFrame, mode: str) -> DataFrame:
-    return X.run_to_memory(spark, df, "s" + uuid.uuid4().hex, mode)
+    return X.run_to_files(spark, df, "s" + uuid.uuid4().hex, mode)
 
 
 def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -92,6 +93,26 @@ def matured_claims(claims: DataFrame, snapshots: DataFrame, days: int = 14, late
     return left.join(right, due).select("item", "made_at", "seen_at", (F.col("value") >= F.col("threshold")).alias("hit"))
 
 
+def run_to_files(spark: SparkSession, df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over what is there; executors write its rows to a new folder under ``spark.checkpoint.dir``, which
+    is read back. In complete mode these are the last batch's rows, else all batches'. A batch is written under its own
+    id in overwrite mode, so a replay doesn't add it twice."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    folders: list[str] = []
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        folder = f"{shared}/{name}-rows/{batch_id}"
+        batch.write.mode("overwrite").parquet(folder)
+        if folder not in folders:
+            folders.append(folder)
+
+    writer = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{shared}/{name}")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    if not folders:
+        return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(*(folders[-1:] if mode == "complete" else folders))
+
+
 def run_to_memory(spark: SparkSession, df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there and returns its rows: for small results and tests."""
     writer = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
@@ -108,6 +129,7 @@ __all__ = [
     "fresh_hints",
     "health_states",
     "matured_claims",
+    "run_to_files",
     "run_to_memory",
     "source_health",
     "upsert_sightings",
