@@ -333,6 +333,19 @@ def test_quality_classifier_follows_labels(spark, docs, empty, labels):
     assert quality_classifier.keep_good(docs, labels.limit(0)).count() == 18
 
 
+def test_quality_prior_is_that_of_all_labels(spark, monkeypatch):
+    """The bound on a class's sample changes neither the prior nor, by much, the rates."""
+    big, marks = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    counted = quality_rules.count(big.select("doc_id", "text"), ["doc_id"]).cache()
+    share = marks.where("quality in (0, 1)").join(big, "doc_id").agg(F.avg("quality")).first()[0]
+    _, whole = quality_classifier.train(counted, marks)
+    rates = quality_classifier.classify(big, marks).agg(F.avg("host_rate")).first()[0]
+    monkeypatch.setattr(quality_classifier, "MAX_LABELLED", 40)
+    _, bounded = quality_classifier.train(counted, marks)
+    assert whole == pytest.approx(share) and bounded == pytest.approx(share)
+    assert abs(quality_classifier.classify(big, marks).agg(F.avg("host_rate")).first()[0] - rates) < 0.08
+
+
 def test_sparse_groups_shrink_to_the_rate_above(spark):
     marks = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("source", F.when(F.col("doc_id") == 3, "alone").otherwise(F.col("source")))

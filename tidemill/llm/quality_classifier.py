@@ -68,7 +68,8 @@ def _batch_inputs(batch: pa.RecordBatch, at: int) -> np.ndarray:
 
 
 def train(counted: DataFrame, labels: DataFrame) -> tuple[Logistic | None, float]:
-    """The classifier and the share of good documents in its sample, with the classes weighed as they come."""
+    """The classifier and the share of good documents over all labelled rows: its intercept is shifted from the sample's
+    log odds to those, since the bound on a class changes the mix."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.select(F.col("doc_id").alias("_id"), F.col("quality").alias("_good")).distinct()
     order = [F.xxhash64("_id", F.lit(6)), F.col("_id")]
@@ -81,7 +82,11 @@ def train(counted: DataFrame, labels: DataFrame) -> tuple[Logistic | None, float
         return None, 0.5
     x = _batch_inputs(table.to_batches()[0], 1)
     order = np.lexsort([*x.T, y])  # the same sums in any order of the rows
-    return Logistic().fit(x[order], y[order]), float(np.clip(y.mean(), 0.01, 0.99))
+    model = Logistic().fit(x[order], y[order])
+    n = dict(counted.select(F.col("doc_id").alias("_id")).join(known, "_id").groupBy("_good").count().collect())  # two rows
+    rate, sampled = (float(np.clip(share, 0.01, 0.99)) for share in (n[1] / (n[0] + n[1]), y.mean()))
+    model.w[-1] += np.log(rate / (1 - rate)) - np.log(sampled / (1 - sampled))
+    return model, rate
 
 
 def _prior_strength(groups: DataFrame, rate: float, n: Column, total: Column) -> float:
@@ -116,9 +121,9 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     """
     columns = ["doc_id", host, path]
     counted = saved(count(docs.select("doc_id", "text", host, path), columns))
-    model, sample_rate = train(counted, labels)
+    model, known_rate = train(counted, labels)
     kinds = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(["doc_id", "_host", "_path"], columns))
-    prior = float(np.log(sample_rate / (1 - sample_rate)))
+    prior = float(np.log(known_rate / (1 - known_rate)))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
