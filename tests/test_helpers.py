@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemill.functions import parse as P
 from tidemill.functions import scoring as S
 from tidemill.operators import corpus as B
+from tidemill.operators import evaluate as E
 from tidemill.operators import matching as M
 from tidemill.operators import reports as O
 from tidemill.operators import text as K
@@ -246,3 +247,9 @@ def test_streams_leave_their_rows_in_files(spark, tmp_path):
     assert X.run_to_files(spark, X.distinct_sightings(stream, ["kind"], "at", "60 days"), "files_first").count() == 2
     for name in ("stream_first_sightings", "stream_health"):
         assert streams.QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles(), name
+
+
+def test_bootstrap_makes_500_replicates(spark):
+    rows = spark.range(400).selectExpr("id % 40 AS c", "id % 7 / 7 AS a", "id % 11 / 11 AS b", "id % 3 = 0 AS y")
+    got = E.bootstrap_gap(rows, "a", "b", "y", "c").first()
+    assert got.resamples == 500 and got.low < got.high

@@ -132,7 +132,7 @@ def regression_quality(df: DataFrame, y: str, q: str, tau: float) -> DataFrame:
     )
 
 
-def bootstrap_gap(df: DataFrame, champion: str, challenger: str, label: str, cluster: str, resamples: int = 200) -> DataFrame:
+def bootstrap_gap(df: DataFrame, champion: str, challenger: str, label: str, cluster: str, resamples: int = 500) -> DataFrame:
     """Interval of the AUC gap of two scores by a paired bootstrap over clusters; one row.
 
     A cluster's weight in a replicate is a Poisson(1) draw from a hash of both, so draws repeat and need no shuffle.
