@@ -131,6 +131,53 @@ def test_minhash_crowded_bucket(spark):
     assert got == reachable({i: shingles(t, 4) for i, t in texts.items()})
 
 
+def test_minhash_ids_that_repeat_are_one_document(spark):
+    a, b, c = (" ".join(words(60, k)) for k in (61, 62, 63))
+    rows = [(3, a), (5, a), (5, b), (7, b), (9, c), (9, ""), (11, None), (11, "")]
+    got = {(r.doc_id, r.n_shingles > 0): (r.component_id, r.kept) for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {got[k, True] for k in (3, 5, 7)} == {(3, True), (3, False)} and got[5, True] == got[7, True] == (3, False)
+    assert got[9, True] == got[9, False] == (9, True) and got[11, False] == (11, True)
+    # an empty text of an id goes with the id's other text
+    rows = [(3, a), (5, a), (5, "")]
+    assert {(r.doc_id, r.component_id) for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {(3, 3), (5, 3)}
+
+
+@pytest.mark.parametrize("small", [1, 1000])
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_minhash_each_way_of_comparing_gives_the_same(spark, monkeypatch, small, rounds):
+    """One crowd of texts around the threshold: by stars or not, by signatures or by prefixes and blocks."""
+    monkeypatch.setattr(minhash_dedup, "SMALL", small)
+    monkeypatch.setattr(minhash_dedup, "ROUNDS", rounds)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 16)
+    rng = np.random.default_rng(15)
+    base, texts = words(120, 19), {}
+    for i in range(70):
+        w = base[:]
+        for at in rng.choice(120, rng.integers(0, 9), replace=False):
+            w[at] = f"x{i}-{at}" if i % 3 else f"y{at}"
+        texts[i] = " ".join(w)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(frame, size=4).collect()}
+    want = reachable({i: shingles(t, 4) for i, t in texts.items()})
+    assert got == want and 1 < len(set(want.values())) < 70
+
+
+def test_prefixes_hold_every_link_and_leave_common_texts_apart(spark):
+    rng = np.random.default_rng(16)
+    common, texts = words(100, 20), {}
+    for i in range(40):
+        texts[i] = " ".join(common + words(60, 500 + i))
+        texts[100 + i] = " ".join(common + words(60, 500 + i)[:55] + words(int(rng.integers(1, 9)), 900 + i))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    keys = defaultdict(set)
+    for r in minhash_dedup._prefixes(docs, docs.select(F.col("doc_id").alias("rep")), 4, 80).collect():
+        keys[r.key].add(r.rep)
+    sets = {i: shingles(t, 4) for i, t in texts.items()}
+    met = {(i, j) for k in keys.values() for i in k for j in k if i < j}
+    links = {(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert links and links <= met and len(met) < 3 * len(links)
+
+
 def test_minhash_keeps_one_of_each_group(docs):
     kept = minhash_dedup.keep_first(docs)
     assert kept.columns == docs.columns

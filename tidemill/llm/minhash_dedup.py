@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm.bytewords import NOT_SPACE, Texts, mix, text_slices, windows
-from tidemill.llm.common import checked, keep_ids, read, saved
+from tidemill.llm.common import bounded_batches, checked, dealt_join, keep_ids, read, saved, saved_round
 from tidemill.llm.components import components
 
 #: 28 bands of 4 minima: a pair with similarity 0.8 shares no band with probability (1 - 0.8**4)**28 < 4e-7.
@@ -21,8 +21,14 @@ PERMS = BANDS * ROWS
 BITS = 4
 #: Candidates are confirmed if the estimate is over the threshold less this, about five standard errors.
 SLACK = 0.2
-#: Buckets of more texts than this are compared in blocks of about BLOCK texts or BLOCK_SHINGLES shingles.
+#: Rounds in which each bucket is a star around another of its texts.
+ROUNDS = 3
+#: What is left open of buckets of up to SMALL texts is compared by signatures, of larger ones by shared prefixes and, if
+#: that leaves any, in blocks of about BLOCK texts or BLOCK_SHINGLES shingles. Full sets decide each way, so the result
+#: doesn't depend on these numbers.
 SMALL, BLOCK, BLOCK_SHINGLES = 32, 256, 400_000
+#: Counters by which shingles are ordered from rare to common.
+COUNTERS = 1 << 16
 
 _RNG = np.random.default_rng(20)
 _MULTIPLY = _RNG.integers(0, 1 << 32, PERMS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -78,7 +84,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *columns], ["doc_id", "n_shingles", "digest", "packed", "bands"])
 
     schema = f"doc_id {kind}, n_shingles long, digest binary, packed array<long>, bands array<long>"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, schema)
 
 
 def estimate(x: Column, y: Column) -> Column:
@@ -103,7 +109,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
                 sets = pa.array([s.tobytes() for s in shingle_sets(texts, size)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), sets], ["id", "shingles"])
 
-    few = docs.select("doc_id", "text").join(checked(ids), F.col("doc_id") == F.col("_id"), "left_semi")
+    few = bounded_batches(docs).select("doc_id", "text").join(checked(ids), F.col("doc_id") == F.col("_id"), "left_semi")
     return few.mapInArrow(run, f"id {kind}, shingles binary")
 
 
@@ -111,14 +117,14 @@ def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataF
     """The pairs (``a``, ``b``) with 100 * intersection >= percent * union on the full sets."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
     sets = _sets_of(docs, ids, size)
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = both.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+    both = dealt_join(pairs, sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a", "b")
+    both = dealt_join(both, sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b", "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 common = len(x) + len(y) - len(np.union1d(x, y))
                 good.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -127,7 +133,30 @@ def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataF
     return both.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _from_small(unresolved: DataFrame, least: float, kind: str) -> DataFrame:
+def _with_components(members: DataFrame, found: DataFrame) -> DataFrame:
+    """``key, rep, component`` of the buckets that hold several components."""
+    now = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    keys = now.groupBy("key").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x <> _y").select("key")
+    return now.join(keys, "key", "left_semi").select("key", "rep", "component")
+
+
+def _stars(open_members: DataFrame, turn: int) -> DataFrame:
+    """Pairs (``a``, ``b``) of each bucket's pivot with its members of other components. The first pivot is the least
+    member, the later ones follow a hash."""
+    order = F.struct("rep", "component") if turn == 0 else F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "component")
+    pivots = open_members.groupBy("key").agg(F.min(order).alias("_p")).select("key", F.col("_p.rep").alias("pivot"), F.col("_p.component").alias("_c"))
+    rows = open_members.join(pivots, "key").where("component <> _c")
+    return rows.select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
+
+
+def _near(pairs: DataFrame, packed: DataFrame, least: float) -> DataFrame:
+    """The pairs whose signatures give an estimate of ``least`` or more."""
+    both = dealt_join(pairs, packed.select(F.col("id").alias("a"), F.col("packed").alias("pa")), "a", "b")
+    both = dealt_join(both, packed.select(F.col("id").alias("b"), F.col("packed").alias("pb")), "b", "a")
+    return both.where(estimate(F.col("pa"), F.col("pb")) >= least).select("a", "b").distinct()
+
+
+def _from_small(open_members: DataFrame, packed: DataFrame, least: float, kind: str) -> DataFrame:
     """Candidates of small buckets: pairs of different components with a high estimate. A bucket is one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,10 +178,47 @@ def _from_small(unresolved: DataFrame, least: float, kind: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out_a, batch_kind), pa.array(out_b, batch_kind)], ["a", "b"])
 
     batch_kind = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
-    rows = unresolved.groupBy("key").agg(F.collect_list(F.struct("rep", "component", "packed")).alias("members"))
+    rows = open_members.join(packed.withColumnRenamed("id", "rep"), "rep")
+    rows = rows.groupBy("key").agg(F.collect_list(F.struct("rep", "component", "packed")).alias("members"))
     return rows.select("members").mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
+def _prefixes(docs: DataFrame, ids: DataFrame, size: int, percent: int) -> DataFrame:
+    """Buckets (``key``, ``rep``) of the documents with the given ids (``rep``) by the shingles of their prefixes.
+
+    Sets of which ``percent`` of the union is common share a shingle among the first n - ceil(percent n / 100) + 1 of
+    each, in any order of all shingles that is the same for every set. From rare to common, as counted over these
+    documents, texts that share only what many have meet nowhere.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sets = saved(_sets_of(docs, ids.select(F.col("rep").alias("_id")), size))
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                n += np.bincount((np.frombuffer(x.as_buffer(), np.uint64) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["at", "n"])
+
+    counts = np.zeros(COUNTERS, np.int64)
+    for row in sets.select("shingles").mapInArrow(tally, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        counts[row["at"]] = row["n"]  # COUNTERS rows at most
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            for row, x in enumerate(batch.column(1)):
+                shingles = np.frombuffer(x.as_buffer(), np.uint64)
+                order = np.lexsort((shingles, counts[(shingles % np.uint64(COUNTERS)).astype(np.int64)]))
+                head = shingles[order[: len(shingles) + (-percent * len(shingles)) // 100 + 1]]
+                ids = pa.array([batch.column(0)[row].as_py()] * len(head), batch.schema.field(0).type)
+                yield pa.RecordBatch.from_arrays([pa.array(head.view(np.int64)), ids], ["key", "rep"])
+
+    return sets.mapInArrow(first, f"key long, rep {kind}")
+
+
 def common_counts(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
     """Intersection sizes of every set with every other set, by products of 0/1 matrices over slices of the hashes."""
     sizes = np.array([len(s) for s in [*sets, *others]])
@@ -173,28 +239,38 @@ def common_counts(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarra
 
 
 def _from_large(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links inside clusters of large buckets, each block of a cluster against each other, on the full sets.
+    """Links between different components of each cluster (``cluster, rep, component, n_shingles``), on the full sets.
 
-    Of a pair of blocks only links that join different components are returned, fewer than it has texts.
+    What is outside the largest component of a cluster meets all of the cluster, in blocks of both. Of a pair of blocks
+    only links that join different components are returned, fewer than it has texts.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    clusters = members.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("t"))
-    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("t") / BLOCK_SHINGLES)).cast("int").alias("blocks")
-    dealt = members.join(clusters.select("cluster", blocks), "cluster")
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    parts = members.groupBy("cluster", "component").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("t"))
+    clusters = parts.groupBy("cluster").agg(
+        F.sum("m").alias("m"), F.sum("t").alias("t"), F.max(F.struct("m", "t", "component")).alias("main")
+    )
+    n_blocks = lambda m, t: F.greatest(F.lit(1), F.ceil(F.greatest(m / BLOCK, t / BLOCK_SHINGLES))).cast("int")
+    clusters = clusters.select(
+        "cluster",
+        F.col("main.component").alias("main"),
+        n_blocks(F.col("m"), F.col("t")).alias("columns"),
+        n_blocks(F.col("m") - F.col("main.m"), F.col("t") - F.col("main.t")).alias("rows"),
+    )
+    dealt = members.join(clusters, "cluster")
+    block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    as_row = F.when(F.col("component") != F.col("main"), F.transform(every("columns"), lambda j: F.struct(block("rows").alias("i"), j.alias("j"), F.lit(True).alias("row"))))
+    as_column = F.transform(every("rows"), lambda i: F.struct(i.alias("i"), block("columns").alias("j"), F.lit(False).alias("row")))
+    places = F.explode(F.concat(as_column, F.coalesce(as_row, F.slice(as_column, 1, 0)))).alias("at")
+    dealt = dealt.select("cluster", "rep", "component", places).select("cluster", "at.*", "rep", "component")
     sets = _sets_of(docs, members.select(F.col("rep").alias("_id")), size)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(
-        "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component"
-    ).join(sets.withColumnRenamed("id", "rep"), "rep")
+    dealt = dealt_join(dealt, sets.withColumnRenamed("id", "rep"), "rep", "i")
 
     def link(group: pa.Table) -> pa.Table:
         group = group.combine_chunks().sort_by("rep")
-        ids, comps, own = (group.column(c).to_pylist() for c in ("rep", "component", "own"))
-        sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        left = [k for k in range(len(ids)) if own[k] == i]
-        right = [k for k in range(len(ids)) if own[k] == j]
+        ids, comps, row = (group.column(c).to_pylist() for c in ("rep", "component", "row"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("shingles")]
+        left, right = [k for k in range(len(ids)) if row[k]], [k for k in range(len(ids)) if not row[k]]
         common = common_counts([sets[k] for k in left], [sets[k] for k in right])
         total = np.array([len(sets[k]) for k in left])[:, None] + np.array([len(sets[k]) for k in right])[None, :] - common
         head = {c: c for c in comps}
@@ -217,59 +293,105 @@ def _from_large(docs: DataFrame, members: DataFrame, size: int, percent: int) ->
     return dealt.groupBy("cluster", "i", "j").applyInArrow(link, f"a {kind}, b {kind}")
 
 
+class _Links:
+    """The components that the confirmed links make so far: each is a star of links to its least id."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, links: DataFrame, size: int, percent: int):
+        self.docs, self.size, self.percent, self.least = docs, size, percent, percent / 100 - SLACK
+        self.packed = classes.select(F.col("rep").alias("id"), "packed")
+        self.found = components(links)
+
+    def add(self, links: DataFrame) -> None:
+        so_far = self.found.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        self.found = components(so_far.unionByName(links))
+
+    def confirm(self, pairs: DataFrame) -> None:
+        self.add(confirm(self.docs, pairs, self.size, self.percent))
+
+    def star(self, members: DataFrame) -> DataFrame:
+        """Stars over the buckets (``key``, ``rep``) in rounds; returns what is still open, with its components."""
+        rest = saved_round(_with_components(members, self.found))
+        for turn in range(ROUNDS):
+            if rest.isEmpty():
+                break
+            near = saved_round(_near(saved_round(_stars(rest, turn)), self.packed, self.least))
+            if not near.isEmpty():
+                self.confirm(near)
+                rest = saved_round(_with_components(rest.select("key", "rep"), self.found))
+        return rest
+
+    def compare(self, rest: DataFrame) -> DataFrame:
+        """Compares open buckets of up to SMALL texts by signatures; returns the larger ones that are open."""
+        if rest.isEmpty():
+            return rest
+        sizes = saved(rest.groupBy("key").agg(F.count("*").alias("_n")))
+        few = rest.join(sizes.where(F.col("_n") <= SMALL), "key", "left_semi")
+        pairs = saved_round(_from_small(few, self.packed, self.least, self.docs.schema["doc_id"].dataType.simpleString()))
+        if not pairs.isEmpty():
+            self.confirm(pairs)
+        more = rest.join(sizes.where(F.col("_n") > SMALL), "key", "left_semi").select("key", "rep")
+        return saved_round(_with_components(more, self.found))
+
+
+def _crowded(members: DataFrame) -> DataFrame:
+    """Buckets with more than one text."""
+    several = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return saved_round(members.join(several, "key", "left_semi"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every document; links are pairs of documents whose sets of
     ``size``-word shingles have 100 * intersection >= percent * union.
 
     Exact copies of a set are one class first, by a grouped minimum, so thousands of copies cost no pairs. Class
-    representatives meet in band buckets. Each bucket is a star around its least member; a star's pairs are estimated
-    from the packed signatures and confirmed on the full sets. Buckets that still hold several components are compared
-    further: small ones pair by pair from the signatures, large ones in blocks on the full sets, so no link between
-    different components of a bucket is lost. Pairs of a group are never all written out, and components are found by
-    joins and grouped minima.
+    representatives meet in band buckets. Each bucket is a star around its least member, then, while it holds several
+    components, around others; a star's pairs are estimated from the packed signatures and confirmed on the full sets.
+    What is still open is compared in full: small buckets pair by pair from the signatures; the texts of larger ones
+    by the rarest shingles of each, again in stars, and what even those leave open in blocks on the full sets. So no
+    link between different components of a bucket is lost, and texts that only share what many have don't meet. Pairs
+    of a group are never all written out, and components are found by joins and grouped minima.
 
     A text without words, and a null text, has an empty set and is linked with nothing. A null id has no component
-    and is kept. Rows that repeat an id are one document: it is linked with whatever any of its texts is. An empty
-    table gives an empty result; extra columns aren't read.
+    and is kept. Rows that repeat an id are one document: it is linked with whatever any of its texts is, and all its
+    rows have the same component. An empty table gives an empty result; extra columns aren't read.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    least = percent / 100 - SLACK
     signed = saved(signatures(docs, size))
+    known = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = saved(
-        signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-        .groupBy("digest")
-        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("packed").alias("packed"), F.first("bands").alias("bands"))
+        known.groupBy("digest").agg(
+            F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("packed").alias("packed"), F.first("bands").alias("bands")
+        )
     )
-    members = classes.select("rep", F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    members = saved(members.join(buckets, "key"))
-    packed = classes.select(F.col("rep").alias("id"), "packed")
-    stars = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = stars.join(packed.select(F.col("id").alias("a"), F.col("packed").alias("pa")), "a")
-    stars = stars.join(packed.select(F.col("id").alias("b"), F.col("packed").alias("pb")), "b")
-    stars = saved(stars.where(estimate(F.col("pa"), F.col("pb")) >= least).select("a", "b"))
-    links = saved(confirm(docs, stars, size, percent))
-    found = components(links)
-
-    now = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_keys = now.groupBy("key").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x <> _y").select("key")
-    now = saved(now.join(open_keys, "key", "left_semi"))
-    more = _from_small(now.where(F.col("n") <= SMALL).join(packed.withColumnRenamed("id", "rep"), "rep"), least, kind)
-    more = saved(confirm(docs, saved(more.join(stars, ["a", "b"], "left_anti")), size, percent))
-    large = now.where(F.col("n") > SMALL)
-    clusters = components(large.select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
-    crowd = large.select("rep", "component").distinct()
-    crowd = crowd.join(clusters.select(F.col("id").alias("rep"), F.col("component").alias("cluster")), "rep", "left")
-    crowd = crowd.withColumn("cluster", F.coalesce("cluster", "rep")).join(classes.select("rep", "n_shingles"), "rep")
-    most = saved(_from_large(docs, saved(crowd), size, percent))
-    found = components(links.unionByName(more).unionByName(most))
-
+    # ids with several texts: their classes are linked
+    again = known.groupBy("doc_id").agg(F.min("digest").alias("_x"), F.max("digest").alias("_y")).where("_x <> _y")
+    texts = known.select("doc_id", "digest").join(checked(again.select(F.col("doc_id").alias("_id"))), F.col("doc_id") == F.col("_id"), "left_semi")
+    texts = saved(texts.distinct().join(classes.select("digest", "rep"), "digest").select("doc_id", "rep"))
+    same = texts.groupBy("doc_id").agg(F.min("rep").alias("b"))
+    linked = _Links(docs, classes, texts.join(same, "doc_id").select(F.col("rep").alias("a"), "b").where("a <> b").distinct(), size, percent)
+
+    rest = linked.compare(linked.star(_crowded(classes.select("rep", F.explode("bands").alias("key")).distinct())))
+    if not rest.isEmpty():
+        crowd = saved(rest.select("rep").distinct())
+        rest = linked.compare(linked.star(_crowded(_prefixes(docs, crowd, size, percent))))
+        if not rest.isEmpty():
+            heads = rest.groupBy("key").agg(F.min("rep").alias("a"))
+            clusters = components(rest.join(heads, "key").select("a", F.col("rep").alias("b")))
+            crowd = rest.select("rep", "component").distinct().join(clusters.select(F.col("id").alias("rep"), F.col("component").alias("cluster")), "rep", "left")
+            crowd = crowd.withColumn("cluster", F.coalesce("cluster", "rep")).join(classes.groupBy("rep").agg(F.max("n_shingles").alias("n_shingles")), "rep")
+            linked.add(_from_large(docs, saved(crowd), size, percent))
+
+    found = linked.found
     own = classes.select("digest", "rep").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
     own = own.select(F.col("digest").alias("_digest"), F.coalesce("component", "rep").alias("_component"))
     joined = signed.select("doc_id", "n_shingles", "digest").join(
         own, (F.col("digest") == F.col("_digest")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left"
     )
-    joined = joined.withColumn("component_id", F.coalesce("_component", "doc_id"))
+    # an id that has other texts beside an empty one is one document too
+    whole = signed.groupBy(F.col("doc_id").alias("_id")).agg(F.min("n_shingles").alias("_least"), F.max("n_shingles").alias("_most"))
+    whole = whole.where("_least = 0 and _most > 0").join(known.select("doc_id", "digest"), F.col("_id") == F.col("doc_id")).select("_id", "digest")
+    whole = whole.join(own, F.col("digest") == F.col("_digest")).groupBy("_id").agg(F.min("_component").alias("_whole"))
+    joined = joined.join(whole, F.col("doc_id") == F.col("_id"), "left")
+    joined = joined.withColumn("component_id", F.coalesce("_component", "_whole", "doc_id"))
     return joined.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
