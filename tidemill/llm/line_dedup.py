@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import ascii_lower, read
+from tidemill.llm.common import ascii_lower, hot_keys, read, saved
 
 #: Characters stripped at both ends of a line: ``[\x20\x09-\x0D]``.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -27,14 +27,17 @@ def _to_drop(rows: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
         .where(F.char_length("_key") >= min_chars)
         .select(F.col("doc_id").alias("_d"), "_v", "_at", F.unhex(F.md5("_key")).alias("_hash"))
     )
-    if min_docs == 2:  # then the smallest and the largest id tell
-        often = lines.groupBy("_hash").agg(F.min("_d").alias("_first"), F.max("_d").alias("_last"))
-        often = often.where(F.col("_first") < F.col("_last")).select("_hash", "_first")
-    else:
-        holders = lines.groupBy("_hash", "_d").agg(F.lit(1).alias("_one"))
-        often = holders.groupBy("_hash").agg(F.min("_d").alias("_first"), F.count("_one").alias("_n"))
-        often = often.where(F.col("_n") >= min_docs).select("_hash", "_first")
-    found = lines.join(often, "_hash").where(F.col("_d") > F.col("_first"))
+    lines = saved(lines)  # read twice; the texts are split and hashed once
+    holders = lines.groupBy("_hash", "_d").agg(F.count("*").alias("_m"))
+    often = holders.groupBy("_hash").agg(F.min("_d").alias("_first"), F.count("*").alias("_docs"), F.sum("_m").alias("_n"))
+    often = saved(often.where(F.col("_docs") >= min_docs).select("_hash", "_first", "_n"))
+    # the lines of a hot hash stay where they are and meet its row by a broadcast; the others meet theirs by a shuffle
+    hot, _ = hot_keys(often, "_n")
+    hot = F.broadcast(hot.select(F.col("_hash").alias("_h"), F.col("_first").alias("_hot")))
+    marked = lines.join(hot, lines["_hash"] == hot["_h"], "left")
+    common = marked.where(F.col("_h").isNotNull()).select("_d", "_v", "_at", F.col("_hot").alias("_first"))
+    rare = marked.where(F.col("_h").isNull()).select("_d", "_v", "_at", "_hash").join(often.select("_hash", "_first"), "_hash")
+    found = common.unionByName(rare.select("_d", "_v", "_at", "_first")).where(F.col("_d") > F.col("_first"))
     return found.groupBy("_d", "_v").agg(F.sort_array(F.collect_set("_at")).alias("_dropped"))
 
 
@@ -57,9 +60,10 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataF
 
     Returns ``doc_id, text, n_lines, n_dropped, dropped`` (positions) with the text that is left.
 
-    The lines are exploded to (key hash, doc_id) and counted with a partial aggregation, so a line of a third of all
-    documents costs one row a task; hashes take 128 bits. Only (hash, id, position) travel to the join with the hashes
-    to drop, whose skewed partitions Spark may split, and only dropped positions go on to the texts.
+    The lines are exploded to (key hash, doc_id, position), written once, and their distinct documents counted by hash;
+    hashes take 128 bits. Rows are first counted by (hash, document), so the lines of a hot hash are dealt by document
+    and reach its count as one row a task. A hash with more than a share of all lines (``common.hot_keys``) is broadcast
+    to its lines, the others are joined by a shuffle, and only dropped positions go on to the texts.
 
     Null or empty texts are one empty line. Rows without a doc_id keep all lines and don't count. Rows that repeat an
     id with the same text count as one document and lose the same lines; with another text they are told apart by
