@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +16,8 @@ from tidemill.llm.quality_rules import BASE, MORE, _matrix, count
 
 #: Labelled documents of each class that the classifier is fitted on at most, the first by a hash of their ids.
 MAX_LABELLED = 5000
-#: Pseudo-counts of a prior are held in this range, so that neither sparse groups nor the global rate is ignored.
-LEAST_PRIOR, MOST_PRIOR = 5.0, 1e5
-#: A prior's log odds may differ from the global ones by this much, so that a site alone never decides.
-MOST_SHIFT = 2.0
+#: Rates this near 0 or 1 are as good as these; without it their log odds aren't finite.
+LEAST_RATE = 1e-9
 
 
 def _inputs(counts: list[np.ndarray], chars: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -89,19 +88,53 @@ def train(counted: DataFrame, labels: DataFrame) -> tuple[Logistic | None, float
     return model, rate
 
 
-def _prior_strength(groups: DataFrame, rate: float, n: Column, total: Column) -> float:
-    """Pseudo-counts of a beta prior by moments: what the groups' rates vary by, beyond chance, tells how far to shrink."""
-    spread = rate * (1 - rate)
-    row = groups.where(n > 0).agg(
-        F.sum(n * F.pow(total / n - rate, 2)).alias("ss"), F.sum(n).alias("n"), F.sum(n * n).alias("nn"), F.count(n).alias("k")
+@dataclass
+class Priors:
+    """Of the corpus: documents, sum of their probabilities, and the pseudo-counts by which a host's rate is shrunk to
+    the global one and a path's to its host's; none (infinite) where groups differ by no more than chance."""
+
+    n: float
+    total: float
+    host: float
+    path: float
+
+
+def priors(paths: DataFrame) -> Priors:
+    """Moments of a nested layout (``_host, _path, _n`` rows, ``_s`` sum and ``_q`` sum of squares of probabilities).
+
+    The variance within paths is that of chance. What paths of a host vary by about their host's own mean beyond that is
+    the variance between paths; what hosts vary by about the global mean beyond both is the one between hosts. A
+    pseudo-count is the variance of chance over that between groups.
+    """
+    n, s = F.col("_n"), F.col("_s")
+    hosts = paths.groupBy("_host").agg(F.sum(n).alias("n"), F.sum(s).alias("s"), F.sum(F.col("_q")).alias("q"), F.sum(n * n).alias("nn"), F.sum(s * s / n).alias("ss"), F.count("*").alias("k"))
+    n, s = F.col("n"), F.col("s")
+    row = hosts.agg(
+        F.sum(n).alias("n"), F.sum(s).alias("s"), F.sum("q").alias("q"), F.sum("ss").alias("paths"), F.sum(s * s / n).alias("hosts"),
+        F.sum("k").alias("k"), F.count("*").alias("h"), F.sum("nn").alias("nn"), F.sum(F.col("nn") / n).alias("inner"), F.sum(n * n).alias("outer"),
     ).first()
-    if not row["k"] or row["k"] < 2 or spread <= 0:
-        return MOST_PRIOR
-    between = (row["ss"] - (row["k"] - 1) * spread) / max(row["n"] - row["nn"] / row["n"], 1e-9)
-    return float(np.clip(spread / between - 1, LEAST_PRIOR, MOST_PRIOR)) if between > 0 else MOST_PRIOR
+    if not row["n"]:
+        return Priors(0.0, 0.0, np.inf, np.inf)
+    n, rate = float(row["n"]), row["s"] / row["n"]
+    chance = (row["q"] - row["paths"]) / (n - row["k"]) if n > row["k"] else rate * (1 - rate)
+    room = n - row["inner"]
+    between = max(0.0, (row["paths"] - row["hosts"] - (row["k"] - row["h"]) * chance) / room) if room > 0 else 0.0
+    room = n - row["outer"] / n
+    over = row["hosts"] - row["s"] ** 2 / n - (row["h"] - 1) * chance - between * (row["inner"] - row["nn"] / n)
+    apart = max(0.0, over / room) if room > 0 else 0.0
+    strength = lambda v: float(max(0.0, chance) / v) if v > 1e-12 else np.inf
+    return Priors(n, float(row["s"]), strength(apart), strength(between))
+
+
+def _shrunk(total: Column, n: Column, parent: Column, strength: float) -> Column:
+    """The posterior mean of a group's rate without the document itself (``total`` and ``n`` are without it)."""
+    if np.isinf(strength):
+        return parent
+    return F.when(n + strength > 0, (total + strength * parent) / (n + strength)).otherwise(parent)
 
 
 def _logit(p: Column) -> Column:
+    p = F.greatest(F.least(p, F.lit(1 - LEAST_RATE)), F.lit(LEAST_RATE))
     return F.log(p / (1 - p))
 
 
@@ -109,15 +142,18 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     """Quality of every whole text: ``doc_id, evidence, host_rate, path_rate, score, kept``.
 
     The evidence is the log likelihood ratio of a classifier on the text's counts, fitted on a bounded sample of
-    labelled rows. Its probabilities over all documents are summed by host, and by path within host; each rate is
-    shrunk to the one above it, hosts to the global rate. ``score`` joins the evidence with the path's rate; documents
-    under 0.5 aren't ``kept``.
+    labelled rows. Its probabilities over all documents are summed by host, and by path within host. Each path's rate is
+    shrunk to its host's, hosts' rates to the global one, the more the fewer documents there are (``priors``). A
+    document's own probability is left out of all of them, so it isn't counted twice. ``score`` joins the evidence with
+    the path's rate; documents under 0.5 aren't ``kept``.
 
-    Sums are pre-aggregated before the shuffle, so a host with a third of all rows is no burden; the rates are
+    Sums are pre-aggregated before the shuffle, so a host with a third of all rows is no burden; the sums are
     broadcast if they are few, else joined by a shuffle.
 
     Null hosts or paths are groups of their own. A null text is an empty one. Without labels of both classes every
-    score is 0.5 and all are kept. Repeated rows and null ids are judged row by row; extra columns aren't read.
+    score is 0.5 and all are kept; 0.5 itself is kept. A document alone in its path has the host's rate, one alone in its
+    host the global one, one alone in the table that of the labels. Repeated rows and null ids are judged row by row; an
+    empty table gives an empty result; extra columns aren't read.
     """
     columns = ["doc_id", host, path]
     counted = saved(count(docs.select("doc_id", "text", host, path), columns))
@@ -134,29 +170,26 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *values], ["doc_id", "_host", "_path", "evidence", "_p"])
 
     weighed = counted.mapInArrow(weigh, f"{kinds}, evidence double, _p double")
-    paths = saved(weighed.groupBy("_host", "_path").agg(F.count("*").alias("_n"), F.sum("_p").alias("_s")))
-    hosts = paths.groupBy("_host").agg(F.sum("_n").alias("_hn"), F.sum("_s").alias("_hs"))
-    n, s = hosts.agg(F.sum("_hn"), F.sum("_hs")).first()
-    rate = float(np.clip(s / n, 0.01, 0.99)) if n else 0.5
-    k = _prior_strength(hosts, rate, F.col("_hn"), F.col("_hs"))
-    hosts = hosts.withColumn("host_rate", (F.col("_hs") + k * rate) / (F.col("_hn") + k))
-    both = paths.join(hosts.withColumnRenamed("_host", "_h"), F.col("_host").eqNullSafe(F.col("_h")))
-    k = _prior_strength(paths, rate, F.col("_n"), F.col("_s"))
-    both = both.withColumn("path_rate", (F.col("_s") + k * F.col("host_rate")) / (F.col("_n") + k))
-    rates = saved(both.select(F.col("_host").alias("_a"), F.col("_path").alias("_b"), "host_rate", "path_rate"))
-    if rates.count() <= BROADCAST_IDS:
-        rates = F.broadcast(rates)
+    p = F.col("_p")
+    paths = saved(weighed.groupBy("_host", "_path").agg(F.count("*").alias("_n"), F.sum(p).alias("_s"), F.sum(p * p).alias("_q")))
+    known = priors(paths)
+    hosts = paths.groupBy(F.col("_host").alias("_h")).agg(F.sum("_n").alias("_hn"), F.sum("_s").alias("_hs"))
+    sums = paths.join(hosts, F.col("_host").eqNullSafe(F.col("_h")))
+    sums = saved(sums.select(F.col("_host").alias("_a"), F.col("_path").alias("_b"), "_n", "_s", "_hn", "_hs"))
+    if sums.count() <= BROADCAST_IDS:
+        sums = F.broadcast(sums)
     at_home = F.col("_host").eqNullSafe(F.col("_a")) & F.col("_path").eqNullSafe(F.col("_b"))
-    base = F.lit(float(np.log(rate / (1 - rate))))
-    shift = F.greatest(F.least(_logit(F.col("path_rate")) - base, F.lit(MOST_SHIFT)), F.lit(-MOST_SHIFT))
-    odds = F.col("evidence") + base + shift
-    judged = weighed.join(rates, at_home).withColumn("score", 1 / (1 + F.exp(-odds)) if model else F.lit(0.5))
+    rate = (known.total - p) / (known.n - 1) if known.n > 1 else F.lit(known_rate)
+    judged = weighed.join(sums, at_home).withColumn("host_rate", _shrunk(F.col("_hs") - p, F.col("_hn") - 1, rate, known.host))
+    judged = judged.withColumn("path_rate", _shrunk(F.col("_s") - p, F.col("_n") - 1, F.col("host_rate"), known.path))
+    odds = F.col("evidence") + _logit(F.col("path_rate"))
+    judged = judged.withColumn("score", 1 / (1 + F.exp(-odds)) if model else F.lit(0.5))
     return judged.select("doc_id", "evidence", "host_rate", "path_rate", "score", (F.col("score") >= 0.5).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
     """The documents that the classifier keeps, with all their columns. An id goes if all its rows are rejected; rows
-    without an id stay."""
+    without an id stay. An empty table gives an empty one."""
     judged = classify(docs, labels, host, path).where(F.col("doc_id").isNotNull())
     bad = judged.groupBy(F.col("doc_id").alias("_id")).agg(F.max("kept").alias("_kept")).where(~F.col("_kept"))
     return keep_ids(docs, bad, "left_anti")
