@@ -19,6 +19,7 @@ from tidemill.llm import (
     line_dedup,
     minhash_dedup,
     quality_classifier,
+    quality_features,
     quality_rules,
     suffix_dedup,
     toxicity,
@@ -368,6 +369,103 @@ def test_quality_rules_verdict_follows_labels(spark):
     assert good[1] > 0.95 and good[0] < 0.2
 
 
+CLASS_OF = [("a-z", 0), ("A-Z", 1), ("0-9", 2), (" \\t\\x0b\\x0c\\r", 3), ("\\n", 4), (".,;:!?'\"()\\-", 5), ("#*$%&|<>", 6), ("\\x00-\\x7f", 7)]
+
+
+def plain_histograms(text):
+    chars, rest = np.zeros(9), text or ""
+    for pattern, at in CLASS_OF:
+        chars[at] = len(re.findall(f"[{pattern}]", rest))
+        rest = re.sub(f"[{pattern}]", "", rest)
+    chars[8] = len(rest)
+    words = np.zeros(len(quality_features.WORDS) + 1)
+    for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(UPPER)):
+        words[quality_features.WORDS.index(w) if w in quality_features.WORDS else -1] += 1
+    return chars / max(1, chars.sum()), words / max(1, words.sum())
+
+
+def jensen_shannon(p, q):
+    total = 0.0
+    for a, b in zip(p.tolist(), q.tolist(), strict=True):
+        m = (a + b) / 2
+        total += (a * np.log2(a / m) if a else 0) / 2 + (b * np.log2(b / m) if b else 0) / 2
+    return np.sqrt(max(total, 0.0))
+
+
+def test_quality_rules_verdict_by_hand(spark):
+    frame = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r.doc_id: r for r in frame.collect()}
+    counts, hists = {i: plain_counts(r.text) for i, r in rows.items()}, {i: plain_histograms(r.text) for i, r in rows.items()}
+    may = [i for i, c in counts.items() if c[0] >= 50 and not c[5] and rows[i].lang is not None]
+    sizes = {x: sum(rows[i].lang == x for i in may) for x in {rows[i].lang for i in may}}
+    group = lambda i: rows[i].lang if sizes[rows[i].lang] >= max(20, len(may) / 1000) else ""
+    refs = {}
+    for _ in range(3):
+        near = [i for i in may if not refs or min(jensen_shannon(hists[i][0], c) for c, _ in refs.values()) <= 0.12]
+        refs = {g: tuple(np.mean([hists[i][k] for i in near if group(i) == g], axis=0) for k in (0, 1)) for g in {group(i) for i in near}}
+    for r in quality_rules.quality_rules(frame).collect():
+        by = [min(jensen_shannon(hists[r.doc_id][k], x[k]) for x in refs.values()) for k in (0, 1)]
+        assert np.allclose([r.char_distance, r.word_distance], by, atol=1e-7)
+        n, failed = counts[r.doc_id][0], counts[r.doc_id][5]
+        assert r.kept == (not failed and not (n >= 50 and by[0] > 0.19) and not (n >= 100 and by[1] > 0.45))
+
+
+def test_quality_rules_with_many_languages_and_with_few_texts(spark):
+    rng = np.random.default_rng(8)
+    text = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(60))
+    langs = [f"l{k}" for k in range(450) for _ in range(21 if k < 150 else 1)] + [None] * 5
+    rows = [(i, text(), x) for i, x in enumerate(langs)] + [(10_000, "1 2 3 4 5 " + " ".join(str(k * 7) for k in range(100)), "l1")]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()}
+    assert len(got) == len(rows) and not got.pop(10_000).kept and all(r.kept for r in got.values())
+    # no language has many texts: all texts make one reference, whether their languages are known or not
+    for lang in ("'l' || doc_id", "cast(null as string)"):
+        few = spark.createDataFrame([*rows[:12], rows[-1]], "doc_id long, text string, lang string").withColumn("lang", F.expr(lang))
+        got = {r.doc_id: r for r in quality_rules.quality_rules(few).collect()}
+        assert not got.pop(10_000).kept and all(r.kept and r.char_distance > 0 for r in got.values())
+
+
+def test_priors_are_the_moments_of_nested_groups(spark):
+    rng = np.random.default_rng(9)
+    rows = [(f"h{h}" if h else None, f"p{p}", float(np.clip(0.5 + 0.02 * (h - 3) + 0.03 * (p - 2) + rng.normal(0, 0.1), 0, 1))) for h in range(6) for p in range(1 + h % 4) for _ in range(4 + h * p)]
+    frame = spark.createDataFrame(rows, "_host string, _path string, x double")
+    got = quality_classifier.priors(frame.groupBy("_host", "_path").agg(F.count("*").alias("_n"), F.sum("x").alias("_s"), F.sum(F.col("x") * F.col("x")).alias("_q")))
+    every = np.array([x for *_, x in rows])
+    host = lambda h: np.array([x for a, _, x in rows if a == h])
+    path = lambda h, p: np.array([x for a, b, x in rows if (a, b) == (h, p)])
+    hosts, paths = sorted({a for a, *_ in rows}, key=str), sorted({(a, b) for a, b, _ in rows}, key=str)
+    n = len(rows)
+    chance = sum(((path(*k) - path(*k).mean()) ** 2).sum() for k in paths) / (n - len(paths))
+    inner = sum(sum(len(path(*k)) ** 2 for k in paths if k[0] == h) / len(host(h)) for h in hosts)
+    ss = sum(len(path(*k)) * (path(*k).mean() - host(k[0]).mean()) ** 2 for k in paths)
+    between = max(0, (ss - (len(paths) - len(hosts)) * chance) / (n - inner))
+    ss = sum(len(host(h)) * (host(h).mean() - every.mean()) ** 2 for h in hosts)
+    squares = sum(len(path(*k)) ** 2 for k in paths)
+    apart = max(0, (ss - (len(hosts) - 1) * chance - between * (inner - squares / n)) / (n - sum(len(host(h)) ** 2 for h in hosts) / n))
+    assert between > 0 and apart > 0
+    assert (got.n, got.total) == (n, pytest.approx(every.sum()))
+    assert (got.host, got.path) == (pytest.approx(chance / apart), pytest.approx(chance / between))
+
+
+def test_quality_rates_leave_the_document_itself_out(spark):
+    big, marks = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    counted = quality_rules.count(big.select("doc_id", "text"), ["doc_id"]).cache()
+    _, known = quality_classifier.train(counted, marks)
+    rows = quality_classifier.classify(big, marks).join(big.select("doc_id", "source", "lang"), "doc_id").collect()
+    p = np.array([1 / (1 + np.exp(-(r.evidence + np.log(known / (1 - known))))) for r in rows])
+    frame = spark.createDataFrame([(r.source, r.lang, float(x)) for r, x in zip(rows, p, strict=True)], "_host string, _path string, x double")
+    prior = quality_classifier.priors(frame.groupBy("_host", "_path").agg(F.count("*").alias("_n"), F.sum("x").alias("_s"), F.sum(F.col("x") * F.col("x")).alias("_q")))
+    for i in range(0, len(rows), 37):
+        r, others = rows[i], [k for k in range(len(rows)) if k != i]
+        host = [k for k in others if rows[k].source == r.source]
+        path = [k for k in host if rows[k].lang == r.lang]
+        rate = p[others].mean()
+        for group, strength, name in ((host, prior.host, "host_rate"), (path, prior.path, "path_rate")):
+            rate = rate if np.isinf(strength) else (p[group].sum() + strength * rate) / (len(group) + strength)
+            assert r[name] == pytest.approx(rate, rel=1e-6)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(r.evidence + np.log(rate / (1 - rate))))), rel=1e-5)
+        assert r.kept == (r.score >= 0.5)
+
+
 def test_quality_classifier_follows_labels(spark, docs, empty, labels):
     big, marks = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality_classifier.classify(big, marks).join(marks, "doc_id").collect()
@@ -402,7 +500,11 @@ def test_sparse_groups_shrink_to_the_rate_above(spark):
     assert abs(alone.host_rate - others) < 0.2
 
 
-def test_decontamination_awkward_rows(spark, docs, empty):
+@pytest.mark.parametrize(("words_a_part", "parts_a_pass"), [(100_000, 8), (12, 2), (20, 1)])
+def test_decontamination_awkward_rows(spark, docs, empty, monkeypatch, words_a_part, parts_a_pass):
+    """The same with one automaton, with several in a pass, and with items that are cut over passes."""
+    monkeypatch.setattr(decontamination, "PART_WORDS", words_a_part)
+    monkeypatch.setattr(decontamination, "PARTS_A_PASS", parts_a_pass)
     passage = words(60, 2)
     items = [(1, " ".join(passage)), (2, "TWO words"), (3, None), (4, ""), (None, "short"), (5, " ".join(passage[30:45]).upper()), (2, "TWO words")]
     bench = spark.createDataFrame(items, "item_id long, text string")

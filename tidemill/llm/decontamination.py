@@ -1,85 +1,36 @@
-"""Operator 7: find and cut benchmark passages with a generalised suffix automaton over words."""
+"""Operator 7: find and cut benchmark passages with generalised suffix automata over words."""
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+import pickle
+from array import array
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemill.llm.bytewords import ALNUM, LOWER, Texts, text_slices
-from tidemill.llm.common import read
+from tidemill.llm.bytewords import ALNUM, Texts, text_slices
+from tidemill.llm.common import bounded_batches, read, saved
 
-#: The benchmark goes to every executor, so its texts may have this many bytes at most. Split a larger one by items and
-#: call ``decontaminate`` on the result of the call before.
-MAX_BENCHMARK_BYTES = 32 << 20
+#: Words of items in one automaton (about 7 MB), and automata that a worker holds at once. A larger benchmark takes more
+#: passes over the texts, one after the other in the same tasks.
+PART_WORDS, PARTS_A_PASS = 100_000, 8
+_SPAN = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
 
 
-def _words(text: str) -> list[bytes]:
-    raw = LOWER[np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)]
-    one = Texts(raw, np.array([0, len(raw)]))
-    starts, ends, _ = one.spans(ALNUM)
-    return [raw[s:e].tobytes() for s, e in zip(starts, ends, strict=True)]
+class Builder:
+    """Grows a suffix automaton word by word; sequences are held apart by separators that no text has."""
 
-
-class ItemAutomaton:
-    """A suffix automaton of all items' word sequences; items are held apart by separators that no text has."""
-
-    def __init__(self, items: list[tuple[str, str]], window: int):
-        self.window = window
-        self.vocabulary: dict[bytes, int] = {}
+    def __init__(self) -> None:
         self.next: list[dict[int, int]] = [{}]
         self.length, self.link = [0], [-1]
-        owners: list[set[str]] = [set()]
-        whole: dict[int, list[tuple[int, str]]] = {}
-        sizes, last = [], 0
-        for k, (item, text) in enumerate(items):
-            words = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in _words(text)]
-            if not words:
-                continue
-            sizes.append(len(words))
-            for w in words:
-                last = self._extend(last, w)
-                owners += [set() for _ in range(len(self.length) - len(owners))]
-                owners[last].add(item)
-            if len(words) < window:
-                whole.setdefault(last, []).append((len(words), item))
-            last = self._extend(last, -1 - k)
-        owners += [set() for _ in range(len(self.length) - len(owners))]
-        #: the shortest run of words that can be a hit
-        self.least = min([window, *sizes])
-        order = sorted(range(len(self.length)), key=self.length.__getitem__)
-        for v in reversed(order):  # a state's substrings end wherever those of the states below it do
-            if v and self.length[self.link[v]] >= window:
-                owners[self.link[v]] |= owners[v]
-        #: for a state whose match has a window: the items that hold the last window of it
-        self.holders: list[frozenset[str]] = [frozenset()] * len(order)
-        #: the next state up the links, itself first, where short items end as a whole
-        self.shorts: list[int] = [-1] * len(order)
-        self.short_items: dict[int, list[tuple[int, str]]] = {}
-        for v, found in whole.items():
-            for size, item in found:
-                u = v
-                while self.length[self.link[u]] >= size:
-                    u = self.link[u]
-                self.short_items.setdefault(u, []).append((size, item))
-        for v in order[1:]:
-            up = self.link[v]
-            if self.length[v] >= window:
-                self.holders[v] = self.holders[up] if self.length[up] >= window else frozenset(owners[v])
-            self.shorts[v] = v if v in self.short_items else self.shorts[up]
-        words = sorted(self.vocabulary)
-        raw = np.frombuffer(b"".join(words), dtype=np.uint8)
-        cuts = np.cumsum([0, *map(len, words)])
-        hashes = Texts(raw, cuts).hashes(cuts[:-1], cuts[1:]) if words else np.empty(0, np.uint64)
-        self.hashes = np.sort(hashes)
-        self.seen = np.zeros(1 << 20, dtype=bool)
-        self.seen[(hashes >> np.uint64(44)).astype(np.int64)] = True
-
-    def _extend(self, last: int, word: int) -> int:
+
+    def extend(self, last: int, word: int) -> int:
         cur = len(self.length)
         self.length.append(self.length[last] + 1)
         self.link.append(0)
@@ -103,73 +54,138 @@ class ItemAutomaton:
                 self.link[q] = self.link[cur] = twin
         return cur
 
+
+class ItemAutomaton:
+    """A suffix automaton of items' word sequences in flat arrays: transitions as sorted keys state * words + word, and
+    for each class of windows its items once. Words are told apart by 64-bit hashes."""
+
+    def __init__(self, items: list[tuple[str, np.ndarray]], window: int):
+        items = [(item, words) for item, words in items if len(words)]
+        self.window = window
+        #: the shortest run of words that can be a hit
+        self.least = min([window, *(len(w) for _, w in items)])
+        self.hashes = np.unique(np.concatenate([w for _, w in items])) if items else np.empty(0, np.uint64)
+        self.items = sorted({item for item, _ in items})
+        number = {item: i for i, item in enumerate(self.items)}
+        n_words = len(self.hashes)
+        grown, last = Builder(), 0
+        ends, owners, shorts = array("i"), array("i"), []
+        for k, (item, words) in enumerate(items):
+            for w in np.searchsorted(self.hashes, words).tolist():
+                last = grown.extend(last, w)
+                ends.append(last)
+                owners.append(number[item])
+            if len(words) < window:
+                shorts.append((last, len(words), number[item]))
+            last = grown.extend(last, n_words + k)
+        length, link = np.array(grown.length), np.array(grown.link)
+        self.length, self.link = array("i", grown.length), array("i", grown.link)
+        #: for states of a window or longer: the state up the links whose class has the last window, else -1
+        order = np.argsort(length, kind="stable").tolist()
+        anchor = [-1] * len(order)
+        for v in order:
+            if grown.length[v] >= window:
+                up = grown.link[v]
+                anchor[v] = anchor[up] if grown.length[up] >= window else v
+        #: a window's items are those with an occurrence that ends in its class or below it, each once
+        at = np.array(anchor)[np.array(ends, dtype=np.int64)] if len(ends) else np.empty(0, np.int64)
+        pairs = np.unique(at[at >= 0] * max(1, len(self.items)) + np.array(owners, dtype=np.int64)[at >= 0])
+        heads, first = np.unique(pairs // max(1, len(self.items)), return_index=True)
+        self.owner_first = array("q", [*first.tolist(), len(pairs)])
+        self.owner_items = array("i", (pairs % max(1, len(self.items))).astype(np.int32).tolist())
+        self.anchor = array("i", np.where(np.array(anchor) >= 0, np.searchsorted(heads, anchor), -1).tolist())
+        self.short_items: dict[int, list[tuple[int, int]]] = {}
+        for v, size, item in shorts:
+            while length[link[v]] >= size:
+                v = int(link[v])
+            if (size, item) not in self.short_items.setdefault(v, []):
+                self.short_items[v].append((size, item))
+        #: the next state up the links, itself first, where short items end as a whole, else -1
+        self.short = array("i", [-1] * len(order))
+        if self.short_items:
+            for v in order[1:]:
+                self.short[v] = v if v in self.short_items else self.short[grown.link[v]]
+        states = np.repeat(np.arange(len(order)), [len(x) for x in grown.next])
+        words = np.fromiter((w for x in grown.next for w in x), np.int64, len(states))
+        targets = np.fromiter((t for x in grown.next for t in x.values()), np.int64, len(states))
+        real = words < n_words
+        keys = states[real] * max(1, n_words) + words[real]
+        by_key = np.argsort(keys)
+        self.keys, self.targets = array("q", keys[by_key].tolist()), array("i", targets[real][by_key].tolist())
+
     def known(self, hashes: np.ndarray) -> np.ndarray:
-        """Which words may be in the vocabulary."""
-        out = self.seen[(hashes >> np.uint64(44)).astype(np.int64)]
-        at = np.flatnonzero(out)
-        where = np.searchsorted(self.hashes, hashes[at])
-        out[at] = self.hashes[np.minimum(where, len(self.hashes) - 1)] == hashes[at]
+        """The number of each word in the vocabulary, else -1."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        if not hasattr(self, "seen"):
+            self.seen = np.zeros(1 << 16, dtype=bool)
+            self.seen[(self.hashes >> np.uint64(48)).astype(np.int64)] = True
+        out = np.full(len(hashes), -1)
+        at = np.flatnonzero(self.seen[(hashes >> np.uint64(48)).astype(np.int64)])
+        where = np.minimum(np.searchsorted(self.hashes, hashes[at]), len(self.hashes) - 1)
+        good = self.hashes[where] == hashes[at]
+        out[at[good]] = where[good]
         return out
 
-    def stream(self, words: list[bytes], hit: np.ndarray, items: set[str]) -> None:
-        """Follows the words, marks those inside occurring windows in ``hit`` and adds the windows' items."""
-        state, size = 0, 0
+    def stream(self, words: list[int], hit: np.ndarray) -> set[int]:
+        """Follows the words, marks those inside occurring windows in ``hit`` and returns the windows' items."""
+        keys, targets, link, length, n_words, n = self.keys, self.targets, self.link, self.length, len(self.hashes), len(self.keys)
+        state = size = 0
+        ends, classes, items = [], set(), set()
         for i, word in enumerate(words):
-            w = self.vocabulary.get(word, None)
-            if w is None:
-                state, size = 0, 0
-                continue
-            while state and w not in self.next[state]:
-                state = self.link[state]
-                size = self.length[state]
-            if w in self.next[state]:
-                state, size = self.next[state][w], size + 1
+            while True:
+                key = state * n_words + word
+                at = bisect_left(keys, key)
+                if at < n and keys[at] == key:
+                    state, size = targets[at], size + 1
+                    break
+                if not state:
+                    size = 0
+                    break
+                state = link[state]
+                size = length[state]
             if size >= self.window:
-                hit[i - size + 1 : i + 1] = True
-                u = state
-                items |= self.holders[u] if self.length[self.link[u]] < self.window else self._last_window(u)
-            u = self.shorts[state]
-            while u > 0:
-                for n, item in self.short_items[u]:
-                    if n <= size:
-                        hit[i - n + 1 : i + 1] = True
+                ends.append(i)
+                classes.add(self.anchor[state])
+            up = self.short[state]
+            while up > 0:
+                for k, item in self.short_items[up]:
+                    if k <= size:
+                        hit[i - k + 1 : i + 1] = True
                         items.add(item)
-                u = self.shorts[self.link[u]]
-
-    def _last_window(self, state: int) -> frozenset[str]:
-        while self.length[self.link[state]] >= self.window:
-            state = self.link[state]
-        return self.holders[state]
+                up = self.short[link[up]]
+        for back in range(self.window if ends else 0):
+            hit[np.array(ends) - back] = True
+        for c in classes:
+            items.update(self.owner_items[self.owner_first[c] : self.owner_first[c + 1]])
+        return items
 
 
-def _scan(texts: Texts, auto: ItemAutomaton) -> Iterator[tuple[int, int, np.ndarray, set[str], np.ndarray, np.ndarray]]:
-    """(row, words, hit flags or None, items, word starts, word ends) for each text."""
+def _scan(texts: Texts, automata: list[ItemAutomaton]) -> Iterator[tuple[int, np.ndarray | None, set[str], np.ndarray, np.ndarray]]:
+    """(words, hit flags or None, items, word starts, word ends) for each text."""
     starts, ends, first = texts.spans(ALNUM)
-    may = np.zeros(len(starts) + 1, dtype=bool)
-    if len(starts) and len(auto.hashes):
-        may[:-1] = auto.known(texts.hashes(starts, ends))
+    hashes = texts.hashes(starts, ends)
     cut = np.zeros(len(starts) + 1, dtype=bool)
     cut[first] = True
-    begins = np.flatnonzero(may & (cut | ~np.concatenate([[False], may[:-1]])))
-    stops = np.flatnonzero(may[:-1] & (cut[1:] | ~may[1:])) + 1
-    long_enough = stops - begins >= auto.least
     found: dict[int, tuple[np.ndarray, set[str]]] = {}
-    rows = np.searchsorted(first, begins, side="right") - 1
-    for row, a, b in zip(rows[long_enough].tolist(), begins[long_enough].tolist(), stops[long_enough].tolist(), strict=True):
-        lo, hi = int(starts[a]), int(ends[b - 1])
-        raw = texts.buf[lo:hi].tobytes()
-        words = [raw[s - lo : e - lo] for s, e in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)]
-        hit = np.zeros(b - a, dtype=bool)
-        items: set[str] = set()
-        auto.stream(words, hit, items)
-        if items:
-            if row not in found:
-                found[row] = (np.zeros(first[row + 1] - first[row], dtype=bool), set())
-            found[row][0][a - first[row] : b - first[row]] |= hit
-            found[row][1].update(items)
+    for auto in automata:
+        words = auto.known(hashes)
+        may = np.append(words >= 0, False)
+        begins = np.flatnonzero(may & (cut | ~np.concatenate([[False], may[:-1]])))
+        stops = np.flatnonzero(may[:-1] & (cut[1:] | ~may[1:])) + 1
+        enough = stops - begins >= auto.least
+        rows = np.searchsorted(first, begins, side="right") - 1
+        for row, a, b in zip(rows[enough].tolist(), begins[enough].tolist(), stops[enough].tolist(), strict=True):
+            hit = np.zeros(b - a, dtype=bool)
+            items = auto.stream(words[a:b].tolist(), hit)
+            if items:
+                if row not in found:
+                    found[row] = (np.zeros(first[row + 1] - first[row], dtype=bool), set())
+                found[row][0][a - first[row] : b - first[row]] |= hit
+                found[row][1].update(auto.items[i] for i in items)
     for i in range(len(texts)):
-        hits, items = found.get(i, (None, None))
-        yield i, int(first[i + 1] - first[i]), hits, items, starts[first[i] : first[i + 1]], ends[first[i] : first[i + 1]]
+        hits, items = found.get(i, (None, set()))
+        yield int(first[i + 1] - first[i]), hits, items, starts[first[i] : first[i + 1]], ends[first[i] : first[i + 1]]
 
 
 def _ranges(hits: np.ndarray) -> list[tuple[int, int]]:
@@ -177,52 +193,114 @@ def _ranges(hits: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def build(benchmark: DataFrame, window: int = 10) -> ItemAutomaton:
-    """The automaton of a benchmark (``item_id``, ``text``). Items without an id, words or text have no windows."""
+def _item_words(benchmark: DataFrame, window: int) -> DataFrame:
+    """(``item``, ``words`` hashes, ``n``) of the items; long items in pieces that share all but one word of a window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, _, texts in text_slices(batch, "text", lower=True):
+                starts, ends, first = texts.spans(ALNUM)
+                hashes = texts.hashes(starts, ends)
+                rows, pieces = [], []
+                for i in range(len(texts)):
+                    words = hashes[first[i] : first[i + 1]]
+                    for at in range(0, max(1, len(words) - window + 1), PART_WORDS):
+                        rows.append(lo + i)
+                        pieces.append(words[at : at + PART_WORDS + window - 1])
+                data = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array([x.tobytes() for x in pieces], pa.binary()), pa.array([len(x) for x in pieces], pa.int64())]
+                yield pa.RecordBatch.from_arrays(data, ["item", "words", "n"])
+
     rows = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
-    rows = rows.select(F.col("item_id").cast("string").alias("item"), "text")
-    n = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    if n > MAX_BENCHMARK_BYTES:
-        raise ValueError(f"the benchmark has {n} bytes; split it into parts of {MAX_BENCHMARK_BYTES} and chain the calls")
-    return ItemAutomaton(sorted((r["item"], r["text"]) for r in rows.collect()), window)
+    rows = bounded_batches(rows).select(F.col("item_id").cast("string").alias("item"), "text")
+    return rows.mapInArrow(run, "item string, words binary, n long").where("n > 0").distinct()
+
+
+def build(benchmark: DataFrame, window: int = 10) -> list[Broadcast]:
+    """The automata of a benchmark (``item_id``, ``text``), as a list for each pass. Items without an id, words or text
+    have no windows. Executors build them, each from about PART_WORDS words, so neither a task nor a pass's broadcast
+    grows with the benchmark."""
+    spark = benchmark.sparkSession
+    words = saved(_item_words(benchmark, window))
+    parts = -(-(words.agg(F.sum("n")).first()[0] or 0) // PART_WORDS)
+
+    def grow(group: pa.Table) -> pa.Table:
+        rows = zip(group.column("item").to_pylist(), group.column("words").to_pylist(), strict=True)
+        items = [(item, np.frombuffer(raw, np.uint64)) for item, raw in sorted(rows)]
+        return pa.table({"part": group.column("part")[:1], "automaton": pa.array([pickle.dumps(ItemAutomaton(items, window))], pa.binary())})
+
+    dealt = words.withColumn("part", F.pmod(F.xxhash64("item", "words"), F.lit(max(1, parts))).cast("int"))
+    grown = saved(dealt.groupBy("part").applyInArrow(grow, "part int, automaton binary"))
+    passes = []
+    for lo in range(0, max(1, parts), PARTS_A_PASS):
+        rows = grown.where(F.col("part").between(lo, lo + PARTS_A_PASS - 1)).orderBy("part").collect()  # PARTS_A_PASS rows
+        passes.append(spark.sparkContext.broadcast([pickle.loads(r["automaton"]) for r in rows]))
+    return passes
+
+
+Finish = Callable[[pa.RecordBatch, list], pa.RecordBatch]
+
+
+def _over(docs: DataFrame, passes: list[Broadcast], finish: Finish, schema: str) -> DataFrame:
+    """Runs the passes over the texts, each adding its hits to those before, and ``finish`` on every batch in the last:
+    it gets the batch and (words, hit flags or None, items, word starts, word ends) of each row."""
+    names = docs.columns
+    extra = [next(x for k in range(len(names) + 1) if (x := f"_{what}{k}") not in names) for what in ("spans", "items")]
+    span = T.StructType([T.StructField("from", T.IntegerType()), T.StructField("to", T.IntegerType())])
+    kinds = (T.ArrayType(span), T.ArrayType(T.StringType()))
+    fields = T.StructType([*docs.schema.fields, *map(T.StructField, extra, kinds)])
+
+    def run(batches: Iterator[pa.RecordBatch], shared: Broadcast, first: bool, last: bool) -> Iterator[pa.RecordBatch]:
+        automata = shared.value
+        for batch in batches:
+            rows = []
+            for lo, _, texts in text_slices(batch.select(names), "text", lower=True):
+                for i, (n, hits, items, starts, ends) in enumerate(_scan(texts, automata)):
+                    if not first:
+                        for s in batch.column(len(names))[lo + i].as_py():
+                            hits = np.zeros(n, dtype=bool) if hits is None else hits
+                            hits[s["from"] : s["to"]] = True
+                        items |= set(batch.column(len(names) + 1)[lo + i].as_py())
+                    base = int(texts.offsets[i])
+                    rows.append((n, hits, items, starts - base, ends - base))
+            if last:
+                yield finish(batch.select(names), rows)
+            else:
+                spans = [[] if x[1] is None else [{"from": a, "to": b} for a, b in _ranges(x[1])] for x in rows]
+                more = [pa.array(spans, _SPAN), pa.array([sorted(x[2]) for x in rows], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *more], [*names, *extra])
+
+    out = bounded_batches(docs)
+    for k, shared in enumerate(passes):
+        last = k == len(passes) - 1
+        out = out.mapInArrow(lambda b, s=shared, f=k == 0, e=last: run(b, s, f, e), schema if last else fields)
+    return out
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """What of each text is in the benchmark: ``doc_id, n_words, n_hit, items`` (sorted ids), ``spans`` (words from-to).
 
     Words are lower-cased in A-Z. A word is hit inside any occurrence of ``window`` consecutive words of an item, or of
-    a whole shorter item. Each text is read once; only runs of benchmark words as long as the shortest window are
-    followed through the automaton, whose size is that of the benchmark. Nothing is shuffled.
+    a whole shorter item. Only runs of benchmark words as long as the shortest window are followed through an automaton.
+    A benchmark of many words has several automata (``build``), whose hits are joined exactly, since every window is in
+    one of them. Nothing of the texts is shuffled.
 
     A null text has no words; repeated rows, null ids and an empty table are judged row by row. With an empty benchmark
-    nothing is hit. Extra columns aren't read.
+    nothing is hit; items that repeat count once by id. Extra columns aren't read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(build(benchmark, window))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = shared.value
-        span = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
-        for batch in batches:
-            for lo, hi, texts in text_slices(batch, "text", lower=True):
-                words, n_hit, items, spans = [], [], [], []
-                for _, n, hits, found, _, _ in _scan(texts, auto):
-                    words.append(n)
-                    n_hit.append(0 if hits is None else int(hits.sum()))
-                    items.append(sorted(found) if found else [])
-                    spans.append([{"from": a, "to": b} for a, b in _ranges(hits)] if hits is not None else [])
-                columns = [
-                    batch.column(0).slice(lo, hi - lo),
-                    pa.array(words, pa.int64()),
-                    pa.array(n_hit, pa.int64()),
-                    pa.array(items, pa.list_(pa.string())),
-                    pa.array(spans, span),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "items", "spans"])
-
-    return docs.select("doc_id", "text").mapInArrow(
-        scan, f"doc_id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<from:int,to:int>>"
-    )
+    def tell(batch: pa.RecordBatch, rows: list) -> pa.RecordBatch:
+        columns = [
+            batch.column(0),
+            pa.array([x[0] for x in rows], pa.int64()),
+            pa.array([0 if x[1] is None else int(x[1].sum()) for x in rows], pa.int64()),
+            pa.array([sorted(x[2]) for x in rows], pa.list_(pa.string())),
+            pa.array([[] if x[1] is None else [{"from": a, "to": b} for a, b in _ranges(x[1])] for x in rows], _SPAN),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "items", "spans"])
+
+    schema = f"doc_id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<from:int,to:int>>"
+    return _over(docs.select("doc_id", "text"), build(benchmark, window), tell, schema)
 
 
 def decontaminate(
@@ -232,37 +310,31 @@ def decontaminate(
 
     Spans of more than ``max_words`` hit words are cut from the text; a document of whose words more than
     ``max_coverage`` are hit goes as a whole. Others stay as they are, null texts too. ``n_chars``, if there is such a
-    column, follows the text.
+    column, follows the text. Repeated rows and null ids are treated row by row; an empty table gives an empty one, and
+    an empty benchmark cuts nothing.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(build(benchmark, window))
     names = docs.columns
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = shared.value
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            texts_out, keep, changed = batch.column(at).to_pylist(), np.ones(batch.num_rows, dtype=bool), False
-            for lo, _, texts in text_slices(batch, "text", lower=True):
-                for i, n, hits, _, starts, ends in _scan(texts, auto):
-                    if hits is None:
-                        continue
-                    changed = True
-                    if hits.sum() > max_coverage * n:
-                        keep[lo + i] = False
-                        continue
-                    raw, out, done = texts_out[lo + i].encode("utf-8", "replace"), [], 0
-                    base = int(texts.offsets[i])
-                    for a, b in _ranges(hits):
-                        if b - a > max_words:
-                            out.append(raw[done : int(starts[a]) - base])
-                            done = int(ends[b - 1]) - base
-                    texts_out[lo + i] = b"".join([*out, raw[done:]]).decode("utf-8", "replace")
-            if changed:
-                batch = batch.set_column(at, batch.schema.field(at), pa.array(texts_out, batch.schema.field(at).type))
-                batch = batch.filter(pa.array(keep))
-            yield batch
-
-    out = docs.mapInArrow(cut, docs.schema)
+    def cut(batch: pa.RecordBatch, rows: list) -> pa.RecordBatch:
+        at = batch.schema.get_field_index("text")
+        if all(x[1] is None for x in rows):
+            return batch
+        texts, keep = batch.column(at).to_pylist(), np.ones(batch.num_rows, dtype=bool)
+        for i, (n, hits, _, starts, ends) in enumerate(rows):
+            if hits is None:
+                continue
+            if hits.sum() > max_coverage * n:
+                keep[i] = False
+                continue
+            raw, out, done = texts[i].encode("utf-8", "replace"), [], 0
+            for a, b in _ranges(hits):
+                if b - a > max_words:
+                    out.append(raw[done : int(starts[a])])
+                    done = int(ends[b - 1])
+            texts[i] = b"".join([*out, raw[done:]]).decode("utf-8", "replace")
+        return batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).filter(pa.array(keep))
+
+    out = _over(docs, build(benchmark, window), cut, docs.schema)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*names)
