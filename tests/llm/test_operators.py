@@ -220,14 +220,15 @@ def plain_passages(texts):
     for i, w in texts.items():
         for k in range(len(w) - 49):
             where[tuple(w[k : k + 50])].add(i)
-    return {i: {p for k in range(len(w) - 49) if len(where[tuple(w[k : k + 50])]) > 1 for p in range(k, k + 50)} for i, w in texts.items()}
+    held = lambda i, w, more: {p for k in range(len(w) - 49) if more(i, where[tuple(w[k : k + 50])]) for p in range(k, k + 50)}
+    return {i: (held(i, w, lambda i, who: len(who) > 1), held(i, w, lambda i, who: min(who) < i)) for i, w in texts.items()}
 
 
 def found_passages(spark, texts):
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string").coalesce(1)
-    found = {i: set() for i in texts}
+    found = {i: (set(), set()) for i in texts}
     for r in suffix_dedup.repeated_passages(docs).collect():
-        found[r.doc_id] = {p for s in r.spans for p in range(s["from"], s["to"])}
+        found[r.doc_id] = tuple({p for s in x for p in range(s["from"], s["to"])} for x in (r.spans, r.drops))
         assert r.partners and r.doc_id not in r.partners
     return found
 
@@ -246,6 +247,38 @@ def test_passages_repeated_many_times_in_a_document(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_passages_of_documents_made_of_shared_pieces(spark, seed):
+    """Pieces of 20 to 120 words in many orders, some changed by a word, repeated in a document and over many."""
+    rng = np.random.default_rng(seed)
+    pieces = [words(int(rng.integers(20, 120)), 700 + 50 * seed + k) for k in range(25)]
+    texts = {}
+    for i in range(80):
+        w = []
+        for k in rng.integers(0, 25, 6):
+            piece = list(pieces[k][int(rng.integers(0, 4)) * 3 :])
+            if rng.random() < 0.3:
+                piece[int(rng.integers(0, len(piece)))] = f"y{i}"
+            w += piece + [f"z{i}"] * int(rng.integers(0, 3))
+        texts[i] = w
+    assert found_passages(spark, texts) == plain_passages(texts)
+
+
+def test_dropped_passages_stay_once(spark, docs):
+    left = suffix_dedup.drop_passages(docs)
+    assert left.columns == docs.columns and left.count() == 18
+    texts = {r.doc_id: r.text for r in left.collect()}
+    assert texts[11].split() == words(150, 3) + words(60, 2) + words(30, 4)
+    assert texts[12].split() == words(10, 5) + words(120, 6) and texts[5] is None and texts[3].split() == []
+    # rows that repeat an id with other texts
+    p = words(60, 40)
+    rows = [(1, " ".join(p + words(5, 41))), (2, " ".join(words(7, 42) + p)), (2, " ".join(words(3, 43) + p + words(2, 44))), (None, " ".join(p))]
+    left = sorted((r.doc_id or 0, r.text.split()) for r in suffix_dedup.drop_passages(spark.createDataFrame(rows, "doc_id int, text string")).collect())
+    assert left == sorted([(0, p), (1, p + words(5, 41)), (2, words(7, 42)), (2, words(3, 43) + words(2, 44))])
+    named = spark.createDataFrame([(f"d{i}", t) for i, t in rows if i], "doc_id string, text string")
+    assert sorted(r.doc_id for r in suffix_dedup.repeated_passages(named).collect()) == ["d1", "d2", "d2"]
+
+
 def kept_suffix(passage):
     """Where the kept suffix of a passage of 50 words begins."""
     data = np.frombuffer(" ".join(passage).encode(), np.uint8)

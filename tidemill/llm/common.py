@@ -90,10 +90,11 @@ def hot_keys(counts: DataFrame, n: str) -> tuple[DataFrame, int]:
     return counts.where(F.col(n) > limit), limit
 
 
-def dealt_join(rows: DataFrame, table: DataFrame, key: str, by: str) -> DataFrame:
+def dealt_join(rows: DataFrame, table: DataFrame, key: str, by: str, counts: DataFrame | None = None) -> DataFrame:
     """``rows`` joined to ``table`` on ``key``. The rows of a hot key are dealt over tasks by the hash of column ``by``,
-    and the table's row of that key goes to each of them, so no key gathers its rows in one task."""
-    hot, limit = hot_keys(saved(rows.groupBy(key).agg(F.count("*").alias("_n"))), "_n")
+    and the table's row of that key goes to each of them, so no key gathers its rows in one task. ``counts`` (``key``,
+    rows ``_n``) may be given if they are known."""
+    hot, limit = hot_keys(saved(rows.groupBy(key).agg(F.count("*").alias("_n"))) if counts is None else counts, "_n")
     if hot.isEmpty():
         return rows.join(table, key)
     hot = F.broadcast(hot.select(key, F.ceil(F.col("_n") / limit).cast("int").alias("_parts")))

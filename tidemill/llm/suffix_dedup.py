@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm.bytewords import NOT_SPACE, mix, text_slices, windows
-from tidemill.llm.common import read, saved
+from tidemill.llm.common import bounded_batches, dealt_join, read, saved
 
 #: A suffix is kept where the hash of its first SEED words is the least of SPARSE neighbouring ones, so every passage
 #: of SEED + SPARSE - 1 = 50 words has one, at the same place in each occurrence.
@@ -70,19 +71,27 @@ def passages(hashes: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndar
     return start, mix(whole[start]), suffix[start], grams[suffix[start]]
 
 
-def suffixes(docs: DataFrame, least: int, seeds: Bitmap | None = None, contexts: Bitmap | None = None, found: Bitmap | None = None, single: bool = False) -> DataFrame:
-    """The kept suffixes of every text with the passages in which they are the kept one: ``doc_id, n_words, pos, seed``
-    (hash of the first words), ``start`` and ``n`` (the passages begin at the words from start on), ``context`` (hash of
-    all of them). With ``single`` a row for each passage instead, with its hash and start. The bitmaps leave out
-    suffixes by seed or context, and passages by hash."""
+def id_hashes(ids: pa.Array) -> np.ndarray:
+    """64-bit hashes of document ids, integers or strings."""
+    if pa.types.is_integer(ids.type):
+        return mix(ids.cast(pa.int64()).to_numpy(zero_copy_only=False).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    out = [int.from_bytes(hashlib.blake2b(str(x).encode(), digest_size=8).digest(), "little") for x in ids.to_pylist()]
+    return np.array(out, dtype=np.uint64)
+
+
+def suffixes(docs: DataFrame, least: int, seeds: Bitmap | None = None, owners: Bitmap | None = None) -> DataFrame:
+    """The kept suffixes of every text with the passages in which they are the kept one: ``doc_id, version`` (hash of the
+    whole text), ``n_words, pos, seed`` (hash of the first words), ``start`` and ``n`` (the passages begin at the n words
+    from start on), ``context`` (hash of all of them) and ``own`` (hash of context and document). With ``owners``, a
+    bitmap of such hashes, a row for each passage instead, with its hash and start. ``seeds`` leaves out others."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast((seeds, contexts, found))
+    shared = docs.sparkSession.sparkContext.broadcast((seeds, owners))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, contexts, found = shared.value
+        seeds, owners = shared.value
         for batch in batches:
             ids = batch.column(0)
-            for lo, _, texts in text_slices(batch, "text", lower=True):
+            for lo, hi, texts in text_slices(batch, "text", lower=True):
                 starts, ends, first = texts.spans(NOT_SPACE)
                 start, whole, suffix, seed = passages(texts.hashes(starts, ends), first, least)
                 if not len(start):
@@ -91,48 +100,63 @@ def suffixes(docs: DataFrame, least: int, seeds: Bitmap | None = None, contexts:
                 begins = np.flatnonzero(np.concatenate([[True], (suffix[1:] != suffix[:-1]) | (doc[1:] != doc[:-1])]))
                 n = np.diff(np.append(begins, len(start)))
                 context = mix(np.add.reduceat(whole, begins) + seed[begins])
+                own = mix(context + id_hashes(ids.slice(lo, hi - lo))[doc[begins]])
                 good = np.ones(len(begins), bool) if seeds is None else seeds.has(seed[begins])
-                if contexts is not None:
-                    good &= contexts.has(context)
-                if single:
+                if owners is not None:
+                    good &= owners.has(own)
                     at = np.flatnonzero(np.repeat(good, n))
-                    at = at if found is None else at[found.has(whole[at])]
-                    n, context = np.ones(len(at), np.int64), np.repeat(context, n)[at]
+                    context, own, n = np.repeat(context, n)[at], np.repeat(own, n)[at], np.ones(len(at), np.int64)
                 else:
-                    at, n, context = begins[good], n[good], context[good]
+                    at, n, context, own = begins[good], n[good], context[good], own[good]
                 if not len(at):
                     continue
                 row = doc[at]
+                version = texts.hashes(texts.offsets[:-1], texts.offsets[1:])
                 columns = [
                     ids.take(pa.array(lo + row)),
+                    pa.array(version[row].view(np.int64)),
                     pa.array(np.diff(first)[row].astype(np.int32)),
                     pa.array((suffix[at] - first[row]).astype(np.int32)),
                     pa.array(seed[at].view(np.int64)),
                     pa.array((start[at] - first[row]).astype(np.int32)),
                     pa.array(n.astype(np.int32)),
                     pa.array(context.view(np.int64)),
+                    pa.array(own.view(np.int64)),
                     pa.array(whole[at].view(np.int64)),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "pos", "seed", "start", "n", "context", "passage"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "n_words", "pos", "seed", "start", "n", "context", "own", "passage"])
+
+    schema = f"doc_id {kind}, version long, n_words int, pos int, seed long, start int, n int, context long, own long, passage long"
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, schema)
 
-    schema = f"doc_id {kind}, n_words int, pos int, seed long, start int, n int, context long, passage long"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+def _merged(spans: list[dict]) -> list[dict]:
+    out: list[dict] = []
+    for s in spans:
+        if out and s["start"] <= out[-1]["to"]:
+            out[-1]["to"] = max(out[-1]["to"], s["end"])
+        else:
+            out.append({"from": s["start"], "to": s["end"]})
+    return out
 
 
 def repeated_passages(docs: DataFrame, least: int = SEED + SPARSE - 1) -> DataFrame:
-    """Passages of ``least`` words or more that are in another document too: ``doc_id, n_words, n_repeat_words, spans``
-    (words from-to, merged) and ``partners`` (least and greatest ids of the documents with a passage), for documents
-    with any.
+    """Passages of ``least`` words or more that are in another document too: ``doc_id, version, n_words,
+    n_repeat_words, spans`` (words from-to, merged), ``drops`` (the part of them that an earlier document has: a passage
+    is kept in the document with the smallest id that holds it) and ``partners`` (least and greatest ids of the documents
+    with a passage), for documents with any.
 
     Words are compared with A-Z lower-cased. Every passage of ``least`` words belongs to the kept suffix in it, at the
-    same place in each occurrence. Suffixes whose seed is in one document are left out. Where all passages of a suffix
-    together are in another document, one hash of them settles it; the others, at the ends of longer passages and next
-    to changed words, are compared passage by passage with all suffixes of their seed. All hashes are grouped with
-    their least and greatest ids, pre-aggregated, so neither a passage of a third of all documents nor one that a
-    document repeats many times gathers in a task.
-
-    Null texts, null ids and texts of fewer words have no passages. Rows that repeat an id are one document. An empty
-    table gives an empty result; extra columns aren't read.
+    same place in each occurrence. Suffixes whose seed is in one document are left out. All passages of a suffix
+    together are its context, and one hash of them settles whether another document has them all. Seeds with several
+    contexts, at the ends of longer passages and next to changed words, are also compared passage by passage; there the
+    least and the greatest document of each context stand for the others that have it. All hashes are grouped with their
+    least and greatest ids, pre-aggregated, so neither a passage of a third of all documents nor one that a document
+    repeats many times gathers in a task.
+
+    Null texts, null ids and texts of fewer words have no passages. Rows that repeat an id are one document; if their
+    texts differ, each has a row of its own (``version`` is a hash of the lower-cased text). An empty table gives an empty
+    result; extra columns aren't read.
     """
     if least <= SEED:
         raise ValueError(f"passages have more than {SEED} words")
@@ -141,45 +165,74 @@ def repeated_passages(docs: DataFrame, least: int = SEED + SPARSE - 1) -> DataFr
     holders = [F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")]
     seeds = saved(suffixes(some, least).groupBy("seed").agg(*holders).where("_a < _b").select("seed"))
     kept = saved(suffixes(some, least, bitmap(seeds, "seed")))
-    held = saved(kept.groupBy("seed", "context").agg(*holders))
-    lone = F.col("_a") == F.col("_b")
-    open_seeds = held.groupBy("seed").agg(F.min("_a").alias("_a"), F.max("_b").alias("_b"), F.max(lone).alias("_open")).where("_open and _a < _b")
-    open_seeds = saved(open_seeds.select("seed"))
-    by_seed = bitmap(open_seeds, "seed")
-    again = saved(suffixes(some, least, by_seed, single=True).groupBy("passage").agg(*holders).where("_a < _b"))
-    contexts = bitmap(saved(held.where(lone).select("context")), "context")
-    single = suffixes(some, least, by_seed, contexts, bitmap(again, "passage"), single=True)
-    settled = kept.join(held.where("_a < _b").withColumnsRenamed({"seed": "_s", "context": "_c"}), (F.col("seed") == F.col("_s")) & (F.col("context") == F.col("_c")))
-    settled = settled.select("doc_id", "n_words", "start", (F.col("start") + F.col("n") - 1 + least).alias("end"), "_a", "_b")
-    rest = single.join(again.withColumnRenamed("passage", "_p"), F.col("passage") == F.col("_p")).groupBy("doc_id", "pos", "seed")
-    rest = rest.agg(F.max("n_words").alias("n_words"), F.min("start").alias("start"), (F.max("start") + least).alias("end"), F.min("_a").alias("_a"), F.max("_b").alias("_b"))  # they all hold the seed
-    matches = settled.unionByName(rest.select(*settled.columns))
-    grouped = matches.groupBy("doc_id").agg(
+    held = kept.groupBy("seed", "context").agg(*holders, F.min_by("own", "doc_id").alias("_x"), F.max_by("own", "doc_id").alias("_y"), F.count("*").alias("_n"))
+    held = saved(held)
+    # seeds in several documents of which not all have the same passages
+    mixed = held.groupBy("seed").agg(F.min("_a").alias("_a"), F.max("_b").alias("_b"), F.count("*").alias("_contexts")).where("_contexts > 1 and _a < _b").select("seed")
+    mixed = saved(mixed)
+    owners = held.join(mixed, "seed", "left_semi").select(F.explode(F.array("_x", "_y")).alias("own")).distinct()
+    single = saved(suffixes(some, least, bitmap(mixed, "seed"), bitmap(saved(owners), "own")))
+    again = saved(single.groupBy(F.col("passage").alias("_p")).agg(*holders, F.count("*").alias("_n")).where("_a < _b"))
+    span = F.struct("start", (F.col("start") + F.col("n") - 1 + least).alias("end"))
+    common = held.where("_a < _b").select(F.col("seed").alias("_s"), F.col("context").alias("_c"), "_a", "_b", "_n")
+    whole = dealt_join(kept.withColumn("_c", F.col("context")), common.drop("_n"), "_c", "doc_id", common.select("_c", "_n")).where("seed = _s")
+    parts = dealt_join(single.withColumn("_p", F.col("passage")), again.drop("_n"), "_p", "doc_id", again.select("_p", "_n"))
+    out = ["doc_id", "version", "n_words", "pos", "seed", span.alias("span"), "_a", "_b"]
+    matches = whole.select(*out).unionByName(parts.select(*out)).withColumn("drop", F.when(F.col("doc_id") > F.col("_a"), F.col("span")))
+    grouped = matches.groupBy("doc_id", "version").agg(
         F.max("n_words").alias("n_words"),
-        F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"),
+        F.sort_array(F.collect_set("span")).alias("spans"),
+        F.sort_array(F.collect_set("drop")).alias("drops"),
         F.collect_set("_a").alias("_as"),
         F.collect_set("_b").alias("_bs"),
     )
     partners = F.array_sort(F.filter(F.array_union("_as", "_bs"), lambda x: x != F.col("doc_id")))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
         for batch in batches:
-            merged, n = [], []
-            for spans in batch.column(2).to_pylist():
-                out: list[dict] = []
-                for s in spans:
-                    if out and s["start"] <= out[-1]["to"]:
-                        out[-1]["to"] = max(out[-1]["to"], s["end"])
-                    else:
-                        out.append({"from": s["start"], "to": s["end"]})
-                merged.append(out)
-                n.append(sum(s["to"] - s["from"] for s in out))
-            span = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
-            columns = [batch.column(0), batch.column(1).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(merged, span), batch.column(3)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_repeat_words", "spans", "partners"])
-
-    schema = f"doc_id {kind}, n_words long, n_repeat_words long, spans array<struct<from:int,to:int>>, partners array<{kind}>"
-    return grouped.select("doc_id", "n_words", "spans", partners.alias("partners")).mapInArrow(merge, schema)
+            spans, drops = ([_merged(x) for x in batch.column(i).to_pylist()] for i in (3, 4))
+            n = [sum(s["to"] - s["from"] for s in x) for x in spans]
+            columns = [batch.column(0), batch.column(1), batch.column(2).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(spans, span), pa.array(drops, span), batch.column(5)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "n_words", "n_repeat_words", "spans", "drops", "partners"])
+
+    pieces = "array<struct<from:int,to:int>>"
+    schema = f"doc_id {kind}, version long, n_words long, n_repeat_words long, spans {pieces}, drops {pieces}, partners array<{kind}>"
+    return grouped.select("doc_id", "version", "n_words", "spans", "drops", partners.alias("partners")).mapInArrow(merge, schema)
+
+
+def drop_passages(docs: DataFrame, least: int = SEED + SPARSE - 1) -> DataFrame:
+    """The documents without the passages that an earlier one has (``drops`` of ``repeated_passages``), with all their
+    columns. Texts that lose none stay as they are, null ones too."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = repeated_passages(docs, least).where(F.size("drops") > 0)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, texts in text_slices(batch, "text", lower=True):
+                version = texts.hashes(texts.offsets[:-1], texts.offsets[1:]).view(np.int64)
+                starts, ends, first = texts.spans(NOT_SPACE)
+                rows, left = [], []
+                for i in range(hi - lo):
+                    drops = next((x["drops"] for x in batch.column(2)[lo + i].as_py() if x["version"] == version[i]), None)
+                    if drops is None:
+                        continue
+                    raw, out, done = batch.column(1)[lo + i].as_py().encode("utf-8", "replace"), [], 0
+                    at = lambda k, i=i: int(k) - int(texts.offsets[i])
+                    for d in drops:
+                        out.append(raw[done : at(starts[first[i] + d["from"]])])
+                        done = at(ends[first[i] + d["to"] - 1])
+                    rows.append(lo + i)
+                    left.append(b"".join([*out, raw[done:]]).decode("utf-8", "replace"))
+                old = batch.column(1).take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), old, pa.array(left, pa.string())], ["_d", "_t", "_left"])
+
+    drops = found.groupBy("doc_id").agg(F.collect_list(F.struct("version", "drops")).alias("_drops"))
+    fewer = docs.select("doc_id", "text").join(drops, "doc_id").select("doc_id", "text", "_drops").distinct()
+    fewer = bounded_batches(fewer).mapInArrow(cut, f"_d {kind}, _t string, _left string")
+    joined = docs.join(fewer, (docs["doc_id"] == fewer["_d"]) & (docs["text"] == fewer["_t"]), "left")
+    text = F.coalesce(fewer["_left"], docs["text"])
+    return joined.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns])
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
