@@ -611,7 +611,7 @@ def test_lines_awkward_rows(docs, empty):
 def test_urls_awkward_rows(spark):
     urls = [None, "", "nothing", "http://A.Example.ORG/es/x?y", "https://example.org/en/1/2#z", "http://spam-farm.example.com/", "http://x.casino-win.example.net?u", "ftp://shop.com/fr/", "http://shop.com/de/1", "http://org", "://example.org/es/", "http://notexample.org/es/", "http://q.net/a\nb"]
     pages = spark.createDataFrame([(i, u, "h", "k") for i, u in enumerate(urls)] + [(None, "http://free-bets.example.com", "h", "k"), (3, urls[3], "h", "k")], "page_id long, url string, host string, key string")
-    listed = spark.createDataFrame([(d,) for d in url_filter.LISTED], "key string")
+    listed = spark.createDataFrame([(d,) for d in url_filter.listed_domains()], "key string")
     rows = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.url_filter(pages, listed).collect()}
     assert rows[0] == rows[1] == rows[2] == ("", "", None, "allow")
     assert rows[3] == ("a.example.org", "/es/x", "example.org/es/", "block")
@@ -624,10 +624,22 @@ def test_urls_awkward_rows(spark):
     assert url_filter.url_filter(pages, listed.limit(0)).where("rule is null and verdict = 'block'").count() == 0
 
 
-def test_cascade_is_exact(spark):
+@pytest.mark.parametrize("shard_bits", [1 << 26, 1 << 11])
+def test_cascade_is_exact(spark, monkeypatch, shard_bits):
+    """With one shard of the keys, and with several in several passes."""
+    monkeypatch.setattr(url_filter, "SHARD_BITS", shard_bits)
+    monkeypatch.setattr(url_filter, "SHARDS_A_PASS", 3)
     universe = spark.range(20000).select(F.concat(F.lit("k"), "id").alias("key"))
-    listed = universe.where("hash(key) % 17 = 0")
+    listed = universe.where("hash(key) % 31 = 0")
     cascade = url_filter.Cascade(universe, listed)
-    assert len(cascade.levels) > 1 and not cascade.by_join
-    found = universe.where(cascade.holds(F.col("key")))
+    assert all(len(x) > 1 for x in cascade.shards) and (len(cascade.shards) > 3) == (shard_bits < 1 << 20)
+    found = cascade.mark(universe, lambda: F.array("key"), "in").where(F.col("in")).select("key")
     assert found.exceptAll(listed).count() == 0 and found.count() == listed.count()
+
+
+def test_urls_that_are_very_long(spark):
+    deep = ".".join(["a"] * 300) + ".spam-farm.example.com"
+    pages = spark.createDataFrame([(1, "http://" + deep + "/" + "x" * 100_000), (2, "y" * 100_000), (3, "http://" + "z" * 50_000)], "page_id long, url string")
+    listed = spark.createDataFrame([("spam-farm.example.com",)], "key string")
+    rows = {r.page_id: (len(r.host), len(r.path), r.verdict) for r in url_filter.url_filter(pages, listed).collect()}
+    assert rows == {1: (len(deep), 100_001, "block"), 2: (0, 0, "allow"), 3: (50_000, 0, "allow")}

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import partial
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,17 +21,20 @@ RULES = (
     ("com/fr/", "allow"),
     ("com/de/", "block"),
 )
-#: The listed domains of the production query; a listed domain stands for its subdomains too.
-LISTED = tuple(
-    f"{name}.example.{top}"
-    for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
-    for top in ("com", "net", "org")
-)
-#: A filter's size is at most this many bits (8 MB); a list that needs more is looked up by a shuffled join.
-MAX_BITS = 1 << 26
+#: The file of listed domains of the production query, one a line; a listed domain stands for its subdomains too.
+LISTED_FILE = Path(__file__).with_name("listed_domains.txt")
+#: Bits of the filters of one shard of the keys at most (8 MB), and shards whose filters a task holds at once. A longer
+#: list has more shards, by a hash of the key, and more passes over the rows.
+SHARD_BITS, SHARDS_A_PASS = 1 << 26, 4
 MAX_LEVELS = 64
 
 
+def listed_domains(path: Path | str = LISTED_FILE) -> list[str]:
+    """The domains of a list: lines without those that are empty or begin with ``#``."""
+    lines = (line.strip().lower() for line in Path(path).read_text("utf-8").splitlines())
+    return sorted({x for x in lines if x and not x.startswith("#")})
+
+
 def url_host(url: Column) -> Column:
     return ascii_lower(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)([^?#]*)", 1), F.lit("")))
 
@@ -51,31 +56,27 @@ class BloomFilter:
         self.level = level
         self.n_bits = max(64, 64 * math.ceil(1.4427 * math.log2(1 / fpr) * n_keys / 64))
         self.n_hashes = max(1, round(math.log2(1 / fpr)))
-        self.bits = b""
+        self.words: list[int] = []
 
     def _position(self, key: Column, i: int) -> Column:
         return F.pmod(F.xxhash64(F.lit(self.level * 100 + i), key), F.lit(self.n_bits))
 
     def fill(self, keys: DataFrame) -> BloomFilter:
-        """Sets the bits by a grouped ``bit_or``; the driver gets at most ``n_bits / 64`` words."""
-        at = F.explode(F.array(*[self._position(F.col("key"), i) for i in range(self.n_hashes)])).alias("at")
-        words = (
-            keys.select(at)
-            .groupBy((F.col("at") / 64).cast("long").alias("word"))
-            .agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
-        )
-        out = np.zeros(self.n_bits // 64, dtype="<i8")
-        for row in words.collect():
-            out[row["word"]] = row["bits"]
-        self.bits = out.tobytes()
+        """Sets the bits by a grouped bitmap; the driver gets rows of 4 KB, as many as the filter is long."""
+        at = F.explode(F.array(*[self._position(F.col("key"), i) + 1 for i in range(self.n_hashes)])).alias("at")
+        parts = keys.select(at).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("m"))
+        out = np.zeros(-(-self.n_bits // 32768) * 4096, dtype=np.uint8)
+        for row in parts.collect():
+            out[(row["k"] - 1) * 4096 : row["k"] * 4096] = np.frombuffer(row["m"], np.uint8)
+        self.words = out.view("<i8")[: self.n_bits // 64].tolist()
         return self
 
-    def holds(self, key: Column) -> Column:
+    def holds(self, words: Column, key: Column) -> Column:
+        """Whether the filter, given as a column of its words, may hold the key."""
         hit = None
         for i in range(self.n_hashes):
             at = self._position(key, i)
-            byte = F.substring(F.lit(self.bits), (F.floor(at / 8) + 1).cast("int"), F.lit(1))
-            bit = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (at % 8).cast("int")) == 1
+            bit = F.getbit(F.get(words, F.shiftright(at, 6).cast("int")), (at % 64).cast("int")) == 1
             hit = bit if hit is None else hit & bit
         return hit
 
@@ -84,7 +85,8 @@ class Cascade:
     """Exact membership for every key of ``universe`` (column ``key``, distinct) in the list ``listed`` without a join.
 
     Level 0 encodes the listed keys; each later level encodes those of the other side that pass the level before, until
-    none is left. A key's level of first refusal tells its side.
+    none is left. A key's level of first refusal tells its side. Keys are dealt to shards by a hash, so that no shard's
+    filters are longer than SHARD_BITS; each shard is a cascade of its own.
     """
 
     def __init__(self, universe: DataFrame, listed: DataFrame):
@@ -93,26 +95,59 @@ class Cascade:
         inside = saved(universe.join(listed, "key", "left_semi"))
         outside = saved(universe.join(listed, "key", "left_anti"))
         n_in, n_out = inside.count(), outside.count()
-        self.listed, self.levels = listed, []
-        self.by_join = 1.45 * math.log2(max(2, n_out / max(1, n_in))) * n_in > MAX_BITS
         # the first level lets through about as many others as there are listed keys, later ones half of what is left
-        fpr = min(0.5, math.sqrt(0.5) * n_in / max(1, n_out))
-        n = n_in
-        while n and not self.by_join:
-            if len(self.levels) == MAX_LEVELS:
+        bits = 1.45 * (math.log2(max(2, n_out / max(1, n_in))) + 3) * n_in
+        self.n_shards = max(1, math.ceil(bits / SHARD_BITS))
+        self.shards = [self._levels(inside.where(self._shard(F.col("key")) == k), outside.where(self._shard(F.col("key")) == k)) for k in range(self.n_shards)]
+
+    def _shard(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit(-1), key), F.lit(self.n_shards))
+
+    @staticmethod
+    def _table(spark: SparkSession, filters: dict[str, BloomFilter]) -> DataFrame:
+        """One row with a column of words for each filter."""
+        return F.broadcast(spark.createDataFrame([[f.words for f in filters.values()]], ", ".join(f"{c} array<long>" for c in filters)))
+
+    def _levels(self, inside: DataFrame, outside: DataFrame) -> list[BloomFilter]:
+        levels: list[BloomFilter] = []
+        n, others = inside.count(), outside.count()
+        fpr = min(0.5, math.sqrt(0.5) * n / max(1, others))
+        while n:
+            if len(levels) == MAX_LEVELS:
                 raise RuntimeError("the filters don't separate the keys; are keys of the universe repeated?")
-            level = BloomFilter(len(self.levels), n, fpr if not self.levels else 0.5).fill(inside)
-            self.levels.append(level)
-            inside, outside = saved(outside.where(level.holds(F.col("key")))), inside
+            level = BloomFilter(len(levels), n, 0.5 if levels else fpr).fill(inside)
+            levels.append(level)
+            passing = outside.crossJoin(self._table(inside.sparkSession, {"_f": level})).where(level.holds(F.col("_f"), F.col("key")))
+            inside, outside = saved(passing.select("key")), inside
             n = inside.count()
+        return levels
 
-    def holds(self, key: Column) -> Column:
-        """Whether a key of the universe is listed."""
+    def _held(self, lo: int, key: Column) -> Column:
+        """Whether the key is listed, by the shards of the pass that begins with shard ``lo``; false for others' keys."""
         out = F.lit(False)
-        for level in reversed(self.levels):
-            out = level.holds(key) & ~out
+        for k, levels in enumerate(self.shards[lo : lo + SHARDS_A_PASS], lo):
+            inner = F.lit(False)
+            for i, level in reversed(list(enumerate(levels))):
+                inner = level.holds(F.col(f"_f{k}_{i}"), key) & ~inner
+            out = F.when(self._shard(key) == k, inner).otherwise(out)
         return out
 
+    def mark(self, rows: DataFrame, keys: Callable[[], Column], name: str) -> DataFrame:
+        """``rows`` with a boolean ``name``: whether any of the keys (an array of keys of the universe) is listed. The
+        filters of SHARDS_A_PASS shards are one broadcast row (SHARD_BITS each at most); with more the rows are written
+        between passes."""
+        rows = rows.withColumn(name, F.lit(False))
+        for lo in range(0, self.n_shards, SHARDS_A_PASS):
+            filters = {f"_f{k}_{i}": f for k, levels in enumerate(self.shards[lo : lo + SHARDS_A_PASS], lo) for i, f in enumerate(levels)}
+            if not filters:
+                continue
+            rows = rows if lo == 0 else saved(rows)
+
+            held = partial(self._held, lo)
+            table = self._table(rows.sparkSession, filters)  # one row
+            rows = rows.crossJoin(table).withColumn(name, F.col(name) | F.exists(keys(), lambda key: held(key))).drop(*filters)
+        return rows
+
 
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Column:
     """The longest fitting rule as a struct (rule, verdict), else null."""
@@ -132,22 +167,17 @@ def url_filter(
     ``listed`` (column ``key``), else allow.
 
     Returns ``page_id, host, path, rule, verdict``. The key universe is all domains of all hosts of ``pages``, found by
-    a partial aggregation, so a host with a third of the rows costs a row a task. The filters' size follows the list
-    and stays under ``MAX_BITS``; a longer list is looked up by a shuffled semi join of the distinct domains instead.
+    a partial aggregation, so a host with a third of the rows costs a row a task. The filters' size follows the list;
+    a list of any length is judged by filters, in shards (``Cascade``).
 
-    A null url or one without ``://`` has an empty host and path, fits no rule and is allowed. Repeated rows are judged
-    alike; an empty table gives an empty result; ids may be null. Extra columns aren't read.
+    A null url or one without ``://`` has an empty host and path, fits no rule and is allowed; urls may be of any length.
+    Of rules of the same length the first fits. Repeated rows are judged alike; an empty table gives an empty result; ids
+    may be null. Extra columns aren't read.
     """
     rows = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     hosts = rows.select("host").where(F.col("host") != "").distinct()
     universe = hosts.select(F.explode(domains(F.col("host"))).alias("key")).distinct()
-    cascade = Cascade(universe, listed)
-    if cascade.by_join:
-        over = hosts.select("host", F.explode(domains(F.col("host"))).alias("key"))
-        bad = over.join(cascade.listed, "key", "left_semi").select(F.col("host").alias("_host")).distinct()
-        rows = rows.join(bad, rows["host"] == bad["_host"], "left").withColumn("_listed", F.col("_host").isNotNull())
-    else:
-        rows = rows.withColumn("_listed", F.exists(domains(F.col("host")), cascade.holds))
+    rows = Cascade(universe, listed).mark(rows, lambda: domains(F.col("host")), "_listed")
     return rows.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules)).select(
         "page_id",
         "host",
@@ -158,7 +188,7 @@ def url_filter(
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.createDataFrame([(d,) for d in LISTED], "key string")
+    listed = spark.createDataFrame([(d,) for d in listed_domains()], "key string")
     return url_filter(read(spark, sf_dir, "pages"), listed)
 
 
@@ -177,7 +207,7 @@ WITH u AS (
 SELECT page_id, host, path,
   CASE {" ".join(f"WHEN {_fits(r)} THEN '{r}'" for r, _ in _ORDER)} END AS rule,
   CASE {" ".join(f"WHEN {_fits(r)} THEN '{v}'" for r, v in _ORDER)}
-    WHEN {" OR ".join(f"host = '{d}' OR ends_with(host, '.{d}')" for d in LISTED)} THEN 'block' ELSE 'allow' END AS verdict
+    WHEN {" OR ".join(f"host = '{d}' OR ends_with(host, '.{d}')" for d in listed_domains())} THEN 'block' ELSE 'allow' END AS verdict
 FROM u
 """
 }
