@@ -330,6 +330,48 @@ def test_toxicity_learns_words_and_finds_sentences(spark):
     assert any("grumbl" in s.sentence for s in found.sentences)
 
 
+def test_toxicity_scores_by_hand(spark):
+    """The noisy-or of sentence scores from the model's weights, word by word."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    weights = dict(zip(model.hashes.tolist(), model.weights.tolist(), strict=True))
+    assert weights
+
+    def features(word):
+        raw = word.encode()
+        t = bytewords.Texts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        for n in (len(raw), *(n for n in (4, 5, 6) if len(raw) > n)):
+            h = int(t.hashes(np.array([0]), np.array([n]))[0])
+            yield h if n == len(raw) else h ^ (0x5851F42D4C957F2D * n % (1 << 64))
+
+    texts = {r.doc_id: r.text or "" for r in docs.where("doc_id % 9 = 0").collect()}
+    for r in toxicity.score(docs, model).where("doc_id % 9 = 0").collect():
+        clean, bad = 1.0, []
+        for sentence in re.split(r"[.!?\n]", texts[r.doc_id].translate(UPPER)):
+            found = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", sentence)
+            if found:
+                z = model.bias + sum(weights.get(h, 0.0) for h in {h for w in found for h in features(w)})
+                clean *= 1 - 1 / (1 + np.exp(-z))
+                bad += [z] if z >= 0 else []
+        assert r.score == pytest.approx(1 - clean, abs=1e-9) and len(r.sentences) == len(bad)
+
+
+def test_toxicity_learns_from_very_long_texts_and_any_labels(spark):
+    """Long texts train like others; repeated and contradicting labels, and labels without a document, do no harm."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(400):
+        lines = [" ".join(rng.choice(["the", "good", "day", "of", "rain", "sun"], 8)) for _ in range(900)]
+        if i % 4 == 0:
+            lines[i % 900] += " vileword"
+        rows.append((i, "\n".join(lines)))
+    marks = [(i, int(i % 4 == 0)) for i in range(400)] * 2 + [(1000 + i, 1) for i in range(3000)] + [(2, 1), (None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scored = toxicity.score(docs, toxicity.train(docs, spark.createDataFrame(marks, "doc_id long, toxic int"))).collect()
+    assert min(len(t) for _, t in rows) > 20_000
+    assert np.mean([(r.score >= 0.5) == (r.doc_id % 4 == 0) for r in scored]) > 0.98
+
+
 def test_toxicity_awkward_rows(docs, empty, labels):
     model = toxicity.train(docs, labels)
     rows = toxicity.score(docs, model).collect()

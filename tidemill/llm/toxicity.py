@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm.bytewords import ALNUM, Texts, text_slices
-from tidemill.llm.common import read, saved
+from tidemill.llm.common import bounded_batches, read, saved
 
-#: Labelled documents of each class that the model may be fitted on, and the longest text among them in bytes. Which
-#: they are follows from a hash of their ids.
-MAX_TOXIC, MAX_OTHER, MAX_SAMPLE_BYTES = 1500, 2500, 20_000
+#: Labelled documents of each class that the model may be fitted on. Which they are follows from a hash of their ids.
+MAX_TOXIC, MAX_OTHER = 1500, 2500
+#: Features that take part at most, in how many documents they are at least, and their least excess in standard errors.
+MAX_FEATURES, MIN_DOCS, MIN_GAIN = 3000, 4, 4.0
 #: Bytes that end a sentence.
 STOPS = np.zeros(256, dtype=bool)
 STOPS[[ord(c) for c in ".!?\n"]] = True
@@ -55,53 +56,77 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
 
 
-def fit(
-    texts: list[str], toxic: np.ndarray, steps: int = 200, rate: float = 0.15, penalty: float = 1e-5, most: int = 3000
-) -> Model:
+def chosen_features(rows: DataFrame) -> np.ndarray:
+    """The hashes of the MAX_FEATURES features with the largest excess in toxic documents, counted over the sample
+    (``text``, ``toxic``) by a grouped aggregation."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toxic = batch.column(1).to_numpy(zero_copy_only=False)
+            for lo, _, texts in text_slices(batch, "text", lower=True):
+                starts, ends, sentence, doc = _sentences(texts)
+                for which, hashes in _features(texts, starts, ends):
+                    row = doc[sentence[which]] if len(which) else np.empty(0, np.int64)
+                    order = np.lexsort((hashes, row))
+                    row, hashes = row[order], hashes[order]
+                    new = np.ones(len(row), bool)
+                    new[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes[new].view(np.int64)), pa.array(toxic[lo + row[new]].astype(np.int64))], ["feature", "toxic"])
+
+    sizes = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("y")).first()
+    n, y = sizes["n"], sizes["y"] or 0
+    if not 0 < y < n:
+        return np.empty(0, np.uint64)
+    counts = bounded_batches(rows).select("text", "toxic").mapInArrow(run, "feature long, toxic long")
+    counts = counts.groupBy("feature").agg(F.count("*").alias("c"), F.sum("toxic").alias("t")).where(F.col("c") >= MIN_DOCS)
+    share = F.col("c") / n
+    gain = (F.col("t") / y - (F.col("c") - F.col("t")) / (n - y)) / F.sqrt(share * (1 - share) * (1 / y + 1 / (n - y)) + 1e-12)
+    best = counts.withColumn("gain", gain).where(F.col("gain") > MIN_GAIN).orderBy(F.desc("gain"), "feature").limit(MAX_FEATURES)
+    return np.sort(np.array([r["feature"] for r in best.select("feature").collect()], dtype=np.int64).view(np.uint64))
+
+
+def bags(rows: DataFrame, words: np.ndarray) -> DataFrame:
+    """Of each sampled text its ``toxic`` label, ``plain`` (sentences without a chosen feature), and the others as
+    ``sentence`` numbers and ``feature`` numbers: what the fit needs, without the texts."""
+    shared = rows.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        for batch in batches:
+            for lo, hi, texts in text_slices(batch, "text", lower=True):
+                starts, ends, sentence, doc = _sentences(texts)
+                pairs = np.unique(_known(texts, starts, ends, sentence, words))
+                s_of, w_of = pairs // len(words), pairs % len(words)
+                cuts = np.searchsorted(doc[s_of], np.arange(hi - lo + 1)).astype(np.int32)
+                full = np.bincount(doc[np.unique(s_of)], minlength=hi - lo)
+                plain = np.bincount(doc, minlength=hi - lo) - full
+                lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x)) for x in (s_of, w_of)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(plain), *lists], ["doc_id", "toxic", "plain", "sentence", "feature"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return bounded_batches(rows).select("doc_id", "text", "toxic").mapInArrow(run, f"doc_id {kind}, toxic int, plain long, sentence array<long>, feature array<long>")
+
+
+def fit(toxic: np.ndarray, plain: np.ndarray, sentences: list[np.ndarray], features: list[np.ndarray], words: np.ndarray, steps: int = 200, rate: float = 0.15, penalty: float = 1e-5) -> Model:
     """Gradient steps (Adam) on the documents' log loss, where a document is clean if all its sentences are:
-    ``P = 1 - prod(1 - p_s)`` with ``p_s`` logistic in the features of the sentence's words.
-
-    The ``most`` features with the largest excess in toxic documents, of over four standard errors, take part."""
-    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
-    parts, docs_of = [], [np.empty(0, np.int64)]
-    for lo, _, part in text_slices(batch, "text", lower=True):  # slices, so that hashing takes little memory at once
-        starts, ends, sentence, doc = _sentences(part)
-        parts.append((part, starts, ends, sentence + sum(map(len, docs_of))))
-        docs_of.append(doc + lo)
-    doc, y = np.concatenate(docs_of), toxic.astype(float)
-    n_s, n_d = len(doc), len(texts)
-    if not n_s or toxic.min() == toxic.max():
-        return Model(np.empty(0, np.uint64), np.empty(0), 0.0 if n_s and toxic.any() else -12.0)
-    chosen, gains = [], []
-    for kinds in zip(*(_features(part, starts, ends) for part, starts, ends, _ in parts), strict=True):
-        words, ids = np.unique(np.concatenate([hashes for _, hashes in kinds]), return_inverse=True)
-        in_doc = np.concatenate([doc[sentence[which]] for (which, _), (*_, sentence) in zip(kinds, parts, strict=True)])
-        seen = np.unique(in_doc * len(words) + ids)
-        in_docs = np.bincount(seen % len(words), minlength=len(words))
-        in_toxic = np.bincount(seen % len(words), y[seen // len(words)], minlength=len(words))
-        share = in_docs / n_d
-        gain = (in_toxic / y.sum() - (in_docs - in_toxic) / (1 - y).sum()) / np.sqrt(
-            share * (1 - share) * (1 / y.sum() + 1 / (1 - y).sum()) + 1e-12
-        )
-        good = (in_docs >= 4) & (gain > 4)
-        chosen.append(words[good])
-        gains.append(gain[good])
-    features, gain = np.concatenate(chosen), np.concatenate(gains)
-    words = np.unique(features[np.argsort(-gain, kind="stable")[:most]])
+    ``P = 1 - prod(1 - p_s)`` with ``p_s`` logistic in the features of the sentence's words. Sentences without a chosen
+    feature differ in nothing, so a document has a number of them."""
+    y, n_d = toxic.astype(float), len(toxic)
     if not len(words):
         return Model(words, np.empty(0), -12.0)
-    pairs = np.unique(np.concatenate([_known(*part, words) for part in parts]))
-    s_of, w_of = pairs // len(words), pairs % len(words)
+    in_doc = np.repeat(np.arange(n_d), [len(x) for x in sentences])
+    _, first, s_of = np.unique(np.stack([in_doc, np.concatenate(sentences)]), axis=1, return_index=True, return_inverse=True)
+    doc, w_of = in_doc[first], np.concatenate(features)
     # clean documents outnumber toxic ones in the corpus; the sample is weighed back to even odds
     weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
     w, b = np.zeros(len(words)), -5.0
     m, v = np.zeros(len(words) + 1), np.zeros(len(words) + 1)
     for step in range(1, steps + 1):
-        z = b + np.bincount(s_of, w[w_of], minlength=n_s)
-        total = np.bincount(doc, _softplus(z), minlength=n_d)
+        z = b + np.bincount(s_of, w[w_of], minlength=len(doc))
+        total = np.bincount(doc, _softplus(z), minlength=n_d) + plain * _softplus(b)
         slope = np.where(y > 0, -1.0 / np.expm1(np.maximum(total, 1e-9)), 1.0) * weight
         dz = slope[doc] / (1.0 + np.exp(-z))
-        g = np.concatenate([np.bincount(w_of, dz[s_of], minlength=len(words)) + penalty * w, [dz.sum()]])
+        g = np.concatenate([np.bincount(w_of, dz[s_of], minlength=len(words)) + penalty * w, [dz.sum() + (slope * plain).sum() / (1.0 + np.exp(-b))]])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
@@ -123,26 +148,29 @@ def _known(texts: Texts, starts: np.ndarray, ends: np.ndarray, sentence: np.ndar
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
-    """(text, toxic) of the bounded sample: labelled documents outside fold 0, the first by a hash of the id."""
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(
-        F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic")
-    )
-    known = known.where(F.crc32(F.col("_id").cast("string")) % folds != 0)
+    """(``doc_id, text, toxic``) of the bounded sample: labelled documents outside fold 0, the first by a hash of the id.
+    An id that is labelled both ways is toxic; of an id with several texts the least is taken."""
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id"))
+    known = known.agg(F.max("toxic").cast("int").alias("_toxic")).where(F.crc32(F.col("_id").cast("string")) % folds != 0)
+    known = saved(known.join(docs.select(F.col("doc_id").alias("_id")), "_id", "left_semi"))
     order = [F.xxhash64("_id", F.lit(3)), F.col("_id")]
     some = known.where("_toxic = 1").orderBy(*order).limit(MAX_TOXIC)
     some = saved(some.unionByName(known.where("_toxic = 0").orderBy(*order).limit(MAX_OTHER)))
-    return (
-        docs.where(F.octet_length("text") <= MAX_SAMPLE_BYTES)
-        .join(F.broadcast(some), docs["doc_id"] == some["_id"])  # at most MAX_TOXIC + MAX_OTHER rows
-        .select("doc_id", "text", F.col("_toxic").alias("toxic"))
-    )
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id"))  # at most MAX_TOXIC + MAX_OTHER ids
+    return rows.groupBy("doc_id").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"), F.max("_toxic").alias("toxic"))
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model:
-    rows = sorted(training_rows(docs, labels, folds).toPandas().itertuples(index=False), key=lambda r: (r[0], r[1], r[2]))
-    if not rows:
-        return Model(np.empty(0, np.uint64), np.empty(0), -12.0)
-    return fit([r[1] for r in rows], np.array([r[2] for r in rows]))
+    """The model of the bounded sample. Texts stay on the executors; the driver gets a row a document with the numbers
+    of the chosen features in it."""
+    rows = saved(training_rows(docs, labels, folds))
+    words = chosen_features(rows)
+    if not len(words):
+        row = rows.agg(F.min("toxic").alias("least"), F.max(F.length("text")).alias("longest")).first()
+        return Model(words, np.empty(0), 0.0 if row["least"] == 1 and row["longest"] else -12.0)
+    found = sorted(bags(rows, words).collect(), key=lambda r: str(r["doc_id"]))
+    lists = [[np.array(r[c], dtype=np.int64) for r in found] for c in ("sentence", "feature")]
+    return fit(np.array([r["toxic"] for r in found]), np.array([float(r["plain"]) for r in found]), *lists, words)
 
 
 def score(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -152,7 +180,8 @@ def score(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     bags of lower-cased words and their stems. Map only, with a small broadcast model.
 
     A text without words, and a null text, scores 0; repeated rows, null ids and an empty table are scored row by row.
-    Extra columns aren't read.
+    Without labels of both classes nothing is learned and scores are near 0, or one half if all labels are toxic. Extra
+    columns aren't read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -182,7 +211,7 @@ def score(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "sentences"])
 
     schema = f"doc_id {kind}, score double, sentences array<struct<sentence:string,score:double>>"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
