@@ -389,10 +389,57 @@ def test_language_of_held_out_texts(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_languages_in_several_passes_give_the_same(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    whole = {r.doc_id: r for r in language_id.identify(docs, language_id.train(docs, path)).collect()}
+    monkeypatch.setattr(language_id, "LANGUAGES_A_PASS", 1)
+    monkeypatch.setattr(language_id, "MEMORY_BYTES", 20_000)
+    models = language_id.train(docs, path)
+    assert len(models) == 4
+    for r in language_id.identify(docs, models).collect():
+        assert r.lang_pred == whole[r.doc_id].lang_pred and r.score == pytest.approx(whole[r.doc_id].score, rel=1e-6)
+
+
+def test_language_scores_by_hand(spark):
+    """A text's share of the likelihoods, from every segmentation of every word."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    (model,) = language_id.train(docs, path)
+    pieces = language_id.pieces_of(path)
+    probs = dict(zip([pieces[i] for i in np.argsort(language_id.piece_hashes(pieces))], model.probs.astype(float), strict=True))
+    longest = max(map(len, pieces))
+
+    def total(word):
+        sums = [np.ones(4)]
+        for at in range(1, len(word) + 1):
+            sums.append(sum((sums[at - n] * probs[word[at - n : at]] for n in range(1, min(at, longest) + 1) if word[at - n : at] in probs), np.zeros(4)))
+        return np.log(sums[-1])
+
+    some = docs.where("doc_id % 23 = 0 and n_chars < 3000")
+    texts = {r.doc_id: r.text or "" for r in some.collect()}
+    for r in language_id.identify(some, [model]).collect():
+        found = re.findall(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", texts[r.doc_id].translate(UPPER).encode())
+        if found:
+            logs = sum(total(b" " + w) for w in found)
+            share = np.exp(logs - logs.max())
+            assert r.lang_pred == model.languages[int(logs.argmax())] and r.score == pytest.approx(1 / share.sum(), rel=1e-6)
+
+
+def test_language_learns_from_long_words_and_texts(spark):
+    """Words of any length, and texts of any length, take part in the fit."""
+    rows = [(i, " ".join(("ab" if i % 2 else "xy") * 400 for _ in range(60)), ["p", "q"][i % 2]) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = language_id.train(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    asked = spark.createDataFrame([(1, "ababab"), (2, "xyxyxy")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(asked, models).collect()} == {1: "q", 2: "p"}
+    assert all(np.isfinite(m.probs).all() for m in models)
+
+
 def test_language_awkward_rows(docs, empty):
     model = language_id.train(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     rows = {r.doc_id: r for r in language_id.identify(docs, model).collect()}
-    assert model.languages == ["en", "fr"]
+    assert [m.languages for m in model] == [["en", "fr"]]
     assert all(rows[i].lang_pred == "und" and rows[i].score == 0 for i in (4, 5, 6, 15, 16))
     assert all(rows[i].lang_pred in ("en", "fr") for i in (1, 7, 9, 13))
     none = language_id.train(empty, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -410,7 +457,7 @@ def test_forward_sums_all_segmentations():
     order = np.argsort(hashes)
     column = np.array([[probs[pieces[i]]] for i in order])
     text = [b" ab", b" aab", b" b", b" abababababababababababababababab"]
-    lattice = language_id.Lattice(np.frombuffer(b"".join(text), np.uint8), np.cumsum([0, *map(len, text)]), hashes[order])
+    lattice = language_id.Lattice(np.frombuffer(b"".join(text), np.uint8), np.cumsum([0, *map(len, text)]), hashes[order], np.array([len(pieces[i]) for i in order]))
     assert np.allclose(lattice.forward(column)[:, 0], [np.log(total(t)) for t in text])
     uses = language_id.expected_counts(lattice, np.ones(len(text)), column[:, 0])
     spelled = sum(n * len(pieces[i]) for n, i in zip(uses, order, strict=True))

@@ -71,7 +71,7 @@ def saved_round(df: DataFrame) -> DataFrame:
 
 
 def checked(ids: DataFrame) -> DataFrame:
-    """A one-column list of ids, marked for broadcast if it is short enough; else left to a shuffled join."""
+    """A list of ids or other short keys, marked for broadcast if it is short enough; else left to a shuffled join."""
     ids = saved(ids)
     return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
