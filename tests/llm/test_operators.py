@@ -171,7 +171,7 @@ def test_prefixes_hold_every_link_and_leave_common_texts_apart(spark):
         texts[100 + i] = " ".join(common + words(60, 500 + i)[:55] + words(int(rng.integers(1, 9)), 900 + i))
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     keys = defaultdict(set)
-    for r in minhash_dedup._prefixes(docs, docs.select(F.col("doc_id").alias("rep")), 4, 80).collect():
+    for r in minhash_dedup._prefixes(minhash_dedup.Sets(docs, 4), docs.select(F.col("doc_id").alias("rep")), 80).collect():
         keys[r.key].add(r.rep)
     sets = {i: shingles(t, 4) for i, t in texts.items()}
     met = {(i, j) for k in keys.values() for i in k for j in k if i < j}

@@ -99,26 +99,39 @@ def estimate(x: Column, y: Column) -> Column:
     return ((PERMS - differ) / PERMS - chance) / (1 - chance)
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(``id``, ``shingles``) of the documents with the given ids (column ``_id``)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, texts in text_slices(batch, "text", lower=True):
-                sets = pa.array([s.tobytes() for s in shingle_sets(texts, size)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), sets], ["id", "shingles"])
-
-    few = bounded_batches(docs).select("doc_id", "text").join(checked(ids), F.col("doc_id") == F.col("_id"), "left_semi")
-    return few.mapInArrow(run, f"id {kind}, shingles binary")
-
-
-def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+class Sets:
+    """The shingle sets of the documents that have been asked for, each built once and written to the shared folder."""
+
+    def __init__(self, docs: DataFrame, size: int):
+        self.docs, self.size, self.kind = docs, size, docs.schema["doc_id"].dataType.simpleString()
+        self.found: DataFrame | None = None
+
+    def of(self, ids: DataFrame) -> DataFrame:
+        """(``id``, ``shingles``) of the ids (column ``_id``) and of those asked for before."""
+        size = self.size
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo, hi, texts in text_slices(batch, "text", lower=True):
+                    sets = pa.array([s.tobytes() for s in shingle_sets(texts, size)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), sets], ["id", "shingles"])
+
+        ids = ids.distinct()
+        if self.found is not None:
+            ids = ids.join(self.found.select(F.col("id").alias("_known")), F.col("_id") == F.col("_known"), "left_anti")
+        ids = checked(ids)
+        if self.found is None or not ids.isEmpty():
+            few = bounded_batches(self.docs).select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
+            new = saved_round(few.mapInArrow(run, f"id {self.kind}, shingles binary"))
+            self.found = new if self.found is None else self.found.unionByName(new)
+        return self.found
+
+
+def confirm(sets: Sets, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (``a``, ``b``) with 100 * intersection >= percent * union on the full sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    sets = _sets_of(docs, ids, size)
-    both = dealt_join(pairs, sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a", "b")
-    both = dealt_join(both, sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b", "a")
+    every = sets.of(pairs.select(F.explode(F.array("a", "b")).alias("_id")))
+    both = dealt_join(pairs, every.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a", "b")
+    both = dealt_join(both, every.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b", "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,23 +142,27 @@ def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataF
                 good.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, f"a {sets.kind}, b {sets.kind}")
 
 
 def _with_components(members: DataFrame, found: DataFrame) -> DataFrame:
     """``key, rep, component`` of the buckets that hold several components."""
     now = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    keys = now.groupBy("key").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x <> _y").select("key")
-    return now.join(keys, "key", "left_semi").select("key", "rep", "component")
+    keys = now.groupBy("key").agg(F.min("component").alias("_x"), F.max("component").alias("_y"), F.count("*").alias("_n"))
+    keys = saved_round(keys.where("_x <> _y").select("key", "_n"))
+    return dealt_join(now, keys.select("key"), "key", "rep", keys).select("key", "rep", "component")
 
 
 def _stars(open_members: DataFrame, turn: int) -> DataFrame:
     """Pairs (``a``, ``b``) of each bucket's pivot with its members of other components. The first pivot is the least
-    member, the later ones follow a hash."""
-    order = F.struct("rep", "component") if turn == 0 else F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "component")
-    pivots = open_members.groupBy("key").agg(F.min(order).alias("_p")).select("key", F.col("_p.rep").alias("pivot"), F.col("_p.component").alias("_c"))
-    rows = open_members.join(pivots, "key").where("component <> _c")
+    member; the later ones are of the bucket's largest component, so there are no more pairs than other members."""
+    parts = open_members.groupBy("key", "component").agg(F.count("*").alias("m"), F.min("rep").alias("least"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep")).alias("p"))
+    if turn == 0:
+        pivot = F.min(F.struct(F.col("least").alias("rep"), "component"))
+    else:
+        pivot = F.max(F.struct("m", F.col("p.rep").alias("rep"), "component"))
+    pivots = saved_round(parts.groupBy("key").agg(pivot.alias("_p"), F.sum("m").alias("_n")).select("key", F.col("_p.rep").alias("pivot"), F.col("_p.component").alias("_c"), "_n"))
+    rows = dealt_join(open_members, pivots.drop("_n"), "key", "rep", pivots.select("key", "_n")).where("component <> _c")
     return rows.select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
 
 
@@ -183,28 +200,28 @@ def _from_small(open_members: DataFrame, packed: DataFrame, least: float, kind:
     return rows.select("members").mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
-def _prefixes(docs: DataFrame, ids: DataFrame, size: int, percent: int) -> DataFrame:
+def _prefixes(sets: Sets, ids: DataFrame, percent: int) -> DataFrame:
     """Buckets (``key``, ``rep``) of the documents with the given ids (``rep``) by the shingles of their prefixes.
 
     Sets of which ``percent`` of the union is common share a shingle among the first n - ceil(percent n / 100) + 1 of
     each, in any order of all shingles that is the same for every set. From rare to common, as counted over these
     documents, texts that share only what many have meet nowhere.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    sets = saved(_sets_of(docs, ids.select(F.col("rep").alias("_id")), size))
+    asked = ids.select(F.col("rep").alias("id"))
+    rows = saved_round(sets.of(asked.withColumnRenamed("id", "_id")).join(asked, "id", "left_semi").select("id", "shingles"))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for x in batch.column(0):
+            for x in batch.column(1):
                 n += np.bincount((np.frombuffer(x.as_buffer(), np.uint64) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["at", "n"])
 
     counts = np.zeros(COUNTERS, np.int64)
-    for row in sets.select("shingles").mapInArrow(tally, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+    for row in rows.mapInArrow(tally, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
         counts[row["at"]] = row["n"]  # COUNTERS rows at most
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    shared = rows.sparkSession.sparkContext.broadcast(counts)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
@@ -216,7 +233,7 @@ def _prefixes(docs: DataFrame, ids: DataFrame, size: int, percent: int) -> DataF
                 ids = pa.array([batch.column(0)[row].as_py()] * len(head), batch.schema.field(0).type)
                 yield pa.RecordBatch.from_arrays([pa.array(head.view(np.int64)), ids], ["key", "rep"])
 
-    return sets.mapInArrow(first, f"key long, rep {kind}")
+    return rows.mapInArrow(first, f"key long, rep {sets.kind}")
 
 
 def common_counts(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
@@ -238,13 +255,13 @@ def common_counts(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarra
     return out.astype(np.int64)
 
 
-def _from_large(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+def _from_large(sets: Sets, members: DataFrame, percent: int) -> DataFrame:
     """Links between different components of each cluster (``cluster, rep, component, n_shingles``), on the full sets.
 
     What is outside the largest component of a cluster meets all of the cluster, in blocks of both. Of a pair of blocks
     only links that join different components are returned, fewer than it has texts.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = sets.kind
     parts = members.groupBy("cluster", "component").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("t"))
     clusters = parts.groupBy("cluster").agg(
         F.sum("m").alias("m"), F.sum("t").alias("t"), F.max(F.struct("m", "t", "component")).alias("main")
@@ -263,8 +280,8 @@ def _from_large(docs: DataFrame, members: DataFrame, size: int, percent: int) ->
     as_column = F.transform(every("rows"), lambda i: F.struct(i.alias("i"), block("columns").alias("j"), F.lit(False).alias("row")))
     places = F.explode(F.concat(as_column, F.coalesce(as_row, F.slice(as_column, 1, 0)))).alias("at")
     dealt = dealt.select("cluster", "rep", "component", places).select("cluster", "at.*", "rep", "component")
-    sets = _sets_of(docs, members.select(F.col("rep").alias("_id")), size)
-    dealt = dealt_join(dealt, sets.withColumnRenamed("id", "rep"), "rep", "i")
+    shingles = sets.of(members.select(F.col("rep").alias("_id"))).select(F.col("id").alias("rep"), "shingles")
+    dealt = dealt_join(dealt, shingles, "rep", "i")
 
     def link(group: pa.Table) -> pa.Table:
         group = group.combine_chunks().sort_by("rep")
@@ -297,7 +314,7 @@ class _Links:
     """The components that the confirmed links make so far: each is a star of links to its least id."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame, links: DataFrame, size: int, percent: int):
-        self.docs, self.size, self.percent, self.least = docs, size, percent, percent / 100 - SLACK
+        self.sets, self.percent, self.least = Sets(docs, size), percent, percent / 100 - SLACK
         self.packed = classes.select(F.col("rep").alias("id"), "packed")
         self.found = components(links)
 
@@ -305,9 +322,6 @@ class _Links:
         so_far = self.found.select(F.col("id").alias("a"), F.col("component").alias("b"))
         self.found = components(so_far.unionByName(links))
 
-    def confirm(self, pairs: DataFrame) -> None:
-        self.add(confirm(self.docs, pairs, self.size, self.percent))
-
     def star(self, members: DataFrame) -> DataFrame:
         """Stars over the buckets (``key``, ``rep``) in rounds; returns what is still open, with its components."""
         rest = saved_round(_with_components(members, self.found))
@@ -316,7 +330,7 @@ class _Links:
                 break
             near = saved_round(_near(saved_round(_stars(rest, turn)), self.packed, self.least))
             if not near.isEmpty():
-                self.confirm(near)
+                self.add(confirm(self.sets, near, self.percent))
                 rest = saved_round(_with_components(rest.select("key", "rep"), self.found))
         return rest
 
@@ -324,19 +338,19 @@ class _Links:
         """Compares open buckets of up to SMALL texts by signatures; returns the larger ones that are open."""
         if rest.isEmpty():
             return rest
-        sizes = saved(rest.groupBy("key").agg(F.count("*").alias("_n")))
+        sizes = saved_round(rest.groupBy("key").agg(F.count("*").alias("_n")))
         few = rest.join(sizes.where(F.col("_n") <= SMALL), "key", "left_semi")
-        pairs = saved_round(_from_small(few, self.packed, self.least, self.docs.schema["doc_id"].dataType.simpleString()))
+        pairs = saved_round(_from_small(few, self.packed, self.least, self.sets.kind))
         if not pairs.isEmpty():
-            self.confirm(pairs)
-        more = rest.join(sizes.where(F.col("_n") > SMALL), "key", "left_semi").select("key", "rep")
-        return saved_round(_with_components(more, self.found))
+            self.add(confirm(self.sets, pairs, self.percent))
+        many = sizes.where(F.col("_n") > SMALL)
+        return saved_round(_with_components(dealt_join(rest, many.select("key"), "key", "rep", many).select("key", "rep"), self.found))
 
 
 def _crowded(members: DataFrame) -> DataFrame:
     """Buckets with more than one text."""
-    several = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    return saved_round(members.join(several, "key", "left_semi"))
+    several = saved_round(members.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1"))
+    return saved_round(dealt_join(members, several.select("key"), "key", "rep", several).select("key", "rep"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -372,13 +386,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     rest = linked.compare(linked.star(_crowded(classes.select("rep", F.explode("bands").alias("key")).distinct())))
     if not rest.isEmpty():
         crowd = saved(rest.select("rep").distinct())
-        rest = linked.compare(linked.star(_crowded(_prefixes(docs, crowd, size, percent))))
+        rest = linked.compare(linked.star(_crowded(_prefixes(linked.sets, crowd, percent))))
         if not rest.isEmpty():
             heads = rest.groupBy("key").agg(F.min("rep").alias("a"))
             clusters = components(rest.join(heads, "key").select("a", F.col("rep").alias("b")))
             crowd = rest.select("rep", "component").distinct().join(clusters.select(F.col("id").alias("rep"), F.col("component").alias("cluster")), "rep", "left")
             crowd = crowd.withColumn("cluster", F.coalesce("cluster", "rep")).join(classes.groupBy("rep").agg(F.max("n_shingles").alias("n_shingles")), "rep")
-            linked.add(_from_large(docs, saved(crowd), size, percent))
+            linked.add(_from_large(linked.sets, saved_round(crowd), percent))
 
     found = linked.found
     own = classes.select("digest", "rep").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
