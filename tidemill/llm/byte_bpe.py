@@ -12,10 +12,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm.common import read
+from tidemill.llm.bytewords import text_slices
+from tidemill.llm.common import bounded_batches, read
 
-#: Pieces whose ids a worker remembers; the memory is emptied when it is full.
-KEPT_PIECES = 200_000
+#: Memory of pieces and their ids in a worker: text and ids of a piece count, and what Python adds to them. It is emptied
+#: when it is full.
+KEPT_BYTES, PIECE_BYTES = 32 << 20, 250
 
 
 class Vocabulary:
@@ -41,6 +43,7 @@ class Vocabulary:
         self.pairs, self.pair_ranks = np.array(pairs)[order], np.array(ranks)[order].astype(np.int32)
         self.find = regex.compile(pattern).findall
         self.kept: dict[str, bytes] = {}
+        self.kept_bytes = 0
 
     def merge(self, piece: bytes) -> list[int]:
         """Merges the pair of least rank, leftmost first, until no pair has a rank.
@@ -164,9 +167,11 @@ class Vocabulary:
         """The ids of each text as little-endian 32-bit integers."""
         pieces = list(map(self.find, texts))
         new = set().union(*pieces).difference(self.kept)
-        if len(self.kept) + len(new) > KEPT_PIECES:
+        if self.kept_bytes > KEPT_BYTES:
             self.kept.clear()
+            self.kept_bytes = 0
             new = set().union(*pieces)
+        self.kept_bytes += PIECE_BYTES * len(new) + 4 * sum(map(len, new))
         self.learn(list(new))
         get = self.kept.__getitem__
         return [b"".join(map(get, x)) for x in pieces]
@@ -196,8 +201,8 @@ def encode_decode(docs: DataFrame, rank_file: str, pattern: str, digests: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(shared.value, pattern)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo, hi, _ in text_slices(batch, "text"):
+                part = batch.slice(lo, hi - lo)
                 ids = words.encode([t or "" for t in part.column(1).to_pylist()])
                 back = map(words.decode, ids)
                 if digests:
@@ -214,7 +219,7 @@ def encode_decode(docs: DataFrame, rank_file: str, pattern: str, digests: bool =
     names = ["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
     kinds = ["string", "string"] if digests else ["array<int>", "string"]
     schema = f"doc_id {kind}, n_tokens long, {names[0]} {kinds[0]}, {names[1]} {kinds[1]}"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, schema)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
