@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: Id lists up to this many rows (8 bytes each) may be broadcast; longer ones are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
+#: Rows of ids or links that one task takes at least.
+ROWS_A_TASK = 50_000
 #: A key with more rows than this, or than a share of all rows, is hot.
 HOT_ROWS, HOT_SHARE = 200, 100_000
 
@@ -64,10 +66,11 @@ def saved(df: DataFrame) -> DataFrame:
 
 def saved_round(df: DataFrame) -> DataFrame:
     """``saved`` for what goes through many rounds of joins. A checkpoint keeps the estimated size of its plan, and the
-    estimate of a join is a product, so after some rounds it has millions of digits; here the rows start afresh."""
+    estimate of a join is a product, so after some rounds it has millions of digits; here the rows start afresh. They
+    are counted and take a task for each ROWS_A_TASK, so that rounds over few rows don't write many small files."""
     spark, done = df.sparkSession, saved(df)
-    rows = spark._jsparkSession.createDataFrame(done._jdf.rdd(), done._jdf.schema())
-    return DataFrame(rows, spark)
+    rows = DataFrame(spark._jsparkSession.createDataFrame(done._jdf.rdd(), done._jdf.schema()), spark)
+    return rows.coalesce(-(-max(1, rows.count()) // ROWS_A_TASK))
 
 
 def checked(ids: DataFrame) -> DataFrame:

@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import HOT_ROWS, HOT_SHARE, saved_round
+from tidemill.llm.common import HOT_ROWS, HOT_SHARE, ROWS_A_TASK, saved_round
 
 MAX_ROUNDS = 60
-#: Small tables take few tasks and files: one for each so many links.
-ROWS_A_TASK = 50_000
 
 
 def _signature(links: DataFrame) -> tuple:

@@ -22,7 +22,7 @@ BITS = 4
 #: Candidates are confirmed if the estimate is over the threshold less this, about five standard errors.
 SLACK = 0.2
 #: Rounds in which each bucket is a star around another of its texts.
-ROUNDS = 3
+ROUNDS = 2
 #: What is left open of buckets of up to SMALL texts is compared by signatures, of larger ones by shared prefixes and, if
 #: that leaves any, in blocks of about BLOCK texts or BLOCK_SHINGLES shingles. Full sets decide each way, so the result
 #: doesn't depend on these numbers.
@@ -122,7 +122,7 @@ class Sets:
         ids = checked(ids)
         if self.found is None or not ids.isEmpty():
             few = bounded_batches(self.docs).select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
-            new = saved_round(few.mapInArrow(run, f"id {self.kind}, shingles binary"))
+            new = saved(few.mapInArrow(run, f"id {self.kind}, shingles binary"))
             self.found = new if self.found is None else self.found.unionByName(new)
         return self.found
 
@@ -131,7 +131,7 @@ def confirm(sets: Sets, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (``a``, ``b``) with 100 * intersection >= percent * union on the full sets."""
     every = sets.of(pairs.select(F.explode(F.array("a", "b")).alias("_id")))
     both = dealt_join(pairs, every.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a", "b")
-    both = dealt_join(both, every.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b", "a")
+    both = both.join(every.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")  # few pairs have the same b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,23 +154,23 @@ def _with_components(members: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _stars(open_members: DataFrame, turn: int) -> DataFrame:
-    """Pairs (``a``, ``b``) of each bucket's pivot with its members of other components. The first pivot is the least
-    member; the later ones are of the bucket's largest component, so there are no more pairs than other members."""
-    parts = open_members.groupBy("key", "component").agg(F.count("*").alias("m"), F.min("rep").alias("least"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep")).alias("p"))
-    if turn == 0:
-        pivot = F.min(F.struct(F.col("least").alias("rep"), "component"))
-    else:
-        pivot = F.max(F.struct("m", F.col("p.rep").alias("rep"), "component"))
-    pivots = saved_round(parts.groupBy("key").agg(pivot.alias("_p"), F.sum("m").alias("_n")).select("key", F.col("_p.rep").alias("pivot"), F.col("_p.component").alias("_c"), "_n"))
+    """Pairs (``a`` pivot, ``b`` member) of each bucket's pivot with its members of other components. The pivot is of the
+    bucket's largest component, so there are no more pairs than other members."""
+    order = F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep")
+    parts = open_members.groupBy("key", "component").agg(F.count("*").alias("m"), F.min(order).alias("p"))
+    pivot = F.max(F.struct("m", F.col("p.rep").alias("rep"), "component")).alias("_p")
+    pivots = saved_round(parts.groupBy("key").agg(pivot, F.sum("m").alias("_n")).select("key", F.col("_p.rep").alias("pivot"), F.col("_p.component").alias("_c"), "_n"))
     rows = dealt_join(open_members, pivots.drop("_n"), "key", "rep", pivots.select("key", "_n")).where("component <> _c")
-    return rows.select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
+    return rows.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
 
 
 def _near(pairs: DataFrame, packed: DataFrame, least: float) -> DataFrame:
-    """The pairs whose signatures give an estimate of ``least`` or more."""
+    """Of each member ``b`` the pair whose signatures give the highest estimate, if that is ``least`` or more. What its
+    other pairs would link is found in a later round, or is left open and compared in full."""
     both = dealt_join(pairs, packed.select(F.col("id").alias("a"), F.col("packed").alias("pa")), "a", "b")
-    both = dealt_join(both, packed.select(F.col("id").alias("b"), F.col("packed").alias("pb")), "b", "a")
-    return both.where(estimate(F.col("pa"), F.col("pb")) >= least).select("a", "b").distinct()
+    both = both.join(packed.select(F.col("id").alias("b"), F.col("packed").alias("pb")), "b")  # a member has few pivots
+    good = both.withColumn("_e", estimate(F.col("pa"), F.col("pb"))).where(F.col("_e") >= least)
+    return good.groupBy("b").agg(F.max(F.struct("_e", "a")).alias("_m")).select(F.col("_m.a").alias("a"), "b")
 
 
 def _from_small(open_members: DataFrame, packed: DataFrame, least: float, kind: str) -> DataFrame:
@@ -208,7 +208,7 @@ def _prefixes(sets: Sets, ids: DataFrame, percent: int) -> DataFrame:
     documents, texts that share only what many have meet nowhere.
     """
     asked = ids.select(F.col("rep").alias("id"))
-    rows = saved_round(sets.of(asked.withColumnRenamed("id", "_id")).join(asked, "id", "left_semi").select("id", "shingles"))
+    rows = saved(sets.of(asked.withColumnRenamed("id", "_id")).join(asked, "id", "left_semi").select("id", "shingles"))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(COUNTERS, np.int64)
@@ -323,16 +323,19 @@ class _Links:
         self.found = components(so_far.unionByName(links))
 
     def star(self, members: DataFrame) -> DataFrame:
-        """Stars over the buckets (``key``, ``rep``) in rounds; returns what is still open, with its components."""
-        rest = saved_round(_with_components(members, self.found))
+        """Stars over the buckets (``key, rep, pivot``) in rounds; returns what is still open, with its components."""
+        pairs = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+        rest = members
         for turn in range(ROUNDS):
-            if rest.isEmpty():
-                break
-            near = saved_round(_near(saved_round(_stars(rest, turn)), self.packed, self.least))
+            near = saved_round(_near(saved_round(pairs), self.packed, self.least))
             if not near.isEmpty():
                 self.add(confirm(self.sets, near, self.percent))
+            if turn == 0 or not near.isEmpty():
                 rest = saved_round(_with_components(rest.select("key", "rep"), self.found))
-        return rest
+            if turn + 1 == ROUNDS or rest.isEmpty():
+                break
+            pairs = _stars(rest, turn + 1)
+        return rest if ROUNDS else saved_round(_with_components(members.select("key", "rep"), self.found))
 
     def compare(self, rest: DataFrame) -> DataFrame:
         """Compares open buckets of up to SMALL texts by signatures; returns the larger ones that are open."""
@@ -348,9 +351,9 @@ class _Links:
 
 
 def _crowded(members: DataFrame) -> DataFrame:
-    """Buckets with more than one text."""
-    several = saved_round(members.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1"))
-    return saved_round(dealt_join(members, several.select("key"), "key", "rep", several).select("key", "rep"))
+    """Buckets with more than one text, ``key, rep`` and ``pivot``, the least of the bucket."""
+    several = saved_round(members.groupBy("key").agg(F.count("*").alias("_n"), F.min("rep").alias("pivot")).where("_n > 1"))
+    return saved_round(dealt_join(members, several.select("key", "pivot"), "key", "rep", several.select("key", "_n")).select("key", "rep", "pivot"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
