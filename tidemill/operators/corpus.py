@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemill import defaults as D
 from tidemill.functions.rounding import rounded
+from tidemill.operators.ranking import least_rows, null_safe, positions
 
 
 def newest(df: DataFrame, key: list[str], order: str | Column) -> DataFrame:
@@ -42,6 +43,34 @@ def match_key(ident: Column, name: Column) -> Column:
     return F.coalesce(F.upper(clean(ident)), F.lower(clean(name)))
 
 
+def decision_label(decision: Column) -> Column:
+    """A person's decision as a label: bought is good, passed on is not; a deferred one says nothing."""
+    return F.when(decision == "buy", True).when(decision == "pass", False)
+
+
+def ledger_labels(ledger: DataFrame) -> DataFrame:
+    """(``key, at, label``): the newest decision on each key of a ledger (``item, name, at, decision``), as
+    ``read_ledger`` gives it. Lines without a key, or whose decision is none of buy and pass, give none."""
+    rows = ledger.select(match_key(F.col("item"), F.col("name")).alias("key"), "at", decision_label(F.lower(F.trim("decision"))).alias("label"))
+    return newest(rows.where("key is not null and label is not null"), ["key"], "at")
+
+
+def assemble_tiers(outcomes: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(``key, label, tier``): the newest outcome of each key is silver; keys without any have their newest decision as
+    bronze. Both: ``key, at, label``, where ``at`` orders them; rows without a key or label are left out."""
+    known = lambda df: df.where("key is not null and label is not null")
+    silver = newest(known(outcomes).select("key", "at", "label"), ["key"], "at")
+    bronze = newest(known(decisions).join(silver.select("key"), "key", "left_anti").select("key", "at", "label"), ["key"], "at")
+    tier = lambda df, name: df.select("key", "label", F.lit(name).alias("tier"))
+    return tier(silver, "silver").unionByName(tier(bronze, "bronze"))
+
+
+def undecided(picks: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Items of ``picks`` (``item, id, category``) on which nobody decided, each with its first known category."""
+    rows = picks.join(decisions.select("item").distinct(), "item", "left_anti")
+    return rows.groupBy("item").agg(F.min_by("category", F.when(F.col("category").isNotNull(), F.col("id"))).alias("category"))
+
+
 def weak_score(parts: dict[str, tuple[Column, float]]) -> Column:
     """A weighted sum of components in 0..1; a missing one counts 0."""
     total = None
@@ -68,11 +97,12 @@ def split_by_item(df: DataFrame, key: str = "item", share: float = 0.3) -> DataF
 
 
 def split_by_time(df: DataFrame, day: str, key: str, share: float = 0.3) -> DataFrame:
-    """The latest ``max(1, round(share * n))`` rows by (day, key) are for validation.
+    """The latest ``max(1, round(share * n))`` of the n rows with a day, by (day, key), are for validation; rows without
+    a day train.
 
     Rows are counted by day, so only the day that holds the bound is ranked; there is no window over all rows.
     """
-    counts = df.groupBy(day).count()
+    counts = df.where(F.col(day).isNotNull()).groupBy(day).count()
     n = counts.agg(F.sum("count")).first()[0] or 0
     want = max(1, round(n * share))
     later = counts.select(day, F.coalesce(F.sum("count").over(W.orderBy(F.desc(day)).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_later"), "count")
@@ -80,10 +110,11 @@ def split_by_time(df: DataFrame, day: str, key: str, share: float = 0.3) -> Data
     if edge is None:
         return df.withColumn("fold", F.lit("train"))
     bound, left = edge[day], want - edge["_later"]
+    on_edge = F.col(day).eqNullSafe(F.lit(bound))
     rank = F.row_number().over(W.partitionBy(day).orderBy(F.desc(key)))
-    on_edge = df.where(F.col(day) == F.lit(bound)).withColumn("fold", F.when(rank <= left, "validation").otherwise("train"))
-    rest = df.where(F.col(day) != F.lit(bound)).withColumn("fold", F.when(F.col(day) > F.lit(bound), "validation").otherwise("train"))
-    return rest.unionByName(on_edge)
+    ranked = df.where(on_edge).withColumn("fold", F.when(rank <= left, "validation").otherwise("train"))
+    rest = df.where(~on_edge).withColumn("fold", F.when(F.col(day) > F.lit(bound), "validation").otherwise("train"))
+    return rest.unionByName(ranked)
 
 
 def purged_folds(df: DataFrame, day: str, bounds: DataFrame, embargo: int = 60) -> DataFrame:
@@ -94,16 +125,10 @@ def purged_folds(df: DataFrame, day: str, bounds: DataFrame, embargo: int = 60)
     return both.withColumn("role", F.when(F.col(day) >= F.col("start"), "test").when(train, "train")).where("role is not null")
 
 
-def cap_groups(df: DataFrame, by: str, limit: Column | int, tie: list[str]) -> DataFrame:
-    """At most ``limit`` rows of each group, those with the least hash. Groups under the limit aren't ranked; in the
-    others a hash threshold from the counts drops most rows before the sort, so a large group isn't sorted whole."""
-    counts = df.groupBy(by).agg(F.count("*").alias("_n"))
-    both = df.join(counts, by).withColumn("_h", F.conv(F.substring(F.sha2(F.concat_ws("|", *tie), 256), 1, 8), 16, 10).cast("long"))
-    # the share of hashes that surely holds the first ``limit`` rows: four deviations above the mean
-    share = (limit + 4 * F.sqrt(F.lit(limit).cast("double")) + 4) / F.col("_n")
-    near = both.where((F.col("_n") <= limit) | (F.col("_h") <= share * (1 << 32)))
-    rn = F.row_number().over(W.partitionBy(by).orderBy("_h", *tie))
-    return near.withColumn("_rn", rn).where(F.col("_rn") <= limit).drop("_n", "_h", "_rn")
+def cap_groups(df: DataFrame, by: str, limit: int, tie: list[str]) -> DataFrame:
+    """At most ``limit`` rows of each group, exactly those with the least hash; rows without a group are one group."""
+    key = F.conv(F.substring(F.sha2(F.concat_ws("|", *tie), 256), 1, 8), 16, 10).cast("long")
+    return least_rows(df, [by], key, limit, tie)
 
 
 def corpus_caps(df: DataFrame, tie: list[str], category: str = "category", brand: str = "brand") -> DataFrame:
@@ -154,10 +179,10 @@ def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def interleave(df: DataFrame, group: str, order: str) -> DataFrame:
-    """Rows in turn from each group: by position within the group, groups by first appearance."""
+    """Rows in turn from each group: by position within the group, groups by first appearance. Rows without a group are
+    one group."""
     first = df.groupBy(group).agg(F.min(order).alias("_first"))
-    out = df.join(first, group).withColumn("turn", F.row_number().over(W.partitionBy(group).orderBy(order)))
-    return out.orderBy("turn", "_first").drop("_first")
+    return null_safe(positions(df, order, [group], "turn"), first, [group]).orderBy("turn", "_first").drop("_first")
 
 
 def waterfall(sources: list[DataFrame], target: int, key: str = "item") -> DataFrame:

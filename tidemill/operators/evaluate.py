@@ -1,7 +1,7 @@
 """Measures of rankers and predictions: AUC, precision, calibration, drift, intervals, promotion gates.
 
 Curves are computed from counts by distinct score; the running sums over scores are taken in two steps, by score bucket
-and within a bucket, so no window runs over all rows in one task.
+and within a bucket (``ranking``), so no window runs over all rows in one task.
 """
 
 from __future__ import annotations
@@ -13,28 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemill.functions.rounding import rounded
-
-BUCKETS = 1024
-
-
-def _running(counts: DataFrame, order: str, values: list[str], by: list[str], descending: bool = False) -> DataFrame:
-    """Adds ``<value>_before``: sums over the rows of the slice ``by`` that come earlier in ``order``.
-
-    Rows are dealt to buckets by approximate quantiles of the order; totals of buckets are few.
-    """
-    bounds = counts.approxQuantile(order, [i / 64 for i in range(1, 64)], 0.01)
-    cuts = sorted({b for b in bounds if b is not None})
-    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda b: b < F.col(order))) if cuts else F.lit(0)
-    rows = counts.withColumn("_bucket", -at if descending else at)
-    totals = rows.groupBy(*by, "_bucket").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
-    whole = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(*by, "_bucket", *[F.coalesce(F.sum(f"_t_{v}").over(whole), F.lit(0)).alias(f"_b_{v}") for v in values])
-    inner = W.partitionBy(*by, "_bucket").orderBy(F.desc(order) if descending else F.asc(order)).rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.join(totals, [*by, "_bucket"])
-    for v in values:
-        rows = rows.withColumn(f"{v}_before", F.col(f"_b_{v}") + F.coalesce(F.sum(v).over(inner), F.lit(0))).drop(f"_b_{v}")
-    return rows.drop("_bucket")
-
+from tidemill.operators.ranking import cuts, running
 
 def score_counts(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
     """Positives and negatives by distinct score; a missing score counts as the lowest."""
@@ -44,7 +23,7 @@ def score_counts(df: DataFrame, score: str, label: str, by: list[str]) -> DataFr
 
 def auc(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
     """Area under the curve of each slice, ties half; null for one class."""
-    counts = _running(score_counts(df, score, label, by), "score", ["neg"], by)
+    counts = running(score_counts(df, score, label, by), "score", ["neg"], by)
     out = counts.groupBy(*by).agg(
         F.sum("pos").alias("positives"),
         F.sum("neg").alias("negatives"),
@@ -76,7 +55,7 @@ def top_k(df: DataFrame, score: str, label: str, key: str, k: int) -> DataFrame:
 
 def pr_auc(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
     """Average precision: precision at each distinct score, weighed by the recall that it adds."""
-    counts = _running(score_counts(df, score, label, by), "score", ["pos", "neg"], by, descending=True)
+    counts = running(score_counts(df, score, label, by), "score", ["pos", "neg"], by, descending=True)
     p = F.col("pos_before") + F.col("pos")
     out = counts.groupBy(*by).agg(F.sum(F.col("pos") * p / (p + F.col("neg_before") + F.col("neg"))).alias("_s"), F.sum("pos").alias("_p"))
     return out.select(*by, rounded(F.when(F.col("_p") > 0, F.col("_s") / F.col("_p")), 6).alias("pr_auc"))
@@ -93,20 +72,43 @@ def calibration_error(bins: DataFrame) -> DataFrame:
     return bins.agg(rounded(F.sum(F.abs(F.col("predicted") - F.col("rate")) * F.col("n")) / F.sum("n"), 6).alias("ece"))
 
 
+def exact_quantiles(df: DataFrame, column: str, buckets: int) -> list[float]:
+    """The quantiles i / buckets of a column, interpolated between neighbours, from counts by distinct value; nulls
+    don't count. None for an empty column."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    if not total:
+        return []
+    at = [i * (total - 1) / buckets for i in range(buckets + 1)]
+    wanted = sorted({int(x) for x in at} | {min(int(x) + 1, total - 1) for x in at})
+    inside = F.filter(F.array(*map(F.lit, wanted)), lambda i: (i >= F.col("n_before")) & (i < F.col("n_before") + F.col("n")))
+    rows = running(counts, "v", ["n"], []).select("v", F.explode(inside).alias("i"))
+    value = {r["i"]: r["v"] for r in rows.collect()}  # two for each quantile at most
+    return [value[int(x)] + (x - int(x)) * (value[min(int(x) + 1, total - 1)] - value[int(x)]) for x in at]
+
+
 def psi(base: DataFrame, actual: DataFrame, columns: list[str], buckets: int = 10, floor: float = 1e-6) -> DataFrame:
-    """Population stability of columns: shares between the baseline's quantile edges; values outside are left out."""
-    unpivot = lambda df: df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*").where("v is not null")
-    quantiles = F.array(*[F.lit(i / buckets) for i in range(buckets + 1)])
-    edges = unpivot(base).groupBy("name").agg(F.array_distinct(F.percentile("v", quantiles)).alias("edges"))
-    first, last = F.element_at("edges", 1), F.element_at("edges", -1)
-    at = F.least(F.size(F.filter("edges", lambda e: e <= F.col("v"))), F.size("edges") - 1)
+    """Population stability of columns: shares between the baseline's quantile edges; values outside are left out. A
+    column without any value in the baseline has no row."""
+    edges = {c: sorted(set(exact_quantiles(base, c, buckets))) for c in columns}
+    spark = base.sparkSession
+    cells = [(c, i) for c, e in edges.items() for i in range(1, max(len(e) - 1, 1) + 1) if e]
 
     def histogram(df: DataFrame, alias: str) -> DataFrame:
-        rows = unpivot(df).join(F.broadcast(edges), "name").where(F.col("v").between(first, last))  # a row a column
-        return rows.groupBy("name", at.alias("bin")).agg(F.count("*").alias(alias))
-
-    cells = edges.select("name", F.explode(F.sequence(F.lit(1), F.greatest(F.size("edges") - 1, F.lit(1)))).alias("bin"))
-    both = cells.join(histogram(base, "b"), ["name", "bin"], "left").join(histogram(actual, "a"), ["name", "bin"], "left").na.fill(0, ["a", "b"])
+        pieces = []
+        for c, e in edges.items():
+            if e:
+                v = F.col(c).cast("double")
+                passed = sum((F.when(v >= x, 1).otherwise(0) for x in e), F.lit(0))
+                at = F.least(passed, F.lit(max(len(e) - 1, 1)))
+                pieces.append(F.when(v.between(e[0], e[-1]), F.struct(F.lit(c).alias("name"), at.alias("bin"))))
+        rows = df.select(F.explode(F.array_compact(F.array(*pieces))).alias("x")).select("x.*")
+        return rows.groupBy("name", "bin").agg(F.count("*").alias(alias))
+
+    frame = spark.createDataFrame(cells, "name string, bin int")
+    if not cells:
+        return frame.select("name", F.lit(0.0).alias("psi"))
+    both = frame.join(histogram(base, "b"), ["name", "bin"], "left").join(histogram(actual, "a"), ["name", "bin"], "left").na.fill(0, ["a", "b"])
     w = W.partitionBy("name")  # a few bins of each column
     e = F.greatest(F.col("b") / F.sum("b").over(w), F.lit(floor))
     o = F.greatest(F.col("a") / F.greatest(F.sum("a").over(w), F.lit(1)), F.lit(floor))
@@ -148,8 +150,9 @@ def bootstrap_gap(df: DataFrame, champion: str, challenger: str, label: str, clu
     drawn = base.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("w", F.col("n") * weight).where("w > 0")
     drawn = drawn.select("rep", "y", "w", F.explode(F.array(F.struct(F.lit("a").alias("s"), F.col("a").alias("v")), F.struct(F.lit("b").alias("s"), F.col("b").alias("v")))).alias("x"))
     counts = drawn.groupBy("rep", "x.s", "x.v").agg(F.sum(F.when(F.col("y"), F.col("w")).otherwise(0)).alias("pos"), F.sum(F.when(~F.col("y"), F.col("w")).otherwise(0)).alias("neg"))
-    before = F.coalesce(F.sum("neg").over(W.partitionBy("rep", "s").orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    area = counts.withColumn("_t", F.col("pos") * (before + F.col("neg") / 2)).groupBy("rep", "s").agg(F.sum("_t").alias("t"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    bounds = cuts(base.select(F.explode(F.array("a", "b")).alias("v")), "v")
+    counts = running(counts, "v", ["neg"], ["rep", "s"], bounds=bounds)
+    area = counts.withColumn("_t", F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)).groupBy("rep", "s").agg(F.sum("_t").alias("t"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     area = area.where("p > 0 and n > 0").groupBy("rep").agg(F.sum(F.when(F.col("s") == "b", F.col("t") / (F.col("p") * F.col("n"))).otherwise(-F.col("t") / (F.col("p") * F.col("n")))).alias("gap"))
     return area.agg(F.count("*").alias("resamples"), F.percentile("gap", F.lit(0.025)).alias("low"), F.percentile("gap", F.lit(0.975)).alias("high"))
 
@@ -202,8 +205,9 @@ def resolve_claims(made: DataFrame, stats: DataFrame, now: Column) -> DataFrame:
 
 
 def alternate(df: DataFrame, side: str, order: list[str], n: int) -> DataFrame:
-    """Clear cases from both sides in turn, ``n`` in all."""
-    rows = df.withColumn("turn", F.row_number().over(W.partitionBy(side).orderBy(*order)))
+    """Clear cases from both sides in turn, ``n`` in all. No side needs more than its first ``n``, which every task finds
+    for itself before the shuffle."""
+    rows = df.withColumn("turn", F.row_number().over(W.partitionBy(side).orderBy(*order))).where(F.col("turn") <= n)
     return rows.orderBy("turn", F.desc(side)).limit(n)
 
 

@@ -29,7 +29,8 @@ def fit_classifier(rows: DataFrame, features: list[str], label: str, weight: str
     ready = rows.select(*[F.col(f).cast("double") for f in features], F.col(label).cast("double").alias("_y"), *([weight] if weight else []))
     filled = [f"{f}_filled" for f in features]
     kind = GBTClassifier if trees else LogisticRegression
-    model = kind(featuresCol="_x", labelCol="_y", probabilityCol="_p", **({"weightCol": weight} if weight else {}), **({"maxIter": 20, "seed": 7} if trees else {"maxIter": 50, "regParam": 0.01}))
+    model = kind(featuresCol="_x", labelCol="_y", **({"weightCol": weight} if weight else {}), **({"maxIter": 20, "seed": 7} if trees else {"maxIter": 50, "regParam": 0.01}))
+    model.set(model.getParam("probabilityCol"), "_p") if model.hasParam("probabilityCol") else None
     return Pipeline(stages=[Imputer(inputCols=features, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="_x"), model]).fit(ready)
 
 

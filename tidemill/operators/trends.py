@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemill import defaults as D
 from tidemill.functions.rounding import rounded
+from tidemill.operators.ranking import null_safe, running
 
 
 def weekly_features(series: DataFrame) -> DataFrame:
@@ -84,10 +85,13 @@ def snapshot_features(daily: DataFrame, as_of: Column, days: int = 30) -> DataFr
 
 
 def category_percentile(rows: DataFrame, category: str, rank: str) -> DataFrame:
-    """The share of a category's rows with a strictly worse rank, one half where the rank is unknown."""
-    known = F.col(rank).isNotNull()
-    share = 1 - F.cume_dist().over(W.partitionBy(category, known).orderBy(rank))
-    return rows.withColumn("percentile", F.when(known, rounded(share, 4)).otherwise(0.5))
+    """The share of a category's rows with a strictly worse rank, one half where the rank is unknown. Ranks are counted
+    by category and value, so a category isn't sorted in one task."""
+    counts = rows.where(F.col(rank).isNotNull()).groupBy(category, rank).agg(F.count("*").alias("_n"))
+    totals = counts.groupBy(category).agg(F.sum("_n").alias("_all"))
+    shares = null_safe(running(counts, rank, ["_n"], [category]), totals, [category])
+    shares = shares.select(category, rank, rounded(1 - (F.col("_n_before") + F.col("_n")) / F.col("_all"), 4).alias("_share"))
+    return null_safe(rows, shares, [category, rank], "left").withColumn("percentile", F.coalesce("_share", F.lit(0.5))).drop("_share")
 
 
 def closed_weeks(rows: DataFrame) -> DataFrame:
@@ -96,6 +100,12 @@ def closed_weeks(rows: DataFrame) -> DataFrame:
 
 
 def storefront(rows: DataFrame, most: int = 50) -> DataFrame:
-    """One row a seller and day: how many items, and the first ``most`` of them by id."""
-    items = F.array_sort(F.collect_set("item"))
-    return rows.groupBy("seller", "day").agg(F.size(items).alias("n_items"), F.slice(items, 1, most).alias("items"))
+    """One row a seller and day: how many items, and the first ``most`` of them by id, which every task finds for itself
+    before the shuffle; a seller's other items are only counted."""
+    items = rows.select("seller", "day", "item").distinct()
+    place = F.row_number().over(W.partitionBy("seller", "day").orderBy("item"))
+    first = items.where(F.col("item").isNotNull()).withColumn("_n", place).where(F.col("_n") <= most)
+    first = first.groupBy("seller", "day").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    counts = items.groupBy("seller", "day").agg(F.count("item").cast("int").alias("n_items"))
+    out = null_safe(counts, first, ["seller", "day"], "left")
+    return out.withColumn("items", F.coalesce("items", F.array().cast(out.schema["items"].dataType)))

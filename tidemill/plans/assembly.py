@@ -37,13 +37,11 @@ def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def outcome_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcome labels where there is an outcome, decisions where there is none, by item key."""
     rows = leads(spark, sf_dir)
-    label = F.when(F.col("closed").isNotNull(), B.outcome_label(F.col("would_rebuy"), F.col("profit"), F.col("price_tanked")))
-    known = rows.withColumn("key", B.match_key(F.when(F.col("id") % 3 > 0, F.col("item")), F.col("brand"))).withColumn("label", label)
-    silver = B.newest(known.where("closed is not null").select("key", "closed", "id", "label"), ["key"], F.struct("closed", "id"))
-    no_outcome = known.where("closed is null and decision <> 'defer'").join(silver.select("key"), "key", "left_anti")
-    bronze = B.newest(no_outcome.select("key", "created", "id", (F.col("decision") == "buy").alias("label")), ["key"], F.struct("created", "id"))
-    cols = lambda df, tier: df.select("key", "label", F.lit(tier).alias("tier"))
-    return cols(silver, "silver").unionByName(cols(bronze, "bronze"))
+    keyed = rows.withColumn("key", B.match_key(F.when(F.col("id") % 3 > 0, F.col("item")), F.col("brand")))
+    outcome = B.outcome_label(F.col("would_rebuy"), F.col("profit"), F.col("price_tanked"))
+    outcomes = keyed.where("closed is not null").select("key", F.struct("closed", "id").alias("at"), outcome.alias("label"))
+    decisions = keyed.where("closed is null").select("key", F.struct("created", "id").alias("at"), B.decision_label(F.col("decision")).alias("label"))
+    return B.assemble_tiers(outcomes, decisions)
 
 
 def tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,8 +105,7 @@ def composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 def backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items that nobody decided on, by the first category that is known."""
     rows = leads(spark, sf_dir)
-    open_items = rows.where("decision = 'defer'").join(rows.where("decision <> 'defer'").select("item").distinct(), "item", "left_anti")
-    first = open_items.groupBy("item").agg(F.min_by("category", "id").alias("category"))
+    first = B.undecided(rows.where("decision = 'defer'"), rows.where("decision <> 'defer'"))
     return first.groupBy("category").agg(F.count("*").alias("n"))
 
 

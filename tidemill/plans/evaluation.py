@@ -56,7 +56,7 @@ def calibration_error(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read(spark, sf_dir, "lineitem")
     cols = ["l_quantity", "l_discount", "l_extendedprice"]
-    return E.psi(lines.where("l_orderkey % 2 = 0"), lines.where("l_orderkey % 2 = 1 and l_quantity > 10"), cols)
+    return E.psi(lines.where("l_orderkey % 2 = 0"), lines.where("l_orderkey % 2 = 1").withColumn("l_quantity", F.col("l_quantity") * 0.8 + 5), cols)
 
 
 def data_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +171,7 @@ _PSI = lambda c: f"""SELECT '{c}' AS name, {r("sum((o - e) * ln(o / e))", 4)} AS
   SELECT bin, greatest(coalesce(b, 0) / sum(coalesce(b, 0)) OVER (), 1e-6) AS e, greatest(coalesce(a, 0) / sum(coalesce(a, 0)) OVER (), 1e-6) AS o
   FROM (SELECT unnest(range(1, len(edges))) AS bin FROM e_{c}) cells
   LEFT JOIN (SELECT least(len(list_filter(edges, lambda x: x <= v)), len(edges) - 1) AS bin, count(*) AS b FROM (SELECT {c} AS v FROM lineitem WHERE l_orderkey % 2 = 0), e_{c} GROUP BY 1) USING (bin)
-  LEFT JOIN (SELECT least(len(list_filter(edges, lambda x: x <= v)), len(edges) - 1) AS bin, count(*) AS a FROM (SELECT {c} AS v FROM lineitem WHERE l_orderkey % 2 = 1 AND l_quantity > 10), e_{c} WHERE v BETWEEN edges[1] AND edges[-1] GROUP BY 1) USING (bin))"""
+  LEFT JOIN (SELECT least(len(list_filter(edges, lambda x: x <= v)), len(edges) - 1) AS bin, count(*) AS a FROM (SELECT {c + ' * 0.8::DOUBLE + 5' if c == 'l_quantity' else c} AS v FROM lineitem WHERE l_orderkey % 2 = 1), e_{c} WHERE v BETWEEN edges[1] AND edges[-1] GROUP BY 1) USING (bin))"""
 _EDGES = lambda c: f"e_{c} AS (SELECT list_sort(list_distinct(quantile_cont({c}, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]))) AS edges FROM lineitem WHERE l_orderkey % 2 = 0)"
 _COLS = ("l_quantity", "l_discount", "l_extendedprice")
 SQL = {
