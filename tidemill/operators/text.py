@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import math
 import re
 import xml.etree.ElementTree as ET
 
@@ -19,10 +18,29 @@ from tidemill.functions.once import computed_once
 from tidemill.functions.rounding import rounded
 
 #: Words that carry no meaning in a question.
-STOPWORDS = (
-    "about after again also because before being could does from have into more should that their there these they this "
-    "what when where which while with would your"
-).split()
+STOPWORDS = [
+    "about", "after", "again", "also", "because", "before", "being", "could", "does", "from", "have", "into", "more", "should", "that", "their",
+    "there", "these", "they", "this", "what", "when", "where", "which", "while", "with", "would", "your",
+]
+#: Terms that go with a concept in a question.
+CONCEPTS = {
+    "safe": ["eligibility", "gated", "restriction", "risk", "authenticity", "ip", "hazmat", "buybox"],
+    "allowed": ["eligibility", "gated", "restriction", "policy", "condition", "invoice"],
+    "profitable": ["roi", "profit", "margin", "fees", "cost", "price", "sales", "bsr", "offers"],
+    "profit": ["roi", "margin", "fees", "cost", "price", "break-even"],
+    "bad": ["reject", "avoid", "risk", "red", "flag", "spike", "cliff", "falling"],
+    "buy": ["cost", "roi", "profit", "eligibility", "keepa", "offers", "buybox", "risk"],
+    "accurate": ["outcomes", "labels", "calibration", "evaluation", "drift", "leakage"],
+    "smarter": ["outcomes", "feedback", "labels", "evaluation", "evidence", "learning"],
+    "keepa": ["price", "rank", "offers", "buybox", "history", "sales", "seasonality"],
+}
+#: Where sentences end, what none may end on, a list item, and what raises a sentence.
+SENTENCE_END = r"\n+|(?<=[.!?])\s+|\s+[•·]\s+"
+OPEN_END = r"(?i)(?:\b(?:and|or|the|a|an|to|with|have|has|from|at|of|for|in)|[+→,:;])$"
+LIST_ITEM = r"^(?:[-*•]|\d+[.)])\s+"
+DOMAIN_WORDS = r"(?i)(?:\$|%|\b(?:roi|bsr|offers?|buy box|eligib|gated|ip risk|profit)\b)"
+#: Bytes of the questions or query vectors that a pass over a corpus holds, and cells of one score matrix.
+BLOCK_BYTES, SCORE_CELLS = 32 << 20, 4_000_000
 K1, B_LENGTH, IDF_FLOOR = 1.5, 0.75, 0.25
 
 
@@ -49,31 +67,28 @@ def documents(files: DataFrame) -> DataFrame:
     return out.where(F.trim("body") != "")
 
 
+_HEADING = re.compile(r"^(#{1,6})[^\S\n]+(.*)$|^(#{1,6})$", re.MULTILINE)
+
+
 def split_sections(text: str | None) -> list[dict]:
-    """Blocks under a stack of headings; a text without headings is one block."""
-    lines = (text or "").splitlines()
-    if not any(re.match(r"#{1,6}\s", line) for line in lines):
-        return [{"headings": [], "body": text or ""}] if (text or "").strip() else []
-    blocks: list[dict] = []
-    path: dict[int, str] = {}
-    body: list[str] = []
-
-    def close() -> None:
-        joined = "\n".join(body).strip()
-        if joined:
-            blocks.append({"headings": [path[k] for k in sorted(path) if path[k]], "body": joined})
-        body.clear()
-
-    for line in lines:
-        head = re.match(r"(#{1,6})\s+(.*)$", line)
-        if head is None:
-            body.append(line)
+    """The texts between headings, each with the headings that it is under; those without words are left out."""
+    marks = list(_HEADING.finditer(text or ""))
+    ends = [m.start() for m in marks] + [len(text or "")]
+    out = []
+    if body := (text or "")[: ends[0]].strip():
+        out.append({"headings": [], "body": body if marks else text})
+    for i, mark in enumerate(marks):
+        body = text[mark.end() : ends[i + 1]].strip()
+        if not body:
             continue
-        close()
-        level = len(head[1])
-        path = {k: v for k, v in path.items() if k < level} | {level: head[2].strip()}
-    close()
-    return blocks
+        path, level = [], 7
+        for m in marks[i::-1]:  # a heading is under the nearest one before it of each lower level
+            own = len(m[1] or m[3])
+            if own < level:
+                level = own
+                path.append((m[2] or "").strip())
+        out.append({"headings": [h for h in path[::-1] if h], "body": body})
+    return out
 
 
 @F.pandas_udf(_rows(headings=T.ArrayType(T.StringType()), body=T.StringType()))
@@ -175,35 +190,107 @@ def terms(text: Column) -> Column:
     return F.array_except(kept, F.array(*map(F.lit, STOPWORDS)))
 
 
-def expanded(words: Column, concepts: dict[str, list[str]]) -> Column:
+def expanded(words: Column, concepts: dict[str, list[str]] = CONCEPTS) -> Column:
     """Terms with those that go with a concept among them."""
     more = [F.when(F.array_contains(words, c), F.array(*map(F.lit, sorted(r)))).otherwise(F.array().cast("array<string>")) for c, r in concepts.items()]
     return F.array_distinct(F.concat(words, *more))
 
 
-def bm25(corpus: DataFrame, questions: DataFrame, k: int) -> DataFrame:
-    """The best ``k`` chunks of each question by Okapi scores over an inverted index: ``qid, cid, score, rank``.
+def _five_places(x: np.ndarray) -> np.ndarray:
+    """Half away from zero on six places, as ``rounded`` does."""
+    return np.floor(np.abs(x).round(6) * 1e5 + 0.5 + 1e-6) / 1e5 * np.sign(x)
+
+
+class _Best:
+    """The best ``k`` of all that a task has seen for each of several questions: highest score, then least id."""
+
+    def __init__(self, k: int):
+        self.k, self.row, self.score, self.id = k, np.empty(0, np.int64), np.empty(0), None
 
-    Corpus: ``cid, text``; questions: ``qid, text``. Only tokens that some question has are indexed; frequencies are
-    summed before the shuffle. Negative inverse frequencies count a quarter of the mean one.
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Takes scores of questions (rows) by candidates (columns); those that aren't finite don't count."""
+        some = np.isfinite(scores)
+        if scores.shape[1] > self.k:
+            some &= scores >= np.partition(scores, -self.k, axis=1)[:, -self.k][:, None]
+        rows, columns = np.nonzero(some)
+        self.row, self.score = np.concatenate([self.row, rows]), np.concatenate([self.score, scores[rows, columns]])
+        self.id = ids[columns] if self.id is None else np.concatenate([self.id, ids[columns]])
+        order = np.lexsort((self.id, -self.score, self.row))
+        row = self.row[order]
+        keep = order[np.arange(len(row)) - np.searchsorted(row, row) < self.k]
+        self.row, self.score, self.id = self.row[keep], self.score[keep], self.id[keep]
+
+
+def _blocks(questions: DataFrame, key: str, size: int):
+    """The questions in blocks of about ``size`` by a hash of their key, so the driver never holds more."""
+    n = questions.count()
+    many = -(-n // size)
+    for i in range(many):
+        part = questions if many == 1 else questions.where(F.pmod(F.xxhash64(key), F.lit(many)) == i)
+        yield part.orderBy(key).collect()
+
+
+def bm25(corpus: DataFrame, questions: DataFrame, k: int, most_questions: int = 2000) -> DataFrame:
+    """The best ``k`` chunks of each question by Okapi scores: ``qid, cid, score, rank``.
+
+    Corpus: ``cid, text``; questions: ``qid, text``, a stated set, which is taken in blocks of about ``most_questions``,
+    a pass over the corpus each. Document frequencies are a grouped count of each text's distinct tokens. Each batch of
+    the corpus meets a block's questions as one matrix product, and a task hands on its best ``k`` of each question
+    once, so pairs of questions and texts are never written out. Negative inverse frequencies count a quarter of the mean
+    one. Chunks that share no token with a question aren't among its best. Empty tables give an empty result.
     """
-    asked = questions.select("qid", F.explode(tokens(F.col("text"))).alias("token"))
+    spark = corpus.sparkSession
     split = computed_once(corpus.select("cid", "text"), {"t": tokens(F.col("text"))})
-    sizes = split.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean")).first()
-    n, mean = sizes["n"], sizes["mean"] or 1.0
-    sized = computed_once(split.select("cid", "t"), {"size": F.size("t")})
-    words = sized.select("cid", "size", F.explode("t").alias("token"))
-    counts = words.groupBy("token", "cid").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
-    df = counts.groupBy("token").agg(F.count("*").alias("df"))
-    idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    floor = (df.agg(F.avg(idf).alias("m")).first()["m"] or 0.0) * IDF_FLOOR
-    index = counts.join(asked.select("token").distinct(), "token", "left_semi")
-    index = index.join(df.withColumn("idf", F.when(idf < 0, floor).otherwise(idf)).select("token", "idf"), "token")
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B_LENGTH + B_LENGTH * F.col("size") / mean))
-    scored = asked.join(index.withColumn("w", weight), "token").groupBy("qid", "cid").agg(F.sum("w").alias("score"))
-    scored = scored.withColumn("score", rounded(F.col("score"), 5))
+    # one job counts the texts (as the empty token), their tokens, and the texts that have each token
+    every = split.select(F.coalesce(F.size("t"), F.lit(0)).alias("size"), F.explode(F.concat(F.array(F.lit("")), F.coalesce(F.array_distinct("t"), F.array().cast("array<string>")))).alias("token"))
+    every = every.groupBy("token").agg(F.count("*").alias("df"), F.sum("size").alias("sizes")).persist()
+    whole = every.where("token = ''").first()
+    kinds = f"qid {questions.schema['qid'].dataType.simpleString()}, cid {corpus.schema['cid'].dataType.simpleString()}, score double"
+    if whole is None:
+        return spark.createDataFrame([], kinds + ", rank int")
+    n, mean = whole["df"], max(whole["sizes"] / whole["df"], 1e-9)
+    df = every.where("token <> ''").select("token", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    floor = (df.agg(F.avg("idf").alias("m")).first()["m"] or 0.0) * IDF_FLOOR
+    found = None
+    asked = questions.select("qid", tokens(F.col("text")).alias("t"))
+    for block in _blocks(asked, "qid", most_questions):
+        words = sorted({t for r in block for t in r["t"] or []})
+        known = spark.createDataFrame([(w,) for w in words], "token string").join(df, "token").collect()  # a block's tokens
+        number = {r["token"]: i for i, r in enumerate(known)}
+        idf = np.array([r["idf"] if r["idf"] >= 0 else floor for r in known])
+        uses = np.zeros((len(known), len(block)))
+        for q, r in enumerate(block):
+            for t in r["t"] or []:
+                if t in number:
+                    uses[number[t], q] += 1
+        shared = spark.sparkContext.broadcast((number, idf, uses, [r["qid"] for r in block]))
+
+        def best(batches, shared=shared):
+            number, idf, uses, qids = shared.value
+            if not len(idf):
+                return
+            found, step = _Best(k), max(1, SCORE_CELLS // (uses.shape[0] + uses.shape[1]))
+            for batch in batches:
+                for lo in range(0, len(batch), step):
+                    part = batch.iloc[lo : lo + step]
+                    size, tf = np.zeros(len(part)), np.zeros((len(part), len(idf)))
+                    for i, text in enumerate(part["words"]):
+                        split = text.split() if text else []
+                        size[i] = len(split)
+                        at = [number[w] for w in split if w in number]
+                        tf[i] += np.bincount(at, minlength=len(idf)) if at else 0
+                    weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B_LENGTH + B_LENGTH * size[:, None] / mean))
+                    scores = np.where((tf > 0).astype(float) @ (uses > 0) > 0, _five_places(weight @ uses), -np.inf)
+                    found.add(scores.T, part["cid"].to_numpy())
+            if found.id is not None and len(found.row):
+                yield pd.DataFrame({"qid": np.array(qids)[found.row], "cid": found.id, "score": found.score})
+
+        part = split.select("cid", F.array_join("t", " ").alias("words")).mapInPandas(best, kinds)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return spark.createDataFrame([], kinds + ", rank int")
     rank = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "cid"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 # --- vectors
@@ -214,33 +301,35 @@ def normalised(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.when(length > 0, x / length).otherwise(x).cast("double"))
 
 
-def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int, most_queries: int = 20_000) -> DataFrame:
+def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The best ``k`` vectors of each query by dot product: ``qid, vec_id, score, rank``.
 
-    Queries (``qid, vector``) are a stated set; each batch of the corpus meets them as one matrix product and hands on
-    its best ``k`` only. More than ``most_queries`` are taken in blocks of that many, one pass each.
+    Queries (``qid, vector``) are a stated set, taken in blocks of about BLOCK_BYTES, a pass over the corpus each. Each
+    batch of the corpus meets a block as one matrix product, and a task hands on its best ``k`` of each query once.
+    Vectors that are null are left out; empty tables give an empty result.
     """
-    rows = queries.orderBy("qid").collect()
-    found = None
-    for lo in range(0, max(1, len(rows)), most_queries):
-        block = rows[lo : lo + most_queries]
+    spark, found = corpus.sparkSession, None
+    schema = "qid long, vec_id long, score double"
+    queries = queries.where("vector is not null")
+    widest = queries.agg(F.max(F.size("vector"))).first()[0] or 1
+    for block in _blocks(queries, "qid", max(1, BLOCK_BYTES // (8 * widest))):
         ids = np.array([r["qid"] for r in block], dtype=np.int64)
-        matrix = np.array([r["vector"] for r in block], dtype=np.float64).reshape(len(block), -1)
-        shared = corpus.sparkSession.sparkContext.broadcast((ids, matrix))
+        shared = spark.sparkContext.broadcast((ids, np.array([r["vector"] for r in block], dtype=np.float64)))
 
         def best(batches, shared=shared):
             ids, matrix = shared.value
+            found, step = _Best(k), max(1, SCORE_CELLS // max(matrix.shape))
             for batch in batches:
-                if not len(batch) or not len(ids):
-                    continue
-                scores = matrix @ np.stack(batch["vector"].to_numpy()).T.astype(np.float64)
-                vec = batch["vec_id"].to_numpy()
-                for i, qid in enumerate(ids):
-                    order = np.lexsort((vec, -scores[i].round(6)))[:k]
-                    yield pd.DataFrame({"qid": qid, "vec_id": vec[order], "score": scores[i][order].round(6)})
+                for lo in range(0, len(batch), step):
+                    part = batch.iloc[lo : lo + step]
+                    found.add((matrix @ np.stack(part["vector"].to_numpy()).T.astype(np.float64)).round(6), part["vec_id"].to_numpy())
+            if len(found.row):
+                yield pd.DataFrame({"qid": ids[found.row], "vec_id": found.id, "score": found.score})
 
-        part = corpus.select("vec_id", "vector").mapInPandas(best, "qid long, vec_id long, score double")
+        part = corpus.where("vector is not null").select("vec_id", "vector").mapInPandas(best, schema)
         found = part if found is None else found.unionByName(part)
+    if found is None:
+        return spark.createDataFrame([], schema + ", rank int")
     rank = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -270,39 +359,52 @@ def rerank(found: DataFrame, k: int, bonuses: list[tuple[str, float]]) -> DataFr
 
 
 def sentences(found: DataFrame) -> DataFrame:
-    """Answer candidates: clean whole sentences that share a term with the question, with a score."""
-    part = F.explode(F.split("text", r"\n+|(?<=[.!?])\s+")).alias("raw")
+    """Answer candidates: clean whole sentences that share a term with the question, with a score. A list item needs no
+    full stop; none ends on a word or sign that something should follow. Money and domain words raise a sentence."""
+    part = F.explode(F.split("text", SENTENCE_END)).alias("raw")
     rows = found.select("qid", "question", "cid", "citation", "relevance", part)
-    clean = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("raw", r"\b\d{1,2}:\d{2}\b", " "), r"[`*_>#]+", " "), r"\s+", " "), F.lit(" -:;"))
-    rows = rows.withColumn("sentence", clean).where(F.length("sentence").between(38, 380) & F.col("sentence").rlike(r"^[A-Z0-9$]") & F.trim("raw").rlike(r"[.!?]$"))
+    clean = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("raw", r"\b\d{1,2}:\d{2}\b", " "), r"[`*_>#]+", " "), r"\s+", " "), F.lit(" -–—:;"))
+    whole = F.trim("raw").rlike(r"[.!?]$") | F.trim("raw").rlike(LIST_ITEM)
+    rows = rows.withColumn("sentence", clean).where(F.length("sentence").between(38, 380) & F.col("sentence").rlike(r"^[A-Z0-9$]") & whole & ~F.col("sentence").rlike(OPEN_END))
     hits = F.size(F.array_intersect(terms(F.col("question")), terms(F.col("sentence"))))
-    score = F.col("relevance") + F.least(hits, F.lit(6)) * 0.09 + F.when(F.length("sentence").between(65, 320), 0.04).otherwise(0.0)
+    more = F.when(F.length("sentence").between(65, 320), 0.04).otherwise(0.0) + F.when(F.col("sentence").rlike(DOMAIN_WORDS), 0.06).otherwise(0.0)
+    score = F.col("relevance") + F.least(hits, F.lit(6)) * 0.09 + more
     return rows.withColumn("hits", hits).where("hits > 0").withColumn("score", rounded(score, 4)).drop("raw", "question")
 
 
-def diverse(candidates: DataFrame, points: int = 4, per_citation: int = 2, most_alike: float = 0.72, consider: int = 50) -> DataFrame:
-    """Greedy choice for each question: the best sentences, few of one source, none too alike. A question's group has
-    its ``consider`` best candidates only: a limit of the operator."""
-    rn = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "cid", "sentence"))
-    top = candidates.withColumn("rn", rn).where(F.col("rn") <= consider).withColumn("terms", terms(F.col("sentence")))
+def diverse(candidates: DataFrame, points: int = 4, per_citation: int = 2, most_alike: float = 0.72) -> DataFrame:
+    """Greedy choice for each question: the best sentences, few of one source, none too alike, until there are
+    ``points``. A question's group are the sentences of the few chunks that were found for it."""
+    top = candidates.withColumn("terms", terms(F.col("sentence")))
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
         kept: list[int] = []
         used: dict[str, int] = {}
         bags: list[set] = []
-        group = group.sort_values("rn").reset_index(drop=True)
-        for i, row in group.iterrows():
-            bag = set(row["terms"])
-            alike = any(len(bag & b) > most_alike * len(bag | b) for b in bags if bag | b)
-            if len(kept) < points and used.get(row["citation"], 0) < per_citation and not alike:
-                kept.append(i)
-                bags.append(bag)
-                used[row["citation"]] = used.get(row["citation"], 0) + 1
+        group = group.sort_values(["score", "cid", "sentence"], ascending=[False, True, True]).reset_index(drop=True)
+        for i, (citation, words) in enumerate(zip(group["citation"], group["terms"], strict=True)):
+            bag = set(words)
+            if used.get(citation, 0) >= per_citation or any(len(bag & b) > most_alike * len(bag | b) for b in bags if bag | b):
+                continue
+            kept.append(i)
+            bags.append(bag)
+            used[citation] = used.get(citation, 0) + 1
+            if len(kept) == points:
+                break
         out = group.loc[kept, ["qid", "citation", "sentence", "score"]]
         return out.assign(point=np.arange(1, len(out) + 1, dtype=np.int64))
 
     kind = candidates.schema["qid"].dataType.simpleString()
-    return top.select("qid", "citation", "sentence", "score", "rn", "terms").groupBy("qid").applyInPandas(choose, f"qid {kind}, citation string, sentence string, score double, point long")
+    return top.select("qid", "cid", "citation", "sentence", "score", "terms").groupBy("qid").applyInPandas(choose, f"qid {kind}, citation string, sentence string, score double, point long")
+
+
+def answer_strength(ranked: DataFrame, points: DataFrame) -> DataFrame:
+    """(``qid, points, strength``): how far the chunks that were found (``similarity, coverage``) and the points chosen
+    from them bear an answer."""
+    best = ranked.groupBy("qid").agg(F.max("similarity").alias("s"), F.max("coverage").alias("c"))
+    both = best.join(points.groupBy("qid").agg(F.count("*").alias("points")), "qid", "left").withColumn("points", F.coalesce("points", F.lit(0)))
+    strong, some = (F.col("s") >= 0.76) & (F.col("c") >= 0.45), (F.col("s") >= 0.58) & (F.col("points") > 0)
+    return both.select("qid", "points", F.when(strong, "strong").when(some, "moderate").otherwise("limited").alias("strength"))
 
 
 # --- evaluation
@@ -325,13 +427,3 @@ def answer_gate(answers: DataFrame) -> DataFrame:
 def to_embed(chunk_rows: DataFrame, stored: DataFrame) -> DataFrame:
     """Chunks whose id and content aren't stored yet."""
     return chunk_rows.join(stored.select("chunk_id", "content_hash"), ["chunk_id", "content_hash"], "left_anti")
-
-
-def bm25_reference(texts: list[list[str]], query: list[str]) -> list[float]:
-    """Plain scores of a few texts, for tests."""
-    n, mean = len(texts), sum(map(len, texts)) / len(texts)
-    df = {t: sum(t in x for x in texts) for x in texts for t in x}
-    idf = {t: math.log((n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
-    floor = IDF_FLOOR * sum(idf.values()) / len(idf)
-    weigh = lambda t, x: (idf[t] if idf[t] >= 0 else floor) * x.count(t) * (K1 + 1) / (x.count(t) + K1 * (1 - B_LENGTH + B_LENGTH * len(x) / mean))
-    return [sum(weigh(t, x) for t in query if t in x) for x in texts]

@@ -44,8 +44,9 @@ def bm25_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def question_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = K.expanded(K.terms(F.col("text")), {"the": ["roi"], "eron": ["profit", "margin"], "ered": ["risk"]})
-    return questions(spark, sf_dir).select("qid", F.array_join(F.array_sort(words), " ").alias("terms"))
+    """Terms of the questions, each with a word of a concept, and what goes with it."""
+    asked = F.concat_ws(" ", "text", F.element_at(F.array(*map(F.lit, K.CONCEPTS)), (F.length("text") % len(K.CONCEPTS) + 1).cast("int")))
+    return questions(spark, sf_dir).select("qid", F.array_join(F.array_sort(K.expanded(K.terms(asked))), " ").alias("terms"))
 
 
 def retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +63,7 @@ def retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = read(spark, sf_dir, "embeddings").select("vec_id", K.normalised(F.col("embedding")).alias("vector"))
-    return K.vector_top_k(v, v.where("vec_id < 20").select(F.col("vec_id").alias("qid"), "vector"), 5).select("qid", "vec_id", F.col("score").alias("score"), "rank")
+    return K.vector_top_k(v, v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "vector"), 5).select("qid", "vec_id", F.col("score").alias("score"), "rank")
 
 
 def vector_label_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +89,12 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.diverse(K.sentences(K.rerank(_found(spark, sf_dir), 3, BONUSES)))
 
 
+def answer_strengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well each question is answered, counted."""
+    ranked = K.rerank(_found(spark, sf_dir), 3, BONUSES)
+    return K.answer_strength(ranked, K.diverse(K.sentences(ranked))).groupBy("strength").agg(F.count("*").alias("n"), F.sum("points").alias("points"))
+
+
 def gated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", F.col("source").alias("citation"), F.array(F.lit("the"), F.lit("and")).alias("required"), F.array(F.lit("src1")).alias("cites"))
     return K.answer_gate(rows).groupBy("passed").agg(F.count("*").alias("n"))
@@ -105,12 +112,12 @@ def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    probes = read(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderpriority").alias("term"), F.to_date("o_orderdate").alias("as_of"))
+    probes = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("term"), F.to_date("o_orderdate").alias("as_of"))
     return T.trend_as_of(weekly(spark, sf_dir), probes)
 
 
 def trend_attached(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", F.col("o_orderpriority").alias("category"), F.to_date("o_orderdate").alias("as_of"), F.lit(-1.0).alias("ratio"))
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("category"), F.to_date("o_orderdate").alias("as_of"), F.lit(-1.0).alias("ratio"))
     out = T.attach(rows, trends(spark, sf_dir), "category", "trend")
     filled = T.backfill(rows, out.select("o_orderkey", F.col("trend_ratio").alias("ratio")), ["o_orderkey"], ["ratio"])
     return filled.join(out.select("o_orderkey", "trend_slope", "trend_stale"), "o_orderkey").select("o_orderkey", "ratio", "trend_slope", "trend_stale")
@@ -128,7 +135,7 @@ def category_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def listing_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("upc"), F.col("p_retailprice").alias("price"))
-    lines = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("upc"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price")).where("upc % 3 = 0")
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("upc"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
     return T.listing_comparison(p, lines).select("upc", "listings", "ratio")
 
 
@@ -140,7 +147,7 @@ def storefronts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "document_table": document_table, "chunk_rows": chunk_rows, "chunk_totals": chunk_totals, "bm25_ranks": bm25_ranks, "question_terms": question_terms,
     "retrieval_quality": retrieval_quality, "vector_top_k": vectors, "vector_label_recall": vector_label_recall, "reranked": reranked, "answers": answers,
-    "gated_answers": gated_answers, "embed_backlog": embed_backlog, "trends": trends, "trend_attached": trend_attached, "snapshot_features": snapshot_features,
+    "answer_strengths": answer_strengths, "gated_answers": gated_answers, "embed_backlog": embed_backlog, "trends": trends, "trend_attached": trend_attached, "snapshot_features": snapshot_features,
     "category_percentiles": category_percentiles, "listing_comparisons": listing_comparisons, "storefronts": storefronts,
 }
 _WORDS = "list_filter(regexp_split_to_array(trim(text, chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)), '\\s+'), lambda w: w <> '')"
@@ -154,10 +161,10 @@ _BM25 = f"""tok AS (SELECT doc_id AS cid, len(t) AS size, unnest(t) AS token FRO
 _STOP = "['" + "', '".join(K.STOPWORDS) + "']"
 _TERMS = lambda c: f"list_filter(list_distinct(regexp_extract_all(lower({c}), '([a-z0-9]+)', 1)), lambda x: length(x) > 2 AND NOT list_contains({_STOP}, x))"
 _VEC = f"""v AS (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda y: y * y)))) AS e FROM embeddings),
-  s AS (SELECT q.vec_id AS qid, c.vec_id, c.label, q.label AS own, CAST(round(CAST(list_inner_product(q.e, c.e) AS DOUBLE), 6) AS DOUBLE) AS score FROM v q, v c WHERE q.vec_id < 20),
+  s AS (SELECT q.vec_id AS qid, c.vec_id, c.label, q.label AS own, CAST(round(CAST(list_inner_product(q.e, c.e) AS DOUBLE), 6) AS DOUBLE) AS score FROM v q, v c WHERE q.vec_id % 100 = 0),
   k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s)"""
 _TREND = f"""wk AS (SELECT o_orderpriority AS term, CAST(date_trunc('week', o_orderdate) AS DATE) AS d, CAST(count(*) AS DOUBLE) AS v FROM orders GROUP BY 1, 2),
-  pr AS (SELECT DISTINCT o_orderpriority AS term, CAST(o_orderdate AS DATE) AS as_of FROM orders WHERE o_orderkey % 10 = 0),
+  pr AS (SELECT DISTINCT o_orderpriority AS term, CAST(o_orderdate AS DATE) AS as_of FROM orders),
   j AS (SELECT p.term, p.as_of, w.d, w.v, max(w.d) OVER (PARTITION BY p.term, p.as_of) AS ld, row_number() OVER (PARTITION BY p.term, p.as_of ORDER BY w.d DESC) AS rn FROM pr p JOIN wk w ON w.term = p.term AND w.d + 7 <= p.as_of),
   g AS (SELECT term, as_of, any_value(ld) AS ld, max(v) FILTER (WHERE rn = 1) AS lv, avg(v) FILTER (WHERE ld - d <= 90) AS a90, max(v) FILTER (WHERE rn = 4) AS v4, max(v) FILTER (WHERE rn = 3) AS v3, max(v) FILTER (WHERE rn = 2) AS v2, count(*) AS n,
     count(*) FILTER (WHERE week(d) = week(ld) AND year(d) <> year(ld)) AS m, avg(v) FILTER (WHERE week(d) = week(ld) AND year(d) <> year(ld)) AS mu, stddev_pop(v) FILTER (WHERE week(d) = week(ld) AND year(d) <> year(ld)) AS sd FROM j GROUP BY 1, 2),
@@ -175,8 +182,8 @@ SQL = {
       c AS (SELECT doc_id, category, w, unnest(range(0, CASE WHEN len(w) <= 600 THEN least(len(w), 1) ELSE len(w) END, 525)) AS i FROM w)
       SELECT category, count(DISTINCT doc_id) AS documents, count(*) AS chunks, CAST(sum(greatest(1, round(CAST(len(w[i + 1:i + 600]) * 1.3 AS DECIMAL(18,6)), 0))) AS BIGINT) AS tokens FROM c GROUP BY 1""",
     "bm25_ranks": f"WITH {_BM25} SELECT qid, cid, score, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 5",
-    "question_terms": f"""WITH t AS (SELECT item_id AS qid, list_filter(list_distinct({_TOKENS}), lambda x: length(x) > 2 AND NOT list_contains({_STOP}, x)) AS t FROM benchmark)
-      SELECT qid, array_to_string(list_sort(list_distinct(list_concat(t, CASE WHEN list_contains(t, 'the') THEN ['roi'] ELSE [] END, CASE WHEN list_contains(t, 'eron') THEN ['margin', 'profit'] ELSE [] END, CASE WHEN list_contains(t, 'ered') THEN ['risk'] ELSE [] END))), ' ') AS terms FROM t""",
+    "question_terms": f"""WITH q AS (SELECT item_id AS qid, text || ' ' || ([{", ".join(f"'{c}'" for c in K.CONCEPTS)}])[length(text) % {len(K.CONCEPTS)} + 1] AS x FROM benchmark), t AS (SELECT qid, {_TERMS("x")} AS t FROM q)
+      SELECT qid, array_to_string(list_sort(list_distinct(flatten([t, {", ".join(f"CASE WHEN list_contains(t, '{c}') THEN {more} ELSE [] END" for c, more in K.CONCEPTS.items())}]))), ' ') AS terms FROM t""",
     "retrieval_quality": f"""WITH {_BM25}, w AS (SELECT doc_id AS cid, {_TOKENS} AS t FROM documents), h AS (SELECT cid, t, unnest(range(1, len(t) - 6)) AS i FROM w),
       e AS (SELECT DISTINCT qid, cid FROM (SELECT item_id AS qid, array_to_string(({_TOKENS})[1:8], ' ') AS head FROM benchmark) JOIN h ON head = array_to_string(t[i:i + 7], ' ')),
       b AS (SELECT e.qid, min(rank) FILTER (WHERE rank <= 10) AS rank FROM e LEFT JOIN rk USING (qid, cid) GROUP BY 1)
@@ -191,12 +198,12 @@ SQL = {
     "gated_answers": "SELECT contains(lower(text), 'the') AND contains(lower(text), 'and') AND contains(lower(source), 'src1') AS passed, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "embed_backlog": "SELECT doc_id AS chunk_id, sha256(text) AS content_hash FROM documents WHERE doc_id % 3 = 0 OR doc_id % 7 = 0",
     "trends": f"WITH {_TREND} SELECT * FROM tr",
-    "trend_attached": f"""WITH {_TREND} SELECT o_orderkey, coalesce(ratio, -1) AS ratio, slope AS trend_slope, coalesce(stale, true) AS trend_stale FROM orders LEFT JOIN tr ON term = o_orderpriority AND as_of = CAST(o_orderdate AS DATE) WHERE o_orderkey % 10 = 0""",
+    "trend_attached": f"""WITH {_TREND} SELECT o_orderkey, coalesce(ratio, -1) AS ratio, slope AS trend_slope, coalesce(stale, true) AS trend_stale FROM orders LEFT JOIN tr ON term = o_orderpriority AND as_of = CAST(o_orderdate AS DATE)""",
     "snapshot_features": f"""WITH {HISTORY_SQL}, d AS (SELECT *, price - offers AS buybox FROM history WHERE day BETWEEN DATE '1998-05-31' AND DATE '1998-06-30')
       SELECT item, {r("avg(sales_rank)", 3)} AS rank_mean, {r("stddev_samp(sales_rank)", 3)} AS rank_std, {r("regr_slope(sales_rank, day - DATE '1970-01-01')", 4)} AS rank_slope, {r("greatest(0, 1 - stddev_samp(price) / nullif(avg(price), 0))", 4)} AS price_resilience,
         arg_max(sales_rank, day) - arg_min(sales_rank, day) AS review_velocity, arg_max(offers, day) - arg_min(offers, day) AS offer_acceleration, {r("arg_max(struct_pack(v := price), day).v - arg_max(struct_pack(v := buybox), day).v", 2)} AS buybox_gap FROM d GROUP BY 1""",
     "category_percentiles": f"WITH {HISTORY_SQL}, {ITEMS_SQL}, m AS (SELECT item, category, max(sales_rank) AS rank FROM items JOIN history USING (item) GROUP BY 1, 2) SELECT item, category, {r('(SELECT count(*) FROM m b WHERE b.category = a.category AND b.rank > a.rank) / (SELECT count(*) FROM m b WHERE b.category = a.category)', 4)} AS percentile FROM m a",
-    "listing_comparisons": f"""WITH l AS (SELECT l_partkey AS upc, count(*) AS listings, quantile_cont(l_extendedprice / l_quantity, 0.5) AS med FROM lineitem WHERE l_partkey % 3 = 0 GROUP BY 1)
+    "listing_comparisons": f"""WITH l AS (SELECT l_partkey AS upc, count(*) AS listings, quantile_cont(l_extendedprice / l_quantity, 0.5) AS med FROM lineitem GROUP BY 1)
       SELECT p_partkey AS upc, listings, {r("med / p_retailprice", 3)} AS ratio FROM part LEFT JOIN l ON upc = p_partkey""",
     "storefronts": """WITH s AS (SELECT DISTINCT l_suppkey AS seller, CAST(date_trunc('month', l_shipdate) AS DATE) AS day, l_partkey AS item FROM lineitem)
       SELECT seller, day, CAST(count(*) AS INTEGER) AS n_items, array_to_string(list_sort(list(item))[1:5], ',') AS items FROM s GROUP BY 1, 2""",
