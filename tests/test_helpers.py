@@ -1,8 +1,11 @@
 """Parsers, helpers, lake writes and streams on literal rows."""
 
 import datetime as dt
+import hashlib
 import json
+import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,8 +14,10 @@ from tidemill.functions import scoring as S
 from tidemill.operators import corpus as B
 from tidemill.operators import evaluate as E
 from tidemill.operators import matching as M
+from tidemill.operators import ranking as R
 from tidemill.operators import reports as O
 from tidemill.operators import text as K
+from tidemill.operators import train as T
 from tidemill.plans import streams
 from tidemill.sources import lake as L
 from tidemill.streaming import jobs as X
@@ -103,11 +108,21 @@ def test_pages_and_feeds(spark):
     assert [[tuple(i) for i in r.i] for r in feeds.select(K.feed_items("x").alias("i")).collect()] == [[("T", "u")], [("E", "v")], []]
 
 
+def plain_bm25(texts: list[list[str]], query: list[str]) -> list[float]:
+    """Plain scores of a few texts, for tests."""
+    n, mean = len(texts), sum(map(len, texts)) / len(texts)
+    df = {t: sum(t in x for x in texts) for x in texts for t in x}
+    idf = {t: math.log((n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
+    floor = K.IDF_FLOOR * sum(idf.values()) / len(idf)
+    weigh = lambda t, x: (idf[t] if idf[t] >= 0 else floor) * x.count(t) * (K.K1 + 1) / (x.count(t) + K.K1 * (1 - K.B_LENGTH + K.B_LENGTH * len(x) / mean))
+    return [sum(weigh(t, x) for t in query if t in x) for x in texts]
+
+
 def test_bm25_equals_the_plain_form(spark):
     texts = ["a b a c", "b c d", "a d d e f", "c c c"]
     corpus = spark.createDataFrame(list(enumerate(texts)), "cid int, text string")
     got = {r.cid: r.score for r in K.bm25(corpus, spark.createDataFrame([(1, "a d")], "qid int, text string"), 9).collect()}
-    want = K.bm25_reference([t.split() for t in texts], ["a", "d"])
+    want = plain_bm25([t.split() for t in texts], ["a", "d"])
     assert all(abs(got.get(i, 0.0) - w) < 1e-4 for i, w in enumerate(want))
 
 
@@ -141,7 +156,7 @@ def test_health_stream_equals_the_batch(spark, tmp_path):
     frame = spark.createDataFrame(rows, "url string, seq long, code int, fallback boolean")
     frame.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))
-    got = {tuple(r) for r in X.run_to_memory(spark, X.health_states(stream), "health", "update").collect()}
+    got = {tuple(r) for r in X.run_to_files(spark, X.health_states(stream), "health", "update").collect()}
     assert got == {tuple(r) for r in M.source_health(frame).collect()}
 
 
@@ -229,8 +244,8 @@ def test_common_words_find_candidates(spark):
     deals = spark.createDataFrame(deal, "deal_id long, upc string, attrs struct<brand:string,core_title:string>")
     items = spark.createDataFrame(item, "item long, upcs array<string>, item_attrs struct<brand:string,core_title:string>")
     want = {(4, 7, True, 99)}
-    for d, _, (brand, title) in [x for x in deal if x[0] != 4 and x[2][0]]:
-        overlap = [(-len(set(title.split()) & set(t.split())), i) for i, _, (b, t) in item if b.lower() == brand.lower()]
+    for d, _, (brand, title) in [x for x in deal if x[0] != 4]:
+        overlap = [(-len(set(title.split()) & set(t.split())), i) for i, _, (b, t) in item if not brand or b.lower() == brand.lower()]
         want |= {(d, i, False, -n) for n, i in sorted(x for x in overlap if x[0])[:5]}
     assert {tuple(r) for r in M.candidates(deals, items).select("deal_id", "item", "by_code", "overlap").collect()} == want
 
@@ -253,3 +268,79 @@ def test_bootstrap_makes_500_replicates(spark):
     rows = spark.range(400).selectExpr("id % 40 AS c", "id % 7 / 7 AS a", "id % 11 / 11 AS b", "id % 3 = 0 AS y")
     got = E.bootstrap_gap(rows, "a", "b", "y", "c").first()
     assert got.resamples == 500 and got.low < got.high
+
+
+def test_caps_keep_rows_without_a_group_and_fill_the_limit(spark):
+    rows = [(i, [None, "a", "b"][min(i % 7, 2)], i % 5) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "id long, g string, t int")
+    hashed = lambda r: (int(hashlib.sha256(f"{r[2]}|{r[0]}".encode()).hexdigest()[:8], 16), r[2], r[0])
+    for limit in (1, 7, 400, 430, 5000):
+        got = B.cap_groups(frame, "g", limit, ["t", "id"])
+        want = [r for g in (None, "a", "b") for r in sorted((r for r in rows if r[1] == g), key=hashed)[:limit]]
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_split_by_time_keeps_rows_without_a_day(spark):
+    day = lambda k: None if k % 3 == 0 else dt.date(2024, 1, 1 + k % 4)
+    got = B.split_by_time(spark.createDataFrame([(k, day(k)) for k in range(30)], "id long, day date"), "day", "id").collect()
+    dated = sorted((r.day, r.id) for r in got if r.day)
+    assert len(got) == 30 and {r.id for r in got if r.fold == "validation"} == {i for _, i in dated[-6:]}
+    assert B.split_by_time(spark.createDataFrame([(1, None)], "id long, day date"), "day", "id").first().fold == "train"
+
+
+def test_positions_and_running_sums_by_group(spark):
+    rows = [(i, [None, "a"][i % 2], float((i * 37) % 101)) for i in range(500)]
+    frame = spark.createDataFrame(rows, "id long, g string, x double")
+    got = {r.id: r.p for r in R.positions(frame, "id", ["g"], "p").collect()}
+    assert got == {i: 1 + sum(j < i for j, g, _ in rows if g == own) for i, own, _ in rows}
+    sums = R.running(frame.groupBy("g", "x").agg(F.count("*").alias("n")), "x", ["n"], ["g"]).collect()
+    assert all(r.n_before == sum(x < r.x for _, g, x in rows if g == r.g) for r in sums)
+
+
+def test_exact_quantiles(spark):
+    values = [float(x) for x in np.random.default_rng(1).integers(0, 40, 333)] + [None]
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    assert np.allclose(E.exact_quantiles(frame, "v", 10), np.quantile(values[:-1], [i / 10 for i in range(11)]))
+    assert E.exact_quantiles(frame.limit(0), "v", 10) == [] and E.psi(frame.limit(0), frame, ["v"]).count() == 0
+
+
+def test_answer_rules(spark):
+    sentence = "The offers rose quickly in every warm month of the year"
+    raw = f"{sentence}. - A list item about offers needs no full stop here at all\n- Offers that end on a word which should go on to\nOffers cost $5 in every warm month of the year. {sentence} of the"
+    rows = K.sentences(spark.createDataFrame([(1, "which offers", "c", "src", 0.5, raw)], "qid int, question string, cid string, citation string, relevance double, text string")).collect()
+    assert {r.sentence[:10] for r in rows} == {"The offers", "A list ite", "Offers cos"} and all(r.score > 0.6 for r in rows)
+    listed = K.sentences(spark.createDataFrame([(1, "which offers", "c", "src", 0.5, "- A list item about offers needs no full stop here at all")], "qid int, question string, cid string, citation string, relevance double, text string")).collect()
+    assert [r.sentence[:6] for r in listed] == ["A list"]
+    ranked = spark.createDataFrame([(1, 0.8, 0.5), (2, 0.6, 0.1), (3, 0.6, 0.1)], "qid int, similarity double, coverage double")
+    points = spark.createDataFrame([(2, "x")], "qid int, sentence string")
+    assert {r.qid: r.strength for r in K.answer_strength(ranked, points).collect()} == {1: "strong", 2: "moderate", 3: "limited"}
+
+
+def test_webhooks_are_masked(spark):
+    hook = "https://discord.com/api/webhooks/123/abc_D-e"
+    assert one(spark, P.redacted(F.col("t")), t=f"see {hook} now") == "see *** now" and one(spark, P.secret_kind(F.col("t")), t=hook.replace(".com", "app.com")) == "webhook"
+    assert one(spark, P.secret_kind(F.col("t")), t="https://other.com/api/webhooks/123/abc") is None
+
+
+def test_best_vectors_in_blocks_and_batches(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    v = rng.integers(-3, 4, (500, 4)).astype(float)
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(999, None)], "vec_id long, vector array<double>").repartition(3)
+    queries = frame.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "qid")
+    want = {(q, i, k + 1) for q in range(0, 500, 50) for k, i in enumerate(np.lexsort((np.arange(500), -(v @ v[q])))[:6])}
+    for block, cells in ((K.BLOCK_BYTES, K.SCORE_CELLS), (96, 100)):
+        monkeypatch.setattr(K, "BLOCK_BYTES", block)
+        monkeypatch.setattr(K, "SCORE_CELLS", cells)
+        assert {(r.qid, r.vec_id, r["rank"]) for r in K.vector_top_k(frame, queries, 6).collect()} == want
+    assert K.vector_top_k(frame, queries.limit(0), 6).count() == 0
+
+
+def test_quantile_line_and_trees_learn(spark):
+    rng = np.random.default_rng(3)
+    rows = [(float(x), float(2 * x + e), bool(x > 0.5)) for x, e in zip(rng.random(600), rng.normal(0, 0.1, 600), strict=True)]
+    frame = spark.createDataFrame(rows, "x double, y double, good boolean")
+    model = T.fit_classifier(frame, ["x"], "good", trees=True)
+    held = E.auc(T.probabilities(model, frame, ["x"]), "probability", "good", []).first()
+    assert held.auc > 0.95
+    *slope, constant = T.quantile_line(frame, ["x"], "y", 0.2)
+    assert abs(np.mean([y < slope[0] * x + constant for x, y, _ in rows]) - 0.2) < 0.08 and abs(slope[0] - 2) < 0.3

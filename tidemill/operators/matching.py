@@ -57,15 +57,16 @@ def candidates(deals: DataFrame, catalogue: DataFrame, most: int = D.MATCH_CANDI
     Deals: ``deal_id, upc, attrs``; catalogue: ``item, upcs, item_attrs``, where both ids are keys. Deals and items are
     grouped by (brand, set of words), and only distinct sets are joined on (brand, word). An item set hands on its first
     ``most`` items, a deal set meets its best ``most`` item sets, since each of these has an item before those of other
-    sets; so no word is too common to count. A deal without a brand finds nothing that way.
+    sets; so no word is too common to count. A deal without a brand meets the items of all brands.
     """
     codes = catalogue.select("item", F.explode("upcs").alias("upc"))
     by_code = deals.where(F.col("upc").isNotNull()).join(codes, "upc").select("deal_id", "item", F.lit(True).alias("by_code"), F.lit(99).alias("overlap"))
     rest = deals.join(by_code.select("deal_id").distinct(), "deal_id", "left_anti")
     words = lambda attrs: F.array_sort(F.filter(F.array_distinct(F.split(F.lower(F.col(attrs)["core_title"]), " ")), lambda w: F.length(w) > 1))
-    brand = lambda attrs: F.lower(F.col(attrs)["brand"]).alias("b")
-    asked = rest.select("deal_id", brand("attrs"), words("attrs").alias("asked")).where("b <> '' and size(asked) > 0")
-    held = catalogue.select("item", brand("item_attrs"), words("item_attrs").alias("held")).where("b <> '' and size(held) > 0")
+    brand = lambda attrs: F.coalesce(F.lower(F.col(attrs)["brand"]), F.lit("")).alias("b")
+    asked = rest.select("deal_id", brand("attrs"), words("attrs").alias("asked")).where("size(asked) > 0")
+    held = catalogue.select("item", brand("item_attrs"), words("item_attrs").alias("held")).where("size(held) > 0")
+    held = held.where("b <> ''").unionByName(held.withColumn("b", F.lit("")))  # deals without a brand meet all items
     # the first items of each set; the window keeps that many in every task before its shuffle
     place = F.row_number().over(W.partitionBy("b", "held").orderBy("item"))
     firsts = held.withColumn("_n", place).where(F.col("_n") <= most).drop("_n")
@@ -134,10 +135,22 @@ def apply_matches(matches: DataFrame, deals: DataFrame, leads: DataFrame) -> Dat
     return rows.withColumn("profit", rounded(F.col("net") - F.col("cost"), 2)).withColumn("roi", rounded((F.col("net") - F.col("cost")) / F.col("cost"), 3))
 
 
-def new_leads(matches: DataFrame, leads: DataFrame, scored: DataFrame) -> DataFrame:
-    """Matched items without a lead, with their score, unless a gate rejects them."""
-    fresh = matches.select("item").distinct().join(leads.select("item"), "item", "left_anti")
-    return fresh.join(scored.where(F.col("hard_reject").isNull()).select("item", "score", "verdict"), "item")
+def new_leads(matches: DataFrame, deals: DataFrame, leads: DataFrame, scored: DataFrame) -> DataFrame:
+    """Leads that begin with a deal: each matched item that isn't a lead yet, with the cost of its cheapest deal, profit,
+    return and status. ``scored``: ``item, score, verdict, hard_reject, net``.
+
+    Sure or approved matches count; an item that a gate rejects, or that has no deal with a price, says so.
+    """
+    sure = matches.where((F.col("confidence") >= D.MATCH_AUTO) | (F.col("review") == "approved")).select("deal_id", "item")
+    fresh = sure.join(leads.select("item"), "item", "left_anti")
+    cost = real_cost(F.col("price"), F.col("stack"))
+    priced = fresh.join(deals.select("deal_id", F.when(F.col("price") > 0, cost).alias("cost")), "deal_id")
+    best = priced.groupBy("item").agg(F.min("cost").alias("cost"), F.min_by("deal_id", F.struct("cost", "deal_id")).alias("deal_id"), F.count("*").alias("deals"))
+    out = best.join(scored.select("item", "score", "verdict", "hard_reject", "net"), "item")
+    status = F.when(F.col("hard_reject").isNotNull(), "rejected").when(F.col("cost").isNull(), "no price").otherwise("new")
+    out = out.withColumn("status", status).withColumn("cost", F.when(F.col("status") == "new", F.col("cost")))
+    gain = F.col("net") - F.col("cost")
+    return out.select("item", "deal_id", "deals", "score", "verdict", "status", "cost", rounded(gain, 2).alias("profit"), rounded(gain / F.col("cost"), 3).alias("roi"))
 
 
 def hints(deals: DataFrame, friendly: list[str], avoid: list[str]) -> DataFrame:
@@ -162,16 +175,17 @@ def seeds(made: DataFrame, now: Column, least: float = D.HINT_STRENGTH, ttl_days
 
 def source_health(events: DataFrame, retire_at: int = 2) -> DataFrame:
     """Each url's state after its events in order (``url, seq, code, fallback``): refusals in a row retire a source
-    that has a fallback, a success resets them, and retired is the end. A group is one url's events."""
-    steps = F.sort_array(F.collect_list(F.struct("seq", "code", "fallback")))
-    start = F.struct(F.lit(0).alias("refused"), F.lit("ok").alias("state"))
-
-    def step(s: Column, e: Column) -> Column:
-        refused = F.when(e["code"] == 403, s["refused"] + 1).when(e["code"] == 200, 0).otherwise(s["refused"])
-        state = F.when(s["state"] == "retired", "retired").when((refused >= retire_at) & e["fallback"], "retired").when(refused > 0, "failing").otherwise("ok")
-        return F.struct(refused.alias("refused"), state.alias("state"))
-
-    return events.groupBy("url").agg(F.aggregate(steps, start, step).alias("s")).select("url", "s.refused", "s.state")
+    that has a fallback, a success resets them, and retired is the end. Events are followed in sorted runs, which may
+    spill; none are gathered."""
+    so_far = W.partitionBy("url").orderBy("seq")
+    run = F.count_if(F.col("code") == 200).over(so_far.rowsBetween(W.unboundedPreceding, 0))
+    refused = F.count_if(F.col("code") == 403).over(W.partitionBy("url", "_run").orderBy("seq").rowsBetween(W.unboundedPreceding, 0))
+    rows = events.withColumn("_run", run).withColumn("_refused", refused)
+    out = rows.groupBy("url").agg(
+        F.max_by("_refused", "seq").cast("int").alias("refused"),
+        F.max(F.coalesce((F.col("_refused") >= retire_at) & F.col("fallback"), F.lit(False))).alias("_retired"),
+    )
+    return out.select("url", "refused", F.when(F.col("_retired"), "retired").when(F.col("refused") > 0, "failing").otherwise("ok").alias("state"))
 
 
 def validate_registry(entries: DataFrame, codes: list[str]) -> DataFrame:

@@ -85,7 +85,7 @@ def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _deals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = titles(spark, sf_dir).where("id % 3 = 0")
+    rows = titles(spark, sf_dir)
     return rows.select(F.col("id").alias("deal_id"), F.when(F.col("id") % 2 == 0, F.col("id").cast("string")).alias("upc"), P.attributes(F.col("title"), F.col("brand")).alias("attrs"), (F.col("p_retailprice") / 10).alias("price"), ((F.col("id") % 13) / 10).alias("stack"))
 
 
@@ -172,7 +172,11 @@ SQL = {
       (o_orderkey % 7) / 2 AS referral, CAST(o_orderkey % 9 AS DOUBLE) AS fulfilment, o_orderkey % 9 + (o_orderkey % 7) / 2 AS total, CASE WHEN o_orderkey * 100000 BETWEEN 946684800 AND 4102444800 THEN DATE '1970-01-01' + CAST(o_orderkey * 100000 // 86400 AS INTEGER) END AS day FROM orders""",
     "graded_texts": rf"""WITH g AS (SELECT lang, regexp_matches(text, 'the|der', 'i') AS a, regexp_matches(text, 'licen[sc]ed', 'i') AS b, regexp_matches(text, 'token\s*=', 'i') AS c FROM documents)
       SELECT lang, count(*) AS n, count(*) FILTER (WHERE a) AS c0, count(*) FILTER (WHERE b) AS c1, count(*) FILTER (WHERE c) AS c2, {r("sum(CAST(a AS INTEGER) + CAST(b AS INTEGER) + CAST(c AS INTEGER)) / (3 * count(*))", 4)} AS rate FROM g GROUP BY 1""",
-    "applied_matches": f"""WITH d AS (SELECT p_partkey AS k, p_retailprice / 10 AS price, (p_partkey % 13) / 10 AS stack FROM part WHERE p_partkey % 3 = 0),
+    "deal_candidates": f"""WITH {_T}, c AS (SELECT id, lower(brand) AS b, lower({_CORE}) AS w FROM t), n AS (SELECT p_partkey AS id, lower(p_brand) AS b, lower(p_name) AS w FROM part),
+      x AS (SELECT id, b, unnest(list_filter(list_distinct(string_split(w, ' ')), lambda y: length(y) > 1)) AS w FROM c WHERE id % 2 = 1), y AS (SELECT id, b, unnest(list_filter(list_distinct(string_split(w, ' ')), lambda y: length(y) > 1)) AS w FROM n),
+      m AS (SELECT x.id AS deal_id, y.id AS item, CAST(count(*) AS INTEGER) AS overlap FROM x JOIN y USING (b, w) GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY deal_id ORDER BY overlap DESC, item) AS k FROM m)
+      SELECT deal_id, item, false AS by_code, overlap FROM k WHERE k <= 5 UNION ALL SELECT id, id, true, 99 FROM t WHERE id % 2 = 0""",
+    "applied_matches": f"""WITH d AS (SELECT p_partkey AS k, p_retailprice / 10 AS price, (p_partkey % 13) / 10 AS stack FROM part),
       s AS (SELECT *, CASE WHEN k % 5 = 1 THEN 'rejected' WHEN NOT (k % 5 = 0 OR k % 100 / 100 >= 0.90) THEN 'unverified' WHEN k % 4 = 0 THEN 'no lead' WHEN k % 7 = 0 THEN 'already sourced' ELSE 'applied' END AS status FROM d),
       c AS (SELECT *, CASE WHEN status = 'applied' THEN {r("price * (1 - greatest(0, least(stack, 0.95)))", 2)} END AS cost FROM s)
       SELECT k AS deal_id, status, cost, {r("k % 60 - cost", 2)} AS profit, {r("(k % 60 - cost) / cost", 3)} AS roi FROM c""",

@@ -14,6 +14,7 @@ MODULES = (
     "matching",
     "retrieval",
     "streams",
+    "intake",
 )
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from tidemill.operators.matching import source_health
 from tidemill.sources import lake as L
+from tidemill.sources.folders import shared_folder
 
 
 def drain_inbox(stream: DataFrame, lake: str, quarantine: str, checkpoint: str) -> StreamingQuery:
@@ -97,32 +97,22 @@ def run_to_files(spark: SparkSession, df: DataFrame, name: str, mode: str = "app
     """Runs a stream over what is there; executors write its rows to a new folder under ``spark.checkpoint.dir``, which
     is read back. In complete mode these are the last batch's rows, else all batches'. A batch is written under its own
     id in overwrite mode, so a replay doesn't add it twice."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    shared = shared_folder(spark, name)
     folders: list[str] = []
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        folder = f"{shared}/{name}-rows/{batch_id}"
+        folder = f"{shared}/rows/{batch_id}"
         batch.write.mode("overwrite").parquet(folder)
         if folder not in folders:
             folders.append(folder)
 
-    writer = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{shared}/{name}")
+    writer = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{shared}/state")
     writer.trigger(availableNow=True).start().awaitTermination()
     if not folders:
         return spark.createDataFrame([], df.schema)
     return spark.read.schema(df.schema).parquet(*(folders[-1:] if mode == "complete" else folders))
 
 
-def run_to_memory(spark: SparkSession, df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there and returns its rows: for small results and tests."""
-    writer = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    shared = spark.conf.get("spark.checkpoint.dir", None)  # state must be where all executors reach it
-    if shared is not None:
-        writer = writer.option("checkpointLocation", f"{shared}/{name}")
-    writer.start().awaitTermination()
-    return spark.table(name)
-
-
 __all__ = [
     "distinct_sightings",
     "drain_inbox",
@@ -130,7 +120,6 @@ __all__ = [
     "health_states",
     "matured_claims",
     "run_to_files",
-    "run_to_memory",
     "source_health",
     "upsert_sightings",
     "windowed_counts",
