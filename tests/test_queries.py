@@ -45,7 +45,7 @@ def test_query(spark, duck, name):
     columns = sorted(df.columns)
     got = ordered(df.select(*columns).collect())
     if name not in registry.oracle_sql():
-        assert got or name == "deal_matches"
+        assert got or name in ("deal_matches", "refit_curve")
         return
     rel = duck.execute(registry.oracle_sql()[name])
     names = [x[0] for x in rel.description]

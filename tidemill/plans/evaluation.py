@@ -127,6 +127,37 @@ def trained_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.auc(held, "probability", "success", ["fold"])
 
 
+def refit_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUC on held-out items of classifiers that are fitted anew on growing, nested samples of the other items."""
+    rows = B.split_by_item(backtest_rows(spark, sf_dir)).select("item", "fold", "success", *FEATURES)
+    rows = rows.withColumn("h", B.hash_share(F.concat(F.lit("curve"), F.col("item").cast("string")))).persist()
+    held, found = rows.where("fold = 'validation'"), None
+    for share in (0.25, 0.5, 1.0):
+        some = rows.where((F.col("fold") == "train") & (F.col("h") < share))
+        if R.refusal(some, "success"):  # a sample of too few rows, or of one class, gives no point
+            continue
+        scored = R.probabilities(R.fit_classifier(some, FEATURES, "success"), held, FEATURES).withColumn("share", F.lit(share))
+        found = scored if found is None else found.unionByName(scored)
+    if found is None:
+        return spark.createDataFrame([], "share double, positives long, negatives long, auc double")
+    return E.auc(found, "probability", "success", ["share"])
+
+
+def trained_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUC of boosted trees on items they haven't seen."""
+    rows = B.split_by_item(backtest_rows(spark, sf_dir)).select("item", "fold", "success", *FEATURES)
+    model = R.fit_classifier(rows.where("fold = 'train'"), FEATURES, "success", trees=True)
+    return E.auc(R.probabilities(model, rows.where("fold = 'validation'"), FEATURES), "probability", "success", ["fold"])
+
+
+def quantile_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How a linear model of the low quantile of the price does on items it hasn't seen."""
+    rows = B.split_by_item(backtest_rows(spark, sf_dir)).where("price_as_of is not null and offers_as_of is not null and landed_cost is not null")
+    *slopes, constant = R.quantile_line(rows.where("fold = 'train'"), ["offers_as_of", "landed_cost"], "price_as_of", 0.2)
+    line = F.lit(constant) + slopes[0] * F.col("offers_as_of") + slopes[1] * F.col("landed_cost")
+    return E.regression_quality(rows.where("fold = 'validation'").withColumn("q", line), "price_as_of", "q", 0.2)
+
+
 def trained_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = backtest_rows(spark, sf_dir).select("item", "success", *FEATURES)
     return R.calibration_summary(rows, FEATURES, "success", F.when(B.hash_share(F.col("item")) < 0.3, "validation").otherwise("train"))
@@ -154,7 +185,7 @@ def deal_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "trained_ranker": trained_ranker, "trained_calibration": trained_calibration, "newest_models": newest_models, "fallen_metrics": fallen_metrics, "deal_verdicts": deal_verdicts,
     "auc_by_slice": auc_by_slice, "pr_auc_by_slice": pr_auc_by_slice, "top_k_quality": top_k, "calibration": calibration, "calibration_error": calibration_error,
-    "drift": drift, "data_quality": data_quality, "quantile_quality": quantile_quality, "auc_gap_interval": auc_gap_interval, "learning_curve": learning_curve,
+    "drift": drift, "data_quality": data_quality, "quantile_quality": quantile_quality, "auc_gap_interval": auc_gap_interval, "learning_curve": learning_curve, "refit_curve": refit_curve, "trained_trees": trained_trees, "quantile_fit": quantile_fit,
     "promotion": promotion, "agreement": agreement, "claim_hits": claim_hits, "clear_cases": clear_cases, "benchmark_summary": benchmark_summary,
 }
 
