@@ -64,13 +64,21 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def saved_round(df: DataFrame) -> DataFrame:
+def saved_round(df: DataFrame, like: DataFrame | None = None) -> DataFrame:
     """``saved`` for what goes through many rounds of joins. A checkpoint keeps the estimated size of its plan, and the
     estimate of a join is a product, so after some rounds it has millions of digits; here the rows start afresh. They
-    are counted and take a task for each ROWS_A_TASK, so that rounds over few rows don't write many small files."""
-    spark, done = df.sparkSession, saved(df)
+    are counted and take a task for each ROWS_A_TASK, so that rounds over few rows don't write many small files; where there
+    are no more rows than in ``like``, which was saved so, that holds for writing them too."""
+    spark, done = df.sparkSession, saved(_few(df, like))
     rows = DataFrame(spark._jsparkSession.createDataFrame(done._jdf.rdd(), done._jdf.schema()), spark)
-    return rows.coalesce(-(-max(1, rows.count()) // ROWS_A_TASK))
+    parts = -(-max(1, rows.count()) // ROWS_A_TASK)
+    rows = rows.coalesce(parts)
+    rows.parts = parts
+    return rows
+
+
+def _few(df: DataFrame, like: DataFrame | None) -> DataFrame:
+    return df if getattr(like, "parts", None) is None else df.coalesce(like.parts)
 
 
 def checked(ids: DataFrame) -> DataFrame:
@@ -97,7 +105,9 @@ def dealt_join(rows: DataFrame, table: DataFrame, key: str, by: str, counts: Dat
     """``rows`` joined to ``table`` on ``key``. The rows of a hot key are dealt over tasks by the hash of column ``by``,
     and the table's row of that key goes to each of them, so no key gathers its rows in one task. ``counts`` (``key``,
     rows ``_n``) may be given if they are known."""
-    hot, limit = hot_keys(saved(rows.groupBy(key).agg(F.count("*").alias("_n"))) if counts is None else counts, "_n")
+    if counts is None:
+        counts = saved(_few(rows.groupBy(key).agg(F.count("*").alias("_n")), rows))
+    hot, limit = hot_keys(counts, "_n")
     if hot.isEmpty():
         return rows.join(table, key)
     hot = F.broadcast(hot.select(key, F.ceil(F.col("_n") / limit).cast("int").alias("_parts")))

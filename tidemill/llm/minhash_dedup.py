@@ -147,9 +147,9 @@ def confirm(sets: Sets, pairs: DataFrame, percent: int) -> DataFrame:
 
 def _with_components(members: DataFrame, found: DataFrame) -> DataFrame:
     """``key, rep, component`` of the buckets that hold several components."""
-    now = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    now = members.select("key", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     keys = now.groupBy("key").agg(F.min("component").alias("_x"), F.max("component").alias("_y"), F.count("*").alias("_n"))
-    keys = saved_round(keys.where("_x <> _y").select("key", "_n"))
+    keys = saved_round(keys.where("_x <> _y").select("key", "_n"), members)
     return dealt_join(now, keys.select("key"), "key", "rep", keys).select("key", "rep", "component")
 
 
@@ -159,7 +159,7 @@ def _stars(open_members: DataFrame, turn: int) -> DataFrame:
     order = F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep")
     parts = open_members.groupBy("key", "component").agg(F.count("*").alias("m"), F.min(order).alias("p"))
     pivot = F.max(F.struct("m", F.col("p.rep").alias("rep"), "component")).alias("_p")
-    pivots = saved_round(parts.groupBy("key").agg(pivot, F.sum("m").alias("_n")).select("key", F.col("_p.rep").alias("pivot"), F.col("_p.component").alias("_c"), "_n"))
+    pivots = saved_round(parts.groupBy("key").agg(pivot, F.sum("m").alias("_n")).select("key", F.col("_p.rep").alias("pivot"), F.col("_p.component").alias("_c"), "_n"), open_members)
     rows = dealt_join(open_members, pivots.drop("_n"), "key", "rep", pivots.select("key", "_n")).where("component <> _c")
     return rows.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
 
@@ -327,11 +327,12 @@ class _Links:
         pairs = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
         rest = members
         for turn in range(ROUNDS):
-            near = saved_round(_near(saved_round(pairs), self.packed, self.least))
+            pairs = saved_round(pairs, rest)
+            near = saved_round(_near(pairs, self.packed, self.least), pairs)
             if not near.isEmpty():
                 self.add(confirm(self.sets, near, self.percent))
             if turn == 0 or not near.isEmpty():
-                rest = saved_round(_with_components(rest.select("key", "rep"), self.found))
+                rest = saved_round(_with_components(rest, self.found), rest)
             if turn + 1 == ROUNDS or rest.isEmpty():
                 break
             pairs = _stars(rest, turn + 1)
@@ -341,18 +342,18 @@ class _Links:
         """Compares open buckets of up to SMALL texts by signatures; returns the larger ones that are open."""
         if rest.isEmpty():
             return rest
-        sizes = saved_round(rest.groupBy("key").agg(F.count("*").alias("_n")))
+        sizes = saved_round(rest.groupBy("key").agg(F.count("*").alias("_n")), rest)
         few = rest.join(sizes.where(F.col("_n") <= SMALL), "key", "left_semi")
         pairs = saved_round(_from_small(few, self.packed, self.least, self.sets.kind))
         if not pairs.isEmpty():
             self.add(confirm(self.sets, pairs, self.percent))
         many = sizes.where(F.col("_n") > SMALL)
-        return saved_round(_with_components(dealt_join(rest, many.select("key"), "key", "rep", many).select("key", "rep"), self.found))
+        return saved_round(_with_components(dealt_join(rest, many.select("key"), "key", "rep", many), self.found), rest)
 
 
 def _crowded(members: DataFrame) -> DataFrame:
     """Buckets with more than one text, ``key, rep`` and ``pivot``, the least of the bucket."""
-    several = saved_round(members.groupBy("key").agg(F.count("*").alias("_n"), F.min("rep").alias("pivot")).where("_n > 1"))
+    several = saved_round(members.groupBy("key").agg(F.count("*").alias("_n"), F.min("rep").alias("pivot")).where("_n > 1"), members)
     return saved_round(dealt_join(members, several.select("key", "pivot"), "key", "rep", several.select("key", "_n")).select("key", "rep", "pivot"))
 
 
