@@ -15,6 +15,7 @@ MODULES = (
     "byte_bpe",
     "line_dedup",
     "url_filter",
+    "spelling_variants",
 )
 
 
