@@ -15,7 +15,9 @@ MODULES = (
     "byte_bpe",
     "line_dedup",
     "url_filter",
+    "personal_data",
     "spelling_variants",
+    "phrase_collocations",
 )
 
 
