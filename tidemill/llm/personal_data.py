@@ -58,6 +58,8 @@ AGAINST = r"(?:version|\bv|isbn|issn|doi|order|invoice|section|chapter|fig\.?|fi
 
 #: Characters before and after a span that labelers look at.
 AROUND = 32
+#: Characters of a span that labelers look at; no kind of personal data is longer.
+LONGEST = 320
 #: Of each labeler how often it is taken to be right before any text is seen, and how often to vote at all; that counts
 #: as much as PRIOR_VOTES spans.
 LABELERS = {"form": (0.75, 0.98), "check": (0.9, 0.98), "listed": (0.7, 0.98), "cue": (0.8, 0.3), "against": (0.999, 0.3), "border": (0.75, 0.98), "variety": (0.9, 0.3)}
@@ -169,7 +171,7 @@ def _votes(form: Form, m: Column, ok: Column, before: Column, after: Column) ->
     }
     lengths = F.create_map(*[F.lit(x) for c, n in IBAN_LENGTHS.items() for x in (c, n)])
     listed = {
-        "email": _vote(F.regexp_extract(mail, r"([a-z0-9-]+)$", 1).isin(DOMAINS)),
+        "email": _vote(F.substring_index(mail, ".", -1).isin(DOMAINS)),
         "ip": none,
         "card": _vote(digits.rlike(ISSUERS)),
         "phone": _vote(F.regexp_replace(digits, "^00", "").rlike(CALLING if form.name != "local_phone" else "^[2-9]")),
@@ -208,7 +210,7 @@ def _spans(text: Column, form: Form) -> Column:
     split at the matches, and the lengths of what is between and of the matches are summed."""
 
     def span(p: Column, m: Column, i: Column) -> Column:
-        start = F.get(p["at"], 2 * i + 1)
+        start, short = F.get(p["at"], 2 * i + 1), F.left(m, F.lit(LONGEST))
         before, after = F.right(F.get(p["b"], i), F.lit(AROUND)), F.left(F.get(p["b"], i + 1), F.lit(AROUND))
         ok = form.passes(m)
         if form.name == "inner_card":  # not in a base one
@@ -216,9 +218,9 @@ def _spans(text: Column, form: Form) -> Column:
             ok = ok & ((run == m) | ~form.passes(run))
         made = lambda s: F.struct(
             s["start"].alias("start"), F.lit(KINDS.index(form.kind)).alias("kind"), (s["start"] + F.char_length(m)).alias("end"), F.lit(form.base).alias("base"), s["ok"].alias("ok"),
-            F.array(*_votes(form, m, s["ok"], s["b"], s["a"]).values(), *_shape(form, m, s["b"], s["a"])).cast("array<tinyint>").alias("x"),
+            F.array(*_votes(form, s["m"], s["ok"], s["b"], s["a"]).values(), *_shape(form, s["m"], s["b"], s["a"])).cast("array<tinyint>").alias("x"),
         )
-        return _let(F.struct(start.alias("start"), ok.alias("ok"), before.alias("b"), after.alias("a")), made)
+        return _let(F.struct(start.alias("start"), ok.alias("ok"), short.alias("m"), before.alias("b"), after.alias("a")), made)
 
     def of(p: Column) -> Column:
         lengths = F.flatten(F.zip_with(p["b"], p["m"], lambda b, m: F.array(F.char_length(b), F.coalesce(F.char_length(m), F.lit(0)))))
