@@ -7,13 +7,18 @@ and within a bucket (``ranking``), so no window runs over all rows in one task.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemill.functions.rounding import rounded
-from tidemill.operators.ranking import cuts, running
+from tidemill.operators.ranking import cuts, null_safe, running
+from tidemill.sources.folders import saved
+
 
 def score_counts(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
     """Positives and negatives by distinct score; a missing score counts as the lowest."""
@@ -134,27 +139,136 @@ def regression_quality(df: DataFrame, y: str, q: str, tau: float) -> DataFrame:
     )
 
 
-def bootstrap_gap(df: DataFrame, champion: str, challenger: str, label: str, cluster: str, resamples: int = 500) -> DataFrame:
-    """Interval of the AUC gap of two scores by a paired bootstrap over clusters; one row.
+def lift_at(df: DataFrame, score: str, label: str, by: list[str], share: float = 0.1) -> DataFrame:
+    """Precision and lift among the best ``share`` of each slice's rows (``taken``, rounded up); rows that tie with the
+    last one taken count with the part of them that is. Counted by distinct score, so no slice is sorted in one task."""
+    counts = running(score_counts(df, score, label, by).withColumn("_n", F.col("pos") + F.col("neg")), "score", ["_n"], by, descending=True)
+    totals = df.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(label).alias("_all"))
+    totals = totals.withColumn("taken", F.ceil(F.col("n") * F.lit(share).cast("decimal(10,6)")).cast("long"))
+    rows = null_safe(counts, totals, by) if by else counts.crossJoin(F.broadcast(totals))  # one row
+    part = F.greatest(F.lit(0), F.least(F.col("_n"), F.col("taken") - F.col("_n_before"))) / F.col("_n")
+    out = rows.groupBy(*by, "n", "taken", "_all").agg(F.sum(F.col("pos") * part).alias("_wins"))
+    precision, base = F.col("_wins") / F.col("taken"), F.col("_all") / F.col("n")
+    return out.select(*by, "n", "taken", rounded(precision, 6).alias("precision"), rounded(F.when(base > 0, precision / base), 4).alias("lift"))
+
+
+# ---- Bootstrap over clusters
+
+_POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+#: Parts that the rows of one frequent score are dealt to, and rows whose weights a task holds at a time.
+_SALTS, _STRIP = 16, 2_000
+
+
+def replicate_weights(clusters: np.ndarray, resamples: int) -> np.ndarray:
+    """How often each cluster (a 64-bit hash) is drawn in each replicate: Poisson(1) numbers from a hash of both, so the
+    same wherever a cluster's rows are."""
+    with np.errstate(over="ignore"):
+        h = clusters.astype(np.int64).view(np.uint64)[:, None] + (np.arange(1, resamples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    u = ((h ^ (h >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+    return np.searchsorted(_POISSON, u, side="right").astype(np.float64)
+
+
+class _Area:
+    """Sums of a bucket by replicate, fed with rows in order of score: pairs won (ties half), positives, negatives."""
+
+    def __init__(self, resamples: int):
+        self.area, self.pos, self.neg = (np.zeros(resamples) for _ in range(3))
+        self.last, self.tied = None, np.zeros((2, resamples))
+
+    def _close(self) -> None:
+        self.area += self.tied[0] * (self.neg + self.tied[1] / 2)
+        self.pos, self.neg, self.tied = self.pos + self.tied[0], self.neg + self.tied[1], np.zeros_like(self.tied)
+
+    def add(self, v: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
+        starts = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+        p, n = np.add.reduceat(w * y[:, None], starts, axis=0), np.add.reduceat(w * ~y[:, None], starts, axis=0)
+        if self.last is not None and v[0] != self.last:
+            self._close()
+        self.tied += np.stack([p[0], n[0]])
+        if len(starts) > 1:
+            self._close()
+            before = self.neg + np.concatenate([np.zeros((1, n.shape[1])), np.cumsum(n[1:-1], axis=0)]) if len(starts) > 2 else None
+            if before is not None:
+                self.area += (p[1:-1] * (before[:-1] + n[1:-1] / 2)).sum(axis=0)
+                self.pos, self.neg = self.pos + p[1:-1].sum(axis=0), self.neg + n[1:-1].sum(axis=0)
+            self.tied = np.stack([p[-1], n[-1]])
+        self.last = v[-1]
+
+    def row(self) -> tuple[list[float], list[float], list[float]]:
+        self._close()
+        return self.area.tolist(), self.pos.tolist(), self.neg.tolist()
+
+
+def bootstrap_aucs(df: DataFrame, scores: list[str], label: str, cluster: str, by: str | None = None, resamples: int = 500) -> DataFrame:
+    """(``by``, ``aucs``): for each slice an array for each score with its AUC in every replicate of a bootstrap over
+    clusters; null for one class. Rows without a score or label are left out.
+
+    Rows are summed by (slice, cluster, scores, label) and go, by score, to ordered buckets; what is shuffled is these
+    rows, whatever the number of replicates. A task draws the weights of the rows as it reads them, in order of score, and
+    hands on three sums a replicate; those of the buckets then make the areas. A score on the edge of buckets, as one that
+    a third of all rows have is, is a bucket of its own, whose rows need no order and are dealt to several tasks."""
+    group = F.lit("") if by is None else F.coalesce(F.col(by).cast("string"), F.lit("\0"))
+    base = df.where(F.col(label).isNotNull()).groupBy(group.alias("g"), F.xxhash64(F.col(cluster)).alias("c"), *[F.col(s).cast("double").alias(f"s{i}") for i, s in enumerate(scores)], F.col(label).alias("y"))
+    long = base.agg(F.count("*").alias("n")).select("g", "c", "y", "n", F.explode(F.array(*[F.struct(F.lit(i).alias("which"), F.col(f"s{i}").alias("v")) for i in range(len(scores))])).alias("_x"))
+    long = saved(long.select("g", "c", "y", "n", "_x.*").where("v is not null"))
+    bounds = F.lit(cuts(long, "v")).cast("array<double>")
+    bucket = 2 * F.size(F.filter(bounds, lambda b: b < F.col("v"))) + F.array_contains(bounds, F.col("v")).cast("int")
+    placed = long.withColumn("b", bucket).withColumn("salt", F.when(F.col("b") % 2 == 1, F.pmod("c", F.lit(_SALTS))).otherwise(0).cast("int"))
+
+    def sums(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, area = None, None
+        made = lambda: pd.DataFrame([(*key[:3], *area.row())], columns=["g", "which", "b", "area", "pos", "neg"])
+        for part in parts:
+            for lo in range(0, len(part), _STRIP):
+                strip = part.iloc[lo : lo + _STRIP]
+                weights = replicate_weights(strip["c"].to_numpy(), resamples) * strip["n"].to_numpy()[:, None]
+                v, y = strip["v"].to_numpy(), strip["y"].to_numpy(dtype=bool)
+                keys = list(zip(strip["g"], strip["which"], strip["b"], strip["salt"], strict=True))
+                edges = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+                for a, z in zip(edges, edges[1:], strict=False):
+                    if keys[a] != key:
+                        if key is not None:
+                            yield made()
+                        key, area = keys[a], _Area(resamples)
+                    area.add(v[a:z], y[a:z], weights[a:z])
+        if key is not None:
+            yield made()
+
+    ordered = placed.repartition("g", "which", "b", "salt").sortWithinPartitions("g", "which", "b", "salt", "v")
+    vectors = ordered.select("g", "which", "b", "salt", "v", "y", "c", "n").mapInPandas(sums, "g string, which int, b int, area array<double>, pos array<double>, neg array<double>")
+
+    def areas(rows: pd.DataFrame) -> pd.DataFrame:  # a few rows a bucket
+        out = []
+        for i in range(len(scores)):
+            total, pos, neg = np.zeros(resamples), np.zeros(resamples), np.zeros(resamples)
+            for b, parts in sorted(rows[rows["which"] == i].groupby("b"), key=lambda x: x[0]):
+                p, n = np.sum(np.stack(parts["pos"]), axis=0), np.sum(np.stack(parts["neg"]), axis=0)
+                total += p * neg + (p * n / 2 if b % 2 else np.sum(np.stack(parts["area"]), axis=0))
+                pos, neg = pos + p, neg + n
+            good = (pos > 0) & (neg > 0)
+            out.append([float(x) if ok else None for x, ok in zip(np.divide(total, pos * neg, where=good, out=np.zeros(resamples)), good, strict=True)])
+        return pd.DataFrame({"g": [rows["g"].iloc[0]], "aucs": [out]})
+
+    found = vectors.groupBy("g").applyInPandas(areas, "g string, aucs array<array<double>>")
+    return found.select("aucs") if by is None else found.select(F.when(F.col("g") != "\0", F.col("g")).cast(df.schema[by].dataType).alias(by), "aucs")
 
-    A cluster's weight in a replicate is a Poisson(1) draw from a hash of both, so draws repeat and need no shuffle.
-    Rows are first summed by (cluster, both scores, label); each replicate then needs sums by score only.
-    """
-    base = df.groupBy(cluster, F.col(champion).alias("a"), F.col(challenger).alias("b"), F.col(label).alias("y")).agg(F.count("*").alias("n"))
-    u = (F.pmod(F.xxhash64(F.col(cluster), F.col("rep")), F.lit(1_000_003)) + 0.5) / 1_000_003
-    total, term, weight = 0.0, math.exp(-1), F.lit(0)
-    for i in range(8):
-        total += term
-        weight = weight + F.when(u >= total, 1).otherwise(0)
-        term /= i + 1
-    drawn = base.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("w", F.col("n") * weight).where("w > 0")
-    drawn = drawn.select("rep", "y", "w", F.explode(F.array(F.struct(F.lit("a").alias("s"), F.col("a").alias("v")), F.struct(F.lit("b").alias("s"), F.col("b").alias("v")))).alias("x"))
-    counts = drawn.groupBy("rep", "x.s", "x.v").agg(F.sum(F.when(F.col("y"), F.col("w")).otherwise(0)).alias("pos"), F.sum(F.when(~F.col("y"), F.col("w")).otherwise(0)).alias("neg"))
-    bounds = cuts(base.select(F.explode(F.array("a", "b")).alias("v")), "v")
-    counts = running(counts, "v", ["neg"], ["rep", "s"], bounds=bounds)
-    area = counts.withColumn("_t", F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)).groupBy("rep", "s").agg(F.sum("_t").alias("t"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    area = area.where("p > 0 and n > 0").groupBy("rep").agg(F.sum(F.when(F.col("s") == "b", F.col("t") / (F.col("p") * F.col("n"))).otherwise(-F.col("t") / (F.col("p") * F.col("n")))).alias("gap"))
-    return area.agg(F.count("*").alias("resamples"), F.percentile("gap", F.lit(0.025)).alias("low"), F.percentile("gap", F.lit(0.975)).alias("high"))
+
+def bootstrap_gap(df: DataFrame, champion: str, challenger: str, label: str, cluster: str, resamples: int = 500) -> DataFrame:
+    """Interval of the AUC gap of two scores by a paired bootstrap over clusters; one row. Rows without either score are
+    left out, as are replicates of one class."""
+    both = df.where(F.col(champion).isNotNull() & F.col(challenger).isNotNull())
+    aucs = bootstrap_aucs(both, [champion, challenger], label, cluster, None, resamples)
+    gap = aucs.select(F.explode(F.zip_with(F.col("aucs")[1], F.col("aucs")[0], lambda b, a: b - a)).alias("gap")).where("gap is not null")
+    return gap.agg(F.count("*").alias("resamples"), F.percentile("gap", F.lit(0.025)).alias("low"), F.percentile("gap", F.lit(0.975)).alias("high"))
+
+
+def bootstrap_interval(df: DataFrame, score: str, label: str, cluster: str, by: str, resamples: int = 500) -> DataFrame:
+    """(``by, low, high``): the interval of each slice's AUC by a bootstrap over clusters."""
+    aucs = bootstrap_aucs(df, [score], label, cluster, by, resamples)
+    each = aucs.select(by, F.explode(F.col("aucs")[0]).alias("auc")).where("auc is not null")
+    return each.groupBy(by).agg(F.percentile("auc", F.lit(0.025)).alias("low"), F.percentile("auc", F.lit(0.975)).alias("high"))
 
 
 def promotion(runs: DataFrame, margin: float, wins_needed: int, min_rows: int) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, VectorAssembler
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemill import defaults as D
 from tidemill.operators import evaluate as E
+from tidemill.sources.folders import saved
 
 
 def refusal(rows: DataFrame, label: str, least: int = D.MIN_TRAINING_ROWS) -> str | None:
@@ -40,21 +40,34 @@ def probabilities(model: PipelineModel, rows: DataFrame, features: list[str], al
     return out.select(*rows.columns, alias)
 
 
-def quantile_line(rows: DataFrame, features: list[str], target: str, tau: float, steps: int = 300, most: int = 20_000) -> list[float]:
-    """A linear quantile model by subgradient steps on standardised features; the last number is the constant. It is
-    fitted on at most ``most`` rows, the first by a hash of their values."""
-    cols = [F.col(c).cast("double").alias(c) for c in [*features, target]]
-    data: pd.DataFrame = rows.select(*cols).dropna().orderBy(F.xxhash64(*[F.col(c) for c in [*features, target]])).limit(most).toPandas()
-    x, y = data[features].to_numpy(), data[target].to_numpy()
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
-    w = np.zeros(z.shape[1])
-    w[-1] = np.quantile(y, tau)
-    for step in range(1, steps + 1):
-        slope = np.where(y >= z @ w, -tau, 1 - tau)
-        w = w - 0.5 * y.std() / np.sqrt(step) * (z * slope[:, None]).mean(axis=0)
-    plain = w[:-1] / scale
-    return [*plain.tolist(), float(w[-1] - plain @ mean)]
+def quantile_line(rows: DataFrame, features: list[str], target: str, tau: float, steps: int = 25) -> list[float]:
+    """A linear quantile model; the last number is the constant. Rows with a missing value are left out.
+
+    Weighted least squares in rounds: a row's weight is tau, or 1 - tau below the line, by its distance from it, so that
+    the squares add up to the pinball loss. A round is one sum over all rows of the products of their columns; only those
+    sums reach the driver."""
+    cols = [F.col(c).cast("double") for c in [*features, target]]
+    data = saved(rows.select(*[c.alias(f"c{i}") for i, c in enumerate(cols)]).dropna())
+    k = len(features)
+    first = data.agg(F.count("*").alias("n"), *[f(f"c{i}").alias(f"{n}{i}") for i in range(k + 1) for n, f in (("m", F.avg), ("s", F.stddev_pop))], F.percentile_approx(f"c{k}", F.lit(tau)).alias("q")).first()
+    if not first["n"]:
+        return [0.0] * (k + 1)
+    mean, scale = [first[f"m{i}"] for i in range(k)], [first[f"s{i}"] or 1.0 for i in range(k + 1)]
+    z = [*[(F.col(f"c{i}") - mean[i]) / scale[i] for i in range(k)], F.lit(1.0)]
+    w, y = np.append(np.zeros(k), first["q"]), F.col(f"c{k}")
+    pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    for step in range(steps):
+        left = y - sum(float(a) * c for a, c in zip(w, z, strict=True))
+        near = scale[k] * max(1e-4, 0.5**step)
+        weight = F.when(left >= 0, tau).otherwise(1 - tau) / F.greatest(F.abs(left), F.lit(near))
+        sums = data.select(*[(weight * z[i] * z[j]).alias(f"a{i}_{j}") for i, j in pairs], *[(weight * c * y).alias(f"b{i}") for i, c in enumerate(z)])
+        got = sums.agg(*[F.sum(c).alias(c) for c in sums.columns]).first()
+        m, b = np.zeros((k + 1, k + 1)), np.array([got[f"b{i}"] for i in range(k + 1)])
+        for i, j in pairs:
+            m[i, j] = m[j, i] = got[f"a{i}_{j}"]
+        w = np.linalg.solve(m + 1e-9 * np.trace(m) / (k + 1) * np.eye(k + 1), b)
+    plain = w[:-1] / np.array(scale[:k])
+    return [*plain.tolist(), float(w[-1] - plain @ np.array(mean))]
 
 
 def calibration_summary(rows: DataFrame, features: list[str], label: str, fold: Column) -> DataFrame:

@@ -10,6 +10,7 @@ MODULES = (
     "selection",
     "assembly",
     "evaluation",
+    "learning",
     "operations",
     "matching",
     "retrieval",
