@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -436,6 +437,34 @@ def test_language_learns_from_long_words_and_texts(spark):
     assert all(np.isfinite(m.probs).all() for m in models)
 
 
+def test_long_words_are_summed_in_stretches():
+    """The same sums as byte by byte, for lengths around the stretches."""
+    pieces = sorted({bytes([b]) for b in range(97, 101)} | {b" ", b" a", b"ab", b"abc", b"bcd", b"abcdabcdabcdabcdabcd", b"dd"})
+    hashes = language_id.piece_hashes(pieces)
+    order = np.argsort(hashes)
+    sizes = np.array([len(p) for p in pieces])[order]
+    rng = np.random.default_rng(4)
+    probs = rng.random((len(pieces), 3)) * 0.1 + 1e-6
+    for n in (1, 63, 64, 65, 127, 128, 700, 64 * 300 + 5):
+        word = np.concatenate([[32], rng.integers(97, 101, n - 1)]).astype(np.uint8)
+        word[1:41] = np.frombuffer(b"abcd" * 10, np.uint8)[: len(word[1:41])]
+        lattice = language_id.Lattice(word, np.array([0, n]), hashes[order], sizes)
+        each = [lattice.forward(probs[:, [j]])[0, 0] for j in range(3)]  # a model at a time, since models share a scale there
+        assert np.allclose(lattice.forward_long(probs), each, rtol=1e-9)
+
+
+def test_language_of_unbroken_text(spark):
+    """A third of a megabyte without a blank, and texts of one long word to learn from."""
+    rng = np.random.default_rng(6)
+    han = lambda n, lo: "".join(map(chr, rng.integers(lo, lo + 300, n)))
+    rows = [(i, han(900, 0x4E00 if i % 2 else 0x30A0), ["p", "q"][i % 2]) for i in range(30)]
+    models = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    began = time.monotonic()
+    asked = spark.createDataFrame([(1, han(120_000, 0x4E00)), (2, han(5000, 0x30A0))], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(asked, models).collect()} == {1: "q", 2: "p"}
+    assert time.monotonic() - began < 90
+
+
 def test_language_awkward_rows(docs, empty):
     model = language_id.train(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     rows = {r.doc_id: r for r in language_id.identify(docs, model).collect()}

@@ -22,6 +22,9 @@ MAX_DOCS = 500
 LANGUAGES_A_PASS = 64
 #: Bytes of words and their scores that a worker remembers, and of sums that it holds at once.
 MEMORY_BYTES, SUM_BYTES = 16 << 20, 16 << 20
+#: Words of more bytes, as in scripts without blanks, are summed in stretches of STRETCH bytes, TOGETHER at a time; for
+#: learning they are cut, between characters, into words of that size.
+LONG, STRETCH, TOGETHER = 1024, 64, 256
 UNKNOWN = "und"
 #: Bytes of words: letters of ASCII and all bytes of other characters.
 LETTERS = bytewords.ALNUM.copy()
@@ -72,18 +75,67 @@ class Lattice:
     def running(self, at: int) -> int:
         return int(np.searchsorted(-self.sizes, -at, side="right"))
 
+    def matching(self, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the ``ends`` are ends of a piece of ``size`` bytes, and of which piece."""
+        h = self.texts.hashes(ends - size, ends)
+        near = np.flatnonzero(self.may[(h >> np.uint64(43)).astype(np.int64)])
+        where = np.searchsorted(self.hashes, h[near]).clip(max=len(self.hashes) - 1)
+        good = self.hashes[where] == h[near]
+        return near[good], where[good]
+
     def ending(self, at: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(size, words, pieces) of the pieces that end after ``at`` bytes of the words that are as long."""
-        n = self.running(at)
-        ends = self.starts[:n] + at
+        ends = self.starts[: self.running(at)] + at
         for size in self.piece_sizes:
             if size > at:
                 break
-            h = self.texts.hashes(ends - size, ends)
-            near = np.flatnonzero(self.may[(h >> np.uint64(43)).astype(np.int64)])
-            where = np.searchsorted(self.hashes, h[near]).clip(max=len(self.hashes) - 1)
-            good = self.hashes[where] == h[near]
-            yield size, near[good], where[good]
+            yield size, *self.matching(ends, size)
+
+    def stretched(self, begins: np.ndarray, steps: int, last: list[np.ndarray], probs: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """The sums at the last positions after ``steps`` bytes from each of ``begins``, from those before (``last``,
+        arrays of stretch, model, case; as many as the longest piece has bytes), and the logs that they were scaled by."""
+        scale = np.zeros((len(begins), probs.shape[1]))
+        for at in range(1, steps + 1):
+            now = np.zeros_like(last[-1])
+            for size in self.piece_sizes:
+                ends = begins + at
+                lo = int(np.searchsorted(ends, size))  # a piece doesn't begin before the word
+                words, pieces = self.matching(ends[lo:], size)
+                now[lo + words] += last[-size][lo + words] * probs[pieces][:, :, None]
+            last = [*last[1:], now]
+            if at % 16 == 0 or at == steps:
+                top = np.maximum(np.max([x.max(axis=2) for x in last], axis=0), 1e-290)
+                last = [x / top[:, :, None] for x in last]
+                scale += np.log(top)
+        return last, scale
+
+    def forward_long(self, probs: np.ndarray) -> np.ndarray:
+        """The log probability of one long word in each model. The sums at the end of a stretch are linear in those
+        before it, so all stretches are summed side by side, from each of the positions before as a case of its own, and
+        the matrices that this gives are then applied in turn: time goes with the length, and the steps are few."""
+        n, k, width = int(self.sizes[0]), probs.shape[1], self.longest
+        state, logs = np.zeros((k, width)), np.zeros(k)  # the sums at the last positions, the latest first
+        state[:, 0] = 1.0
+        begins = self.starts[0] + np.arange(n // STRETCH) * STRETCH
+        for lo in range(0, len(begins), TOGETHER):
+            some = begins[lo : lo + TOGETHER]
+            cases = []
+            for d in reversed(range(width)):
+                x = np.zeros((len(some), k, width))
+                x[:, :, d] = 1.0
+                cases.append(x)
+            after, scale = self.stretched(some, STRETCH, cases, probs)
+            moves = np.stack(after[::-1], axis=2)  # stretch, model, position after, position before
+            for i in range(len(some)):
+                state = np.einsum("kij,kj->ki", moves[i], state)
+                top = np.maximum(state.max(axis=1), 1e-290)
+                state, logs = state / top[:, None], logs + np.log(top) + scale[i]
+        rest = n % STRETCH
+        if rest:
+            last = [state[None, :, d, None] for d in reversed(range(width))]
+            last, scale = self.stretched(self.starts[:1] + n - rest, rest, last, probs)
+            return logs + scale[0] + np.log(np.maximum(last[-1][0, :, 0], 1e-300))
+        return logs + np.log(np.maximum(state[:, 0], 1e-300))
 
     def forward(self, probs: np.ndarray) -> np.ndarray:
         """The log probability of each word, in the given order, in each model (column of ``probs``)."""
@@ -176,6 +228,18 @@ def fit_one(words: list[bytes], weight: np.ndarray, hashes: np.ndarray, sizes: n
     return p
 
 
+def _cut(word: bytes) -> Iterator[bytes]:
+    """A long word in parts of LONG bytes at most, cut between characters."""
+    lo = 0
+    while len(word) - lo > LONG:
+        hi = lo + LONG
+        while hi > lo + LONG - 4 and word[hi] & 0xC0 == 0x80:
+            hi -= 1
+        yield word[lo:hi]
+        lo = hi
+    yield word[lo:]
+
+
 def word_counts(docs: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:
     """(lang, word, n) of the bounded sample of training documents, counted by a partial aggregation."""
     may = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
@@ -195,6 +259,9 @@ def word_counts(docs: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame
                     a = int(first[i])
                     _, at, n = np.unique(hashes[a : first[i + 1]], return_index=True, return_counts=True)
                     raw = [texts.buf[starts[a + j] : ends[a + j]].tobytes() for j in at.tolist()]
+                    if any(len(w) > LONG for w in raw):
+                        parts = [(part, m) for w, m in zip(raw, n.tolist(), strict=True) for part in _cut(w)]
+                        raw, n = [w for w, _ in parts], np.array([m for _, m in parts])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([langs[lo + i]] * len(raw), pa.string()), pa.array(raw, pa.binary()), pa.array(n, pa.int64())],
                         ["lang", "word", "n"],
@@ -252,6 +319,10 @@ class Memory:
             width = int(self.model.sizes.max())
             n = max(1, SUM_BYTES // (8 * len(self.model.languages) * width))
             order = np.argsort(np.diff(cuts), kind="stable")
+            short = int(np.searchsorted(np.diff(cuts)[order], LONG, side="right"))
+            for i in order[short:].tolist():
+                logs[new[i]] = Lattice(buf[cuts[i] : cuts[i + 1]], cuts[i : i + 2] - cuts[i], self.model.hashes, self.model.sizes).forward_long(self.model.probs)
+            order = order[:short]
             for lo in range(0, len(order), n):
                 some = order[lo : lo + n]
                 logs[new[some]] = Lattice(*_gather(buf, cuts, some), self.model.hashes, self.model.sizes).forward(self.model.probs)
