@@ -9,6 +9,7 @@ from tidemill.functions.once import computed_once
 from tidemill.functions.rounding import sql_rounded as r
 from tidemill.operators import text as K
 from tidemill.operators import trends as T
+from tidemill.operators.cells import build_cells, search
 from tidemill.plans.tables import HISTORY_SQL, ITEMS_SQL, history, items, read
 
 
@@ -72,6 +73,23 @@ def vector_label_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("own").agg(F.count("*").alias("n"), F.count_if(F.col("own") == F.col("label")).alias("same"))
 
 
+def _by_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every hundredth vector as a query; every second of them asks for vectors of its own label only."""
+    v = read(spark, sf_dir, "embeddings").select("vec_id", K.normalised(F.col("embedding")).alias("vector"), F.col("label").cast("string").alias("category"))
+    own = F.when(F.col("vec_id") % 200 == 0, F.col("category")).alias("category")
+    return search(build_cells(v), v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "vector", own), 5)
+
+
+def vector_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_cells(spark, sf_dir)[0].select("qid", "vec_id", "score", "rank")
+
+
+def vector_lists_met(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lists of vectors the queries met, and how many there are."""
+    met = _by_cells(spark, sf_dir)[1]
+    return met.groupBy((F.col("qid") % 200 == 0).alias("filtered")).agg(F.count("*").alias("queries"), F.sum("met").alias("met"), F.sum("lists").alias("lists"))
+
+
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("cid"), "text", F.concat_ws("/", "source", "lang").alias("citation"))
     asked = questions(spark, sf_dir).withColumnRenamed("text", "question")
@@ -146,7 +164,7 @@ def storefronts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "document_table": document_table, "chunk_rows": chunk_rows, "chunk_totals": chunk_totals, "bm25_ranks": bm25_ranks, "question_terms": question_terms,
-    "retrieval_quality": retrieval_quality, "vector_top_k": vectors, "vector_label_recall": vector_label_recall, "reranked": reranked, "answers": answers,
+    "retrieval_quality": retrieval_quality, "vector_top_k": vectors, "vector_filtered": vector_filtered, "vector_lists_met": vector_lists_met, "vector_label_recall": vector_label_recall, "reranked": reranked, "answers": answers,
     "answer_strengths": answer_strengths, "gated_answers": gated_answers, "embed_backlog": embed_backlog, "trends": trends, "trend_attached": trend_attached, "snapshot_features": snapshot_features,
     "category_percentiles": category_percentiles, "listing_comparisons": listing_comparisons, "storefronts": storefronts,
 }
@@ -189,6 +207,8 @@ SQL = {
       b AS (SELECT e.qid, min(rank) FILTER (WHERE rank <= 10) AS rank FROM e LEFT JOIN rk USING (qid, cid) GROUP BY 1)
       SELECT 'all' AS category, count(*) AS n, {r("avg(CASE WHEN rank <= 5 THEN 1 ELSE 0 END)", 4)} AS recall, {r("avg(coalesce(1 / rank, 0))", 4)} AS mrr FROM b""",
     "vector_top_k": f"WITH {_VEC} SELECT qid, vec_id, score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5",
+    "vector_filtered": f"""WITH {_VEC.replace("WHERE q.vec_id % 100 = 0", "WHERE q.vec_id % 100 = 0 AND (q.vec_id % 200 <> 0 OR q.label = c.label)")}
+      SELECT qid, vec_id, score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5""",
     "vector_label_recall": f"WITH {_VEC} SELECT own, count(*) AS n, count(*) FILTER (WHERE own = label) AS same FROM k WHERE rank <= 5 AND qid <> vec_id GROUP BY 1",
     "reranked": rf"""WITH {_BM25}, f AS (SELECT qid, cid, score / 100 AS similarity, d.text AS text, source || '/' || lang AS citation, b.text AS question FROM rk JOIN documents d ON d.doc_id = cid JOIN benchmark b ON b.item_id = qid WHERE rank <= 5),
       p AS (SELECT *, substr(regexp_replace(lower(text), '\W+', '', 'g'), 1, 260) AS fp FROM f), fq AS (SELECT *, row_number() OVER (PARTITION BY qid, fp ORDER BY similarity DESC, cid) AS rn FROM p WHERE fp <> ''),
