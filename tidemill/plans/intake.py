@@ -14,7 +14,9 @@ from tidemill.operators import trends as T
 from tidemill.plans.tables import read
 from tidemill.sources import lake as L
 from tidemill.sources.folders import shared_folder
+from tidemill.plans.streams import event_batches
 from tidemill.streaming import jobs as X
+from tidemill.streaming.state import drain_inbox_by_key
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +44,15 @@ def inbox_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count("lake", "stored").join(count("held", "held"), "source").select("source", "held", "held_distinct", "stored_distinct", (F.col("stored") >= F.col("stored_distinct")).alias("whole"))
 
 
+def inbox_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same inbox drained in several micro-batches, with each key's last hash as state."""
+    root, raw = shared_folder(spark, "drained"), _raw(spark, sf_dir)
+    stream = event_batches(spark, sf_dir, raw.withColumn("at", F.col("fetched_at").cast("timestamp"))).drop("at")
+    drain_inbox_by_key(stream, f"{root}/lake", f"{root}/held", f"{root}/checkpoint").awaitTermination()
+    count = lambda folder, name: spark.read.parquet(f"{root}/{folder}").groupBy("source").agg(F.count("*").alias(name), F.countDistinct("entity_id", "endpoint", "payload").alias(f"{name}_distinct"))
+    return count("lake", "stored").join(count("held", "held"), "source").select("source", "held", "held_distinct", "stored_distinct", (F.col("stored") >= F.col("stored_distinct")).alias("whole"))
+
+
 def ledger_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions written as JSON lines, some of them broken, and read back as labels."""
     folder = shared_folder(spark, "ledger")
@@ -152,7 +163,7 @@ def deal_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "lake_round_trip": lake_round_trip, "inbox_stream": inbox_stream, "ledger_labels": ledger_labels, "text_files": text_files, "page_products": page_products,
+    "lake_round_trip": lake_round_trip, "inbox_stream": inbox_stream, "inbox_by_key": inbox_by_key, "ledger_labels": ledger_labels, "text_files": text_files, "page_products": page_products,
     "feed_items": feed_items, "api_deals": api_deals, "series_points": series_points, "stray_ids": stray_ids, "last_proposals": last_proposals,
     "transcripts": transcripts, "closed_weeks": closed_weeks, "neutral_columns": neutral_columns, "deal_leads": deal_leads,
 }
@@ -183,3 +194,4 @@ SQL = {
       s AS (SELECT *, CASE WHEN item % 6 = 0 THEN 'rejected' WHEN cost IS NULL THEN 'no price' ELSE 'new' END AS status FROM b), c AS (SELECT item, k AS deal_id, deals, item % 100 AS score, CASE WHEN item % 2 = 0 THEN 'BUY' ELSE 'REVIEW' END AS verdict, status, CASE WHEN status = 'new' THEN cost END AS cost, item % 60 + 50 AS net FROM s)
       SELECT item, deal_id, deals, score, verdict, status, cost, {r("net - cost", 2)} AS profit, {r("(net - cost) / cost", 3)} AS roi FROM c""",
 }
+SQL["inbox_by_key"] = SQL["inbox_stream"]
