@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tidemill import defaults as D
 from tidemill.functions.rounding import rounded
+from tidemill.sources.folders import saved
 
 
 @F.pandas_udf(T.DoubleType())
@@ -50,12 +51,54 @@ def route(value: Column) -> Column:
     return F.when(value >= D.MATCH_AUTO, "auto").when(value >= D.MATCH_VERIFY, "review").otherwise("discard")
 
 
+#: Sets, for each one asked for, that the rarest words may show at first.
+RARE = 16
+
+
+def _meet(words: DataFrame, sets: DataFrame) -> DataFrame:
+    return words.select("b", "asked", "word").join(sets, ["b", "word"]).select("b", "asked", "held", "least")
+
+
+def largest_overlaps(asked: DataFrame, held: DataFrame, most: int) -> DataFrame:
+    """For each set of words (``b, asked``) the ``most`` sets of the same ``b`` (``b, held, least``) that share most
+    words, ties by ``least``: ``b, asked, held, overlap, least``. Sets that share none don't count. All sets are distinct.
+
+    A set's words go from rare to common. The sets of its rarest words come first, RARE * ``most`` of them or so; the
+    ``most``-th overlap among these, t, bounds the rest: a set that has none of the first words but the last t - 1 has a
+    smaller overlap. So common words are only met where t leaves no choice. The commonest word is met by its first
+    ``most`` sets alone: a set that shares nothing else ranks after them all."""
+    posted = held.withColumn("word", F.explode("held"))
+    often = posted.groupBy("b", "word").agg(F.count("*").alias("_df"))
+    mine = W.partitionBy("b", "asked")  # the words of one set
+    order = mine.orderBy("_df", "word")
+    words = asked.select("b", "asked").distinct().withColumn("word", F.explode("asked")).join(often, ["b", "word"])
+    words = words.withColumn("_at", F.row_number().over(order)).withColumn("_m", F.count("*").over(mine))
+    so_far = F.sum("_df").over(order.rowsBetween(W.unboundedPreceding, 0))
+    words = saved(words.withColumn("_first", (F.col("_at") == 1) | (so_far <= RARE * most)))
+    few = posted.withColumn("_n", F.row_number().over(W.partitionBy("b", "word").orderBy("least"))).where(F.col("_n") <= most).drop("_n")
+    lone = F.col("_m") == 1
+
+    def counted(pairs: DataFrame) -> DataFrame:
+        return pairs.distinct().withColumn("overlap", F.size(F.array_intersect("asked", "held")))
+
+    place = F.row_number().over(mine.orderBy(F.desc("overlap"), "least"))
+    near = counted(_meet(words.where(F.col("_first") & ~lone), posted).unionByName(_meet(words.where(lone), few)))
+    near = saved(near.withColumn("_n", place).where(F.col("_n") <= most).drop("_n"))
+    bound = near.groupBy("b", "asked").agg(F.when(F.count("*") >= most, F.min("overlap")).otherwise(0).alias("_t"))
+    rest = words.where(~F.col("_first")).join(bound, ["b", "asked"], "left").withColumn("_t", F.coalesce("_t", F.lit(0)))
+    last = (F.col("_t") <= 1) & (F.col("_at") == F.col("_m"))
+    full = ~last & (F.col("_at") <= F.col("_m") - F.greatest(F.col("_t"), F.lit(1)) + 1)
+    more = counted(_meet(rest.where(full), posted).unionByName(_meet(rest.where(last), few)))
+    found = near.unionByName(more).distinct()
+    return found.withColumn("_n", place).where(F.col("_n") <= most).select("b", "asked", "held", "overlap", "least")
+
+
 def candidates(deals: DataFrame, catalogue: DataFrame, most: int = D.MATCH_CANDIDATES) -> DataFrame:
     """Catalogue items for each deal: those with its code, else those of its brand that share words of the core title,
     the ``most`` with the largest overlap.
 
     Deals: ``deal_id, upc, attrs``; catalogue: ``item, upcs, item_attrs``, where both ids are keys. Deals and items are
-    grouped by (brand, set of words), and only distinct sets are joined on (brand, word). An item set hands on its first
+    grouped by (brand, set of words), and only distinct sets meet (``largest_overlaps``). An item set hands on its first
     ``most`` items, a deal set meets its best ``most`` item sets, since each of these has an item before those of other
     sets; so no word is too common to count. A deal without a brand meets the items of all brands.
     """
@@ -70,11 +113,7 @@ def candidates(deals: DataFrame, catalogue: DataFrame, most: int = D.MATCH_CANDI
     # the first items of each set; the window keeps that many in every task before its shuffle
     place = F.row_number().over(W.partitionBy("b", "held").orderBy("item"))
     firsts = held.withColumn("_n", place).where(F.col("_n") <= most).drop("_n")
-    left = asked.select("b", "asked").distinct().withColumn("word", F.explode("asked"))
-    right = firsts.groupBy("b", "held").agg(F.min("item").alias("least")).withColumn("word", F.explode("held"))
-    meet = left.join(right, ["b", "word"]).groupBy("b", "asked", "held").agg(F.count("*").cast("int").alias("overlap"), F.min("least").alias("least"))
-    place = F.row_number().over(W.partitionBy("b", "asked").orderBy(F.desc("overlap"), "least"))
-    sets = meet.withColumn("_n", place).where(F.col("_n") <= most).select("b", "asked", "held", "overlap")
+    sets = largest_overlaps(asked, firsts.groupBy("b", "held").agg(F.min("item").alias("least")), most).drop("least")
     place = F.row_number().over(W.partitionBy("b", "asked").orderBy(F.desc("overlap"), "item"))
     best = sets.join(firsts, ["b", "held"]).withColumn("_n", place).where(F.col("_n") <= most).select("b", "asked", "item", "overlap")
     shared = asked.join(best, ["b", "asked"])
@@ -190,8 +229,7 @@ def source_health(events: DataFrame, retire_at: int = 2) -> DataFrame:
 
 def validate_registry(entries: DataFrame, codes: list[str]) -> DataFrame:
     """Problems of a source list (``rank, domain, code``): missing and repeated ranks, repeated domains, unknown codes."""
-    n = entries.agg(F.count("*").alias("n"))
-    ranks = n.select(F.explode(F.expr("sequence(1, cast(n as int))")).alias("rank"))
+    ranks = entries.sparkSession.range(1, entries.count() + 1).select(F.col("id").cast("int").alias("rank"))
     missing = ranks.join(entries, "rank", "left_anti").select(F.lit("missing rank").alias("problem"), F.col("rank").cast("string").alias("value"))
     twice = lambda c, name: entries.groupBy(c).count().where("count > 1").select(F.lit(name).alias("problem"), F.col(c).cast("string").alias("value"))
     unknown = entries.where(~F.col("code").isin(codes)).select(F.lit("unknown code").alias("problem"), F.col("code").alias("value")).distinct()
