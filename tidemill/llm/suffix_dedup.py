@@ -1,4 +1,7 @@
-"""Operator 2: passages that repeat, found by a sparse suffix array over content-selected positions."""
+"""Operator 2: passages that repeat in several documents, found at content-selected positions by hashes of passages.
+
+Suffixes are kept as in a sparse suffix array, but they aren't sorted and compared with neighbours: a suffix's neighbours
+need not hold its longest match, which lost passages. All passages around a kept suffix are hashed and grouped instead."""
 
 from __future__ import annotations
 
