@@ -78,24 +78,32 @@ def calibration_error(bins: DataFrame) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, column: str, buckets: int) -> list[float]:
-    """The quantiles i / buckets of a column, interpolated between neighbours, from counts by distinct value; nulls
-    don't count. None for an empty column."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    if not total:
-        return []
-    at = [i * (total - 1) / buckets for i in range(buckets + 1)]
-    wanted = sorted({int(x) for x in at} | {min(int(x) + 1, total - 1) for x in at})
-    inside = F.filter(F.array(*map(F.lit, wanted)), lambda i: (i >= F.col("n_before")) & (i < F.col("n_before") + F.col("n")))
-    rows = running(counts, "v", ["n"], []).select("v", F.explode(inside).alias("i"))
-    value = {r["i"]: r["v"] for r in rows.collect()}  # two for each quantile at most
-    return [value[int(x)] + (x - int(x)) * (value[min(int(x) + 1, total - 1)] - value[int(x)]) for x in at]
+    """The quantiles i / buckets of a column, interpolated between neighbours; empty for an empty column."""
+    return quantiles_of(df, [column], buckets)[column]
+
+
+def quantiles_of(df: DataFrame, columns: list[str], buckets: int) -> dict[str, list[float]]:
+    """Exact quantiles i / buckets of several columns, from counts by distinct value that one pass takes of all of them;
+    nulls don't count. None for an empty column."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns])).alias("_x")
+    counts = saved(df.select(each).select("_x.*").where("v is not null").groupBy("name", "v").agg(F.count("*").alias("n")))
+    totals = {r["name"]: r["total"] for r in counts.groupBy("name").agg(F.sum("n").alias("total")).collect()}  # a row a column
+    at = {c: [i * (n - 1) / buckets for i in range(buckets + 1)] for c, n in totals.items()}
+    if not at:
+        return {c: [] for c in columns}
+    wanted = {c: sorted({int(x) for x in xs} | {min(int(x) + 1, totals[c] - 1) for x in xs}) for c, xs in at.items()}
+    mine = F.create_map(*[x for c, w in wanted.items() for x in (F.lit(c), F.array(*[F.lit(i).cast("long") for i in w]))])[F.col("name")]
+    inside = F.filter(mine, lambda i: (i >= F.col("n_before")) & (i < F.col("n_before") + F.col("n")))
+    rows = running(counts, "v", ["n"], ["name"]).select("name", "v", F.explode(inside).alias("i"))
+    value = {(r["name"], r["i"]): r["v"] for r in rows.collect()}  # two for each quantile at most
+    between = lambda c, x: value[c, int(x)] + (x - int(x)) * (value[c, min(int(x) + 1, totals[c] - 1)] - value[c, int(x)])
+    return {c: [between(c, x) for x in at.get(c, [])] for c in columns}
 
 
 def psi(base: DataFrame, actual: DataFrame, columns: list[str], buckets: int = 10, floor: float = 1e-6) -> DataFrame:
     """Population stability of columns: shares between the baseline's quantile edges; values outside are left out. A
     column without any value in the baseline has no row."""
-    edges = {c: sorted(set(exact_quantiles(base, c, buckets))) for c in columns}
+    edges = {c: sorted(set(e)) for c, e in quantiles_of(base, columns, buckets).items()}
     spark = base.sparkSession
     cells = [(c, i) for c, e in edges.items() for i in range(1, max(len(e) - 1, 1) + 1) if e]
 
