@@ -410,10 +410,21 @@ def answer_strength(ranked: DataFrame, points: DataFrame) -> DataFrame:
 # --- evaluation
 
 
-def retrieval_quality(ranked: DataFrame, expected: DataFrame, k: int, by: list[str]) -> DataFrame:
+def compare_systems(ranked: DataFrame, expected: DataFrame, systems: list[str], k: int) -> DataFrame:
+    """Recall and reciprocal rank of each of ``systems`` in each category, and whether another one is better there.
+
+    Ranked: ``system, qid, cid, rank``; expected: ``qid, cid, category``. The category ``all`` has every question."""
+    each = F.explode(F.array(*map(F.lit, systems))).alias("system")
+    wanted = expected.select("qid", "cid", each, F.array("category", F.lit("all")).alias("_c")).withColumn("category", F.explode("_c")).drop("_c").distinct()
+    quality = retrieval_quality(ranked, wanted, k, ["system", "category"], ["system", "qid", "cid"])
+    return quality.withColumn("beaten", F.col("recall") < F.max("recall").over(W.partitionBy("category")))  # a row a system
+
+
+def retrieval_quality(ranked: DataFrame, expected: DataFrame, k: int, by: list[str], on: list[str] | None = None) -> DataFrame:
     """Recall at ``k`` and mean reciprocal rank. Expected: ``qid, cid`` and the columns ``by``; a question hits if any
-    of its chunks is found."""
-    best = expected.join(ranked.select("qid", "cid", "rank"), ["qid", "cid"], "left").groupBy("qid", *by).agg(F.min("rank").alias("rank"))
+    of its chunks is found. ``on`` names what rows of both tables share, if that is more than both ids."""
+    on = on or ["qid", "cid"]
+    best = expected.join(ranked.select(*on, "rank"), on, "left").groupBy("qid", *by).agg(F.min("rank").alias("rank"))
     hit = F.coalesce((F.col("rank") <= k).cast("int"), F.lit(0))
     return best.groupBy(*by).agg(F.count("*").alias("n"), rounded(F.avg(hit), 4).alias("recall"), rounded(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 4).alias("mrr"))
 

@@ -11,6 +11,7 @@ from tidemill.operators import text as K
 from tidemill.operators import trends as T
 from tidemill.operators.cells import build_cells, search
 from tidemill.plans.tables import HISTORY_SQL, ITEMS_SQL, history, items, read
+from tidemill.sources.folders import saved
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,16 +51,28 @@ def question_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions(spark, sf_dir).select("qid", F.array_join(F.array_sort(K.expanded(K.terms(asked))), " ").alias("terms"))
 
 
+def _expected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a question's first eight words, with their language."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("cid"), "text", F.col("lang").alias("category"))
+    t = computed_once(docs, {"t": K.tokens(F.col("text"))}).where("size(t) >= 8")
+    runs = F.transform(F.sequence(F.lit(1), F.size("t") - 7), lambda i: F.array_join(F.slice("t", i, 8), " "))
+    runs = t.select("cid", "category", F.explode(runs).alias("head"))
+    heads = questions(spark, sf_dir).select("qid", F.array_join(F.slice(K.tokens(F.col("text")), 1, 8), " ").alias("head"))
+    return heads.join(runs, "head").select("qid", "cid", "category").distinct()
+
+
 def retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall and reciprocal rank of BM25, where documents that hold a question's first eight words are expected."""
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("cid"), "text")
-    asked = questions(spark, sf_dir)
-    t = computed_once(docs, {"t": K.tokens(F.col("text"))}).where("size(t) >= 8")
-    runs = F.transform(F.sequence(F.lit(1), F.size("t") - 7), lambda i: F.array_join(F.slice("t", i, 8), " "))
-    runs = t.select("cid", F.explode(runs).alias("head"))
-    heads = asked.select("qid", F.array_join(F.slice(K.tokens(F.col("text")), 1, 8), " ").alias("head"))
-    expected = heads.join(runs, "head").select("qid", "cid", F.lit("all").alias("category")).distinct()
-    return K.retrieval_quality(K.bm25(docs, asked, 10), expected, 5, ["category"])
+    expected = _expected(spark, sf_dir).select("qid", "cid", F.lit("all").alias("category"))
+    return K.retrieval_quality(K.bm25(docs, questions(spark, sf_dir), 10), expected, 5, ["category"])
+
+
+def retrieval_by_system(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 beside its reranked results, by language and in all."""
+    found = saved(_found(spark, sf_dir))
+    ranked = found.select(F.lit("bm25").alias("system"), "qid", "cid", "rank").unionByName(K.rerank(found, 3, BONUSES).select(F.lit("reranked").alias("system"), "qid", "cid", "rank"))
+    return K.compare_systems(ranked, _expected(spark, sf_dir), ["bm25", "reranked"], 2)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +177,7 @@ def storefronts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "document_table": document_table, "chunk_rows": chunk_rows, "chunk_totals": chunk_totals, "bm25_ranks": bm25_ranks, "question_terms": question_terms,
-    "retrieval_quality": retrieval_quality, "vector_top_k": vectors, "vector_filtered": vector_filtered, "vector_lists_met": vector_lists_met, "vector_label_recall": vector_label_recall, "reranked": reranked, "answers": answers,
+    "retrieval_quality": retrieval_quality, "retrieval_by_system": retrieval_by_system, "vector_top_k": vectors, "vector_filtered": vector_filtered, "vector_lists_met": vector_lists_met, "vector_label_recall": vector_label_recall, "reranked": reranked, "answers": answers,
     "answer_strengths": answer_strengths, "gated_answers": gated_answers, "embed_backlog": embed_backlog, "trends": trends, "trend_attached": trend_attached, "snapshot_features": snapshot_features,
     "category_percentiles": category_percentiles, "listing_comparisons": listing_comparisons, "storefronts": storefronts,
 }
@@ -228,3 +241,10 @@ SQL = {
     "storefronts": """WITH s AS (SELECT DISTINCT l_suppkey AS seller, CAST(date_trunc('month', l_shipdate) AS DATE) AS day, l_partkey AS item FROM lineitem)
       SELECT seller, day, CAST(count(*) AS INTEGER) AS n_items, array_to_string(list_sort(list(item))[1:5], ',') AS items FROM s GROUP BY 1, 2""",
 }
+SQL["retrieval_by_system"] = f"""WITH {_BM25}, w AS (SELECT doc_id AS cid, lang, {_TOKENS} AS t FROM documents), h AS (SELECT cid, lang, t, unnest(range(1, len(t) - 6)) AS i FROM w),
+  e AS (SELECT DISTINCT qid, cid, lang FROM (SELECT item_id AS qid, array_to_string(({_TOKENS})[1:8], ' ') AS head FROM benchmark) JOIN h ON head = array_to_string(t[i:i + 7], ' ')),
+  found AS (SELECT 'bm25' AS system, qid, cid, rank FROM rk WHERE rank <= 5 UNION ALL SELECT 'reranked', qid, cid, rank FROM ({SQL["reranked"]})),
+  c AS (SELECT qid, cid, unnest([lang, 'all']) AS category FROM e), names AS (SELECT unnest(['bm25', 'reranked']) AS system),
+  b AS (SELECT system, category, qid, min(rank) AS rank FROM c CROSS JOIN names LEFT JOIN found USING (system, qid, cid) GROUP BY 1, 2, 3),
+  quality AS (SELECT system, category, count(*) AS n, {r("avg(CASE WHEN rank <= 2 THEN 1 ELSE 0 END)", 4)} AS recall, {r("avg(coalesce(1 / rank, 0))", 4)} AS mrr FROM b GROUP BY 1, 2)
+  SELECT *, recall < max(recall) OVER (PARTITION BY category) AS beaten FROM quality"""
