@@ -7,7 +7,6 @@ the driver and applied as nested conditions in generated code."""
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -204,14 +203,9 @@ def lambdas(score: np.ndarray, positives: np.ndarray, negatives: np.ndarray) ->
     return tuple(back)
 
 
-def _gradients(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for blocks in parts:
-        g1, g0, h1, h0 = lambdas(blocks["block"].to_numpy() / STEPS, blocks["p"].to_numpy(), blocks["n"].to_numpy())
-        yield blocks[["group", "block"]].assign(g1=g1, g0=g0, h1=h1, h0=h0)
-
-
 def _group_gradients(blocks: pd.DataFrame) -> pd.DataFrame:
-    return next(_gradients(iter([blocks])))
+    g1, g0, h1, h0 = lambdas(blocks["block"].to_numpy() / STEPS, blocks["p"].to_numpy(), blocks["n"].to_numpy())
+    return blocks[["group", "block"]].assign(g1=g1, g0=g0, h1=h1, h0=h0)
 
 
 def ranking_trees(rows: DataFrame, features: list[str], label: str, group: str, trees: int = 12, depth: int = 3, rate: float = 0.3, least: float = 1e-3, bins: int = 16, smooth: float = 1e-3) -> Boosted:

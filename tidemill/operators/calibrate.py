@@ -96,14 +96,13 @@ class Calibration:
         return F.log(q / (1 - q))
 
 
-#: Blocks that a curve is kept of; it has this bound by construction, since blocks have rising fractions of whole numbers.
 def fit_calibration(rows: DataFrame, score: str, label: str, least: int = LEAST) -> Calibration:
     """Isotonic for ``least`` rows or more, else a logistic curve over the log odds of the score."""
     some = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull())
     n = some.limit(least).count()
     if n >= least:
         knots: list[tuple[float, float]] = []
-        for b in isotonic_blocks(some, score, label).orderBy("lo").collect():  # distinct rising rates only
+        for b in isotonic_blocks(some, score, label).orderBy("lo").collect():  # blocks, far fewer than scores
             knots += [(b["lo"], b["pos"] / b["n"])] + ([(b["hi"], b["pos"] / b["n"])] if b["hi"] > b["lo"] else [])
         return Calibration(tuple(knots))
     both = some.agg(F.count_if(label).alias("p"), F.count("*").alias("n")).first()
