@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemill.operators import matching as M
@@ -77,3 +78,43 @@ def test_inbox_by_key_equals_one_batch(spark, tmp_path):
     assert sorted((r.fetched_at, r.payload) for r in kept if r.source == "s") == [(0, "A"), (2, "B"), (4, "A")]
     assert [r.fetched_at for r in kept if r.source is None] == [0]
     assert [r.fetched_at for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == [3]
+
+
+class Handle:
+    """A state of one value that counts its calls."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+
+def test_many_keys_of_a_part_take_two_calls_a_batch():
+    rng, handle, last, kept, want = random.Random(7), Handle(), {}, [], []
+    manifest = S.Manifest("fetched_at", ["string", "string", "string"])
+    manifest.init(handle)
+    at = 0
+    for batch in range(3):
+        rows = []
+        for _ in range(900):
+            key, h, ok = (rng.choice(["s", None]), f"e{rng.randint(0, 150)}", "p"), rng.choice("AB"), rng.random() < 0.8
+            rows.append((*key, at, h, ok))
+            if not ok or last.get(key) != h:
+                want.append(at)
+            if ok:
+                last[key] = h
+            at += 1
+        rng.shuffle(rows)
+        frame = pd.DataFrame(rows, columns=["source", "entity_id", "endpoint", "fetched_at", "content_hash", "ok"])
+        for out in manifest.handleInputRows((0,), iter([frame[:400], frame[400:]]), None):
+            kept += out["fetched_at"].tolist()
+        assert handle.calls == 2 * (batch + 1)
+    assert sorted(kept) == want

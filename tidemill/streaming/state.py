@@ -1,7 +1,7 @@
 """Keyed state between micro-batches, with time to live: source health, live hints, and the inbox's manifest.
 
-State is kept by key in the RocksDB store, so a micro-batch reads and writes the keys that it has, however much has been
-seen before. Rows of a key arrive in chunks, of which only a few narrow columns are held."""
+State is kept by key, or by a hashed part of the keys where there are many, in the RocksDB store, so a micro-batch reads
+and writes the keys or parts that it has. Rows of a key arrive in chunks, of which only a few narrow columns are held."""
 
 from __future__ import annotations
 
@@ -128,27 +128,38 @@ def live_hints(stream: DataFrame, ts: str, ttl: dt.timedelta = dt.timedelta(hour
     return rows.groupBy("brand", "store").transformWithStateInPandas(LiveHints(ttl), schema, "Append", "EventTime")
 
 
+#: Parts of the lake keys, a number that stored state depends on. A call of the state is a round trip between Python and
+#: the JVM, so keys don't have state of their own: a part's keys are read and written at once.
+KEY_PARTS = 512
+
+
 class Manifest(StatefulProcessor):
-    """The last stored hash of a lake key."""
+    """The last stored hash of each lake key of a part of the keys."""
 
-    def __init__(self, order: str):
+    def __init__(self, order: str, key_types: list[str]):
         self.order = order
+        self.schema = ", ".join(f"{k} array<{t}>" for k, t in zip([*LAKE_KEY, "hash"], [*key_types, "string"], strict=True))
 
     def init(self, handle) -> None:  # noqa: ANN001
-        self.last = handle.getValueState("last", "hash string")
+        self.last = handle.getValueState("last", self.schema)
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: ANN001, ANN201, N802, N803
         good = []
         for part in rows:
+            part = part.drop(columns="_part", errors="ignore")
             yield part[~part["ok"]]  # to be set aside
             good.append(part[part["ok"]])
         fresh = pd.concat(good).sort_values(self.order, kind="stable") if good else pd.DataFrame()
         if not len(fresh):
             return
-        before = fresh["content_hash"].shift()
-        before.iloc[0] = self.last.get()[0] if self.last.exists() else None
-        yield fresh[fresh["content_hash"] != before]
-        self.last.update((fresh["content_hash"].iloc[-1],))
+        stored = dict(zip([*LAKE_KEY, "content_hash"], self.last.get() or [[]] * (len(LAKE_KEY) + 1), strict=True))
+        names = [*LAKE_KEY, "content_hash"]
+        known = pd.concat([pd.DataFrame(stored, dtype=object), fresh[names].astype(object)], ignore_index=True)
+        by_key = known.groupby(LAKE_KEY, dropna=False, sort=False)["content_hash"]
+        new = (known["content_hash"] != by_key.shift()).to_numpy()[len(known) - len(fresh) :]
+        yield fresh[new]
+        last = known[(by_key.cumcount(ascending=False) == 0).to_numpy()]
+        self.last.update(tuple([None if x is None or x != x else x for x in last[n].tolist()] for n in names))
 
     def close(self) -> None:
         pass
@@ -159,7 +170,9 @@ def drained(stream: DataFrame, order: str = "fetched_at") -> DataFrame:
     for their key, and those whose hash is wrong. A key's batches must come in order; rows of one batch may be in any."""
     with_state_store(stream.sparkSession)
     marked = stream.withColumn("ok", F.sha2("payload", 256).eqNullSafe(F.col("content_hash")) & F.col("content_hash").isNotNull())
-    return marked.groupBy(*LAKE_KEY).transformWithStateInPandas(Manifest(order), marked.schema, "Append", "None")
+    part = F.pmod(F.xxhash64(*LAKE_KEY), F.lit(KEY_PARTS)).alias("_part")
+    processor = Manifest(order, [marked.schema[k].dataType.simpleString() for k in LAKE_KEY])
+    return marked.select("*", part).groupBy("_part").transformWithStateInPandas(processor, marked.schema, "Append", "None")
 
 
 def drain_inbox_by_key(stream: DataFrame, lake: str, quarantine: str, checkpoint: str, order: str = "fetched_at") -> StreamingQuery:
