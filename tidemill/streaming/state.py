@@ -80,15 +80,15 @@ class LiveHints(StatefulProcessor):
 
     def init(self, handle) -> None:  # noqa: ANN001
         self.handle = handle
-        self.hints = handle.getListState("hints", "at long, weight long")
+        self.hints = handle.getValueState("hints", "at array<long>, weight array<long>")
 
     def _stored(self) -> np.ndarray:
-        return np.array([tuple(x) for x in self.hints.get()], np.int64).reshape(-1, 2)
+        return np.array(self.hints.get() or ([], []), np.int64).T
 
     def _keep(self, hints: np.ndarray, until: int) -> None:
         alive = hints[hints[:, 0] > until - self.ttl]
         if len(alive):
-            self.hints.put([tuple(x) for x in alive.tolist()])
+            self.hints.update(tuple(alive.T.tolist()))
             self.handle.registerTimer(int((alive[-1, 0] + self.ttl) // 1000 + 1))
         else:
             self.hints.clear()
