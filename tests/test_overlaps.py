@@ -44,3 +44,15 @@ def test_common_words_cost_no_pairs(spark, monkeypatch):
         assert out.count() == 3 * n
         sizes.append(sum(df.count() for df in met))
     assert sizes[1] < 6 * sizes[0]
+
+
+def test_no_scan_task_meets_all_parts(spark, monkeypatch, tmp_path):
+    """Titles of one small file are dealt by rows, so their tasks don't grow with the table."""
+    from tidemill.plans import matching
+    from tidemill.sources import folders
+
+    monkeypatch.setattr(folders, "ROWS_A_TASK", 100)
+    spark.createDataFrame([(i, f"name {i}", "b", 1, 2.0) for i in range(1000)], "p_partkey long, p_name string, p_brand string, p_size int, p_retailprice double").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    rows = matching.titles(spark, str(tmp_path))
+    sizes = [n for n in rows.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect() if n]
+    assert sum(sizes) == 1000 and max(sizes) < 250

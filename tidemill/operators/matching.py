@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tidemill import defaults as D
 from tidemill.functions.rounding import rounded
-from tidemill.sources.folders import saved
+from tidemill.sources.folders import saved, spread
 
 
 @F.pandas_udf(T.DoubleType())
@@ -100,15 +100,18 @@ def candidates(deals: DataFrame, catalogue: DataFrame, most: int = D.MATCH_CANDI
     Deals: ``deal_id, upc, attrs``; catalogue: ``item, upcs, item_attrs``, where both ids are keys. Deals and items are
     grouped by (brand, set of words), and only distinct sets meet (``largest_overlaps``). An item set hands on its first
     ``most`` items, a deal set meets its best ``most`` item sets, since each of these has an item before those of other
-    sets; so no word is too common to count. A deal without a brand meets the items of all brands.
+    sets; so no word is too common to count. A deal without a brand meets the items of all brands. Codes and words are
+    taken once and dealt over tasks by id, so none sorts more than its share, however the tables are stored.
     """
+    words = lambda attrs: F.array_sort(F.filter(F.array_distinct(F.split(F.lower(F.col(attrs)["core_title"]), " ")), lambda w: F.length(w) > 1))
+    brand = lambda attrs: F.coalesce(F.lower(F.col(attrs)["brand"]), F.lit("")).alias("b")
+    deals = spread(saved(deals.select("deal_id", "upc", brand("attrs"), words("attrs").alias("asked"))), "deal_id")
+    catalogue = spread(saved(catalogue.select("item", "upcs", brand("item_attrs"), words("item_attrs").alias("held"))), "item")
     codes = catalogue.select("item", F.explode("upcs").alias("upc"))
     by_code = deals.where(F.col("upc").isNotNull()).join(codes, "upc").select("deal_id", "item", F.lit(True).alias("by_code"), F.lit(99).alias("overlap"))
     rest = deals.join(by_code.select("deal_id").distinct(), "deal_id", "left_anti")
-    words = lambda attrs: F.array_sort(F.filter(F.array_distinct(F.split(F.lower(F.col(attrs)["core_title"]), " ")), lambda w: F.length(w) > 1))
-    brand = lambda attrs: F.coalesce(F.lower(F.col(attrs)["brand"]), F.lit("")).alias("b")
-    asked = rest.select("deal_id", brand("attrs"), words("attrs").alias("asked")).where("size(asked) > 0")
-    held = catalogue.select("item", brand("item_attrs"), words("item_attrs").alias("held")).where("size(held) > 0")
+    asked = rest.select("deal_id", "b", "asked").where("size(asked) > 0")
+    held = catalogue.select("item", "b", "held").where("size(held) > 0")
     held = held.where("b <> ''").unionByName(held.withColumn("b", F.lit("")))  # deals without a brand meet all items
     # the first items of each set; the window keeps that many in every task before its shuffle
     place = F.row_number().over(W.partitionBy("b", "held").orderBy("item"))
@@ -124,6 +127,7 @@ def candidates(deals: DataFrame, catalogue: DataFrame, most: int = D.MATCH_CANDI
 
 def match(deals: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Scores every candidate, keeps the best three of each deal that aren't discarded."""
+    deals, catalogue = saved(deals), saved(catalogue)
     pairs = candidates(deals, catalogue).join(deals, "deal_id").join(catalogue, "item")
     brand, pack, size = agreement(F.col("attrs"), F.col("item_attrs"))
     pairs = pairs.withColumn("similarity", rounded(title_similarity(F.col("attrs")["core_title"], F.col("item_attrs")["core_title"]), 4))

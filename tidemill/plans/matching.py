@@ -10,6 +10,7 @@ from tidemill.functions.rounding import rounded
 from tidemill.functions.rounding import sql_rounded as r
 from tidemill.operators import matching as M
 from tidemill.plans.tables import read
+from tidemill.sources.folders import spread
 
 SHOPS = ["Mart", "Best Mart", "Shop"]
 
@@ -25,7 +26,7 @@ def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = F.when(k % 5 < 2, F.concat(F.lit(" (was $1,"), (100 + k % 800).cast("string"), F.lit(")"))).when(k % 5 == 2, F.concat(F.lit(" $"), (100 + k % 90).cast("string"))).otherwise(F.lit(""))
     shop = F.when(k % 6 == 0, " at Best Mart").when(k % 6 == 1, " at mart").when(k % 6 == 2, " SHOP").otherwise("")
     price = F.when(k % 9 > 0, F.concat(now, before)).otherwise(F.lit(""))
-    return read(spark, sf_dir, "part").select(k.alias("id"), F.col("p_brand").alias("brand"), F.col("p_name").alias("name"), F.concat(F.col("p_brand"), F.lit(" "), F.col("p_name"), size, pack, price, shop).alias("title"), "p_size", "p_retailprice")
+    return spread(read(spark, sf_dir, "part"), "p_partkey").select(k.alias("id"), F.col("p_brand").alias("brand"), F.col("p_name").alias("name"), F.concat(F.col("p_brand"), F.lit(" "), F.col("p_name"), size, pack, price, shop).alias("title"), "p_size", "p_retailprice")
 
 
 _T = """t AS (SELECT p_partkey AS id, p_brand AS brand, p_size, p_brand || ' ' || p_name

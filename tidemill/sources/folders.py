@@ -26,3 +26,14 @@ def saved(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession, "rows")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows that a task takes of a table that was dealt anew.
+ROWS_A_TASK = 200_000
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows dealt by ``key`` over tasks of about ROWS_A_TASK. A file of a few narrow columns is one scan task however
+    many rows it has, so what is costly for each row, or sorts them, would meet them all in one task."""
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_A_TASK))
+    return df.repartition(parts, key)
