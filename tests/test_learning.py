@@ -217,3 +217,17 @@ def test_models_on_held_out_items(spark):
     folds = learning.walk_forward(spark, "/root/testdata/sf0.01").collect()
     assert sorted(r.fold for r in folds) == [1, 2, 3, 4, 5]
     assert all(r.low <= r.auc <= r.high for r in folds if r.auc is not None and r.low is not None)
+
+
+def test_models_read_the_lines_once(spark, monkeypatch, tmp_path):
+    """Passes of a fit go over saved rows: what is fitted and scored doesn't read the line items again."""
+    from tidemill.operators import train
+    from tidemill.plans import evaluation
+
+    seen = []
+    monkeypatch.setattr(train, "fit_classifier", lambda rows, *a, **k: seen.append(rows))
+    monkeypatch.setattr(train, "quantile_line", lambda rows, features, *a: seen.append(rows) or [0.0] * (len(features) + 1))
+    monkeypatch.setattr(train, "probabilities", lambda model, rows, features: seen.append(rows) or rows.withColumn("probability", F.lit(0.5)))
+    for query in (evaluation.trained_ranker, evaluation.trained_trees, evaluation.trained_calibration, evaluation.quantile_fit):
+        query(spark, "/root/testdata/sf0.001")
+    assert len(seen) == 7 and not [rows for rows in seen if any("lineitem" in f for f in rows.inputFiles())]

@@ -13,6 +13,7 @@ from tidemill.operators import evaluate as E
 from tidemill.operators import train as R
 from tidemill.plans.points_in_time import backtest_rows
 from tidemill.plans.tables import CATALOGUE_SQL, catalogue, read
+from tidemill.sources.folders import saved
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +122,7 @@ FEATURES = ["price_as_of", "offers_as_of", "landed_cost"]
 
 def trained_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AUC of a trained classifier on items it hasn't seen."""
-    rows = B.split_by_item(backtest_rows(spark, sf_dir)).select("item", "fold", "success", *FEATURES)
+    rows = saved(B.split_by_item(backtest_rows(spark, sf_dir)).select("item", "fold", "success", *FEATURES))
     model = R.fit_classifier(rows.where("fold = 'train'"), FEATURES, "success")
     held = R.probabilities(model, rows.where("fold = 'validation'"), FEATURES)
     return E.auc(held, "probability", "success", ["fold"])
@@ -145,7 +146,7 @@ def refit_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trained_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AUC of boosted trees on items they haven't seen."""
-    rows = B.split_by_item(backtest_rows(spark, sf_dir)).select("item", "fold", "success", *FEATURES)
+    rows = saved(B.split_by_item(backtest_rows(spark, sf_dir)).select("item", "fold", "success", *FEATURES))
     model = R.fit_classifier(rows.where("fold = 'train'"), FEATURES, "success", trees=True)
     return E.auc(R.probabilities(model, rows.where("fold = 'validation'"), FEATURES), "probability", "success", ["fold"])
 
@@ -153,13 +154,14 @@ def trained_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quantile_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How a linear model of the low quantile of the price does on items it hasn't seen."""
     rows = B.split_by_item(backtest_rows(spark, sf_dir)).where("price_as_of is not null and offers_as_of is not null and landed_cost is not null")
+    rows = saved(rows.select("fold", *FEATURES))
     *slopes, constant = R.quantile_line(rows.where("fold = 'train'"), ["offers_as_of", "landed_cost"], "price_as_of", 0.2)
     line = F.lit(constant) + slopes[0] * F.col("offers_as_of") + slopes[1] * F.col("landed_cost")
     return E.regression_quality(rows.where("fold = 'validation'").withColumn("q", line), "price_as_of", "q", 0.2)
 
 
 def trained_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = backtest_rows(spark, sf_dir).select("item", "success", *FEATURES)
+    rows = saved(backtest_rows(spark, sf_dir).select("item", "success", *FEATURES))
     return R.calibration_summary(rows, FEATURES, "success", F.when(B.hash_share(F.col("item")) < 0.3, "validation").otherwise("train"))
 
 

@@ -9,6 +9,7 @@ from tidemill.functions import economics as E
 from tidemill.functions.rounding import sql_rounded as r
 from tidemill.operators import asof
 from tidemill.plans.tables import HISTORY_SQL, ITEMS_SQL, history, items
+from tidemill.sources.folders import saved
 
 DATES_SQL = """ends AS (SELECT item, min(day) + 90 AS a, max(day) - 60 AS b FROM history WHERE price IS NOT NULL GROUP BY 1),
 dates AS (SELECT item, CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 35 DAY)) AS DATE) AS as_of FROM ends WHERE a <= b)"""
@@ -29,8 +30,9 @@ def value_in_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def backtest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features, frozen cost, and the label observed at the horizon, for each item and simulation date."""
-    points = history(spark, sf_dir)
+    """Features, frozen cost, and the label observed at the horizon, for each item and simulation date. The
+    history is summed once; four steps read it."""
+    points = saved(history(spark, sf_dir))
     probes = asof.simulation_dates(points)
     rows = asof.features_as_of(points, probes).where(F.col("price_as_of") > 0)
     rows = rows.join(asof.outcomes_at_horizon(points, probes), ["item", "as_of"]).join(items(spark, sf_dir), "item")
