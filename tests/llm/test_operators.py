@@ -164,6 +164,17 @@ def test_minhash_each_way_of_comparing_gives_the_same(spark, monkeypatch, small,
     assert got == want and 1 < len(set(want.values())) < 70
 
 
+def test_counters_of_shingles_are_few_rows(spark, monkeypatch):
+    """The counters reach the driver packed: a few rows, however many shingles the texts have."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(300))) for i in range(40)], "doc_id long, text string")
+    kind, seen = type(docs), []
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda df: seen.append(collect(df)) or seen[-1])
+    heads = minhash_dedup._prefixes(minhash_dedup.Sets(docs, 4), docs.select(F.col("doc_id").alias("rep")), 80)
+    assert heads.count() > 40 * 50
+    assert max(map(len, seen)) <= minhash_dedup.TALLIES
+
+
 def test_prefixes_hold_every_link_and_leave_common_texts_apart(spark):
     rng = np.random.default_rng(16)
     common, texts = words(100, 20), {}

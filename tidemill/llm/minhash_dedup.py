@@ -27,8 +27,8 @@ ROUNDS = 2
 #: that leaves any, in blocks of about BLOCK texts or BLOCK_SHINGLES shingles. Full sets decide each way, so the result
 #: doesn't depend on these numbers.
 SMALL, BLOCK, BLOCK_SHINGLES = 32, 256, 400_000
-#: Counters by which shingles are ordered from rare to common.
-COUNTERS = 1 << 16
+#: Counters by which shingles are ordered from rare to common, and rows that a task's counters are handed on in.
+COUNTERS, TALLIES = 1 << 16, 16
 
 _RNG = np.random.default_rng(20)
 _MULTIPLY = _RNG.integers(0, 1 << 32, PERMS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -215,12 +215,23 @@ def _prefixes(sets: Sets, ids: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             for x in batch.column(1):
                 n += np.bincount((np.frombuffer(x.as_buffer(), np.uint64) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["at", "n"])
+        if n.any():
+            parts = [x.tobytes() for x in n.reshape(TALLIES, -1)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(TALLIES)), pa.array(parts, pa.binary())], ["part", "n"])
 
-    counts = np.zeros(COUNTERS, np.int64)
-    for row in rows.mapInArrow(tally, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
-        counts[row["at"]] = row["n"]  # COUNTERS rows at most
+    def add(part: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS // TALLIES, np.int64)
+        for batch in batches:
+            for x in batch.column("n"):
+                total += np.frombuffer(x.as_buffer(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([part[0].as_py()]), pa.array([total.tobytes()], pa.binary())], ["part", "n"])
+
+    # a task's counters are TALLIES rows, however many texts it has and whatever they share
+    tallies = rows.mapInArrow(tally, "part long, n binary").groupBy("part").applyInArrow(add, "part long, n binary")
+    counts = np.zeros((TALLIES, COUNTERS // TALLIES), np.int64)
+    for row in tallies.collect():  # TALLIES rows, half a megabyte in all
+        counts[row["part"]] = np.frombuffer(row["n"], np.int64)
+    counts = counts.reshape(-1)
     shared = rows.sparkSession.sparkContext.broadcast(counts)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
