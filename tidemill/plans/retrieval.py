@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.functions.once import computed_once
 from tidemill.functions.rounding import sql_rounded as r
 from tidemill.operators import text as K
 from tidemill.operators import trends as T
@@ -54,11 +53,7 @@ def question_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a question's first eight words, with their language."""
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("cid"), "text", F.col("lang").alias("category"))
-    t = computed_once(docs, {"t": K.tokens(F.col("text"))}).where("size(t) >= 8")
-    runs = F.transform(F.sequence(F.lit(1), F.size("t") - 7), lambda i: F.array_join(F.slice("t", i, 8), " "))
-    runs = t.select("cid", "category", F.explode(runs).alias("head"))
-    heads = questions(spark, sf_dir).select("qid", F.array_join(F.slice(K.tokens(F.col("text")), 1, 8), " ").alias("head"))
-    return heads.join(runs, "head").select("qid", "cid", "category").distinct()
+    return K.holding(docs, questions(spark, sf_dir), 8).select("qid", "cid", "category").distinct()
 
 
 def retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
