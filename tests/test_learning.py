@@ -231,3 +231,26 @@ def test_models_read_the_lines_once(spark, monkeypatch, tmp_path):
     for query in (evaluation.trained_ranker, evaluation.trained_trees, evaluation.trained_calibration, evaluation.quantile_fit):
         query(spark, "/root/testdata/sf0.001")
     assert len(seen) == 7 and not [rows for rows in seen if any("lineitem" in f for f in rows.inputFiles())]
+
+
+def test_levels_sum_counts_of_bins(spark, monkeypatch):
+    """The levels of a tree go over a row for each combination of bins, not over the rows."""
+    frame = spark.range(3000).select((F.col("id") % 6).cast("double").alias("a"), (F.col("id") % 2).cast("double").alias("b"), (F.col("id") * 7 % 100).cast("double").alias("y"))
+    seen, grow = [], G.grow
+    monkeypatch.setattr(G, "grow", lambda rows, g, h, *a: seen.append(rows.agg(F.count("*"), F.sum(h)).first()) or grow(rows, g, h, *a))
+    G.quantile_trees(frame, ["a", "b"], "y", 0.2, trees=2, depth=2)
+    assert [tuple(r) for r in seen] == [(6, 3000), (6, 3000)]
+
+
+def test_quantile_line_over_several_tasks(spark):
+    from tidemill.operators import train
+
+    rng = np.random.default_rng(4)
+    x = rng.random((900, 2))
+    y = 3 * x[:, 0] - x[:, 1] + 5 + rng.exponential(1, 900)
+    frame = spark.createDataFrame([(float(p), None if i % 50 == 0 else float(q), float(t)) for i, ((p, q), t) in enumerate(zip(x, y, strict=True))], "a double, b double, y double")
+    a, b, rest = train.quantile_line(frame.repartition(5), ["a", "b"], "y", 0.2)
+    kept = np.arange(900) % 50 != 0
+    below = (y < a * x[:, 0] + b * x[:, 1] + rest)[kept].mean()
+    assert abs(below - 0.2) < 0.01 and abs(a - 3) < 0.3 and abs(b + 1) < 0.3
+    assert train.quantile_line(frame.where("a < 0"), ["a", "b"], "y", 0.2) == [0.0, 0.0, 0.0]

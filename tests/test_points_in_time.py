@@ -1,11 +1,13 @@
 """Leakage and boundary cases of the as-of operators."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemill.operators import asof, trends
+from tidemill.plans import tables
 
 D0 = dt.date(2024, 1, 1)
 SCHEMA = "item string, day date, price double, offers long, sales_rank long"
@@ -84,3 +86,30 @@ def test_closed_weeks(spark):
     rows = spark.createDataFrame([(1.0, True), (2.0, False), (None, False), (3.0, None)], "interest double, partial boolean")
     assert sorted(r.interest for r in trends.closed_weeks(rows).collect()) == [2.0, 3.0]
     assert rows.select(F.count("*")).first()[0] == 4
+
+
+def test_known_and_outcomes_equal_the_two_steps(spark):
+    rng = random.Random(6)
+    rows = []
+    for item in "abcd":
+        for day in sorted(rng.sample(range(300), 60)):
+            rows.append((item, D0 + dt.timedelta(day), None if rng.random() < 0.4 else float(rng.randint(1, 9)), None if rng.random() < 0.2 else rng.randint(1, 5)))
+    points = spark.createDataFrame(rows, "item string, day date, price double, offers long").withColumn("sales_rank", F.lit(1).cast("long"))
+    asked = [(item, D0 + dt.timedelta(rng.randint(-5, 320))) for item in "abcde" for _ in range(40)]
+    probes = spark.createDataFrame(asked + asked[:9], "item string, as_of date")
+    names = ["item", "as_of", "price_as_of", "offers_as_of", "price_at_horizon", "offers_at_horizon"]
+    want = asof.features_as_of(points, probes).join(asof.outcomes_at_horizon(points, probes), ["item", "as_of"]).select(*names).collect()
+    undated = spark.createDataFrame([("a", None, 77.0, 7, 7)], points.schema)  # a point without a day is never seen
+    found = asof.known_and_outcomes(points.unionByName(undated), probes).select(*names)
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, want), key=repr) and len(want) > 80
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+
+
+def test_cents_are_summed_as_decimals_are(spark):
+    values = [0.1, 0.2, 19.99, -3.07, 1.005, 2.675, 1e-9, 123456789.12, 1e9, 9_999_999_999_999.99, -4e15, 0.0, None, float("nan")]
+    rng = random.Random(2)
+    rows = [(g, rng.choice(values) if g % 3 else round(rng.random() * 1e5, 2), rng.random() < 0.8) for g in range(40) for _ in range(12)]
+    frame = spark.createDataFrame([*rows, (90, 1.0, False), (91, None, True)], "g int, x double, y boolean")
+    plain = F.sum(F.when(F.col("y"), F.col("x").cast("decimal(18,2)"))).cast("double")
+    for r in frame.groupBy("g").agg(tables._sum_of_cents("x", F.col("y")).alias("a"), plain.alias("b")).collect():
+        assert r.a == r.b

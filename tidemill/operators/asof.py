@@ -107,3 +107,25 @@ def outcomes_at_horizon(points: DataFrame, probes: DataFrame, horizon: int = D.H
     ends = points.groupBy("item").agg(F.max("day").alias("_end"))
     found = found.join(ends, "item").where(F.col("_end") >= F.date_sub("as_of", 1 + tolerance))
     return found.select("item", F.date_sub("as_of", horizon + 1).alias("as_of"), F.col("price_in_effect").alias("price_at_horizon"), F.col("offers_in_effect").alias("offers_at_horizon"))
+
+
+def known_and_outcomes(points: DataFrame, probes: DataFrame, horizon: int = D.HORIZON_DAYS, tolerance: int = D.TRACKING_TOLERANCE_DAYS) -> DataFrame:
+    """Price and offers last known before each probe, and those of ``outcomes_at_horizon``, from one sort of each item.
+
+    Each probe is a row on its day and one behind its horizon, both ahead of the day's points, so all values are running
+    ones. A value is in effect if it was known on the day of the last point."""
+    ends = F.array(F.struct(F.col("as_of").alias("day"), F.lit(0).alias("_kind")), F.struct(F.date_add("as_of", horizon + 1).alias("day"), F.lit(1).alias("_kind")))
+    asked = probes.select("item", "as_of", F.explode(ends).alias("_p")).select("item", "as_of", "_p.*")
+    seen = points.where("day is not null").select("item", "day", F.lit(2).alias("_kind"), "price", "offers")
+    rows = seen.unionByName(asked, allowMissingColumns=True).withColumn("_n", F.unix_date("day"))
+    order = W.partitionBy("item").orderBy("_n", "_kind")
+    so_far, whole = order.rowsBetween(W.unboundedPreceding, 0), order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    day = F.when(F.col("_kind") == 2, F.col("_n"))  # only points have prices or offers
+    running = {f"_{v}": F.last(v, ignorenulls=True).over(so_far) for v in ("price", "offers")}
+    running |= {f"_{v}_day": F.max(F.when(F.col(v).isNotNull(), F.col("_n"))).over(so_far) for v in ("price", "offers")}
+    rows = rows.withColumns({**running, "_last": F.max(day).over(so_far), "_end": F.max(day).over(whole)})
+    before, after = F.col("_kind") == 0, F.col("_kind") == 1
+    known = [F.max(F.when(before, F.col(f"_{v}"))).alias(f"{v}_as_of") for v in ("price", "offers")]
+    later = [F.max(F.when(after & (F.col(f"_{v}_day") == F.col("_last")), F.col(f"_{v}"))).alias(f"{v}_at_horizon") for v in ("price", "offers")]
+    tracked = rows.where((F.col("_kind") < 2) & (F.col("_end") >= F.unix_date("as_of") + horizon - tolerance))
+    return tracked.groupBy("item", "as_of").agg(*known, *later)  # rows of an item are in one task already

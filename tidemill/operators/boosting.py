@@ -108,9 +108,10 @@ def grow(rows: DataFrame, g: Column, h: Column, depth: int, least: float, smooth
 def quantile_trees(rows: DataFrame, features: list[str], target: str, tau: float, trees: int = 12, depth: int = 3, rate: float = 0.3, least: int = 20, bins: int = 32) -> Boosted:
     """A boosted regressor of the ``tau`` quantile of a target (pinball loss), on all rows that have one.
 
-    A level's gradients are counts of rows above and below, so sums are exact; a leaf's value is the quantile of what is
-    left in it, from a mergeable summary (``percentile_approx``, exact for up to 10,000 rows a leaf, else within a
-    ten-thousandth of the rank)."""
+    A level's gradients are counts of rows above and below. A tree takes them once, by combination of bins, since rows
+    of one have the same score, and its levels sum those counts; a leaf's value is the quantile of what is left in it,
+    from a mergeable summary (``percentile_approx``, exact for up to 10,000 rows a leaf, else within a ten-thousandth of
+    the rank)."""
     some = rows.where(F.col(target).isNotNull())
     made = Bins.of(some, features, bins)
     data = saved(some.select(made.columns().alias("x"), F.col(target).cast("double").alias("y")))
@@ -121,8 +122,8 @@ def quantile_trees(rows: DataFrame, features: list[str], target: str, tau: float
         return model
     data = data.withColumn("s", F.lit(start))
     for k in range(trees):
-        above = F.col("y") > F.col("s")
-        tree = grow(data, F.when(above, tau).otherwise(tau - 1), F.lit(1), depth, least)
+        cells = saved(data.groupBy("x").agg(F.count("*").alias("n"), F.count_if(F.col("y") > F.col("s")).alias("above")))
+        tree = grow(cells, F.col("above") * tau - (F.col("n") - F.col("above")) * (1 - tau), F.col("n"), depth, least)
         left = data.groupBy(tree.leaf(F.col("x")).alias("leaf")).agg(quantile(F.col("y") - F.col("s")).alias("v"))
         tree.values = {r["leaf"]: rate * r["v"] for r in left.collect()}  # 2 ** depth at most
         model.trees.append(tree)

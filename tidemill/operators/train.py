@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, VectorAssembler
@@ -44,8 +47,9 @@ def quantile_line(rows: DataFrame, features: list[str], target: str, tau: float,
     """A linear quantile model; the last number is the constant. Rows with a missing value are left out.
 
     Weighted least squares in rounds: a row's weight is tau, or 1 - tau below the line, by its distance from it, so that
-    the squares add up to the pinball loss. A round is one sum over all rows of the products of their columns; only those
-    sums reach the driver."""
+    the squares add up to the pinball loss. A round is one sum over all rows of the products of their columns, by matrix
+    products over batches: as expressions they would be compiled anew each round, and run cold. Only sums reach the
+    driver."""
     cols = [F.col(c).cast("double") for c in [*features, target]]
     data = saved(rows.select(*[c.alias(f"c{i}") for i, c in enumerate(cols)]).dropna())
     k = len(features)
@@ -53,21 +57,28 @@ def quantile_line(rows: DataFrame, features: list[str], target: str, tau: float,
     if not first["n"]:
         return [0.0] * (k + 1)
     mean, scale = [first[f"m{i}"] for i in range(k)], [first[f"s{i}"] or 1.0 for i in range(k + 1)]
-    z = [*[(F.col(f"c{i}") - mean[i]) / scale[i] for i in range(k)], F.lit(1.0)]
-    w, y = np.append(np.zeros(k), first["q"]), F.col(f"c{k}")
-    pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    middle, width = np.array(mean), np.array(scale[:k])
+    w = np.append(np.zeros(k), first["q"])
     for step in range(steps):
-        left = y - sum(float(a) * c for a, c in zip(w, z, strict=True))
         near = scale[k] * max(1e-4, 0.5**step)
-        weight = F.when(left >= 0, tau).otherwise(1 - tau) / F.greatest(F.abs(left), F.lit(near))
-        sums = data.select(*[(weight * z[i] * z[j]).alias(f"a{i}_{j}") for i, j in pairs], *[(weight * c * y).alias(f"b{i}") for i, c in enumerate(z)])
-        got = sums.agg(*[F.sum(c).alias(c) for c in sums.columns]).first()
-        m, b = np.zeros((k + 1, k + 1)), np.array([got[f"b{i}"] for i in range(k + 1)])
-        for i, j in pairs:
-            m[i, j] = m[j, i] = got[f"a{i}_{j}"]
+
+        def products(parts: Iterator[pd.DataFrame], w: np.ndarray = w, near: float = near) -> Iterator[pd.DataFrame]:
+            total = np.zeros((k + 2, k + 1))
+            for part in parts:
+                values = part.to_numpy(dtype=float)
+                z, y = np.column_stack([(values[:, :k] - middle) / width, np.ones(len(values))]), values[:, k]
+                left = y - z @ w
+                weighted = z * (np.where(left >= 0, tau, 1 - tau) / np.maximum(np.abs(left), near))[:, None]
+                total[:-1] += weighted.T @ z
+                total[-1] += y @ weighted
+            yield pd.DataFrame({"sums": [total.ravel().tolist()]})
+
+        found = data.mapInPandas(products, "sums array<double>").collect()  # a row a task
+        total = np.sum([r["sums"] for r in found], axis=0).reshape(k + 2, k + 1)
+        m, b = total[:-1], total[-1]
         w = np.linalg.solve(m + 1e-9 * np.trace(m) / (k + 1) * np.eye(k + 1), b)
-    plain = w[:-1] / np.array(scale[:k])
-    return [*plain.tolist(), float(w[-1] - plain @ np.array(mean))]
+    plain = w[:-1] / width
+    return [*plain.tolist(), float(w[-1] - plain @ middle)]
 
 
 def calibration_summary(rows: DataFrame, features: list[str], label: str, fold: Column) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions import economics as E
+from tidemill.functions.once import computed_once
 from tidemill.functions.rounding import sql_rounded as r
 from tidemill.operators import asof
 from tidemill.plans.tables import HISTORY_SQL, ITEMS_SQL, history, items
@@ -31,14 +32,13 @@ def value_in_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def backtest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features, frozen cost, and the label observed at the horizon, for each item and simulation date. The
-    history is summed once; four steps read it."""
-    points = saved(history(spark, sf_dir))
-    probes = asof.simulation_dates(points)
-    rows = asof.features_as_of(points, probes).where(F.col("price_as_of") > 0)
-    rows = rows.join(asof.outcomes_at_horizon(points, probes), ["item", "as_of"]).join(items(spark, sf_dir), "item")
-    rows = rows.withColumn("landed_cost", E.landed_cost(F.col("price_as_of")))
+    history is summed once; dates and values read it."""
+    points = saved(history(spark, sf_dir).select("item", "day", "price", "offers"))
+    rows = asof.known_and_outcomes(points, asof.simulation_dates(points)).where(F.col("price_as_of") > 0)
+    rows = rows.join(items(spark, sf_dir), "item")
     left = E.net_proceeds(F.col("price_at_horizon"), F.col("weight_lb"), F.col("category"))
-    rows = rows.withColumn("est_profit", F.round((left - F.col("landed_cost")).cast("decimal(18,6)"), 2).cast("double"))
+    rows = computed_once(rows, {"landed_cost": E.landed_cost(F.col("price_as_of")), "left": left})
+    rows = computed_once(rows, {"est_profit": F.round((F.col("left") - F.col("landed_cost")).cast("decimal(18,6)"), 2).cast("double")})
     rows = rows.withColumn("success", E.consistent_label(F.col("est_profit"), F.col("landed_cost"), F.col("category")))
     return rows.where(F.col("success").isNotNull()).select(
         "item", "as_of", "category", "landed_cost", "price_as_of", "offers_as_of", "price_at_horizon", "offers_at_horizon", "est_profit", "success",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.rounding import rounded, sql_rounded
@@ -12,14 +12,22 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _sum_of_cents(value: str, where: Column) -> Column:
+    """The sum of a double column as decimal(18,2), exactly, as a double. Whole cents are summed as integers, which takes
+    less than half the time of decimals; other numbers, and those from a thousand million, are summed as decimals."""
+    x, cents = F.col(value), F.rint(F.col(value) * 100)
+    plain = (cents / 100 == x) & (F.abs(x) < 1e9)
+    whole, rest = F.sum(F.when(where & plain, cents.cast("long"))), F.sum(F.when(where & ~plain, x.cast("decimal(18,2)")))
+    both = F.coalesce(whole, F.lit(0)).cast("decimal(20,0)") * F.lit(0.01).cast("decimal(3,2)") + rest
+    return F.when(rest.isNull(), whole / 100).otherwise(both.cast("double"))
+
+
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``item, day, price, offers, sales_rank``: one point a day and supplier; returned lines leave the price unknown."""
     lines = read(spark, sf_dir, "lineitem")
     sold = F.col("l_returnflag") != "R"
-    cents = F.when(sold, F.col("l_extendedprice").cast("decimal(18,2)"))
-    units = F.when(sold, F.col("l_quantity").cast("decimal(18,2)"))
     return lines.groupBy(F.col("l_suppkey").cast("string").alias("item"), F.to_date("l_shipdate").alias("day")).agg(
-        rounded(F.sum(cents).cast("double") / F.sum(units).cast("double") / 20, 2).alias("price"),
+        rounded(_sum_of_cents("l_extendedprice", sold) / _sum_of_cents("l_quantity", sold) / 20, 2).alias("price"),
         F.count("*").alias("offers"),
         (F.sum("l_partkey") % 100000 + 1).alias("sales_rank"),
     )
