@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.operators import asof, trends
-from tidemill.plans import tables
+from tidemill.plans import points_in_time, tables
 
 D0 = dt.date(2024, 1, 1)
 SCHEMA = "item string, day date, price double, offers long, sales_rank long"
@@ -105,6 +105,31 @@ def test_known_and_outcomes_equal_the_two_steps(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
 
 
+@pytest.mark.parametrize("step, horizon, history", [(35, 60, 90), (7, 20, 10), (1, 3, 0)])
+def test_simulated_outcomes_equal_dates_and_probes(spark, step, horizon, history):
+    rng = random.Random(step)
+    rows = [("none", D0 + dt.timedelta(i), None, 3) for i in range(0, 400, 50)] + [("one", D0, 4.0, 2), ("short", D0, 1.0, 1), ("short", D0 + dt.timedelta(history + horizon - 1), 1.0, 1)]
+    rows += [("edge", D0, 1.0, 1), ("edge", D0 + dt.timedelta(history + horizon), 2.0, None), ("gap", D0 - dt.timedelta(2000), 5.0, 2), ("gap", D0, None, 1), ("gap", D0 + dt.timedelta(900), 6.0, 9), ("gap", D0 + dt.timedelta(1000), None, 9)]
+    for item in "abcdef":
+        for day in sorted(rng.sample(range(-500, 500), rng.choice([20, 150, 600]))):
+            rows.append((item, D0 + dt.timedelta(day), None if rng.random() < 0.4 else float(rng.randint(1, 9)), None if rng.random() < 0.2 else rng.randint(1, 5)))
+    points = spark.createDataFrame([*rows, ("a", None, 77.0, 7), (None, D0, 1.0, 1)], "item string, day date, price double, offers long")
+    names = ["item", "as_of", "price_as_of", "offers_as_of", "price_at_horizon", "offers_at_horizon"]
+    dated = points.where("item is not null")
+    want = asof.known_and_outcomes(dated, asof.simulation_dates(dated, step, horizon, history), horizon).select(*names).collect()
+    found = asof.simulated_outcomes(points, step, horizon, history).select(*names).collect()
+    assert sorted(map(tuple, found), key=repr) == sorted(map(tuple, want), key=repr)
+    assert {"edge", "gap"} < {r.item for r in found} and not {"none", "one", "short"} & {r.item for r in found}
+
+
+def test_backtest_rows_shuffle_the_lines_once(spark, monkeypatch):
+    """Points, dates and values are made where an item's lines are; nothing is written out or dealt anew."""
+    monkeypatch.setattr(tables, "LEAST_LINES", 1)
+    found = points_in_time.backtest_rows(spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("lineitem.parquet") == 1
+
+
 def test_cents_are_summed_as_decimals_are(spark):
     values = [0.1, 0.2, 19.99, -3.07, 1.005, 2.675, 1e-9, 123456789.12, 1e9, 9_999_999_999_999.99, -4e15, 0.0, None, float("nan")]
     rng = random.Random(2)

@@ -129,3 +129,36 @@ def known_and_outcomes(points: DataFrame, probes: DataFrame, horizon: int = D.HO
     later = [F.max(F.when(after & (F.col(f"_{v}_day") == F.col("_last")), F.col(f"_{v}"))).alias(f"{v}_at_horizon") for v in ("price", "offers")]
     tracked = rows.where((F.col("_kind") < 2) & (F.col("_end") >= F.unix_date("as_of") + horizon - tolerance))
     return tracked.groupBy("item", "as_of").agg(*known, *later)  # rows of an item are in one task already
+
+
+def simulated_outcomes(points: DataFrame, step: int = D.STEP_DAYS, horizon: int = D.HORIZON_DAYS, history: int = D.MIN_HISTORY_DAYS) -> DataFrame:
+    """``known_and_outcomes`` at the ``simulation_dates`` of each item, from one pass over its points in order of day.
+
+    What a probe sees is what held from a point until the next one. So the point itself tells which dates lie in that
+    time, and which have their horizon there; probes are neither made beforehand nor sorted among the points. The dates
+    end ``horizon`` days before the last priced day, so tracking has never ended too early. Points have one row a day."""
+    order = W.partitionBy("item").orderBy("_n")
+    so_far, whole = order.rowsBetween(W.unboundedPreceding, 0), order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    priced = F.when(F.col("price").isNotNull(), F.col("_n"))
+    rows = points.where("day is not null").select("item", "price", "offers", F.unix_date("day").alias("_n")).withColumns(
+        {
+            **{f"_{v}": F.last(v, ignorenulls=True).over(so_far) for v in ("price", "offers")},
+            "_next": F.lead("_n").over(order),
+            "_first": F.min(priced).over(whole) + history,
+            "_last": F.max(priced).over(whole) - horizon,
+        }
+    )
+
+    def dates(ahead: int) -> tuple[Column, Column]:
+        """The first and last number of a date that comes after the point's day and up to the next one's, ``ahead`` days later."""
+        since, until = F.col("_n") - ahead, F.least(F.col("_next") - ahead, F.col("_last"))
+        return F.greatest(F.lit(0), F.floor((since - F.col("_first")) / step) + 1), F.floor((until - F.col("_first")) / step)
+
+    (from_known, to_known), (from_later, to_later) = dates(0), dates(horizon + 1)
+    kinds = [(0, from_known, to_known, "_price", "_offers"), (1, from_later, to_later, "price", "offers")]
+    held = F.array(*[F.struct(F.lit(k).alias("_kind"), a.alias("_from"), b.alias("_to"), F.col(p).alias("_p"), F.col(o).alias("_o")) for k, a, b, p, o in kinds])
+    seen = rows.where((from_known <= to_known) | (from_later <= to_later)).select("item", "_first", F.explode(held).alias("_h")).select("item", "_first", "_h.*")
+    seen = seen.where("_from <= _to").withColumn("_k", F.explode(F.sequence("_from", "_to")))
+    seen = seen.withColumn("as_of", F.date_from_unix_date((F.col("_first") + F.col("_k") * step).cast("int")))
+    names = {"price_as_of": (0, "_p"), "offers_as_of": (0, "_o"), "price_at_horizon": (1, "_p"), "offers_at_horizon": (1, "_o")}
+    return seen.groupBy("item", "as_of").agg(*[F.max(F.when(F.col("_kind") == k, F.col(v))).alias(n) for n, (k, v) in names.items()])

@@ -10,7 +10,6 @@ from tidemill.functions.once import computed_once
 from tidemill.functions.rounding import sql_rounded as r
 from tidemill.operators import asof
 from tidemill.plans.tables import HISTORY_SQL, ITEMS_SQL, history, items
-from tidemill.sources.folders import saved
 
 DATES_SQL = """ends AS (SELECT item, min(day) + 90 AS a, max(day) - 60 AS b FROM history WHERE price IS NOT NULL GROUP BY 1),
 dates AS (SELECT item, CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 35 DAY)) AS DATE) AS as_of FROM ends WHERE a <= b)"""
@@ -31,10 +30,9 @@ def value_in_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def backtest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features, frozen cost, and the label observed at the horizon, for each item and simulation date. The
-    history is summed once; dates and values read it."""
-    points = saved(history(spark, sf_dir).select("item", "day", "price", "offers"))
-    rows = asof.known_and_outcomes(points, asof.simulation_dates(points)).where(F.col("price_as_of") > 0)
+    """Features, frozen cost, and the label observed at the horizon, for each item and simulation date. The lines are
+    shuffled once, by item; points, dates and values are made of them where they are."""
+    rows = asof.simulated_outcomes(history(spark, sf_dir, by_item=True)).where(F.col("price_as_of") > 0)
     rows = rows.join(items(spark, sf_dir), "item")
     left = E.net_proceeds(F.col("price_at_horizon"), F.col("weight_lb"), F.col("category"))
     rows = computed_once(rows, {"landed_cost": E.landed_cost(F.col("price_as_of")), "left": left})

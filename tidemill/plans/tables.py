@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.rounding import rounded, sql_rounded
+from tidemill.sources.folders import spread
+
+#: Line items that a task takes where they are dealt by item, and how many there are at least if that leaves cores idle.
+LINES_A_TASK, LEAST_LINES = 500_000, 100_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,11 +26,16 @@ def _sum_of_cents(value: str, where: Column) -> Column:
     return F.when(rest.isNull(), whole / 100).otherwise(both.cast("double"))
 
 
-def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``item, day, price, offers, sales_rank``: one point a day and supplier; returned lines leave the price unknown."""
-    lines = read(spark, sf_dir, "lineitem")
+def history(spark: SparkSession, sf_dir: str, by_item: bool = False) -> DataFrame:
+    """``item, day, price, offers, sales_rank``: one point a day and supplier; returned lines leave the price unknown.
+
+    An item has few lines a day, so summing them ahead of the shuffle saves little. ``by_item`` deals the lines by item:
+    the points of an item are made in one task, and what then goes over whole items needs no further shuffle."""
+    lines = read(spark, sf_dir, "lineitem").withColumn("item", F.col("l_suppkey").cast("string"))
+    if by_item:
+        lines = spread(lines, "item", LINES_A_TASK, LEAST_LINES)
     sold = F.col("l_returnflag") != "R"
-    return lines.groupBy(F.col("l_suppkey").cast("string").alias("item"), F.to_date("l_shipdate").alias("day")).agg(
+    return lines.groupBy("item", F.to_date("l_shipdate").alias("day")).agg(
         rounded(_sum_of_cents("l_extendedprice", sold) / _sum_of_cents("l_quantity", sold) / 20, 2).alias("price"),
         F.count("*").alias("offers"),
         (F.sum("l_partkey") % 100000 + 1).alias("sales_rank"),

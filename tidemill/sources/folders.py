@@ -32,8 +32,10 @@ def saved(df: DataFrame) -> DataFrame:
 ROWS_A_TASK = 200_000
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """The rows dealt by ``key`` over tasks of about ROWS_A_TASK. A file of a few narrow columns is one scan task however
-    many rows it has, so what is costly for each row, or sorts them, would meet them all in one task."""
-    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_A_TASK))
+def spread(df: DataFrame, key: str, rows_a_task: int = ROWS_A_TASK, least: int = 1) -> DataFrame:
+    """The rows dealt by ``key`` over tasks of about ``rows_a_task``. A file of a few narrow columns is one scan task however
+    many rows it has, so what is costly for each row, or sorts them, would meet them all in one task. Few rows make
+    fewer tasks than there are cores, of ``least`` rows each."""
+    n = df.count()
+    parts = max(1, min(df.sparkSession.sparkContext.defaultParallelism, -(-n // least)), -(-n // rows_a_task))
     return df.repartition(parts, key)
