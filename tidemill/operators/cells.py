@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemill.operators.text import _Best
+from tidemill.operators.text import _Best, six_places
 from tidemill.sources.folders import saved
 
 #: Most cells, vectors behind one, and vectors of a list that a task takes at a time.
@@ -113,7 +113,7 @@ def _scores(index: Cells, met: DataFrame, k: int) -> DataFrame:
             x = np.stack(vectors["vector"].to_numpy()).T
             for lo in range(0, len(queries), STRIP):
                 part, found = queries.iloc[lo : lo + STRIP], _Best(k)
-                found.add((np.stack(part["vector"].to_numpy()) @ x).round(6), vectors["vec_id"].to_numpy())
+                found.add(six_places(np.stack(part["vector"].to_numpy()) @ x), vectors["vec_id"].to_numpy())
                 out.append(pd.DataFrame({"qid": part["qid"].to_numpy()[found.row], "vec_id": found.id, "score": found.score}))
         return pd.concat(out[1:] or out)
 
